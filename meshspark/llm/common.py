@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,6 +37,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_state() -> dict:
+    """A dictionary that lives as long as the Python worker: later tasks find what earlier ones put in."""
+    name = "_meshspark_worker_state"
+    if name not in sys.modules:
+        sys.modules[name] = types.ModuleType(name)
+    return sys.modules[name].__dict__
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32 of the id's decimal text leaves remainder 1 modulo 3."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

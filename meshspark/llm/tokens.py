@@ -14,8 +14,8 @@ hashes to; keys that collide go on to the next level; a key's slot is the rank o
 
 Texts are encoded by the tokenizers library.  In a byte-level tokenizer a single space before a
 character other than white space always starts a piece, so texts are cut there and the encoding of
-each distinct piece is kept in a bounded cache; texts with other runs of white space, or with
-the text of an added token, are encoded whole.
+each distinct piece is kept in a bounded cache; a full stop or comma after a letter is a
+piece of its own; texts with other runs of white space, or the text of an added token, are encoded whole.
 
 Defined edge cases: null is the empty text; every document ends with the end id, so empty ones
 hold one id; repeated doc_ids are told apart by their occurrence; an empty table writes no shard.
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import io
 import json
-import re
+import os
 import struct
 import sys
 import uuid
@@ -41,12 +41,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, worker_state
 
 MAGIC, VERSION, GAMMA = b"TKID", 1, 1.5
 #: Pieces kept by one Python worker's encoder.
-CACHE_PIECES = 400_000
-RISKY = re.compile(r" (?=\s|$)")
+CACHE_PIECES = 600_000
 
 
 def key_hash(doc_id, occurrence: int) -> int:
@@ -162,6 +161,7 @@ class Encoder:
     """Ids of whole texts as little-endian bytes, with a cache of pieces."""
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(definition)
@@ -171,6 +171,7 @@ class Encoder:
         self.cut = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.width = 2 if self.tok.get_vocab_size(True) <= 1 << 16 else 4
         self.cache: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
         a = array("H" if self.width == 2 else "I", ids)
@@ -181,21 +182,48 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
 
+    def learn(self, missing: set[str]) -> bool:
+        """Put pieces (each follows a space) into the cache; False if one isn't a piece of its own."""
+        cache, todo, ends = self.cache, [], []
+        for m in missing:
+            if not m or m[0].isspace():
+                return False
+            # a full stop or comma after a letter is a piece of its own
+            if m[-1] in ".," and m[-2:-1].isalpha():
+                ends.append(m)
+                m = m[:-1]
+                if m in cache:
+                    continue
+            todo.append(m)
+        for m, e in zip(todo, self.tok.encode_batch_fast([" " + m for m in todo], add_special_tokens=False), strict=True):
+            cache[m] = self.pack(e.ids)
+        for m in ends:
+            if m[-1] not in self.marks:
+                self.marks[m[-1]] = self.whole(m[-1])
+            cache[m] = cache[m[:-1]] + self.marks[m[-1]]
+        return True
+
     def __call__(self, text: str) -> bytes:
-        if not self.cut or RISKY.search(text) or any(t in text for t in self.added):
+        if not self.cut or any(t in text for t in self.added):
             return self.whole(text)
         first, *rest = text.split(" ")
-        missing = list(set(rest).difference(self.cache))
-        if missing:
-            if len(self.cache) > CACHE_PIECES:
-                self.cache.clear()
-                missing = list(set(rest))
-            for m, e in zip(missing, self.tok.encode_batch_fast([" " + m for m in missing], add_special_tokens=False), strict=True):
-                self.cache[m] = self.pack(e.ids)
+        if len(self.cache) > CACHE_PIECES:
+            self.cache.clear()
+        missing = set(rest).difference(self.cache)
+        if missing and not self.learn(missing):
+            return self.whole(text)
         cache = self.cache
         return (self.whole(first) if first else b"") + b"".join([cache[p] for p in rest])
 
 
+def encoder(definition: str) -> Encoder:
+    """The worker's encoder for this tokenizer, with what its cache holds from earlier tasks."""
+    state, key = worker_state(), f"encoder-{xxhash.xxh3_64_hexdigest(definition)}"
+    if key not in state:
+        state[key] = Encoder(definition)
+    return state[key]
+
+
 def write_shards(docs: DataFrame, definition: str, folder: str | None = None, end_id: int = 0) -> DataFrame:
     """Encode and write all ``docs`` (doc_id, text); one manifest row a shard: shard, path, n_docs, n_tokens."""
     spark = docs.sparkSession
@@ -214,7 +242,7 @@ def write_shards(docs: DataFrame, definition: str, folder: str | None = None, en
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if out is None:
-                    code = Encoder(shipped.value)
+                    code = encoder(shipped.value)
                     tail = code.pack([end_id])
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(temporary)
