@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 from .common import shared_dir, worker_state
 
 MAGIC, VERSION, GAMMA = b"TKID", 1, 1.5
-#: Pieces kept by one Python worker's encoder.
-CACHE_PIECES = 600_000
+#: Pieces in each of the two generations that one Python worker's encoder keeps.
+CACHE_PIECES = 500_000
 
 
 def key_hash(doc_id, occurrence: int) -> int:
@@ -171,6 +171,7 @@ class Encoder:
         self.cut = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.width = 2 if self.tok.get_vocab_size(True) <= 1 << 16 else 4
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
@@ -184,8 +185,11 @@ class Encoder:
 
     def learn(self, missing: set[str]) -> bool:
         """Put pieces (each follows a space) into the cache; False if one isn't a piece of its own."""
-        cache, todo, ends = self.cache, [], []
+        cache, old, todo, ends = self.cache, self.old, [], []
         for m in missing:
+            if m in old:
+                cache[m] = old[m]
+                continue
             if not m or m[0].isspace():
                 return False
             # a full stop or comma after a letter is a piece of its own
@@ -194,6 +198,9 @@ class Encoder:
                 m = m[:-1]
                 if m in cache:
                     continue
+                if m in old:
+                    cache[m] = old[m]
+                    continue
             todo.append(m)
         for m, e in zip(todo, self.tok.encode_batch_fast([" " + m for m in todo], add_special_tokens=False), strict=True):
             cache[m] = self.pack(e.ids)
@@ -207,13 +214,16 @@ class Encoder:
         if not self.cut or any(t in text for t in self.added):
             return self.whole(text)
         first, *rest = text.split(" ")
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        missing = set(rest).difference(self.cache)
-        if missing and not self.learn(missing):
-            return self.whole(text)
-        cache = self.cache
-        return (self.whole(first) if first else b"") + b"".join([cache[p] for p in rest])
+        get = self.cache.get
+        ids = [get(p) for p in rest]
+        if None in ids:
+            if len(self.cache) > CACHE_PIECES:
+                self.old, self.cache = self.cache, {}
+                get, ids = self.cache.get, [None] * len(rest)
+            if not self.learn({p for p, i in zip(rest, ids) if i is None}):
+                return self.whole(text)
+            ids = [get(p) for p in rest]
+        return (self.whole(first) if first else b"") + b"".join(ids)
 
 
 def encoder(definition: str) -> Encoder:
