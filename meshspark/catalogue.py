@@ -1,9 +1,300 @@
-"""Named queries over the test tables and their SQL oracles."""
+"""Named queries over the test tables and the SQL that gives the same rows.
 
+Graph algorithms run on ``g_part`` (one component), ``g_frag`` (many components, deep searches) and
+``g_sc`` (few senders with many edges).  Their SQL is one recursive statement that keeps the whole
+state of every superstep.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import ordering
+from .graph import Graph, csr_decode
+from .operators import algorithms as A
+from .operators import partitioning as P
+from .plans import datasets
+
+c = F.col
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+THREADS = 4
+
+
+def _ctes(graph: str) -> str:
+    v, e = datasets.SQL[graph]
+    return f"v AS ({v}), e AS ({e}), dg AS (SELECT id, coalesce(n, 0)::BIGINT AS od FROM v LEFT JOIN (SELECT src, count(*) n FROM e GROUP BY src) ON id = src)"
+
+
+def query(name: str, graph: str, sql: str):
+    """Register ``fn(graph) -> DataFrame`` and the SQL over v, e, dg that gives its rows."""
+
+    def wrap(fn: Callable[[Graph], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: fn(datasets.load(spark, sf_dir, graph))
+        SQL[name] = sql if sql.startswith("WITH") else f"WITH {_ctes(graph)} {sql}"
+        return fn
+
+    return wrap
+
+
+def steps(graph: str, columns: dict[str, tuple[str, str]], k: int, folds: str, out: str, senders: str = "true", edges: str = "e", more: str = "") -> str:
+    """Recursive SQL: ``columns`` maps a state column to (initial value, next value); ``p`` is the old state, ``g`` the folds."""
+    first = ", ".join(f"{a} AS {n}" for n, (a, _) in columns.items())
+    then = ", ".join(b for _, b in columns.values())
+    return f"""WITH RECURSIVE {_ctes(graph)}{more}, s(it, id, od, {", ".join(columns)}) AS (
+  SELECT 0, id, od, {first} FROM dg
+  UNION ALL
+  SELECT nx.it, p.id, p.od, {then}
+  FROM (SELECT max(it) + 1 AS it FROM s) nx CROSS JOIN s p
+  LEFT JOIN (SELECT e.dst AS d, {folds} FROM s JOIN {edges} e ON e.src = s.id WHERE {senders} GROUP BY 1) g ON g.d = p.id
+  WHERE nx.it <= {k})
+SELECT {out} FROM s WHERE it = {k}"""
+
+
+def _round(col: str, digits: int = 6):
+    return F.round(c(col), digits).alias(col)
+
+
+# --- scans, degrees, transforms ---------------------------------------------------------------------------------------
+
+query("edges_scan", "g_part", "SELECT src, dst FROM e")(lambda g: g.edges.select("src", "dst"))
+query("edges_weighted", "g_part", "SELECT src, dst, w FROM e")(lambda g: g.edges.select("src", "dst", "w"))
+query("out_degree", "g_sc", "SELECT id, od AS out_degree FROM dg")(lambda g: g.out_degrees())
+_IN = "SELECT id, coalesce(n, 0)::BIGINT AS in_degree FROM v LEFT JOIN (SELECT dst, count(*) n FROM e GROUP BY dst) ON id = dst"
+query("in_degree", "g_sc", _IN)(lambda g: g.in_degrees())
+query("degrees", "g_frag", f"SELECT i.id, od AS out_degree, in_degree FROM ({_IN}) i JOIN dg ON dg.id = i.id")(lambda g: g.degrees())
+query("in_degree_gas", "g_part", _IN)(A.in_degree)
+query("in_degree_topk", "g_part", f"SELECT in_degree FROM ({_IN}) ORDER BY in_degree DESC LIMIT 1000")(lambda g: ordering.top_values(A.in_degree(g), "in_degree"))
+query("hub_concentration", "g_part", """SELECT round(count(*) FILTER (od > avg_od) / count(*), 6) AS vertex_share, round(sum(od) FILTER (od > avg_od) / sum(od), 6) AS edge_share
+FROM dg, (SELECT floor(sum(od) / count(*)) AS avg_od FROM dg)""")(lambda g: g.hub_concentration().select(_round("vertex_share"), _round("edge_share")))
+query("transpose", "g_frag", "SELECT dst AS src, src AS dst FROM e")(lambda g: g.transpose().edges)
+_SYM = "SELECT src, dst, min(w) AS w FROM (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e) GROUP BY 1, 2"
+query("symmetrize", "g_frag", _SYM)(lambda g: g.symmetrize().edges)
+query("csr_offsets", "g_part", 'SELECT id, od AS out_degree, (coalesce(sum(od) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset" FROM dg')(lambda g: g.csr_offsets())
+query("csr_adjacency", "g_frag", "SELECT id, coalesce(adj, '') AS adj FROM v LEFT JOIN (SELECT src, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS adj FROM e GROUP BY src) ON id = src")(
+    lambda g: g.csr_adjacency().select("id", F.array_join(c("adj").cast("array<string>"), ",").alias("adj"))
+)
+query("csr_decode", "g_frag", "SELECT src, dst FROM e")(lambda g: csr_decode(g.csr_adjacency()))
+query("adjacency_position", "g_frag", "SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS pos FROM e")(lambda g: g.adjacency_position())
+
+# --- sorts ------------------------------------------------------------------------------------------------------------
+
+_RANK = "SELECT od, id, row_number() OVER (ORDER BY od {0}, id) AS place FROM dg QUALIFY place <= 1000"
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """The first 1000 rows of a sorted table with their places: a top-k report, numbered where it is small."""
+    from pyspark.sql import Window
+
+    top = df.limit(ordering.TOP)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long")).select("od", "id", "place")
+
+
+query("sort_desc_stable", "g_sc", _RANK.format("DESC"))(lambda g: _placed(ordering.sort_desc(g.out_degrees().withColumnRenamed("out_degree", "od"), "od", "id")))
+query("sort_asc_stable", "g_sc", _RANK.format("ASC"))(lambda g: _placed(ordering.sort_asc(g.out_degrees().withColumnRenamed("out_degree", "od"), "od", "id")))
+query("topk_values", "g_sc", "SELECT od AS out_degree FROM dg ORDER BY od DESC LIMIT 1000")(lambda g: ordering.top_values(g.out_degrees(), "out_degree"))
+
+# --- dense algorithms -------------------------------------------------------------------------------------------------
+
+_PR = {"r": ("1.0::DOUBLE", "0.15 + 0.85 * coalesce(g.m, 0)")}
+
+
+def _pr(graph: str, k: int) -> str:
+    return steps(graph, _PR, k, "sum(s.r / s.od) AS m", "id, round(r, 6) AS rank")
+
+
+for _name, _graph, _k in (("pagerank_5", "g_part", 5), ("pagerank_20", "g_part", 20), ("pagerank_sinks", "g_sc", 5)):
+    query(_name, _graph, _pr(_graph, _k))(lambda g, k=_k: A.pagerank(g, k).select("id", _round("rank")))
+query("pagerank_topk", "g_part", f"SELECT rank FROM ({_pr('g_part', 5)}) ORDER BY rank DESC LIMIT 1000".replace("SELECT rank FROM (WITH", "WITH x AS (WITH").replace(") ORDER BY", ") SELECT rank FROM x ORDER BY"))(
+    lambda g: ordering.top_values(A.pagerank(g, 5).select("id", _round("rank")), "rank")
+)
+_EC = {"x": ("1.0::DOUBLE", "coalesce(g.m, 0)")}
+query("ec_5_literal", "g_part", steps("g_part", _EC, 5, "sum(s.x) AS m", "id, round(x, 3) AS centrality"))(
+    lambda g: A.eigenvector(g, 5).select("id", F.round(c("centrality") * g.vertices.count() / 1e-9, 3).alias("centrality"))
+)
+_EC_ALL = steps("g_part", _EC, 5, "sum(s.x) AS m", "id, x")
+query("ec_5_normalized", "g_part", f"WITH t AS ({_EC_ALL}) SELECT id, round(x / (SELECT sqrt(sum(x * x)) FROM t), 6) AS centrality FROM t")(
+    lambda g: A.eigenvector(g, 5, normalize=True).select("id", _round("centrality"))
+)
+query("ec_norm", "g_part", f"WITH t AS ({_EC_ALL}) SELECT round(sqrt(sum(x * x)), 3) AS norm FROM t")(
+    lambda g: A.eigenvector(g, 5).agg(F.round(F.sqrt(F.sum(c("centrality") * c("centrality"))) * g.vertices.count() / 1e-9, 3).alias("norm"))
+)
+
+
+def _cf(step: float) -> str:
+    new = f"p.x + {step}::DOUBLE * (-0.001 * p.x + coalesce(g.a, 0) - p.x * coalesce(g.b, 0))"
+    return steps("g_part", {"x": ("0.5::DOUBLE", new)}, 5, "sum(s.x) AS a, sum(s.x * s.x) AS b", "id, round(x, 9) AS latent")
+
+
+query("cf_5", "g_part", _cf(3.5e-7))(lambda g: A.collaborative_filtering(g, 5).select("id", _round("latent", 9)))
+query("cf_5_bigstep", "g_part", _cf(0.01))(lambda g: A.collaborative_filtering(g, 5, step=0.01).select("id", _round("latent", 9)))
+
+
+def _hits(which: str) -> str:
+    """Unscaled iterations in halves (odd: authorities, even: hubs), scaled at the end."""
+    both = ", ee AS (SELECT src, dst, 1 AS half FROM e UNION ALL SELECT dst, src, 0 FROM e)"
+    columns = {
+        "a": ("1.0::DOUBLE", "CASE WHEN nx.it % 2 = 1 THEN coalesce(g.ha, 0) ELSE p.a END"),
+        "h": ("1.0::DOUBLE", "CASE WHEN nx.it % 2 = 0 THEN coalesce(g.ah, 0) ELSE p.h END"),
+    }
+    folds = "sum(CASE WHEN e.half = 1 THEN s.h END) AS ha, sum(CASE WHEN e.half = 0 THEN s.a END) AS ah"
+    body = steps("g_part", columns, 10, folds, "id, a, h", edges="ee", more=both)
+    col, name = ("a", "auth") if which == "auth" else ("h", "hub")
+    return f"WITH t AS ({body}) SELECT id, round({col} / (SELECT sqrt(sum({col} * {col})) FROM t), 6) AS {name} FROM t"
+
+
+query("hits_5_auth", "g_part", _hits("auth"))(lambda g: A.hits(g, 5).select("id", _round("auth")))
+query("hits_5_hub", "g_part", _hits("hub"))(lambda g: A.hits(g, 5).select("id", _round("hub")))
+query("hits_literal", "g_part", "SELECT id, 0.0::DOUBLE AS auth FROM v")(lambda g: A.hits_literal(g, 2).select("id", "auth"))
+
+# --- frontier algorithms ----------------------------------------------------------------------------------------------
+
+DEEP = 64  # more supersteps than any search of the small tables needs
+_TOP = "(SELECT id FROM dg ORDER BY od DESC, id LIMIT 1)"
+
+
+def _root(g: Graph) -> int:
+    """The least id among the vertices that send most."""
+    return g.out_degrees().orderBy(c("out_degree").desc(), "id").first()["id"]
+
+
+_BFS = {
+    "lvl": (f"CASE WHEN id = {_TOP} THEN 0 END", "CASE WHEN p.lvl IS NOT NULL THEN p.lvl WHEN g.m IS NOT NULL THEN nx.it END"),
+    "par": (f"CASE WHEN id = {_TOP} THEN id END", "CASE WHEN p.lvl IS NOT NULL THEN p.par ELSE g.m END"),
+}
+
+
+def _bfs(out: str) -> str:
+    return steps("g_frag", _BFS, DEEP, "min(CASE WHEN s.lvl = s.it THEN s.id END) AS m", out)
+
+
+query("bfs_levels", "g_frag", _bfs("id, lvl::BIGINT AS level"))(lambda g: A.bfs(g, _root(g)).state.select("id", "level"))
+query("bfs_parents", "g_frag", _bfs("id, par AS parent"))(lambda g: A.bfs(g, _root(g)).state.select("id", "parent"))
+
+
+def _trace(result: A.Result, g: Graph) -> DataFrame:
+    return g.edges.sparkSession.createDataFrame(result.trace, "iteration long, active_vertices long, active_edges long")
+
+
+query("bfs_frontier_trace", "g_frag", f"WITH t AS ({_bfs('id, od, lvl')}), n AS (SELECT unnest(range(0, (SELECT max(lvl) + 2 FROM t)::BIGINT)) AS iteration) "
+      "SELECT iteration::BIGINT AS iteration, count(id) AS active_vertices, coalesce(sum(od), 0)::BIGINT AS active_edges FROM n LEFT JOIN t ON lvl = iteration GROUP BY 1")(
+    lambda g: _trace(A.bfs(g, _root(g)), g)
+)
+_CC = {"label": ("id", "least(p.label, coalesce(g.m, p.label))")}
+_CC_WEAK = steps("g_frag", _CC, DEEP, "min(s.label) AS m", "id, label", edges="sym", more=f", sym AS ({_SYM})")
+query("cc_directed", "g_frag", steps("g_frag", _CC, DEEP, "min(s.label) AS m", "id, label"))(lambda g: A.connected_components(g).state.select("id", "label"))
+query("cc_weak", "g_frag", _CC_WEAK)(lambda g: A.connected_components(g, weak=True).state.select("id", "label"))
+query("cc_sizes", "g_frag", f"WITH t AS ({_CC_WEAK}) SELECT label, count(*) AS size FROM t GROUP BY label")(
+    lambda g: A.connected_components(g, weak=True).state.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+)
+_SSSP = {"dist": (f"CASE WHEN id = {_TOP} THEN 0 ELSE 2147483648 END", "least(p.dist, coalesce(g.m, p.dist))")}
+_SSSP_ALL = steps("g_frag", _SSSP, DEEP, "min(s.dist + e.w) AS m", "id, dist::BIGINT AS dist", senders="s.dist < 2147483648")
+query("sssp", "g_frag", _SSSP_ALL)(lambda g: A.sssp(g, _root(g)).state.select("id", "dist"))
+query("sssp_unreached", "g_frag", f"WITH t AS ({_SSSP_ALL}) SELECT count(*) FILTER (dist = 2147483648) AS unreached, (sum(dist) FILTER (dist < 2147483648))::BIGINT AS total FROM t")(
+    lambda g: A.sssp(g, _root(g)).state.agg(
+        F.sum((c("dist") == A.UNREACHED).cast("long")).alias("unreached"), F.sum(F.when(c("dist") < A.UNREACHED, c("dist"))).alias("total")
+    )
+)
+
+
+def _nibble(k: int, theta: str) -> str:
+    half = "(CASE WHEN p.act THEN p.p / 2 ELSE p.p END)"
+    mass = f"({half} + coalesce(g.m, 0))"
+    front = f"((p.act AND {half} >= {theta} * p.od) OR coalesce(g.t, 0) > 0)"
+    good = f"({mass} >= {theta} * p.od)"
+    columns = {
+        "p": ("CASE WHEN id = 1 THEN 1.0::DOUBLE ELSE 0.0 END", f"CASE WHEN {front} AND NOT {good} THEN 0.0 ELSE {mass} END"),
+        "ps": ("CASE WHEN id = 1 AND od > 0 THEN 1.0::DOUBLE / (2 * od) ELSE 0.0 END", f"CASE WHEN {front} AND {good} AND p.od > 0 THEN {mass} / (2 * p.od) WHEN {front} OR p.act THEN 0.0 ELSE p.ps END"),
+        "act": ("id = 1", f"{front} AND {good}"),
+    }
+    return steps("g_part", columns, k, "sum(s.ps) AS m, max(s.ps) AS t", "id, round(p, 9) AS p", senders="s.act")
+
+
+query("nibble_5", "g_part", _nibble(5, "1e-9"))(lambda g: A.nibble(g, 1, 5).state.select("id", _round("p", 9)))
+query("nibble_threshold", "g_part", _nibble(5, "1e-4"))(lambda g: A.nibble(g, 1, 5, theta=1e-4).state.select("id", _round("p", 9)))
+
+
+def _delta(k: int, dense: bool) -> str:
+    front = "(p.act OR g.m IS NOT NULL)"
+    new = f"(CASE WHEN {front} THEN (0.15 + 0.85 * ((CASE WHEN p.act THEN 0 ELSE p.p END) + coalesce(g.m, 0))) / greatest(p.od, 1) ELSE p.p END)"
+    old = "(CASE WHEN p.act THEN p.p ELSE p.old END)"
+    columns = {
+        "p": ("1.0::DOUBLE / greatest(od, 1)", new),
+        "old": ("0.0::DOUBLE", old),
+        "act": ("true", f"{front} AND p.od > 0 AND abs({old} - {new}) > 0.01 / p.od"),
+    }
+    return steps("g_part", columns, k, "sum(s.p) AS m", "id, round(p, 6) AS p", senders="true" if dense else "s.act")
+
+
+query("prdelta_sparse_3", "g_part", _delta(3, False))(lambda g: A.pagerank_delta(g, 3).state.select("id", _round("p")))
+query("prdelta_dense_3", "g_part", _delta(3, True))(lambda g: A.pagerank_delta(g, 3, mode="dense").state.select("id", _round("p")))
+
+
+def _loaded(g: Graph) -> DataFrame:
+    """A frontier loaded from a list of ids: every seventh vertex."""
+    return g.out_degrees().withColumn("active", c("id") % 7 == 0)
+
+
+query("frontier_load", "g_part", "SELECT id FROM v WHERE id % 7 = 0")(lambda g: _loaded(g).where("active").select("id"))
+
+# --- partitions -------------------------------------------------------------------------------------------------------
+
+
+def _bins(g: Graph) -> P.Bins:
+    return P.bin_params(g.vertices.count(), THREADS)
+
+
+_BIN = f""", n AS (SELECT count(*) AS nv FROM v), q AS (SELECT nv, least(nv // {4 * THREADS}, 65536) AS raw FROM n),
+bp AS (SELECT nv, CASE WHEN raw = 0 THEN 4 ELSE pow(2, floor(log2(raw)))::BIGINT END AS bw FROM q), bn AS (SELECT nv, bw, (nv - 1) // bw + 1 AS nb FROM bp)"""
+_EE = _BIN + ", pe AS (SELECT src, dst, src // bw AS psrc, dst // bw AS pdst FROM e, bn)"
+_SPLIT = _BIN + """, th AS (SELECT (SELECT count(*) FROM e) // nb * 2 AS thr FROM bn),
+bt AS (SELECT b AS bin, coalesce(n, 0)::BIGINT AS edges FROM (SELECT unnest(range(0, (SELECT nb FROM bn)::BIGINT)) AS b) LEFT JOIN (SELECT src // bw AS sb, count(*) AS n FROM e, bn GROUP BY 1) ON b = sb),
+bd AS (SELECT bin, edges, CASE WHEN {0} AND thr > 0 AND edges > thr THEN least(pow(2, round(log2(edges // thr)))::BIGINT, bw) ELSE 1 END AS div FROM bt, th, bn),
+sm AS (SELECT bin, edges, div, (coalesce(sum(div) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS sub_map FROM bd),
+pt AS (SELECT sub_map + j AS pid, bin, least(nv, bin * bw + j * (bw // div))::BIGINT AS start_v, least(nv, bin * bw + (j + 1) * (bw // div))::BIGINT AS end_v FROM (SELECT *, unnest(range(0, div::BIGINT)) AS j FROM sm), bn)"""
+_PARTS = " SELECT pid, bin, start_v, end_v, coalesce(sum(od), 0)::BIGINT AS total_edges FROM pt LEFT JOIN dg ON id >= start_v AND id < end_v GROUP BY 1, 2, 3, 4"
+
+
+def _on_bins(name: str, graph: str, ctes: str, select: str):
+    return query(name, graph, f"WITH {_ctes(graph)}{ctes} {select}")
+
+
+_on_bins("bin_params", "g_sc", _BIN, "SELECT bw::BIGINT AS bin_width, nb::BIGINT AS bins FROM bn")(
+    lambda g: g.edges.sparkSession.createDataFrame([(_bins(g).width, _bins(g).count)], "bin_width long, bins long")
+)
+_on_bins("partition_equal", "g_sc", _SPLIT.format("false"), _PARTS)(lambda g: P.partitions(g, _bins(g)))
+_on_bins("partition_dynamic", "g_sc", _SPLIT.format("true"), _PARTS)(lambda g: P.partitions(g, _bins(g), dynamic=True))
+_on_bins("partition_edges", "g_sc", _EE, "SELECT psrc AS pid, count(*) AS edges FROM pe GROUP BY 1")(
+    lambda g: P.placed_edges(g, _bins(g)).groupBy(c("psrc").alias("pid")).agg(F.count(F.lit(1)).alias("edges"))
+)
+_on_bins("locate_sub", "g_sc", _SPLIT.format("true"), "SELECT id, pid FROM v JOIN pt ON id >= start_v AND id < end_v")(
+    lambda g: P.locate(g.vertices, g, _bins(g), dynamic=True).select("id", "pid")
+)
+_on_bins("bin_matrix", "g_part", _EE, "SELECT psrc, pdst, count(*) AS edges FROM pe GROUP BY 1, 2")(lambda g: P.bin_matrix(g, _bins(g)))
+_RUNS = "SELECT psrc, pdst, count(DISTINCT src) AS runs FROM pe GROUP BY 1, 2"
+_on_bins("png_runs", "g_part", _EE, _RUNS)(lambda g: P.png_runs(g, _bins(g)))
+_on_bins("png_compression", "g_part", _EE, f"SELECT (SELECT count(*) FROM e) AS edges, sum(runs)::BIGINT AS runs, round(sum(runs) / (SELECT count(*) FROM e), 6) AS ratio FROM ({_RUNS})")(
+    lambda g: P.png_compression(g, _bins(g)).select("edges", "runs", _round("ratio"))
+)
+_on_bins("ipg_edges", "g_part", _EE, "SELECT src, dst FROM pe WHERE psrc = pdst")(lambda g: P.intra_edges(g, _bins(g)))
+_on_bins("run_change_flags", "g_part", _EE, "SELECT src, dst, coalesce(lag(pdst) OVER (PARTITION BY src ORDER BY dst), -1) <> pdst AS new_run FROM pe")(lambda g: P.run_changes(g, _bins(g)))
+_on_bins("frontier_active_edges", "g_part", _BIN, "SELECT id // bw AS pid, (sum(CASE WHEN id % 7 = 0 THEN od ELSE 0 END))::BIGINT AS active_edges FROM dg, bn GROUP BY 1")(
+    lambda g: _loaded(g).groupBy(P.bin_of(c("id"), _bins(g)).alias("pid")).agg(F.sum(F.when(c("active"), c("out_degree")).otherwise(0)).alias("active_edges"))
+)
+_on_bins("density_check", "g_part", _EE, """SELECT pid, active_edges, png_edges, total_edges, 28.0 * active_edges > 10.5 * png_edges + 2.67 * total_edges + 4.0 * nb AS is_dense FROM bn, (
+  SELECT id // bw AS pid, (sum(CASE WHEN id % 7 = 0 THEN od ELSE 0 END))::BIGINT AS active_edges, sum(od)::BIGINT AS total_edges FROM dg, bn GROUP BY 1) t,
+  (SELECT psrc, count(DISTINCT (src, pdst)) AS png_edges FROM pe GROUP BY 1) r WHERE r.psrc = t.pid""")(
+    lambda g: P.density(g, _bins(g), _loaded(g).where("active").select("id"))
+)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

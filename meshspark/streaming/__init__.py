@@ -1,0 +1 @@
+"""Nothing here: the engine's algorithms are batch loops over vertex tables, and it has no stream operators."""
