@@ -275,6 +275,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, but those of a group's other members; of repeated rows with one id one stays."""
+    """The rows of ``docs``, all columns, but those of a group's other members; of equal rows one stays."""
     gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").dropDuplicates(["doc_id"])
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").dropDuplicates(["doc_id", "text"])

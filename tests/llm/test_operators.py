@@ -1,0 +1,432 @@
+"""Small cases for every operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from meshspark.llm import chat, components, decontam, hnsw, langid, license_scan, mixing, neardup, quality, sharding, tokens
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+R = random.Random(7)
+VOCABULARY = ["".join(R.choice("abcdeéiorst") for _ in range(R.randint(2, 7))) for _ in range(400)]
+
+
+def prose(n, r):
+    return " ".join(r.choice(VOCABULARY) for _ in range(n)) + "."
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(1)
+    out = [(i, prose(r.randint(1, 120), r), r.choice(["en", "fr", None]), r.choice(["a", "b", "é", None])) for i in range(60)]
+    base = prose(200, r).split(" ")
+    out += [(100 + i, " ".join(base), "en", "a") for i in range(12)]  # exact copies
+    for i in range(20):  # near copies
+        w = list(base)
+        w[r.randrange(200)] = "changed"
+        out.append((200 + i, " ".join(w).upper(), "en", "a"))
+    out += [(300, None, None, None), (301, "", "en", "b"), (302, " \t\n", "fr", "b"), (303, "!!! ???", "en", "a"), (304, "eins zwei", "en", "a"), (305, "Eins Zwei", "en", "a")]
+    out += [(306, prose(20_000, r), "en", "b"), (307, "x" * 50_000, "en", "b"), (308, "12 34 56", "en", "a"), (None, "no id here at all", "en", "a")]
+    out += [out[3], out[3]]  # repeated rows
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    """With extra columns whose names operators use themselves."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return df.withColumns({"score": F.lit(9), "component_id": F.lit("x"), "n_words": F.lit(-1), "size": F.lit(0), "shard": F.lit(3), "kept": F.lit(False), "_hit": F.lit(1), "rep": F.lit(2)})
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def labels_of(spark, rows):
+    return spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in sorted({i for i, *_ in rows if i is not None and i < 60})] + [(1, None, 0), (None, 1, 0), (2, 7, 0)], "doc_id long, quality int, toxic int")
+
+
+def test_quality(spark, docs, rows, empty):
+    labels = labels_of(spark, rows)
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == len(rows)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got if r.doc_id is not None)
+    assert len({r.score for r in got if r.doc_id == rows[3][0]}) == 1
+    assert quality.classify(empty, labels).collect() == []
+    assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
+    assert {r.score for r in quality.classify(docs, labels.where("quality = 1")).collect()} == {1.0}
+    assert set(quality.keep_good(docs, labels).columns) == set(docs.columns)
+
+
+def test_quality_moments(spark, docs, rows):
+    """The fitted model equals one computed from the rows in numpy."""
+    labels = labels_of(spark, rows)
+    stats = quality.with_statistics(docs)
+    model = quality.fit(stats, labels, diagonal=0.0, pooled=0.0)
+    lab = {r.doc_id: r.quality for r in labels.where("quality in (0, 1)").collect()}
+    x = {k: np.array([quality.statistics(t) for i, t, *_ in rows if i is not None and lab.get(i) == k]) for k in (0, 1)}
+    for k in (0, 1):
+        cov = np.cov(x[k].T, bias=True) + 1e-4 * np.eye(len(quality.STATS))
+        assert np.allclose(model.mean[k], x[k].mean(axis=0))
+        assert np.allclose(model.inverse[k] @ cov @ model.inverse[k].T, np.eye(len(cov)), atol=1e-5)
+
+
+def test_quality_held_out(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.classify(d, lab).where("held_out").join(lab, "doc_id").select("predicted", "quality").collect()
+    assert sum(r.predicted == r.quality for r in got) >= 0.95 * len(got)
+
+
+def test_language(spark, docs, rows, empty):
+    got = langid.identify(docs, langid.learn(docs)).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (300, 301, 302, 303, 308))
+    assert {r.lang_pred for r in got} <= {"und", "en", "fr"} and all(0 <= r.score <= 1 for r in got)
+    assert langid.identify(empty, langid.learn(docs)).collect() == []
+    assert langid.learn(empty) == {} and {r.lang_pred for r in langid.identify(docs, {}).collect()} == {"und"}
+
+
+def test_language_held_out(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    from meshspark.llm.common import held_out
+
+    got = langid.identify(d, langid.learn(d.where(~held_out()))).join(d.select("doc_id", "lang", held_out().alias("h")), "doc_id").where("h").collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
+
+
+def test_license(spark, docs, rows, empty):
+    texts = [
+        "Released under the MIT License.", "x under the mit license under  THE-mit license y", "Released undr the MIT Licence", "Apache Licence, Version 2.0", "Apache License, Version 1.1",
+        "under the mpl license", "cc by nd", "Licensed under CC BY-NC 4.0", None, "", "the gnu general publc license", "under the émit license",
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(d).collect()}
+    for i, t in enumerate(texts):
+        w = ALNUM.findall((t or "").translate(LOW))
+        at = sorted((k, label) for p, label in license_scan.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+        g = got[i]
+        assert (g.n_words, g.n_base, g.first_word, g.last_word) == (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None)
+        assert g.base_labels == ",".join(sorted({x for _, x in at})) and set(g.base_labels.split(",")) <= {*g.labels.split(","), ""}
+    assert [got[i].labels for i in (0, 2, 3, 4, 5, 6, 10)] == ["mit", "mit", "apache-2", "", "", "", "gpl"]
+    assert got[2].spans[0].edits > 0 and (got[2].spans[0].first, got[2].spans[0].last) in ((0, 4), (1, 4)) and 0 < got[2].score < 1
+    assert license_scan.scan(empty).collect() == [] and license_scan.scan(docs).count() == len(rows)
+
+
+def test_license_seeds_lose_nothing():
+    """Every text within the allowed edits of a notice holds one of its pieces."""
+    r = random.Random(3)
+    for phrase, (_, e, _) in license_scan.NOTICES.items():
+        for _ in range(50):
+            s = list(phrase)
+            for _ in range(e):
+                k = r.randrange(len(s))
+                s[k : k + 1] = r.choice([[], ["q"], [s[k], "q"]])
+            assert any(p in "".join(s) for _, p in license_scan.pieces(phrase, e))
+
+
+def shingle_sets(rows):
+    out = {}
+    for i, t, *_ in rows:
+        w = SPACE.findall((t or "").translate(LOW))
+        out[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return out
+
+
+def brute_components(sets):
+    ids = [i for i in sets if i is not None]
+    parent = {i: i for i in ids}
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}
+
+
+def test_near_duplicates(docs, rows, empty):
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    sets = shingle_sets(rows)
+    want = brute_components(sets)
+    for r in got:
+        assert r.n_shingles == len(sets[r.doc_id])
+        if r.doc_id is not None:
+            assert (r.component_id, r.kept) == (want[r.doc_id], want[r.doc_id] == r.doc_id)
+    assert neardup.near_duplicates(empty).collect() == []
+    left = neardup.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert Counter(r.doc_id for r in left.collect()) == Counter({i for i, *_ in rows if i is None or want[i] == i})
+
+
+def test_near_duplicates_borderline(spark, monkeypatch):
+    """A large band of texts that differ by many words, so that stars fail and the exhaustive part has to work."""
+    r = random.Random(5)
+    base = prose(120, r).split(" ")
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 4])):
+            w[r.randrange(len(w))] = f"w{r.randrange(10_000)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(neardup, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(shingle_sets(rows))
+
+
+def test_pruning_bound():
+    """Pairs of similarity 0.85 are pruned about as rarely as MISS says."""
+    r = np.random.default_rng(0)
+    same = r.random((20_000, neardup.HASHES)) < 0.85
+    assert len(neardup.survivors(np.zeros_like(same, np.uint32), (~same).astype(np.uint32))) >= 20_000 - 2
+    different = r.random((2_000, neardup.HASHES)) < 0.5
+    assert len(neardup.survivors(np.zeros_like(different, np.uint32), (~different).astype(np.uint32))) < 20
+
+
+def test_components(spark):
+    r = random.Random(2)
+    links = [(a, a + 1) for a in range(0, 60)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(40)] + [(500, i) for i in range(501, 540)] + [(7, 7)]
+    got = {x.id: x.component for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    parent = {v: v for e in links for v in e if e[0] != e[1]}
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in links:
+        if a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    assert got == {v: root(v) for v in parent}
+
+
+def test_sharding(docs, rows, empty):
+    got = sharding.shard(docs, 7).collect()
+    assert len(got) == len(rows)
+    text = {i: t or "" for i, t, *_ in rows}
+    for r in got:
+        assert r.size == len(text[r.doc_id].encode()) + 16 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode())
+    shard_of = {}
+    for r in got:
+        assert shard_of.setdefault(text[r.doc_id], r.shard) == r.shard and 0 <= r.shard < 7
+    for s in range(7):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+    assert sharding.shard(empty, 7).collect() == []
+
+
+def test_schedule_is_lpt():
+    """Shard loads equal those of the plain heap over single groups; rounds of a class at once change nothing that matters."""
+    r = random.Random(4)
+    sizes = [r.choice([16, 17, 300, 1000, 5000]) for _ in range(3000)] + [90_000, 20_000]
+    classes = [(s, n, s * n) for s, n in Counter(sizes).items()]
+    plan = sharding.schedule(classes, 10)
+    loads = Counter()
+    for s, (order, ends) in plan.items():
+        for shard, n in zip(order, np.diff([0, *ends]), strict=True):
+            loads[shard] += s * int(n)
+        assert ends[-1] == Counter(sizes)[s]
+    rest = [v for v in loads.values() if v != max(loads.values())]
+    assert sum(loads.values()) == sum(sizes) and max(rest) - min(rest) <= 5000
+
+
+def brute_windows(docs, bench):
+    ws = {}
+    for i, t in bench:
+        w = ALNUM.findall((t or "").translate(LOW))
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            ws.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+    out = {}
+    for i, t, *_ in docs:
+        w, hit, items = ALNUM.findall((t or "").translate(LOW)), set(), set()
+        for n in {len(x) for x in ws}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in ws:
+                    hit.update(range(k, k + n))
+                    items |= ws[tuple(w[k : k + n])]
+        out[i] = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), len(hit) > 0)
+    return out
+
+
+@pytest.mark.parametrize("short", [False, True])
+def test_decontamination(spark, docs, rows, empty, short):
+    r = random.Random(9)
+    w = rows[-7][1].split(" ")  # the long text
+    bench = [(1, " ".join(w[50:80])), (2, "X! " + " ".join(w[60:72]).upper()), (10, " ".join(w[15_000:15_010])), (3, prose(40, r)), (4, None), (5, "?!")]
+    if short:
+        bench += [(6, "Eins, zwei"), (7, VOCABULARY[0]), (8, " ".join(w[100:109]))]
+    b = spark.createDataFrame(bench, "item_id long, text string").withColumns({"_w": F.lit(1), "doc_id": F.lit(2)})
+    got = decontam.contamination(docs, b).collect()
+    assert len(got) == len(rows)
+    want = brute_windows(rows, bench)
+    assert {x.doc_id: tuple(x)[1:] for x in got if x.doc_id is not None} == {k: v for k, v in want.items() if k is not None}
+    assert decontam.contamination(empty, b).collect() == []
+    assert not any(x.contaminated for x in decontam.contamination(docs, b.limit(0)).collect())
+    left = decontam.clean(docs, b)
+    assert left.columns == docs.columns and left.count() == sum(not want[i][4] for i, *_ in rows)
+
+
+@pytest.mark.parametrize("n", range(1, 11))
+def test_winnowing_guarantee(spark, n):
+    """A shared span of n words shares the fingerprint of that length, wherever it stands."""
+    r = random.Random(n)
+    span = [r.choice(VOCABULARY) for _ in range(n)]
+    a, b = ([r.choice(VOCABULARY) for _ in range(13)] + span + [r.choice(VOCABULARY) for _ in range(5)] for _ in range(2))
+    d = spark.createDataFrame([(0, a), (1, b), (2, span)], "id long, w array<string>").withColumn("_h", F.transform("w", lambda x: F.xxhash64(x)))
+    f = {x.id: x._f for x in decontam.fingerprints(d, n).collect()}
+    assert len(f[2]) == 1 and f[0][13] == f[1][13] == f[2][0] and len(f[0]) == len(a) - n + 1
+
+
+def test_chat(spark):
+    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "ann", "é"), (1, None, "bob", "late"), (2, 0, "system", "alone"), (3, 1, None, "who"), (None, 1, "x", "y"), (1, 1, "ann", "hi")]
+    t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("speaker", F.lit(0))
+    got = {(r.conv_id, r.speaker): r for r in chat.dialogues(t).collect()}
+    assert set(got) == {(1, "ann"), (1, "bob"), (3, "unknown"), (None, "x")}
+    ann = got[1, "ann"]
+    assert ann.text == (
+        "<|im_start|>system\nbe kind<|im_end|>\n" + "<|im_start|>assistant\nhi<|im_end|>\n" * 2 + "<|im_start|>assistant\né<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>user name=bob\nlate<|im_end|>\n"
+    )
+    assert [ann.text[m.start : m.end] for m in ann.masks] == ["hi<|im_end|>\n", "hi<|im_end|>\n", "é<|im_end|>\n"]
+    for r in chat.perspectives(t).collect():
+        assert got[r.conv_id, r.speaker].text[r.start : r.end] == r.segment
+    assert chat.perspectives(t.limit(0)).collect() == []
+
+
+@pytest.fixture(scope="module")
+def definition():
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def test_encoder_equals_library(definition):
+    from tokenizers import Tokenizer
+
+    tok, code = Tokenizer.from_str(definition), tokens.Encoder(definition)
+    texts = ["", "a", " a", "a ", "a  b", "a\n b", "x. y", "x.. y,", "don't. stop, it's.", "a <|endoftext|> b", "é. 5. 5, .", "\ta b\t", "a  b", "A'. b'", "a　 b", "日本 語. x"]
+    for t in texts * 2:
+        assert np.frombuffer(code(t), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_tokens(spark, docs, rows, empty, definition, tmp_path):
+    from tokenizers import Tokenizer
+
+    manifest = tokens.write_shards(docs, definition, f"file://{tmp_path}/t")
+    got = sorted(map(tuple, tokens.read_shards(manifest).collect()), key=lambda r: r[1])
+    tok, start, want = Tokenizer.from_str(definition), 0, []
+    for i, t, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want
+    shard = tokens.Shard(manifest.first()["path"])
+    key = next(iter(shard.keys()))
+    assert shard.get(*key)[-1] == 0 and shard.get(987_654_321) is None
+    assert tokens.read_shards(tokens.write_shards(empty, definition)).collect() == []
+
+
+def test_perfect_hash():
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 5000, dtype=np.uint64))
+    slots = tokens.PerfectHash.build(keys)(keys)
+    assert sorted(slots) == list(range(len(keys)))
+    assert len(tokens.PerfectHash.build(keys[:0])(keys[:0])) == 0
+
+
+def test_vectors(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(700, 16))
+    for i in range(300):  # clusters of near copies, one of them large
+        x[400 + i] = x[i % 3 if i < 200 else i] + 0.04 * r.normal(size=16)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[5].tolist()) for i in range(40)]
+    odd = [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] * 16), (2004, [None] * 16), (2005, [float("inf")] + [1.0] * 15), (2006, [1.0, 2.0]), (2007, [2.0, 4.0]), (5, x[5].tolist())]
+    v = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumns({"label": F.lit(1), "rep": F.lit(2), "a": F.lit(3)})
+    got = hnsw.near_vectors(v).collect()
+    assert len(got) == len(rows) + len(odd)
+    by = {g.vec_id: g for g in got}
+    assert all((by[i].n_links, by[i].component_id, by[i].kept) == (0, i, True) for i in range(2000, 2006))
+    assert (by[2006].n_links, by[2007].component_id) == (1, 2006)
+    ids = [i for i, _ in rows] + [5]
+    m = np.array([e for _, e in rows] + [rows[5][1]], np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    near = m @ m.T >= 0.95
+    true = near.sum() - len(ids)
+    assert 0.9 * true <= sum(by[i].n_links for i in ids) <= true
+    assert all(by[i].n_links <= n for i, n in zip(ids, near.sum(axis=1) - 1, strict=True))
+    assert hnsw.near_vectors(v.limit(0)).collect() == []
+
+
+def brute_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    total, held = sum(sizes.values()), set()
+    while True:
+        free = [s for s in order if s not in held]
+        left = total - 3 * sum(sizes[s] for s in held)
+        w = sum(weight[s] for s in free)
+        over = {s for s in free if left * weight[s] / w > 3 * sizes[s]}
+        if not over:
+            return {s: 3 * sizes[s] if s in held else left * weight[s] / w for s in order}
+        held |= over
+
+
+def test_mixing(docs, rows, empty):
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    size = {i: len(SPACE.findall(t or "")) for i, t, *_ in rows}
+    source = {i: s for i, _, _, s in rows}
+    sizes = Counter()
+    for i, _, _, s in rows:
+        sizes[s] += size[i]
+    want = brute_targets(sizes)
+    taken = Counter()
+    for r in got:
+        s = source[r.doc_id]
+        assert r.size == size[r.doc_id] and r.source_size == sizes[s] and r.target == pytest.approx(want[s])
+        assert 0 <= r.taken <= 3 * r.size
+        taken[s] += r.taken
+    block = -(-sum(sizes.values()) // min(10_000, sum(sizes.values())))
+    assert all(abs(taken[s] - want[s]) <= 2 * block for s in want)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
+    assert mixing.mix(empty).collect() == []
+    assert mixing.mixed(docs).columns == docs.columns
+
+
+def test_mixing_held_sources(spark):
+    """Small sources of large weight are held at three times their size and the rest is reshared."""
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate([("a", 5), ("b", 400), ("c", 700), ("d", 1), ("e", 30), ("f", 0)])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = brute_targets({s: len(t.split()) for _, t, s in rows})
+    got = {rows[r.doc_id][2]: r for r in mixing.mix(d).collect()}
+    assert all(got[s].target == pytest.approx(want[s]) and abs(got[s].taken - want[s]) <= 1.5 for s in want)
+
+
+def test_sainte_lague(spark):
+    r = random.Random(6)
+    t = {f"s{i}": r.random() ** 3 * 1000 for i in range(30)}
+    rows = [(s, 10_000, 1.0, v) for s, v in t.items()]
+    won = mixing.quotas(spark.createDataFrame(rows, "source string, source_size long, weight double, target double"), 500).collect()
+    total, block = sum(t.values()), won[0].block
+    best = sorted(((v / (2 * j + 1), s) for s, v in t.items() for j in range(500)), reverse=True)[: round(total / block)]
+    assert {w.source: w.quota for w in won} == {s: Counter(x for _, x in best)[s] for s in t}
+    per = mixing.shard_quotas(spark.createDataFrame(won), 7).groupBy("source").agg(F.sum("quota").alias("q"), (F.max("quota") - F.min("quota")).alias("d")).collect()
+    assert {p.source: p.q for p in per} == {w.source: w.quota for w in won} and all(p.d <= 1 for p in per)
