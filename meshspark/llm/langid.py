@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import slices
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 256, 16_384, 131_072
 #: Texts up to this many bytes are compressed with the slow, thorough level.
@@ -98,7 +98,7 @@ def identify(docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Identifier(shipped.value)
-        for b in batches:
+        for b in slices(batches):
             got = [of(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())],

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 # The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Notices of the method's own: phrase -> (label, errors allowed, words that must stand in the span unchanged).
@@ -115,7 +117,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Scanner()
-        for b in batches:
+        for b in slices(batches):
             got = [of(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize, running
+from .common import LOWER, UPPER, materialize, running, slices
 from .components import components
 
 SHINGLE, NUM, DEN = 5, 85, 100
@@ -115,7 +115,7 @@ def describe(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key, sig for every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, keys, sigs = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize
+from .common import held_out, materialize, slices
 
 STATS = ["log_words", "word_len", "punct", "upper", "alpha_words", "upper_words", "repeats", "distinct", "line_dups"]
 
@@ -55,7 +55,7 @@ def with_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id and one double column per statistic; texts stay inside the Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = np.array([statistics(t) for t in b.column(1).to_pylist()], dtype=np.float64).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, i]) for i in range(len(STATS))]], names=["doc_id", *STATS])
 
