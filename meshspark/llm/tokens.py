@@ -180,6 +180,10 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.cut = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.width = 2 if self.tok.get_vocab_size(True) <= 1 << 16 else 4
+        vocabulary = self.tok.get_vocab(True)
+        #: Bytes of text by id: a byte-level vocabulary writes one character a byte.
+        self.spans = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.spans[list(vocabulary.values())] = [len(v) for v in vocabulary]
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -212,8 +216,22 @@ class Encoder:
                     cache[m] = old[m]
                     continue
             todo.append(m)
-        for m, e in zip(todo, self.tok.encode_batch_fast([" " + m for m in todo], add_special_tokens=False), strict=True):
-            cache[m] = self.pack(e.ids)
+        if todo:
+            # encoded as one text; the bytes that each id stands for tell where a piece ends
+            joined = " " + " ".join(todo)
+            if any(t in joined for t in self.added):
+                return False
+            ids = self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+            want, have = np.cumsum([len(m.encode()) + 1 for m in todo]), np.cumsum(self.spans[ids])
+            if not len(have) or have[-1] != want[-1]:
+                return False
+            last = np.searchsorted(have, want)
+            if (have[last] != want).any():
+                return False
+            raw, at = self.pack(ids), 0
+            for m, end in zip(todo, ((last + 1) * self.width).tolist(), strict=True):
+                cache[m] = raw[at:end]
+                at = end
         for m in ends:
             if m[-1] not in self.marks:
                 self.marks[m[-1]] = self.whole(m[-1])

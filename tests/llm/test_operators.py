@@ -328,6 +328,16 @@ def test_encoder_equals_library(definition):
         assert np.frombuffer(code(t), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_on_random_texts(definition):
+    from tokenizers import Tokenizer
+
+    tok, code, rng = Tokenizer.from_str(definition), tokens.Encoder(definition), np.random.default_rng(1)
+    letters = np.array(list("aAbzé日語ß 5 7.,'’\"-\n\t\r\u00a0\u3000😀\u0301\u200d") + [" ", " ", "'s", "the", "<|"])
+    for n in rng.integers(0, 120, 3000):
+        t = "".join(rng.choice(letters, n))
+        assert np.frombuffer(code(t), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_tokens(spark, docs, rows, empty, definition, tmp_path):
     from tokenizers import Tokenizer
 
