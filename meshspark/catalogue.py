@@ -234,12 +234,16 @@ query("prdelta_sparse_3", "g_part", _delta(3, False))(lambda g: A.pagerank_delta
 query("prdelta_dense_3", "g_part", _delta(3, True))(lambda g: A.pagerank_delta(g, 3, mode="dense").state.select("id", _round("p")))
 
 
+_HUB = "od > (SELECT sum(od) // count(*) FROM dg)"
+
+
 def _loaded(g: Graph) -> DataFrame:
-    """A frontier loaded from a list of ids: every seventh vertex."""
-    return g.out_degrees().withColumn("active", c("id") % 7 == 0)
+    """A frontier loaded from a list of ids: the hubs, which send more than the integer average."""
+    average = g.edges.count() // max(g.vertices.count(), 1)
+    return g.out_degrees().withColumn("active", c("out_degree") > average)
 
 
-query("frontier_load", "g_part", "SELECT id FROM v WHERE id % 7 = 0")(lambda g: _loaded(g).where("active").select("id"))
+query("frontier_load", "g_part", f"SELECT id FROM dg WHERE {_HUB}")(lambda g: _loaded(g).where("active").select("id"))
 
 # --- partitions -------------------------------------------------------------------------------------------------------
 
@@ -282,11 +286,11 @@ _on_bins("png_compression", "g_part", _EE, f"SELECT (SELECT count(*) FROM e) AS
 )
 _on_bins("ipg_edges", "g_part", _EE, "SELECT src, dst FROM pe WHERE psrc = pdst")(lambda g: P.intra_edges(g, _bins(g)))
 _on_bins("run_change_flags", "g_part", _EE, "SELECT src, dst, coalesce(lag(pdst) OVER (PARTITION BY src ORDER BY dst), -1) <> pdst AS new_run FROM pe")(lambda g: P.run_changes(g, _bins(g)))
-_on_bins("frontier_active_edges", "g_part", _BIN, "SELECT id // bw AS pid, (sum(CASE WHEN id % 7 = 0 THEN od ELSE 0 END))::BIGINT AS active_edges FROM dg, bn GROUP BY 1")(
+_on_bins("frontier_active_edges", "g_part", _BIN, f"SELECT id // bw AS pid, (sum(CASE WHEN {_HUB} THEN od ELSE 0 END))::BIGINT AS active_edges FROM dg, bn GROUP BY 1")(
     lambda g: _loaded(g).groupBy(P.bin_of(c("id"), _bins(g)).alias("pid")).agg(F.sum(F.when(c("active"), c("out_degree")).otherwise(0)).alias("active_edges"))
 )
-_on_bins("density_check", "g_part", _EE, """SELECT pid, active_edges, png_edges, total_edges, 28.0 * active_edges > 10.5 * png_edges + 2.67 * total_edges + 4.0 * nb AS is_dense FROM bn, (
-  SELECT id // bw AS pid, (sum(CASE WHEN id % 7 = 0 THEN od ELSE 0 END))::BIGINT AS active_edges, sum(od)::BIGINT AS total_edges FROM dg, bn GROUP BY 1) t,
+_on_bins("density_check", "g_part", _EE, f"""SELECT pid, active_edges, png_edges, total_edges, 28.0 * active_edges > 10.5 * png_edges + 2.67 * total_edges + 4.0 * nb AS is_dense FROM bn, (
+  SELECT id // bw AS pid, (sum(CASE WHEN {_HUB} THEN od ELSE 0 END))::BIGINT AS active_edges, sum(od)::BIGINT AS total_edges FROM dg, bn GROUP BY 1) t,
   (SELECT psrc, count(DISTINCT (src, pdst)) AS png_edges FROM pe GROUP BY 1) r WHERE r.psrc = t.pid""")(
     lambda g: P.density(g, _bins(g), _loaded(g).where("active").select("id"))
 )
