@@ -29,6 +29,7 @@ import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialize, shared_dir
 from .components import components
@@ -240,10 +241,8 @@ def unit(v) -> np.ndarray | None:
 def _store(path: str, data: bytes) -> None:
     fs, at = pafs.FileSystem.from_uri(path)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
-    temporary = f"{at}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(temporary) as f:
+    with fs.open_output_stream(at) as f:
         f.write(data)
-    fs.move(temporary, at)
 
 
 def _load(path: str) -> Index:
@@ -256,7 +255,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    arrow_kind = pa.int64() if kind == "bigint" else pa.string()
+    arrow_kind = to_arrow_type(vectors.schema["vec_id"].dataType)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -282,7 +281,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("rep")
         x = np.frombuffer(b"".join(pdf["_raw"]), np.float64).reshape(len(pdf), -1)
         index = Index(pdf["rep"].tolist(), pdf["many"].to_numpy(), x)
-        path = f"{folder}/{pdf['_dim'].iloc[0]}-{pdf['_shard'].iloc[0]}"
+        # a name of its own for every attempt; only the row that counts tells it
+        path = f"{folder}/{pdf['_dim'].iloc[0]}-{pdf['_shard'].iloc[0]}-{uuid.uuid4().hex}"
         _store(path, pickle.dumps(index.state(), protocol=5))
         return pd.DataFrame({"_d": [pdf["_dim"].iloc[0]], "_s": [pdf["_shard"].iloc[0]], "path": [path], "beam": [index.beam], "recall": [index.recall]})
 

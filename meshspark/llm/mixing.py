@@ -121,6 +121,9 @@ def mix(docs: DataFrame, blocks: int = 10_000, seed: int = 0) -> DataFrame:
 
 def mixed(docs: DataFrame, blocks: int = 10_000, seed: int = 0) -> DataFrame:
     """The rows of ``docs``, all columns, each as many times as the mix takes it, to the nearest whole time."""
+    spare = "_copy"
+    while spare in (c.lower() for c in docs.columns):
+        spare += "_"
     times = mix(docs, blocks, seed).where("taken > 0").select(F.col("doc_id").alias("_d"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
     times = times.groupBy("_d").agg(F.max("_times").alias("_times"))
-    return docs.join(times, docs["doc_id"].eqNullSafe(times["_d"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    return docs.join(times, docs["doc_id"].eqNullSafe(times["_d"])).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["_times"])).alias(spare)).drop(spare)

@@ -1,8 +1,9 @@
 """Token-id output: raw id payloads in shard files with a minimal perfect hash index per shard.
 
 Documents are range-partitioned by id, so that shards in order hold them in ascending order.  Each
-task encodes its documents as they stream by and writes three files to the shared folder under a
-temporary name, renamed when complete (a task that runs again writes the same bytes):
+task encodes its documents as they stream by and writes three files to the shared folder, named after
+the shard and the task's attempt, so that a task that runs again never meets files of an earlier
+attempt; the manifest names those of the attempt that counted:
 
 ``.bin``   8-byte header (magic ``TKID``, version, bytes an id), then the ids of all documents, little-endian;
 ``.idx``   the index: a minimal perfect hash of keys (id, occurrence) -> slot, and for each slot the
@@ -40,6 +41,8 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from .common import shared_dir, worker_state
 
@@ -267,14 +270,13 @@ def write_shards(docs: DataFrame, definition: str, folder: str | None = None, en
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/meshspark/tokens-{uuid.uuid4().hex}"
     shipped = spark.sparkContext.broadcast(definition)
-    kind = pa.int64() if docs.schema["doc_id"].dataType.simpleString() == "bigint" else pa.string()
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         shard = task.partitionId()
-        name = f"{folder}/{shard:06d}"
+        name = f"{folder}/{shard:06d}-{task.taskAttemptId()}"
         fs, path = _open(name)
-        temporary = f"{path}.{task.taskAttemptId()}.tmp"
         code = out = None
         keys, order, lengths, occurrence = [], [], [], 0
         for b in batches:
@@ -283,7 +285,7 @@ def write_shards(docs: DataFrame, definition: str, folder: str | None = None, en
                     code = encoder(shipped.value)
                     tail = code.pack([end_id])
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
-                    out = fs.open_output_stream(temporary)
+                    out = fs.open_output_stream(path + ".bin")
                     out.write(struct.pack("<4sHH", MAGIC, VERSION, code.width))
                 occurrence = occurrence + 1 if order and order[-1][0] == doc_id else 0
                 ids = code(text or "") + tail
@@ -297,15 +299,10 @@ def write_shards(docs: DataFrame, definition: str, folder: str | None = None, en
         n = np.array(lengths, np.uint64)
         index = pack_index(np.array(keys, np.uint64), np.cumsum(n) - n, n)
         table = pa.table([pa.array([k for k, _ in order], kind), pa.array([o for _, o in order], pa.int64())], names=["doc_id", "occurrence"])
-        for suffix in (".idx", ".keys"):
-            with fs.open_output_stream(temporary + suffix) as f:
-                if suffix == ".idx":
-                    f.write(index)
-                else:
-                    with pa.ipc.new_file(f, table.schema) as w:
-                        w.write_table(table)
-            fs.move(temporary + suffix, path + suffix)
-        fs.move(temporary, path + ".bin")
+        with fs.open_output_stream(path + ".idx") as f:
+            f.write(index)
+        with fs.open_output_stream(path + ".keys") as f, pa.ipc.new_file(f, table.schema) as w:
+            w.write_table(table)
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([name]), pa.array([len(keys)]), pa.array([int(n.sum())])], names=["shard", "path", "n_docs", "n_tokens"])
 
     rows = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
@@ -323,7 +320,7 @@ def read_shards(manifest: DataFrame, doc_id: str = "bigint") -> DataFrame:
     spark = manifest.sparkSession
     if not todo:
         return spark.createDataFrame([], f"doc_id {doc_id}, start long, n_tokens long, ids_crc32 long")
-    kind = pa.int64() if doc_id == "bigint" else pa.string()
+    kind = to_arrow_type(DataType.fromDDL(doc_id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

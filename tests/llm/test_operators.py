@@ -353,6 +353,16 @@ def test_tokens(spark, docs, rows, empty, definition, tmp_path):
     key = next(iter(shard.keys()))
     assert shard.get(*key)[-1] == 0 and shard.get(987_654_321) is None
     assert tokens.read_shards(tokens.write_shards(empty, definition)).collect() == []
+    narrow = docs.where("doc_id < 9").select(F.col("doc_id").cast("int").alias("doc_id"), "text")
+    assert tokens.read_shards(tokens.write_shards(narrow, definition), "int").count() == narrow.count()
+
+
+def test_tokens_written_twice(docs, definition, tmp_path):
+    """A second attempt at a shard doesn't meet the files of the first."""
+    few = docs.where("doc_id < 9")
+    a, b = (tokens.write_shards(few, definition, f"file://{tmp_path}/t") for _ in range(2))
+    assert not {r["path"] for r in a.collect()} & {r["path"] for r in b.collect()}
+    assert sorted(map(tuple, tokens.read_shards(a).collect())) == sorted(map(tuple, tokens.read_shards(b).collect()))
 
 
 def test_perfect_hash():
@@ -383,6 +393,8 @@ def test_vectors(spark):
     assert 0.9 * true <= sum(by[i].n_links for i in ids) <= true
     assert all(by[i].n_links <= n for i, n in zip(ids, near.sum(axis=1) - 1, strict=True))
     assert hnsw.near_vectors(v.limit(0)).collect() == []
+    narrow = hnsw.near_vectors(v.where("vec_id >= 2000").withColumn("vec_id", F.col("vec_id").cast("int"))).collect()
+    assert {r.vec_id: r.n_links for r in narrow} == {i: int(i in (2006, 2007)) for i in range(2000, 2008)}
 
 
 def brute_targets(sizes):
@@ -418,7 +430,8 @@ def test_mixing(docs, rows, empty):
     assert all(abs(taken[s] - want[s]) <= 2 * block for s in want)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
     assert mixing.mix(empty).collect() == []
-    assert mixing.mixed(docs).columns == docs.columns
+    clash = docs.withColumns({"_copy": F.lit(1), "_times": F.lit("t"), "_d": F.lit(0)})
+    assert mixing.mixed(clash).columns == clash.columns and mixing.mixed(clash).count() == mixing.mixed(docs).count()
 
 
 def test_mixing_held_sources(spark):
