@@ -13,9 +13,9 @@ attempt; the manifest names those of the attempt that counted:
 The perfect hash keeps, level by level, a bit for every position that exactly one remaining key
 hashes to; keys that collide go on to the next level; a key's slot is the rank of its bit.
 
-Texts are encoded by the tokenizers library.  In a byte-level tokenizer a single space before a
-character other than white space always starts a piece, so texts are cut there and the encoding of
-each distinct piece is kept in a bounded cache; a full stop or comma after a letter is a
+Texts are encoded by the tokenizers library.  In a byte-level tokenizer a single space or line feed
+before a character other than white space always starts a piece, so texts are cut there and the
+encoding of each distinct piece is kept in a bounded cache; a full stop or comma after a letter is a
 piece of its own; texts with other runs of white space, or the text of an added token, are encoded whole.
 
 Defined edge cases: null is the empty text; every document ends with the end id, so empty ones
@@ -181,7 +181,7 @@ class Encoder:
         spec = json.loads(definition)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         pre = spec.get("pre_tokenizer") or {}
-        self.cut = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.cut = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.width = 2 if self.tok.get_vocab_size(True) <= 1 << 16 else 4
         vocabulary = self.tok.get_vocab(True)
         #: Bytes of text by id: a byte-level vocabulary writes one character a byte.
@@ -190,6 +190,7 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.feed = self.whole("\n") if self.cut else b""
 
     def pack(self, ids: list[int]) -> bytes:
         a = array("H" if self.width == 2 else "I", ids)
@@ -201,13 +202,17 @@ class Encoder:
         return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
 
     def learn(self, missing: set[str]) -> bool:
-        """Put pieces (each follows a space) into the cache; False if one isn't a piece of its own."""
+        """Put pieces into the cache; False if one isn't a piece of its own.
+
+        A piece follows a space, which its ids include, or starts with the line feed that it follows.
+        """
         cache, old, todo, ends = self.cache, self.old, [], []
         for m in missing:
             if m in old:
                 cache[m] = old[m]
                 continue
-            if not m or m[0].isspace():
+            head = m[1:2] if m[:1] == "\n" else m[:1]
+            if not head or head.isspace():
                 return False
             # a full stop or comma after a letter is a piece of its own
             if m[-1] in ".," and m[-2:-1].isalpha():
@@ -221,11 +226,12 @@ class Encoder:
             todo.append(m)
         if todo:
             # encoded as one text; the bytes that each id stands for tell where a piece ends
-            joined = " " + " ".join(todo)
+            parts = [m if m[0] == "\n" else " " + m for m in todo]
+            joined = "".join(parts)
             if any(t in joined for t in self.added):
                 return False
             ids = self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids
-            want, have = np.cumsum([len(m.encode()) + 1 for m in todo]), np.cumsum(self.spans[ids])
+            want, have = np.cumsum([len(m.encode()) for m in parts]), np.cumsum(self.spans[ids])
             if not len(have) or have[-1] != want[-1]:
                 return False
             last = np.searchsorted(have, want)
@@ -244,17 +250,21 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not self.cut or any(t in text for t in self.added):
             return self.whole(text)
-        first, *rest = text.split(" ")
-        get = self.cache.get
-        ids = [get(p) for p in rest]
-        if None in ids:
+        pieces, skip = text.replace("\n", " \n").split(" "), 0
+        if pieces[0]:
+            # the first piece follows nothing: it is looked up after a line feed, whose ids are cut off again
+            pieces[0] = "\n" + pieces[0]
+            skip = len(self.feed)
+        else:
+            del pieces[0]
+        missing = set(pieces).difference(self.cache)
+        if missing:
             if len(self.cache) > CACHE_PIECES:
                 self.old, self.cache = self.cache, {}
-                get, ids = self.cache.get, [None] * len(rest)
-            if not self.learn({p for p, i in zip(rest, ids) if i is None}):
+                missing = set(pieces)
+            if not self.learn(missing):
                 return self.whole(text)
-            ids = [get(p) for p in rest]
-        return (self.whole(first) if first else b"") + b"".join(ids)
+        return b"".join(map(self.cache.__getitem__, pieces))[skip:]
 
 
 def encoder(definition: str) -> Encoder:

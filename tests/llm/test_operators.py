@@ -328,6 +328,13 @@ def test_encoder_equals_library(definition):
         assert np.frombuffer(code(t), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["\n", "\na", "a\nb", "a.\nB c", "a \nb", "a\n b", "a\n\nb", "a\n", "\n'", "x\n's", "a\t\nb", "a\n\tb", "\r\na\r\nb", " \n", "\n ", "a,\n"])
+def test_encoder_at_line_feeds(definition, text):
+    code = tokens.Encoder(definition)
+    for _ in range(2):  # with and without the pieces in the cache
+        assert code(text) == code.whole(text)
+
+
 def test_encoder_on_random_texts(definition):
     from tokenizers import Tokenizer
 
