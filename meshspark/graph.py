@@ -7,7 +7,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import bucketed, cut
+
+#: Edges from which ``Graph.saved`` places them by source.
+PLACE_EDGES = 10_000_000
+#: A source is heavy if it has more than a quarter of a bucket's fair share; so there are at most 4 heavy ones a bucket.
+HEAVY = 4
+
+
+@dataclass(frozen=True)
+class Placed:
+    """Edges bucketed by source, those of heavy sources (None where there are none), and the heavy sources' ids."""
+
+    light: DataFrame
+    heavy: DataFrame | None
+    ids: DataFrame
 
 
 @dataclass(frozen=True)
@@ -16,6 +30,7 @@ class Graph:
 
     vertices: DataFrame
     edges: DataFrame
+    placed: Placed | None = None
 
     @property
     def weighted(self) -> bool:
@@ -25,8 +40,30 @@ class Graph:
         return self.vertices.count(), self.edges.count()
 
     def saved(self) -> Graph:
-        """The same graph read from the shared folder, for many supersteps over it."""
-        return Graph(cut(self.vertices, "vertices"), cut(self.edges, "edges"))
+        """The same graph read from the shared folder, for many supersteps over it; large ones placed by source."""
+        g = Graph(cut(self.vertices, "vertices"), cut(self.edges, "edges"))
+        e = g.edges.count()
+        return g.placed_by_source(e) if e >= PLACE_EDGES else g
+
+    def placed_by_source(self, edges: int | None = None, buckets: int | None = None) -> Graph:
+        """The same graph with its edges bucketed by source, so that supersteps join them without a shuffle.
+
+        Sources whose edges would swell one bucket are kept apart: their edges lie spread in plain
+        files, and as there are at most HEAVY * buckets such sources, their states are broadcast.
+        """
+        spark = self.edges.sparkSession
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        total = self.edges.count() if edges is None else edges
+        many = self.edges.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * (HEAVY * n) > total)
+        ids = cut(many.select(F.col("src").alias("_heavy")), "heavy-ids")
+        on = F.col("src") == F.col("_heavy")
+        light = bucketed(self.edges.join(F.broadcast(ids), on, "left_anti"), "src", n, "edges-by-source")
+        heavy = None if ids.isEmpty() else cut(self.edges.join(F.broadcast(ids), on, "left_semi"), "heavy-edges")
+        return Graph(self.vertices, self.edges, Placed(light, heavy, ids))
+
+    def sending(self) -> DataFrame | Placed:
+        """Edges for supersteps: as they were placed, or plain."""
+        return self.edges if self.placed is None else self.placed
 
     def out_degrees(self) -> DataFrame:
         return _degree(self, "src", "out_degree")

@@ -128,12 +128,12 @@ def hits(g: Graph, iterations: int = ITERATIONS) -> DataFrame:
     from .gas import superstep
     from ..storage import cut
 
-    back = g.transpose().edges
+    back = (g.transpose() if g.placed is None else g.transpose().saved()).sending()
     auth = VertexProgram({}, c("hub"), {"m": F.sum("msg")}, apply={"auth": _or0("m")}, dense=True)
     hub = VertexProgram({}, c("auth"), {"m": F.sum("msg")}, apply={"hub": _or0("m")}, dense=True)
     state = g.out_degrees().withColumnRenamed("out_degree", "od").withColumns({"auth": F.lit(1.0), "hub": F.lit(1.0), "active": F.lit(True)})
     for k in range(1, iterations + 1):
-        state = superstep(superstep(state, g.edges, auth, k), back, hub, k)
+        state = superstep(superstep(state, g.sending(), auth, k), back, hub, k)
         if k % 2 == 0 or k == iterations:
             state = _unit(cut(state), "auth", "hub")
     return state.select("id", "auth", "hub")
@@ -148,7 +148,7 @@ def hits_literal(g: Graph, iterations: int = ITERATIONS) -> DataFrame:
     second = VertexProgram({}, c("auth"), {"m": F.sum("msg")}, apply={"hub": c("hub") + _or0("m"), "auth": F.lit(0.0)}, dense=True)
     state = g.out_degrees().withColumnRenamed("out_degree", "od").withColumns({"auth": F.lit(1e-8), "hub": F.lit(1e-8), "active": F.lit(True)})
     for k in range(1, iterations + 1):
-        state = superstep(superstep(state, g.edges, first, k), g.edges, second, k)
+        state = superstep(superstep(state, g.sending(), first, k), g.sending(), second, k)
         if k % 2 == 0 or k == iterations:
             state = cut(state)
     return state.select("id", "auth", "hub")

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, Placed
 from ..storage import cut
 
 Updates = Mapping[str, Column]
@@ -56,13 +56,23 @@ def start(g: Graph, p: VertexProgram) -> DataFrame:
     return d.withColumns(dict(p.init)).withColumn("active", F.coalesce(p.active, F.lit(False)))
 
 
-def superstep(state: DataFrame, edges: DataFrame, p: VertexProgram, k: int) -> DataFrame:
+def messages(senders: DataFrame, edges: DataFrame | Placed, message: Column) -> DataFrame:
+    """(_dst, msg) along every out-edge of the senders."""
+    if not isinstance(edges, Placed):
+        return senders.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("_dst"), message.alias("msg"))
+    sent = messages(senders, edges.light, message)
+    if edges.heavy is None:
+        return sent
+    few = senders.join(F.broadcast(edges.ids), F.col("id") == F.col("_heavy"), "left_semi")  # bounded: see placed_by_source
+    return sent.union(messages(F.broadcast(few), edges.heavy, message))
+
+
+def superstep(state: DataFrame, edges: DataFrame | Placed, p: VertexProgram, k: int) -> DataFrame:
     """The state after superstep ``k`` (from 1), lazily."""
     columns = state.columns
     own = [c for c in columns if c not in ("id", "od", "active")]
     senders = state if p.dense or p.send_all else state.where("active")
-    sent = senders.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("_dst"), p.message.alias("msg"))
-    folded = sent.groupBy("_dst").agg(*[f.alias(n) for n, f in p.folds.items()], F.count(F.lit(1)).alias("_got"))
+    folded = messages(senders, edges, p.message).groupBy("_dst").agg(*[f.alias(n) for n, f in p.folds.items()], F.count(F.lit(1)).alias("_got"))
     if not p.dense:
         acted = {c: F.when(F.col("active"), u).otherwise(F.col(c)) for c, u in p.on_scatter.items()}
         state = state.withColumns(acted).withColumn("_keep", F.col("active") & p.keep) if acted else state.withColumn("_keep", F.col("active") & p.keep)
@@ -87,7 +97,7 @@ def run(g: Graph, p: VertexProgram, iterations: int | None = None, cadence: int
     the state after each write (rescaling).
     """
     watch = iterations is None or not p.dense
-    edges = g.edges
+    edges = g.sending()
     state = start(g, p)
     trace: list[tuple[int, int, int]] = []
     k = 0

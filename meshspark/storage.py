@@ -23,3 +23,12 @@ def cut(df: DataFrame, name: str = "state") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/meshspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Write ``df`` in one sorted file a bucket of ``key``; joins on the key with as many partitions don't shuffle it."""
+    spark, tag = df.sparkSession, f"{name}-{uuid.uuid4().hex}"
+    table = "meshspark_" + tag.replace("-", "_")
+    path = f"{shared_dir(spark)}/meshspark/{tag}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table, format="parquet")
+    return spark.table(table)

@@ -120,6 +120,45 @@ def test_hits(g8):
     assert values(A.hits_literal(g8, 3), "auth") == [0] * 8
 
 
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """A third of all edges leave vertex 0; repeated edges and loops among the others."""
+    edges = [(0, 1 + i % 99, 1 + i % 5) for i in range(300)] + [(i * 7 % 100, (i * i + 3) % 100, 1 + i % 9) for i in range(600)]
+    g = graph(spark, 100, edges).saved()
+    return g, g.placed_by_source(buckets=8)
+
+
+def test_placed_edges(spark, skewed):
+    plain, placed = skewed
+    light, heavy, ids = placed.placed.light, placed.placed.heavy, placed.placed.ids
+    assert [r[0] for r in ids.collect()] == [0] and heavy.where("src <> 0").isEmpty() and light.where("src = 0").isEmpty()
+    assert sorted(map(tuple, light.union(heavy).collect())) == sorted(map(tuple, plain.edges.collect()))
+    for run, column in [
+        (lambda g: A.pagerank(g, 5), "rank"), (lambda g: A.pagerank_delta(g, 4).state, "p"), (lambda g: A.bfs(g, 3).state, "parent"), (lambda g: A.sssp(g, 3).state, "dist"),
+        (lambda g: A.nibble(g, 1, 4).state, "p"), (lambda g: A.connected_components(g).state, "label"), (lambda g: A.hits(g, 3), "hub"), (A.in_degree, "in_degree"),
+    ]:
+        assert values(run(placed), column) == values(run(plain), column)
+    even = graph(spark, 8, [(i, (i + 1) % 8) for i in range(8)]).placed_by_source(buckets=1)
+    assert even.placed.heavy is None and values(A.in_degree(even), "in_degree") == [1] * 8
+
+
+def test_placed_edges_are_not_shuffled(spark, skewed, monkeypatch):
+    placed = skewed[1]
+    p = gas.VertexProgram({"x": F.lit(1.0)}, F.col("x"), {"m": F.sum("msg")}, dense=True)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = gas.messages(gas.start(placed, p), placed.placed.light, p.message)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    join = plan[plan.index("SortMergeJoin") :]
+    right = join[join.index("FileScan parquet spark_catalog") :]
+    above = join[: join.index("FileScan parquet spark_catalog")].rsplit("\n", 4)[1:]
+    assert "Bucketed: true" in right and not any("Exchange" in line for line in above), plan
+    monkeypatch.setattr("meshspark.graph.PLACE_EDGES", 10)
+    assert skewed[0].saved().placed is not None
+
+
 def test_partitions(g8):
     bins = P.bin_params(8, 1)
     assert (bins.width, bins.count) == (2, 4)
