@@ -4,8 +4,10 @@ Targets: each source's share of all words by weight, held to ``most`` times the
 size, the excess reshared by weight until no source is above.  The target total is cut into
 ``blocks`` equal blocks (of at least one word); quotients target / (2 j + 1) are ranked and the
 highest win, which gives every source an integer quota, split evenly over the shards.  A quota
-larger than the source takes whole passes over it first; the rest of the quota takes blocks of
-the source in seeded order.  Everything runs on DataFrame operations: one aggregation, a window
+larger than the source takes whole passes over it first; its documents stand in
+seeded order, and the rest of the quota takes the first blocks of that order.  So a source's
+documents are taken in whole passes but for one, and rounding shares to whole copies keeps the
+source within half that document of its quota.  Everything runs on DataFrame operations: one aggregation, a window
 over sources, and a distributed running sum of words within each source.
 
 Defined edge cases: null and blank texts have size 0 and are taken 0 words; the null source is
@@ -84,39 +86,27 @@ def seeded(seed: int, *cols: Column) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
-def mix(docs: DataFrame, blocks: int = 10_000, seed: int = 0) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, source, text)."""
+def _taken(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every row of ``docs``."""
     rows = materialize(docs.select("doc_id", "source", n_space_words(F.col("text")).alias("size")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     won = materialize(quotas(targets(sizes), blocks), "mix-quotas")
     order = [F.col("_h").asc(), F.col("doc_id").asc_nulls_first(), F.col("size").asc()]
     placed = running(rows.withColumn("_h", seeded(seed, F.col("doc_id"))), ["source"], order, F.col("size"), "mix-order")
-    # Blocks of the last, partial pass: at most one a source besides those that the block count bounds.
     parts = won.where("words > 0").withColumns({"_full": F.floor(F.col("words") / F.col("source_size")), "_rest": F.col("words") % F.col("source_size")})
-    b = parts.where("_rest > 0").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("source_size") - 1) / F.col("block")).cast("long"))))
-    b = b.withColumn("_len", F.least(F.col("block"), F.col("source_size") - F.col("_b") * F.col("block")))
-    drawn = Window.partitionBy("source").orderBy(seeded(seed, F.col("source"), F.col("_b")), "_b").rowsBetween(Window.unboundedPreceding, -1)
-    use = F.greatest(F.lit(0), F.least(F.col("_len"), F.col("_rest") - F.coalesce(F.sum("_len").over(drawn), F.lit(0))))
-    b = b.withColumn("_use", use)
-    along = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    b = materialize(b.select("source", "_b", "_use", F.coalesce(F.sum("_use").over(along), F.lit(0)).alias("_cum")), "mix-blocks")
-    # One row a source, and at most `blocks` + one a source: bounded by the sources and the parameter.
-    joined = placed.join(parts.select(F.col("source").alias("_s"), "source_size", "target", "block", "_full", "_rest"), same(F.col("source"), F.col("_s")), "left").join(
+    # One row a source: bounded by the sources.
+    joined = placed.join(parts.select(F.col("source").alias("_s"), "_full", "_rest"), same(F.col("source"), F.col("_s")), "left").join(
         won.select(F.col("source").alias("_s0"), F.col("source_size").alias("_size0"), F.col("target").alias("_target0")), same(F.col("source"), F.col("_s0")), "left"
     )
-    joined = joined.withColumns({"_lo": F.floor(F.col("_before") / F.col("block")), "_hi": F.floor((F.col("_before") + F.col("size")) / F.col("block"))})
-    for end in ("lo", "hi"):
-        side = b.select(F.col("source").alias(f"_s{end}"), F.col("_b").alias(f"_b{end}"), F.col("_use").alias(f"_use{end}"), F.col("_cum").alias(f"_cum{end}"))
-        joined = joined.join(side, same(F.col("source"), F.col(f"_s{end}")) & (F.col(f"_{end}") == F.col(f"_b{end}")), "left")
+    # The partial pass takes the words before position _rest: whole documents, and a part of one at most.
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_before")))
+    taken = F.when(F.col("size") > 0, F.coalesce(F.col("_full") * F.col("size") + part, F.lit(0))).otherwise(F.lit(0))
+    return joined.select("doc_id", "source", "size", F.col("_size0").alias("source_size"), F.col("_target0").alias("target"), taken.cast("long").alias("taken"))
 
-    def upto(at: Column, end: str) -> Column:
-        """Words of the partial pass before position ``at``; beyond the last block all of them."""
-        inside = F.col(f"_cum{end}") + F.least(at - F.col(f"_b{end}") * F.col("block"), F.col(f"_use{end}"))
-        return F.when(F.col(f"_b{end}").isNull(), F.when(at > 0, F.col("_rest")).otherwise(F.lit(0))).otherwise(inside)
 
-    part = F.when(F.col("_rest") > 0, upto(F.col("_before") + F.col("size"), "hi") - upto(F.col("_before"), "lo")).otherwise(F.lit(0))
-    taken = F.when(F.col("size") > 0, F.coalesce(F.col("_full") * F.col("size") + part, F.lit(0))).otherwise(F.lit(0))
-    return joined.select("doc_id", "size", F.col("_size0").alias("source_size"), F.col("_target0").alias("target"), taken.cast("long").alias("taken"))
+def mix(docs: DataFrame, blocks: int = 10_000, seed: int = 0) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, source, text)."""
+    return _taken(docs, blocks, seed).drop("source")
 
 
 def mixed(docs: DataFrame, blocks: int = 10_000, seed: int = 0) -> DataFrame:
@@ -124,6 +114,7 @@ def mixed(docs: DataFrame, blocks: int = 10_000, seed: int = 0) -> DataFrame:
     spare = "_copy"
     while spare in (c.lower() for c in docs.columns):
         spare += "_"
-    times = mix(docs, blocks, seed).where("taken > 0").select(F.col("doc_id").alias("_d"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
-    times = times.groupBy("_d").agg(F.max("_times").alias("_times"))
-    return docs.join(times, docs["doc_id"].eqNullSafe(times["_d"])).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["_times"])).alias(spare)).drop(spare)
+    times = _taken(docs, blocks, seed).where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
+    times = times.groupBy("_d", "_s").agg(F.max("_times").alias("_times"))
+    on = docs["doc_id"].eqNullSafe(times["_d"]) & docs["source"].eqNullSafe(times["_s"])
+    return docs.join(times, on).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times["_times"])).alias(spare)).drop(spare)

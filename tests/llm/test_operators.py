@@ -460,3 +460,17 @@ def test_sainte_lague(spark):
     assert {w.source: w.quota for w in won} == {s: Counter(x for _, x in best)[s] for s in t}
     per = mixing.shard_quotas(spark.createDataFrame(won), 7).groupBy("source").agg(F.sum("quota").alias("q"), (F.max("quota") - F.min("quota")).alias("d")).collect()
     assert {p.source: p.q for p in per} == {w.source: w.quota for w in won} and all(p.d <= 1 for p in per)
+
+
+def test_mixed_meets_targets(spark):
+    """Whole copies of documents over many blocks come near every source's target, and stay within their source."""
+    r = random.Random(8)
+    sizes = {f"s{k:02}": [r.randint(100, 500) for _ in range(30)] for k in range(12)}
+    rows = [(1000 * k + i, "w " * n, s) for k, (s, ns) in enumerate(sizes.items()) for i, n in enumerate(ns)]
+    rows += [(0, "w " * 400, "t"), (1, "w " * 400, "t")]  # ids that another source has too
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = brute_targets({s: sum(ns) for s, ns in sizes.items()} | {"t": 800})
+    got = Counter()
+    for x in mixing.mixed(d).collect():
+        got[x.source] += len(x.text.split())
+    assert all(abs(got[s] - want[s]) <= 250 + 15 for s in want)
