@@ -3,8 +3,9 @@
 Targets: each source's share of all words by weight, held to ``most`` times the source's own
 size, the excess reshared by weight until no source is above.  The target total is cut into
 ``blocks`` equal blocks (of at least one word); quotients target / (2 j + 1) are ranked and the
-highest win, which gives every source an integer quota, split evenly over the shards.  A quota
-larger than the source takes whole passes over it first; its documents stand in
+highest win, which gives every source an integer quota, split evenly over the shards.  Words
+below one block are apportioned by the same method with blocks of one word, so that sources
+smaller than a block get theirs.  A quota larger than the source takes whole passes over it first; its documents stand in
 seeded order, and the rest of the quota takes the first blocks of that order.  So a source's
 documents are taken in whole passes but for one, and rounding shares to whole copies keeps the
 source within half that document of its quota.  Everything runs on DataFrame operations: one aggregation, a window
@@ -50,15 +51,18 @@ def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     return lined.withColumn("_l", level).select("source", "source_size", "weight", F.when(F.col("_l").isNull(), cap).otherwise(F.least(cap, F.col("_l")["_level"] * F.col("weight"))).alias("target"))
 
 
-def quotas(weighed: DataFrame, blocks: int, most: int = MOST) -> DataFrame:
-    """Add ``block`` (words a block) and ``quota`` (blocks the source wins by highest quotients).
+def _apportioned(weighed: DataFrame, blocks: int | None) -> DataFrame:
+    """source, source_size, target, block, quota: ``blocks`` blocks (None: one a word) to the highest quotients.
 
     With n sources and q = target / block the divisor method gives a source between
     q (1 - n / 2N) - 1 and q (1 + n / 2N) + 1 of N blocks, so only that margin of quotients is ranked.
     """
     everything = Window.partitionBy(F.lit(0))
     s = weighed.withColumns({"_t": F.sum("target").over(everything), "_n": F.count(F.lit(1)).over(everything)})
-    s = s.withColumn("_N", F.least(F.lit(float(blocks)), F.greatest(F.lit(1.0), F.floor("_t")))).withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("_t") / F.col("_N"))).cast("long"))
+    if blocks is None:
+        s = s.withColumn("block", F.lit(1).cast("long"))
+    else:
+        s = s.withColumn("_N", F.least(F.lit(float(blocks)), F.greatest(F.lit(1.0), F.floor("_t")))).withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("_t") / F.col("_N"))).cast("long"))
     s = s.withColumn("_N", F.round(F.col("_t") / F.col("block")).cast("long")).withColumn("_q", F.col("target") / F.col("block"))
     slack = F.ceil(F.col("_q") * F.col("_n") / (2 * F.greatest(F.col("_N"), F.lit(1)))) + 1
     s = s.withColumns({"_sure": F.greatest(F.lit(0), F.floor("_q") - slack).cast("long"), "_most": (F.ceil("_q") + slack).cast("long")})
@@ -66,12 +70,25 @@ def quotas(weighed: DataFrame, blocks: int, most: int = MOST) -> DataFrame:
     tries = s.withColumn("_j", F.explode(F.sequence(F.col("_sure"), F.col("_most"))))
     highest = Window.orderBy((F.col("target") / (2 * F.col("_j") + 1)).desc(), F.col("source").asc_nulls_last(), F.col("_j"))
     ranked = tries.withColumn("_place", F.row_number().over(highest))
-    won = ranked.groupBy("source").agg(
+    return ranked.groupBy("source").agg(
         F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("block").alias("block"),
         (F.first("_sure") + F.sum((F.col("_place") <= F.col("_open")).cast("long"))).alias("quota"),
     )
-    words = F.when(F.col("target") > 0, F.least(F.col("quota") * F.col("block"), most * F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    return won.select("source", "source_size", "target", "block", "quota", words.alias("words"))
+
+
+def quotas(weighed: DataFrame, blocks: int, most: int = MOST) -> DataFrame:
+    """source, source_size, target, ``block`` (words a block), ``quota`` (blocks the source wins) and ``words``.
+
+    ``words`` are exact below a block: the won blocks that fit in the target, and of the words
+    left over a share by the same method with blocks of one word.  So small sources, and more
+    sources than blocks, come within about a word of their targets.
+    """
+    won = _apportioned(weighed, blocks)
+    whole = won.withColumn("_whole", F.least(F.col("quota"), F.floor(F.col("target") / F.col("block"))).cast("long") * F.col("block"))
+    rest = _apportioned(whole.select("source", "source_size", (F.col("target") - F.col("_whole")).alias("target")), None)
+    both = whole.join(rest.select(F.col("source").alias("_s"), F.col("quota").alias("_more")), same(F.col("source"), F.col("_s")))
+    words = F.when(F.col("target") > 0, F.least(F.col("_whole") + F.col("_more"), most * F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    return both.select("source", "source_size", "target", "block", "quota", words.alias("words"))
 
 
 def shard_quotas(won: DataFrame, shards: int) -> DataFrame:

@@ -474,3 +474,15 @@ def test_mixed_meets_targets(spark):
     for x in mixing.mixed(d).collect():
         got[x.source] += len(x.text.split())
     assert all(abs(got[s] - want[s]) <= 250 + 15 for s in want)
+
+
+@pytest.mark.parametrize("blocks", [5, 40, 10_000])
+def test_sources_below_a_block(spark, blocks):
+    """Sources whose targets are below a block, and more sources than blocks, come within two words of their targets."""
+    r = random.Random(11)
+    sizes = {f"s{k:03}": r.choice([1, 2, 3, 10, 40, 90]) for k in range(60)} | {"big": 20_000, None: 7, "none": 0}
+    d = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    want = brute_targets(sizes)
+    got = {s: x.taken for (s, _), x in zip(sizes.items(), sorted(mixing.mix(d, blocks).collect(), key=lambda x: x.doc_id), strict=True)}
+    assert all(abs(got[s] - want[s]) <= 2 for s in want if s != "big") and abs(got["big"] - want["big"]) <= 32
+    assert abs(sum(got.values()) - sum(want.values())) <= 1
