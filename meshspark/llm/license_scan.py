@@ -4,7 +4,10 @@ A text is lower-cased (A-Z) and reduced to its words joined by single spaces.  A
 ``e`` allowed errors is cut into ``e + 1`` pieces: by the pigeonhole principle every occurrence
 with at most ``e`` edits holds one piece exactly, so plain substring search for the pieces finds
 every candidate place; around each place the ``regex`` library's bounded-error matching then
-verifies the edits and reports the span.
+tells whether there is an occurrence, and edit distances from every word that starts there give all
+spans within the errors that hold the core words.  Of those, hits are taken by fewest edits, then
+leftmost, that overlap no hit of the notice taken before: every occurrence is a hit or overlaps one
+with no more edits.
 
 Defined edge cases: null is the empty text; texts without words give zero counts, null
 positions and empty labels; overlapping base places all count; repeated rows agree.
@@ -12,6 +15,7 @@ positions and empty labels; overlapping base places all count; repeated rows agr
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +43,8 @@ NOTICES = {
 }
 _BLANK = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
+_EDGE = regex.compile(r"\b")
+
 
 @dataclass(frozen=True)
 class Hit:
@@ -58,12 +64,44 @@ def pieces(phrase: str, errors: int) -> list[tuple[int, str]]:
     return [(cuts[i], phrase[cuts[i] : cuts[i + 1]]) for i in range(k)]
 
 
+def ends(phrase: str, errors: int, text: str, start: int) -> dict[int, int]:
+    """End -> edit distance of ``phrase`` and text[start:end], for every end within ``errors`` edits."""
+    far, n = errors + 1, len(text) - start
+    row = {j: j for j in range(min(errors, n) + 1)}
+    for i, ch in enumerate(phrase, 1):
+        new: dict[int, int] = {}
+        left = far
+        for j in range(max(0, i - errors), min(n, i + errors) + 1):
+            cost = min(row.get(j, far), left) + 1
+            if j and (d := row.get(j - 1, far) + (text[start + j - 1] != ch)) < cost:
+                cost = d
+            left = cost
+            if cost <= errors:
+                new[j] = cost
+        if not new:
+            return {}
+        row = new
+    return {start + j: cost for j, cost in row.items()}
+
+
+def apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (edits, start, end) those that overlap none of fewer edits, or further left, that is taken."""
+    taken: list[tuple[int, int]] = []
+    out = []
+    for edits, a, b in sorted(spans):
+        at = bisect_left(taken, (a, b))
+        if (at == len(taken) or b <= taken[at][0]) and (not at or taken[at - 1][1] <= a):
+            taken.insert(at, (a, b))
+            out.append((edits, a, b))
+    return out
+
+
 class Scanner:
     """Compiled notices; built once per Python worker."""
 
     def __init__(self, notices: dict[str, tuple[str, int, tuple[str, ...]]] | None = None):
         self.notices = [
-            (p, label, e, set(core), pieces(p, e), regex.compile(rf"(?b)\b(?:{regex.escape(p)}){{e<={e}}}\b"))
+            (p, label, e, set(core), pieces(p, e), regex.compile(rf"\b(?:{regex.escape(p)}){{e<={e}}}\b"))
             for p, (label, e, core) in (NOTICES if notices is None else notices).items()
         ]
 
@@ -75,7 +113,9 @@ class Scanner:
             for offset, seed in seeds:
                 at = line.find(seed)
                 while at >= 0:
-                    spans.append([max(0, at - offset - 2 * e - 1), at - offset + len(phrase) + 2 * e + 1])
+                    lo, hi = max(0, at - offset - 2 * e - 1), at - offset + len(phrase) + 2 * e + 1
+                    lo = line.rfind(" ", 0, lo) + 1 if lo else 0  # whole words at both ends
+                    spans.append([lo, len(line) if (cut := line.find(" ", hi)) < 0 else cut])
                     at = line.find(seed, at + 1)
             merged: list[list[int]] = []
             for s in sorted(spans):
@@ -84,14 +124,18 @@ class Scanner:
                 else:
                     merged.append(s)
             for lo, hi in merged:
-                lo = line.rfind(" ", 0, lo) + 1 if lo else 0  # whole words at both ends
-                hi = hi if (cut := line.find(" ", hi)) < 0 else cut
-                for m in pattern.finditer(line[lo : max(hi, lo)]):
-                    if not core <= set(m.group().split()):
-                        continue
-                    edits = sum(m.fuzzy_counts)
-                    first = line.count(" ", 0, lo + m.start() + (m.group()[:1] == " "))
-                    last = first + m.group().strip().count(" ")
+                stretch = line[lo:hi]
+                if not pattern.search(stretch):
+                    continue
+                edges = [m.start() for m in _EDGE.finditer(stretch)]
+                stops = {i for i in edges if i and stretch[i - 1] != " "}
+                found = [
+                    (edits, i, j) for i in edges if i < len(stretch) and stretch[i] != " "
+                    for j, edits in ends(phrase, e, stretch, i).items() if j > i and j in stops and core <= set(stretch[i:j].split())
+                ]
+                for edits, i, j in apart(found):
+                    first = line.count(" ", 0, lo + i)
+                    last = first + stretch.count(" ", i, j)
                     hit = Hit(label, first, last, edits, 1.0 - edits / len(phrase))
                     if (old := hits.get((label, first, last))) is None or hit.edits < old.edits:
                         hits[(label, first, last)] = hit

@@ -135,6 +135,45 @@ def test_license_seeds_lose_nothing():
             assert any(p in "".join(s) for _, p in license_scan.pieces(phrase, e))
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_license_repeated_notices():
+    """Against all spans of words: each occurrence is a hit or overlaps one with no more edits, and hits lie apart."""
+    r = random.Random(12)
+    both = "gnu generl public license and gnu general public license"
+    of = license_scan.Scanner()
+    assert [(h.first, h.last, h.edits) for h in of.fuzzy(both) if h.label == "gpl"] == [(0, 3, 1), (5, 8, 0)]
+    assert "apache-2" in {h.label for h in of.fuzzy("apach licens version 2 or apache license version 3")}
+    for phrase, (label, e, core) in license_scan.NOTICES.items():
+        one = license_scan.Scanner({phrase: (label, e, core)})
+        for _ in range(12):
+            words = []
+            for _ in range(r.randint(2, 4)):
+                s = list(phrase)
+                for _ in range(r.randint(0, e + 1)):
+                    k = r.randrange(len(s))
+                    s[k : k + 1] = r.choice([[], ["q"], [s[k], "q"], [s[k], " "], ["3"]])
+                words += "".join(s).split() + r.choice([[], ["or"], ["the", "license", "2"], ["2"]])
+            n, all_spans = len(phrase.split()), {}
+            for i in range(len(words)):
+                for j in range(i, min(len(words), i + n + e + 1)):
+                    span = " ".join(words[i : j + 1])
+                    if abs(len(span) - len(phrase)) <= e and set(core) <= set(words[i : j + 1]) and (d := distance(phrase, span)) <= e:
+                        all_spans[i, j] = d
+            hits = {(h.first, h.last): h.edits for h in one.fuzzy(" ".join(words))}
+            assert all(all_spans.get(k) == d for k, d in hits.items())
+            assert all(any(a <= j and i <= b and d2 <= d for (a, b), d2 in hits.items()) for (i, j), d in all_spans.items()), (phrase, words)
+            assert all(b < c for (_, b), (c, _) in zip(sorted(hits), sorted(hits)[1:]))
+
+
 def shingle_sets(rows):
     out = {}
     for i, t, *_ in rows:
