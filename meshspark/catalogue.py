@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ordering
-from .graph import Graph, csr_decode
+from .graph import Graph, csr_decode, prefix_sum
 from .operators import algorithms as A
 from .operators import partitioning as P
 from .plans import datasets
@@ -96,6 +96,17 @@ def _placed(df: DataFrame) -> DataFrame:
 
 query("sort_desc_stable", "g_sc", _RANK.format("DESC"))(lambda g: _placed(ordering.sort_desc(g.out_degrees().withColumnRenamed("out_degree", "od"), "od", "id")))
 query("sort_asc_stable", "g_sc", _RANK.format("ASC"))(lambda g: _placed(ordering.sort_asc(g.out_degrees().withColumnRenamed("out_degree", "od"), "od", "id")))
+_PLACES = "SELECT od, id, row_number() OVER (ORDER BY od {0}, id) AS place FROM dg"
+
+
+def _all_placed(g: Graph, order: list) -> DataFrame:
+    """Every vertex with its place in a whole sort, which range partitions number."""
+    ones = g.out_degrees().select(c("out_degree").alias("od"), "id", F.lit(1).alias("one"))
+    return prefix_sum(ones, order, "one", "before").select("od", "id", (c("before") + 1).alias("place"))
+
+
+query("sort_desc_whole", "g_sc", _PLACES.format("DESC"))(lambda g: _all_placed(g, [c("od").desc(), c("id").asc()]))
+query("sort_asc_whole", "g_sc", _PLACES.format("ASC"))(lambda g: _all_placed(g, [c("od").asc(), c("id").asc()]))
 query("topk_values", "g_sc", "SELECT od AS out_degree FROM dg ORDER BY od DESC LIMIT 1000")(lambda g: ordering.top_values(g.out_degrees(), "out_degree"))
 
 # --- dense algorithms -------------------------------------------------------------------------------------------------

@@ -26,3 +26,14 @@ def test_query(spark, duck, name):
     names = [d[0] for d in cur.description]
     want = sorted((tuple(r[names.index(c)] for c in columns) for r in cur.fetchall()), key=repr)
     assert sorted(names) == columns and got == want
+
+
+@pytest.mark.parametrize("name", ["sort_desc_whole", "sort_asc_whole"])
+def test_whole_sort(spark, name):
+    """Beyond 1000 rows: every vertex is there, with its place."""
+    sf = "/root/testdata/sf0.01"
+    got = sorted(tuple(r) for r in catalogue.queries()[name](spark, sf).select("place", "od", "id").collect())
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    assert len(got) == 1600 and got == sorted(con.execute(f"SELECT place, od, id FROM ({catalogue.oracle_sql()[name]})").fetchall())
