@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from meshspark.llm import chat, components, decontam, hnsw, langid, license_scan, mixing, neardup, quality, sharding, tokens
@@ -105,6 +107,39 @@ def test_language_held_out(spark):
     assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
 
 
+def test_language_by_plain_sizes(spark, docs, rows):
+    """Predictions against compressors made anew: the smallest size wins, then the smallest sum over words, then the name."""
+    content = langid.learn(docs)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, content).collect()}
+
+    def size(lang, part):
+        d = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, level=langid.LEVEL, write_content_size=False, write_dict_id=False).compress(f" {part} ".encode()))
+
+    for i, t, *_ in rows:
+        if t and any(unicodedata.category(c)[0] == "L" for c in t):
+            sizes = {lang: size(lang, t.lower()) for lang in content}
+            ties = [lang for lang in sorted(content) if sizes[lang] == min(sizes.values())]
+            assert got[i] == min(ties, key=lambda x: (sum(size(x, w) for w in t.lower().split()) if len(ties) > 1 else 0, x))
+        else:
+            assert got[i] == "und"
+
+
+def test_language_of_long_texts_only(spark):
+    """A language whose texts are all long is learnt; signs that aren't letters don't count; equal rows count once."""
+    r = random.Random(21)
+    words = {k: ["".join(r.choice(k) for _ in range(r.randint(3, 8))) for _ in range(300)] for k in ("aeiourst", "bdfghäöü")}
+    text = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    data = [(i, text("bdfghäöü", 6000), "de") for i in range(12)] + [(100 + i, text("aeiourst", 30), "en") for i in range(20)] + [(7, "same text", "nl")] * 400
+    data += [(200, text("bdfghäöü", 8), None), (201, text("aeiourst", 8), None), (202, "½ ² Ⅷ ٣", None), (203, "日本", None)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    content = langid.learn(d)
+    assert set(content) == {"de", "en", "nl"} and len(content["de"]) > langid.DICT_BYTES // 2 and content["nl"].count(b"same text") == 1
+    got = {(x.doc_id, x.lang_pred) for x in langid.identify(d, content).collect()}
+    assert {p for i, p in got if i < 100 and i != 7} == {"de"} and {p for i, p in got if 100 <= i < 200} == {"en"}
+    assert {(200, "de"), (201, "en"), (202, "und")} <= got and (203, "und") not in got
+
+
 def test_license(spark, docs, rows, empty):
     texts = [
         "Released under the MIT License.", "x under the mit license under  THE-mit license y", "Released undr the MIT Licence", "Apache Licence, Version 2.0", "Apache License, Version 1.1",
