@@ -12,8 +12,9 @@ Fingerprinting folds case by ``lower`` (equal A-Z-folded texts are equal under i
 nothing); the comparison itself folds A-Z only.
 
 Defined edge cases: null and wordless texts have no words, no window and no hit; an empty
-benchmark hits nothing; several items with one window all count; rows that repeat a doc_id each
-get the figures of that doc_id; hits that overlap count each word once.
+benchmark hits nothing; several items with one window all count; rows with null or repeated
+doc_ids each get the figures of their own text (rows are told apart by id and the text's digest; rows
+equal in both are equal in their figures); hits that overlap count each word once.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BETWEEN_ALNUM, LOWER, UPPER, materialize
+from .common import BETWEEN_ALNUM, LOWER, UPPER, digest, materialize
 
 WINDOW, GRAM = 10, 5
-#: Fingerprints or ids of at most this many rows are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Fingerprints, windows or keys of at most this many bytes are broadcast; more are joined by a shuffle, with equal results.
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column, exact: bool) -> Column:
@@ -86,75 +87,91 @@ def windows(bench: DataFrame) -> DataFrame:
     return rows.groupBy("_len", "_win").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
 
 
-def _few(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def _few(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
+def _on_row(rows: DataFrame, other: DataFrame) -> Column:
+    """Rows of one id and text; ``other`` names them _did and _key2."""
+    return rows["doc_id"].eqNullSafe(other["_did"]) & (rows["_key"] == other["_key2"])
+
+
+def _figures(docs: DataFrame, bench: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, _key, n_words) of all different rows, and (_did, _key2, _n_hit, _it) of those with hits."""
     win = materialize(windows(bench), "windows")
     lengths = sorted(r[0] for r in win.select("_len").distinct().collect())  # ten values at most
+    base = docs.select("doc_id", "text", digest().alias("_key"))
+    split = base.select("doc_id", "_key", words(F.col("text"), False).alias("_w"))
+    if not lengths:
+        return materialize(split.select("doc_id", "_key", F.size("_w").cast("long").alias("n_words")).distinct(), "decontam"), None
     # A window's text is its own list of words: lower() on it gives the hashes that documents have.
     prints = None
     for n in lengths:
         one = fingerprints(win.where(F.col("_len") == n).withColumn("_h", F.transform(words(F.col("_win"), False), lambda x: F.xxhash64(x))), n)
         one = one.select(F.explode_outer("_f").alias("_x")).select(F.xxhash64(F.lit(n), F.col("_x")).alias("_fp"))  # one each
         prints = one if prints is None else prints.union(one)
-    base = docs.select("doc_id", "text")
-    split = base.select("doc_id", words(F.col("text"), False).alias("_w"))
-    if prints is None:
-        seen = materialize(split.select("doc_id", F.size("_w").cast("long").alias("n_words"), F.lit(False).alias("_hit")), "decontam")
-    else:
-        prints = materialize(prints.distinct(), "prints")
-        n_prints = prints.count()
-        d = split.select("doc_id", F.size("_w").cast("long").alias("n_words"), F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
-        made = []
-        for n in lengths:
-            d = fingerprints(d, n, out=f"_f{n}")
-            d = d.withColumn(f"_f{n}", F.array_distinct(f"_f{n}"))
-            made.append(f"_f{n}")
-        tagged = [_tagged(m, n) for n, m in zip(lengths, made, strict=True)]
-        rows = d.select("doc_id", "n_words", F.explode_outer(F.concat(*tagged)).alias("_fp"))
-        hit = rows.join(_few(prints.select(F.col("_fp").alias("_p")), n_prints), F.col("_fp") == F.col("_p"), "left")
-        seen = materialize(hit.groupBy("doc_id", "n_words").agg(F.max(F.col("_p").isNotNull()).alias("_hit")), "decontam")
-    found = materialize(_spans(base, seen, win, prints, n_prints, lengths), "spans") if prints is not None else None
-    heads = seen.select("doc_id", "n_words").groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
-    rows = docs.select("doc_id")
-    heads = heads.withColumnRenamed("doc_id", "_d")
-    nothing = F.sha2(F.lit(""), 256)
+    prints = materialize(prints.distinct(), "prints")
+    known = _few(prints.select(F.col("_fp").alias("_p")), 32 * prints.count())
+    d = split.select("doc_id", "_key", F.size("_w").cast("long").alias("n_words"), F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
+    made = []
+    for n in lengths:
+        d = fingerprints(d, n, out=f"_f{n}")
+        d = d.withColumn(f"_f{n}", F.array_distinct(f"_f{n}"))
+        made.append(f"_f{n}")
+    tagged = [_tagged(m, n) for n, m in zip(lengths, made, strict=True)]
+    rows = d.select("doc_id", "_key", "n_words", F.explode_outer(F.concat(*tagged)).alias("_fp"))
+    hit = rows.join(known, F.col("_fp") == F.col("_p"), "left")
+    seen = materialize(hit.groupBy("doc_id", "_key", "n_words").agg(F.max(F.col("_p").isNotNull()).alias("_hit")), "decontam")
+    return seen.select("doc_id", "_key", "n_words"), materialize(_spans(base, seen, win, known, lengths), "spans")
+
+
+def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
+    seen, found = _figures(docs, bench)
+    heads = seen.select(F.col("doc_id").alias("_did"), F.col("_key").alias("_key2"), "n_words")
+    rows = docs.select("doc_id", digest().alias("_key"))
+    joined = rows.join(heads, _on_row(rows, heads)).drop("_did", "_key2")
     if found is None:
-        joined = rows.join(heads, rows["doc_id"].eqNullSafe(heads["_d"])).withColumns({"_n_hit": F.lit(None).cast("long"), "_it": F.lit(None).cast("array<string>")})
+        joined = joined.withColumns({"_n_hit": F.lit(None).cast("long"), "_it": F.lit(None).cast("array<string>")})
     else:
-        joined = rows.join(heads, rows["doc_id"].eqNullSafe(heads["_d"])).join(found, F.col("doc_id") == F.col("_did"), "left")
+        joined = joined.join(found, _on_row(joined, found), "left")
     n_hit = F.coalesce(F.col("_n_hit"), F.lit(0)).cast("long")
     return joined.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("_it"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce(F.sha2(F.array_join("_it", ","), 256), nothing).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.coalesce(F.sha2(F.array_join("_it", ","), 256), F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
 
-def _spans(base: DataFrame, seen: DataFrame, win: DataFrame, prints: DataFrame, n_prints: int, lengths: list[int]) -> DataFrame:
-    """_did, _n_hit, _it for documents with verified windows."""
-    ids = seen.where("_hit").select(F.col("doc_id").alias("_c")).distinct()
-    picked = base.join(_few(ids, ids.count()), F.col("doc_id") == F.col("_c"), "left_semi")
-    d = picked.select("doc_id", words(F.col("text"), True).alias("_w"), F.transform(words(F.col("text"), False), lambda x: F.xxhash64(x)).alias("_h"))
+def _spans(base: DataFrame, seen: DataFrame, win: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+    """_did, _key2, _n_hit, _it for rows with verified windows."""
+    ids = materialize(seen.where("_hit").select(F.col("doc_id").alias("_did"), F.col("_key").alias("_key2")), "hit-rows")
+    picked = base.join(_few(ids, 64 * ids.count()), _on_row(base, ids), "left_semi")
+    d = picked.select("doc_id", "_key", words(F.col("text"), True).alias("_w"), F.transform(words(F.col("text"), False), lambda x: F.xxhash64(x)).alias("_h"))
     places = None
     for n in lengths:
         # windows become strings before the explode: rows that carried the words would hold them once a place
         text = _texts(n)
         one = fingerprints(d, n).withColumn("_text", F.when(F.size("_f") > 0, text))
-        one = one.select("doc_id", F.lit(n).alias("_n"), F.posexplode_outer(F.arrays_zip("_f", "_text")).alias("_at", "_x"))
-        one = one.select("doc_id", "_n", "_at", F.xxhash64(F.lit(n), F.col("_x")["_f"]).alias("_fp"), F.col("_x")["_text"].alias("_text"))
-        one = one.join(_few(prints.select(F.col("_fp").alias("_p")), n_prints), F.col("_fp") == F.col("_p"), "left_semi").drop("_fp")
+        one = one.select("doc_id", "_key", F.lit(n).alias("_n"), F.posexplode_outer(F.arrays_zip("_f", "_text")).alias("_at", "_x"))
+        one = one.select("doc_id", "_key", "_n", "_at", F.xxhash64(F.lit(n), F.col("_x")["_f"]).alias("_fp"), F.col("_x")["_text"].alias("_text"))
+        one = one.join(known, F.col("_fp") == F.col("_p"), "left_semi").drop("_fp")
         places = one if places is None else places.union(one)
-    found = places.join(_few(win, win.count()), (F.col("_n") == F.col("_len")) & (F.col("_text") == F.col("_win"))).select("doc_id", "_at", (F.col("_at") + F.col("_n")).alias("_end"), "_items")
-    earlier = Window.partitionBy("doc_id").orderBy("_at", "_end").rowsBetween(Window.unboundedPreceding, -1)
+    # what a window row weighs: its text and the ids of all items that hold it
+    weight = win.agg(F.sum(F.octet_length("_win") + F.octet_length(F.array_join("_items", ",")) + 16 * F.size("_items") + 64)).first()[0]
+    found = places.join(_few(win, weight), (F.col("_n") == F.col("_len")) & (F.col("_text") == F.col("_win")))
+    found = found.select("doc_id", "_key", "_at", (F.col("_at") + F.col("_n")).alias("_end"), "_items")
+    earlier = Window.partitionBy("doc_id", "_key").orderBy("_at", "_end").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max("_end").over(earlier), F.lit(0))
     new = found.withColumn("_new", F.greatest(F.lit(0), F.col("_end") - F.greatest(F.col("_at"), reach)))
-    return new.groupBy("doc_id").agg(F.sum("_new").alias("_n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("_it")).withColumnRenamed("doc_id", "_did")
+    return new.groupBy(F.col("doc_id").alias("_did"), F.col("_key").alias("_key2")).agg(
+        F.sum("_new").alias("_n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("_it")
+    )
 
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark window."""
-    bad = contamination(docs, bench).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """The rows of ``docs``, all columns, that hold no benchmark window: each by its own text, with or without an id."""
+    found = _figures(docs.select("doc_id", "text"), bench)[1]
+    if found is None:
+        return docs
+    bad = found.select("_did", "_key2")  # only rows with at least one verified window are there
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_did"]) & (digest(docs["text"]) == bad["_key2"]), "left_anti")

@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialize, shared_dir
+from ..storage import shared_dir
+from .common import materialize
 from .components import components
 
 THRESHOLD = 0.95

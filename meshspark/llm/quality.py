@@ -8,7 +8,8 @@ Mahalanobis terms use Cholesky factors computed once and shipped with the model.
 
 Defined edge cases: null text is scored as the empty text; labels other than 0 and 1 (and
 null) teach nothing; with no training row of a class the score is the share of the other
-class (1.0 or 0.0), and 0.5 with none at all; repeated rows get equal scores.
+class (1.0 or 0.0), and 0.5 with none at all; repeated rows get equal scores; a label counts for
+every row of its doc_id, and rows without an id are scored but teach nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, slices
+from .common import digest, held_out, materialize, slices
 
 STATS = ["log_words", "word_len", "punct", "upper", "alpha_words", "upper_words", "repeats", "distinct", "line_dups"]
 
@@ -52,15 +53,15 @@ def statistics(text: str | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and one double column per statistic; texts stay inside the Arrow batches."""
+    """doc_id, the text's digest ``_key`` and one double column per statistic; texts stay inside the Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x = np.array([statistics(t) for t in b.column(1).to_pylist()], dtype=np.float64).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, i]) for i in range(len(STATS))]], names=["doc_id", *STATS])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(x[:, i]) for i in range(len(STATS))]], names=["doc_id", "_key", *STATS])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{s} double" for s in STATS))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), digest(text).alias("_key")).mapInArrow(run, f"doc_id {kind}, _key binary, " + ", ".join(f"{s} double" for s in STATS))
 
 
 @dataclass(frozen=True)
@@ -108,22 +109,27 @@ def fit(stats: DataFrame, labels: DataFrame, diagonal: float = 0.05, pooled: flo
     return Discriminant(mean, inverse, offset)
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``, learnt from rows that aren't held out."""
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, _key, score, predicted for every row of ``docs``, learnt from rows that aren't held out."""
     stats = materialize(with_statistics(docs), "quality")
     model = fit(stats.where(~held_out()), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.column_stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(STATS))]).reshape(-1, len(STATS))
+            x = np.column_stack([b.column(i + 2).to_numpy(zero_copy_only=False) for i in range(len(STATS))]).reshape(-1, len(STATS))
             s = model.score(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "_key", "score", "predicted"])
 
     kind = stats.schema["doc_id"].dataType.simpleString()
-    return stats.mapInArrow(run, f"doc_id {kind}, score double, predicted int").select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return stats.mapInArrow(run, f"doc_id {kind}, _key binary, score double, predicted int")
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``."""
+    return scored(docs, labels).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier doesn't reject."""
-    bad = classify(docs.select("doc_id", "text"), labels).where(F.col("predicted") == 0).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """The rows of ``docs``, all columns, that the classifier doesn't reject: each by its own text, with or without an id."""
+    bad = scored(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("_bad"), F.col("_key").alias("_bad_key"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (digest(docs["text"]) == bad["_bad_key"]), "left_anti")

@@ -76,20 +76,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 DECONTAMINATION_SQL = f"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS win
        FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, (len(w) - least(len(w), 10) + 2)::BIGINT)) AS i FROM b WHERE len(w) > 0)),
 ln AS (SELECT DISTINCT n FROM bw),
-dw AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
-       FROM (SELECT doc_id, n, w, unnest(range(1, (len(w) - n + 2)::BIGINT)) AS i FROM d, ln WHERE len(w) >= n)),
-hit AS (SELECT dw.doc_id, dw.n, dw.i, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
-pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS h
-          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id)
+dw AS (SELECT rid, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
+       FROM (SELECT rid, n, w, unnest(range(1, (len(w) - n + 2)::BIGINT)) AS i FROM d, ln WHERE len(w) >= n)),
+hit AS (SELECT dw.rid, dw.n, dw.i, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS h
+          FROM (SELECT DISTINCT rid, item_id::VARCHAR AS s FROM hit) GROUP BY rid)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+FROM d LEFT JOIN pos ON pos.rid = d.rid LEFT JOIN items ON items.rid = d.rid
 """
 
 CHAT_SQL = """

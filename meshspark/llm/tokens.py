@@ -44,7 +44,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from .common import shared_dir, worker_state
+from ..storage import shared_dir
+from .common import worker_state
 
 MAGIC, VERSION, GAMMA = b"TKID", 1, 1.5
 #: Pieces in each of the two generations that one Python worker's encoder keeps.

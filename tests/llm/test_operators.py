@@ -70,6 +70,36 @@ def test_quality(spark, docs, rows, empty):
     assert set(quality.keep_good(docs, labels).columns) == set(docs.columns)
 
 
+def test_quality_scores(spark, docs, rows):
+    """Scores equal Gaussian log-density differences computed in numpy; every row is kept by its own text."""
+    labels = labels_of(spark, rows)
+    lab = {r.doc_id: r.quality for r in labels.where("quality in (0, 1)").collect()}
+    train = [(lab[i], quality.statistics(t)) for i, t, *_ in rows if i in lab and i is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    x = {k: np.array([v for q, v in train if q == k]) for k in (0, 1)}
+    n = {k: len(v) for k, v in x.items()}
+    cov = {k: np.cov(x[k].T, bias=True) for k in (0, 1)}
+    both = sum(n[k] * cov[k] for k in (0, 1)) / sum(n.values())
+
+    def log_density(k, v):
+        a = 0.9 * cov[k] + 0.1 * both
+        a = 0.95 * a + 0.05 * np.diag(np.diag(a)) + 1e-4 * np.eye(len(a))
+        u = v - x[k].mean(axis=0)
+        return np.log(n[k]) - 0.5 * np.linalg.slogdet(a)[1] - 0.5 * u @ np.linalg.solve(a, u)
+
+    want = {}
+    for i, t, *_ in rows:
+        v = np.array(quality.statistics(t))
+        want[i] = 1 / (1 + np.exp(np.clip(log_density(0, v) - log_density(1, v), -700, 700)))
+    got = quality.classify(docs, labels).collect()
+    assert all(r.score == pytest.approx(want[r.doc_id], abs=1e-6) for r in got)
+    rows2 = [(None, t) for _, t, *_ in rows] + [(1, t) for _, t, *_ in rows]  # no id, and one id for all: labels of 1 count for all its texts
+    d2 = spark.createDataFrame(rows2, "doc_id long, text string")
+    kept = quality.keep_good(d2, labels).collect()
+    by = Counter((r.doc_id, r.text) for r in kept)
+    good = quality.scored(d2, labels).join(d2.select(F.col("doc_id").alias("i"), "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("m")).distinct(), F.col("doc_id").eqNullSafe(F.col("i")) & (F.lower(F.hex("_key")) == F.col("m")))
+    assert sum(by.values()) == quality.scored(d2, labels).where("predicted = 1").count() and set(by) <= {(r.doc_id, r.text) for r in good.where("predicted = 1").collect()}
+
+
 def test_quality_moments(spark, docs, rows):
     """The fitted model equals one computed from the rows in numpy."""
     labels = labels_of(spark, rows)
@@ -353,13 +383,32 @@ def test_decontamination(spark, docs, rows, empty, short):
     got = decontam.contamination(docs, b).collect()
     assert len(got) == len(rows)
     want = brute_windows(rows, bench)
-    assert {x.doc_id: tuple(x)[1:] for x in got if x.doc_id is not None} == {k: v for k, v in want.items() if k is not None}
+    assert {x.doc_id: tuple(x)[1:] for x in got} == want
     assert decontam.contamination(empty, b).collect() == []
     assert not any(x.contaminated for x in decontam.contamination(docs, b.limit(0)).collect())
     left = decontam.clean(docs, b)
     assert left.columns == docs.columns and left.count() == sum(not want[i][4] for i, *_ in rows)
 
 
+def test_decontamination_of_rows(spark):
+    """Rows without an id, and different texts of one id, get figures of their own; SQL says the same."""
+    import duckdb
+
+    from meshspark.llm import queries
+
+    held = "one two three four five six seven eight nine ten eleven"
+    data = [(None, f"a {held} b"), (None, "clean"), (3, f"zz {held} yy"), (3, "zz yy"), (3, "zz yy"), (4, None), (None, None), (5, held.upper()), (5, held.upper())]
+    d = spark.createDataFrame(data, "doc_id long, text string").withColumns({"_key": F.lit(1), "_did": F.lit(2)})
+    b = spark.createDataFrame([(1, held)], "item_id long, text string")
+    want = sorted(((i, *v) for i, t in data for v in brute_windows([(i, t)], [(1, held)]).values()), key=repr)
+    assert sorted(map(tuple, decontam.contamination(d, b).collect()), key=repr) == want
+    assert sorted(((r.doc_id, r.text) for r in decontam.clean(d, b).collect()), key=repr) == sorted(((i, t) for i, t in data if not t or "one" not in t.lower()), key=repr)
+    con = duckdb.connect()
+    con.register("documents", d.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+    con.register("benchmark", b.toPandas())
+    assert sorted(con.execute(queries.DECONTAMINATION_SQL).fetchall(), key=repr) == want
+
+
 @pytest.mark.parametrize("n", range(1, 11))
 def test_winnowing_guarantee(spark, n):
     """A shared span of n words shares the fingerprint of that length, wherever it stands."""
