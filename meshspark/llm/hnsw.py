@@ -1,27 +1,35 @@
 """Embedding near-duplicates over hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors collapse first (so a vector that fills a third of the table is one node with a
-multiplicity).  Distinct vectors are dealt to shards by hash; each shard's graph is built in one
-task and stored in the shared folder.  Every vector queries every shard.  A query's beam widens
-fourfold until the worst vector in it lies under the threshold, so that all neighbours are inside;
-the base width of a shard is chosen by audits: sampled queries are compared with brute force over
-the shard, and the beam doubles until the recall reaches ``AUDIT``.  Every hit is verified by cosine
-in double precision.  Query tasks return counts of linked vectors and a spanning forest of the
-links they saw, linear in queries and touched nodes, which connected components then unite.
+multiplicity).  Distinct vectors are dealt to shards of bounded bytes by hash; each shard's graph is
+built in one task and stored in the shared folder beside its vectors.  Every shard's vectors query every shard: a task
+reads the two files, so that no vector is shuffled to its queries.  A query's beam widens fourfold until
+the worst vector in it lies under the threshold, so that all neighbours are inside; from a beam of one in
+``WIDE`` of the shard on, scanning the shard is cheaper, and exact.
+
+Before a shard's vectors ask another shard (or their own) the pair is audited: against brute force on
+sampled vectors, whose matches with themselves don't count, and on vectors planted beside sampled ones of the
+asked shard, just above the threshold.  The base beam doubles until both recalls reach ``AUDIT``, and where no
+beam does, the shard is scanned.  ``search`` returns the audits.  Every hit is verified by cosine in
+double precision.  Query tasks return counts of linked vectors and a spanning forest of the links they
+saw, linear in queries and touched nodes, which connected components then unite.
 
 Insertion and search run in numpy over batches of vectors.  Each level's lists come from the
 usual diversity rule: a candidate is kept if it is closer to the new vector than to any kept one.
 
 Defined edge cases: vectors that are null, empty, zero or hold null or non-finite components get
-0 links and are their own component; vectors of different lengths never link; repeated vec_ids
-are rows of their own with equal results; an empty table gives no rows.
+0 links and are their own component; vectors of different lengths never link; rows that repeat a vec_id are
+rows of their own, each with the links of its own vector; rows without a vec_id count as vectors, but
+name no component (one of such rows alone has a null component); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import pickle
+import struct
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +37,6 @@ import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..storage import shared_dir
 from .common import materialize
@@ -37,9 +44,14 @@ from .components import components
 
 THRESHOLD = 0.95
 LINKS, BUILD_BEAM, BASE_BEAM, BATCH = 16, 64, 32, 512
-AUDIT, AUDIT_QUERIES = 0.99, 128
-#: Shards: at least MIN_SHARDS, more where one would pass SHARD_ROWS vectors.
-MIN_SHARDS, SHARD_ROWS = 6, 262_144
+#: Recall to reach; sampled vectors at first and at most (more are drawn until AUDIT_LINKS links are seen); planted ones.
+AUDIT, AUDIT_QUERIES, AUDIT_MOST, AUDIT_LINKS, PLANTED = 0.99, 128, 2_048, 64, 128
+#: Beams of n / WIDE vectors and more give way to a scan of the shard.
+WIDE = 16
+#: Shards for vectors of one length: at least MIN_SHARDS (less where they would hold under SHARD_LEAST vectors), more where one would pass SHARD_BYTES.
+MIN_SHARDS, SHARD_LEAST, SHARD_BYTES = 6, 64, 128 << 20
+#: Row numbers within a shard take so many bits of a node's number.
+ROW_BITS = 32
 
 
 class Graph:
@@ -152,17 +164,17 @@ class Graph:
 
 
 class Index:
-    """A hierarchy of graphs over the vectors of one shard, with their ids and multiplicities."""
+    """A hierarchy of graphs over the vectors of one shard."""
 
-    def __init__(self, ids: list, many: np.ndarray, vectors: np.ndarray, seed: int = 0):
+    def __init__(self, vectors: np.ndarray, seed: int = 0):
+        """``vectors``: unit vectors in double precision; ``order`` tells which of them stands at each row."""
         rng = np.random.default_rng(seed)
-        level = np.minimum(rng.exponential(1 / np.log(LINKS), len(ids)).astype(int), 6)
-        order = np.argsort(-level, kind="stable")
-        self.ids, self.many, self.exact = [ids[i] for i in order], many[order], vectors[order]
+        level = np.minimum(rng.exponential(1 / np.log(LINKS), len(vectors)).astype(int), 6)
+        self.order = np.argsort(-level, kind="stable")
+        self.exact = vectors[self.order]
         self.x = self.exact.astype(np.float32)
         sizes = [int((level >= k).sum()) for k in range(level.max(initial=0) + 1)]
         self.levels: list[Graph] = []
-        self.beam = BASE_BEAM
         for k in range(len(sizes) - 1, -1, -1):
             if k and sizes[k] <= 2 * LINKS and k < len(sizes) - 1:
                 continue
@@ -170,17 +182,15 @@ class Index:
             above = list(self.levels)
             g.insert(sizes[k], lambda rows, above=above, g=g: self.entries(self.x[rows], above, g.n))
             self.levels.append(g)
-        self.audit(rng)
 
-    def state(self) -> tuple:
-        """Plain arrays that ``restore`` turns into the index again."""
-        return self.ids, self.many, self.exact, self.beam, [(g.n, g.width, g.near) for g in self.levels]
+    def state(self) -> list[tuple]:
+        """What ``restore`` makes the index from, beside its vectors."""
+        return [(g.n, g.width, g.near) for g in self.levels]
 
     @classmethod
-    def restore(cls, state: tuple) -> Index:
+    def restore(cls, exact: np.ndarray, levels: list[tuple]) -> Index:
         self = cls.__new__(cls)
-        self.ids, self.many, self.exact, self.beam, levels = state
-        self.x, self.levels = self.exact.astype(np.float32), []
+        self.exact, self.x, self.levels = exact, exact.astype(np.float32), []
         for n, width, near in levels:
             g = Graph(self.x[:n], 0)
             g.n, g.width, g.near = n, width, near
@@ -194,37 +204,94 @@ class Index:
             at = g.search(q, at, 16)[0][:, :4]
         return np.where(at < n, at, 0)
 
-    def query(self, q: np.ndarray, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) pairs whose cosine, in double precision, reaches the threshold."""
-        left, beam, found = np.arange(len(q)), beam or self.beam, []
-        q32, base = q.astype(np.float32), self.levels[-1]
+    def scan(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) pairs near the threshold or above it, by brute force."""
+        got = [np.nonzero(q @ self.exact[lo : lo + 8192].T >= THRESHOLD - 1e-9) for lo in range(0, len(self.exact), 8192)]
+        return np.concatenate([r for r, _ in got]), np.concatenate([c + 8192 * k for k, (_, c) in enumerate(got)])
+
+    def query(self, q: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, row) pairs whose cosine, in double precision, reaches the threshold, in parts of bounded size."""
+        n, left, q32, base = len(self.exact), np.arange(len(q)), q.astype(np.float32), self.levels[-1]
         while len(left):
-            rest = []
-            step = max(1, min(BATCH, 32_000_000 // max(1, base.n)))
+            rest, exact = [], beam * WIDE >= n
+            step = max(1, min(BATCH, 32_000_000 // n)) if not exact else max(1, min(BATCH, 4_000_000 // n))
             for lo in range(0, len(left), step):
                 part = left[lo : lo + step]
-                ids, sims = base.search(q32[part], self.entries(q32[part], self.levels[:-1], base.n), beam)
-                full = (sims[:, -1] >= THRESHOLD - 1e-4) & (ids[:, -1] >= 0) & (beam < base.n)
-                rest.append(part[full])
-                r, c = np.nonzero((sims >= THRESHOLD - 1e-4) & (ids >= 0) & ~full[:, None])
-                found.append((part[r], ids[r, c]))
-            left, beam = np.concatenate(rest), beam * 4
-        i = np.concatenate([f[0] for f in found]) if found else np.zeros(0, int)
-        j = np.concatenate([f[1] for f in found]) if found else np.zeros(0, int)
-        ok = np.concatenate([np.einsum("id,id->i", q[i[a : a + 65536]], self.exact[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0)]) >= THRESHOLD
-        return i[ok], j[ok]
-
-    def audit(self, rng: np.random.Generator) -> None:
-        """Double the base beam until sampled queries find AUDIT of what brute force finds."""
-        n = len(self.ids)
-        pick = rng.choice(n, min(n, AUDIT_QUERIES), replace=False)
-        truth = sum(int(((self.exact[lo : lo + 8192] @ self.exact[pick].T) >= THRESHOLD).sum()) for lo in range(0, n, 8192))
-        self.recall = 1.0
-        while self.beam < n:
-            self.recall = len(self.query(self.exact[pick])[0]) / max(1, truth)
-            if self.recall >= AUDIT:
+                if exact:
+                    i, j = self.scan(q[part])
+                else:
+                    ids, sims = base.search(q32[part], self.entries(q32[part], self.levels[:-1], base.n), beam)
+                    full = (sims[:, -1] >= THRESHOLD - 1e-4) & (ids[:, -1] >= 0)
+                    rest.append(part[full])
+                    i, c = np.nonzero((sims >= THRESHOLD - 1e-4) & (ids >= 0) & ~full[:, None])
+                    j = ids[i, c]
+                i = part[i]
+                ok = np.concatenate([np.einsum("id,id->i", q[i[a : a + 65536]], self.exact[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0)]) >= THRESHOLD
+                yield i[ok], j[ok]
+            left, beam = np.concatenate(rest) if rest else left[:0], beam * 4
+
+    def audit(self, asking: np.ndarray, own: bool, rng: np.random.Generator) -> tuple[int, int, float]:
+        """(beam, links seen, recall): the base beam with which ``asking`` vectors find AUDIT of their links here.
+
+        ``own``: the asking vectors are this shard's rows; a row's match with itself counts on neither side.
+        """
+        n, m = len(self.exact), min(len(asking), AUDIT_QUERIES)
+        drawn = rng.permutation(len(asking))[:AUDIT_MOST]
+        while True:
+            pick = drawn[:m]
+            i, j = self.scan(asking[pick])
+            true = set(zip(i.tolist(), j.tolist(), strict=True))
+            if own:
+                true -= {(k, int(p)) for k, p in enumerate(pick)}
+            if len(true) >= AUDIT_LINKS or m >= len(drawn):
                 break
-            self.beam *= 2
+            m *= 2
+        target = rng.choice(n, min(n, PLANTED), replace=False)
+        noise = rng.normal(size=(len(target), self.exact.shape[1]))
+        x = self.exact[target]
+        noise -= np.einsum("id,id->i", noise, x)[:, None] * x
+        length = np.sqrt((noise * noise).sum(axis=1))[:, None]
+        cos = rng.uniform(THRESHOLD, 1.0, (len(target), 1)) * 0.999 + 0.001
+        planted = np.where(length > 1e-9, cos * x + np.sqrt(1 - cos * cos) * noise / np.maximum(length, 1e-9), x)
+        beam = BASE_BEAM
+        while True:
+            found = {(int(a), int(b)) for i, j in self.query(asking[pick], beam) for a, b in zip(i, j, strict=True)} & true
+            hit = {(int(a), int(b)) for i, j in self.query(planted, beam) for a, b in zip(i, j, strict=True)}
+            real = len(found) / len(true) if true else 1.0
+            recall = min(real, sum((k, int(t)) in hit for k, t in enumerate(target)) / max(1, len(target)))
+            if recall >= AUDIT or beam * WIDE >= n:
+                return beam, len(true), recall
+            beam *= 2
+
+
+class Forest:
+    """Spanning forest of links between nodes 0 .. n - 1 that come in batches; keeps the ends of the links that joined trees."""
+
+    def __init__(self, n: int):
+        self.root, self.a, self.b = np.arange(n), [], []
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        pairs = np.unique(np.stack([self.root[x], self.root[y]], axis=1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        if not len(pairs):
+            return
+        parent: dict[int, int] = {}
+
+        def top(v: int) -> int:
+            while (up := parent.get(v, v)) != v:
+                parent[v] = v = parent.get(up, up)
+            return v
+
+        for s, t in pairs.tolist():
+            s, t = top(s), top(t)
+            if s != t:
+                parent[max(s, t)] = min(s, t)
+                self.a.append(s)
+                self.b.append(t)
+        moved = np.fromiter(parent, np.int64, len(parent))
+        to = np.arange(len(self.root))
+        to[moved] = [top(v) for v in moved.tolist()]
+        self.root = to[self.root]
 
 
 def unit(v) -> np.ndarray | None:
@@ -246,17 +313,37 @@ def _store(path: str, data: bytes) -> None:
         f.write(data)
 
 
-def _load(path: str) -> Index:
-    fs, at = pafs.FileSystem.from_uri(path)
+def _vectors(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(multiplicities, unit vectors) of a shard."""
+    fs, at = pafs.FileSystem.from_uri(path + ".vec")
+    with fs.open_input_file(at) as f:
+        n, d = struct.unpack("<QQ", f.read(16))
+        return np.frombuffer(f.read(8 * n), "<i8"), np.frombuffer(f.read(8 * n * d), "<f8").reshape(n, d)
+
+
+def _graph(path: str) -> list[tuple]:
+    fs, at = pafs.FileSystem.from_uri(path + ".idx")
     with fs.open_input_file(at) as f:
-        return Index.restore(pickle.loads(f.read()))  # written by our own tasks
+        return pickle.loads(f.read())  # written by our own tasks
+
+
+@dataclass(frozen=True)
+class Near:
+    """``rows``: vec_id, n_links, component_id, kept; ``audits``: asking and asked shard, base beam, links seen, recall."""
+
+    rows: DataFrame
+    audits: DataFrame
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
+    return search(vectors).rows
+
+
+def search(vectors: DataFrame) -> Near:
+    """Results for every row of ``vectors`` (vec_id, embedding), and the audits behind them."""
     spark = vectors.sparkSession
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    arrow_kind = to_arrow_type(vectors.schema["vec_id"].dataType)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,70 +358,82 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"), F.first("_raw").alias("_raw")
     )
     nodes = materialize(nodes, "vec-nodes")
-    sizes = nodes.groupBy("_dim").count().collect()  # a row for each vector length
-    shards = max([MIN_SHARDS, *(-(-r["count"] // SHARD_ROWS) for r in sizes)])
+    plan, upto = [], 0
+    for r in sorted(nodes.groupBy("_dim").count().collect()):  # a row for each vector length
+        shards = max(min(MIN_SHARDS, -(-r["count"] // SHARD_LEAST)), -(-r["count"] * r["_dim"] // SHARD_BYTES))
+        plan.append((r["_dim"], upto, upto + shards))
+        upto += shards
+    of_dim = spark.createDataFrame(plan, "_d int, _from long, _to long")
     folder = f"{shared_dir(spark)}/meshspark/hnsw-{uuid.uuid4().hex}"
-    placed = nodes.withColumn("_shard", F.pmod(F.xxhash64("_key"), F.lit(shards)).cast("int"))
+    placed = nodes.join(F.broadcast(of_dim), F.col("_dim") == F.col("_d")).select(
+        "_key", "many", "_raw", (F.col("_from") + F.pmod(F.xxhash64("_key"), F.col("_to") - F.col("_from"))).alias("_shard"), "_from", "_to"
+    )
 
     def build(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("rep")
-        x = np.frombuffer(b"".join(pdf["_raw"]), np.float64).reshape(len(pdf), -1)
-        index = Index(pdf["rep"].tolist(), pdf["many"].to_numpy(), x)
-        # a name of its own for every attempt; only the row that counts tells it
-        path = f"{folder}/{pdf['_dim'].iloc[0]}-{pdf['_shard'].iloc[0]}-{uuid.uuid4().hex}"
-        _store(path, pickle.dumps(index.state(), protocol=5))
-        return pd.DataFrame({"_d": [pdf["_dim"].iloc[0]], "_s": [pdf["_shard"].iloc[0]], "path": [path], "beam": [index.beam], "recall": [index.recall]})
-
-    built = materialize(placed.groupBy("_dim", "_shard").applyInPandas(build, "_d int, _s int, path string, beam long, recall double"), "vec-shards")
-    # every vector against every shard of its length, in tasks that hold one shard at a time
-    asks = nodes.select("rep", "_raw", "_dim").join(F.broadcast(built), F.col("_dim") == F.col("_d"))  # a row a shard: bounded by SHARD_ROWS
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asks = asks.select("path", "rep", "_raw").repartition(max(parts, shards), "path", F.pmod(F.xxhash64("rep"), F.lit(64))).sortWithinPartitions("path")
+        pdf = pdf.sort_values("_key", ignore_index=True)
+        index = Index(np.frombuffer(b"".join(pdf["_raw"]), np.float64).reshape(len(pdf), -1))
+        # a name of its own for every attempt; only the rows that count tell it
+        shard = int(pdf["_shard"].iloc[0])
+        path = f"{folder}/{shard}-{uuid.uuid4().hex}"
+        many = pdf["many"].to_numpy()[index.order].astype("<i8")
+        _store(path + ".vec", struct.pack("<QQ", *index.exact.shape) + many.tobytes() + index.exact.astype("<f8").tobytes())
+        _store(path + ".idx", pickle.dumps(index.state(), protocol=5))
+        first = [path] + [None] * (len(pdf) - 1)
+        return pd.DataFrame({"_n": (shard << ROW_BITS) + np.arange(len(pdf)), "_k": pdf["_key"].to_numpy()[index.order], "path": first, "_s": shard, "_a": pdf["_from"], "_b": pdf["_to"]})
+
+    built = materialize(placed.groupBy("_shard").applyInPandas(build, "_n long, _k binary, path string, _s long, _a long, _b long"), "vec-built")
+    files = materialize(built.where("path is not null").select("_s", "path", "_a", "_b"), "vec-shards")  # a row a shard
+    # every shard's vectors against every shard of their length: a row for each two shards, whose number bytes bound
+    two = files.select("_s", "path", F.explode(F.sequence("_a", F.col("_b") - 1)).alias("_t"))
+    two = two.join(files.select(F.col("_s").alias("_t"), F.col("path").alias("_asked")), "_t").select(F.col("_t"), "_asked", F.col("_s"), "path")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    two = two.repartition(tasks, F.xxhash64("_t", "_s")).sortWithinPartitions("_t", "_s")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = [None, None]
+        held: list = [None, None, None]
         for b in batches:
-            paths = b.column(0).to_pylist()
-            for path in dict.fromkeys(paths):
-                if held[0] != path:
-                    held[:] = [None, None]
-                    held[:] = [path, _load(path)]
-                index = held[1]
-                at = [i for i, p in enumerate(paths) if p == path]
-                reps = b.column(1).take(pa.array(at)).to_pylist()
-                q = np.frombuffer(b"".join(b.column(2).take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), -1)
-                i, j = index.query(q)
-                other = np.array([reps[a] != index.ids[c] for a, c in zip(i, j, strict=True)], bool)
-                i, j = i[other], j[other]
-                count = np.bincount(i, weights=index.many[j], minlength=len(reps)).astype(np.int64)
-                parent: dict = {}
-
-                def root(v, parent=parent):
-                    while parent.setdefault(v, v) != v:
-                        parent[v] = parent[parent[v]]
-                        v = parent[v]
-                    return v
-
-                a_, b_ = [], []
-                for s, t in zip(i.tolist(), j.tolist(), strict=True):
-                    x, y = root(reps[s]), root(index.ids[t])
-                    if x != y:
-                        parent[x] = y
-                        a_.append(reps[s])
-                        b_.append(index.ids[t])
+            for t, asked, s, path in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if held[0] != asked:
+                    held[:] = [None, None, None]
+                    weight, exact = _vectors(asked)
+                    held[:] = [asked, weight, Index.restore(exact, _graph(asked))]
+                _, weight, index = held
+                own = path == asked
+                q = index.exact if own else _vectors(path)[1]
+                beam, links, recall = index.audit(q, own, np.random.default_rng([s, t]))
+                base = 0 if own else len(q)
+                count, forest = np.zeros(len(q), np.int64), Forest(base + len(index.exact))
+                for i, j in index.query(q, beam):
+                    if own:
+                        i, j = i[i != j], j[i != j]
+                    np.add.at(count, i, weight[j])
+                    forest.add(i, j + base)
                 some = np.nonzero(count)[0]
+                ends = []
+                for e in (forest.a, forest.b):
+                    e = np.array(e, np.int64)
+                    ends.append(np.where(e < base, (s << ROW_BITS) + e, (t << ROW_BITS) + e - base))
+                n, m = len(some), len(ends[0])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([reps[k] for k in some] + a_, arrow_kind), pa.array([None] * len(some) + b_, arrow_kind), pa.array([*count[some].tolist(), *[0] * len(a_)], pa.int64())],
-                    names=["a", "b", "n"],
+                    [
+                        pa.array(np.repeat(np.array([0, 1, 2], np.int32), [n, m, 1])), pa.array(np.concatenate([(s << ROW_BITS) + some, ends[0], [s]])),
+                        pa.array(np.concatenate([count[some], ends[1], [t]])), pa.array([None] * (n + m) + [beam], pa.int64()),
+                        pa.array([None] * (n + m) + [links], pa.int64()), pa.array([None] * (n + m) + [recall], pa.float64()),
+                    ],
+                    names=["kind", "a", "b", "beam", "links", "recall"],
                 )
 
-    seen = materialize(asks.mapInArrow(ask, f"a {kind}, b {kind}, n long"), "vec-links")
-    counts = seen.where("b is null").groupBy("a").agg(F.sum("n").alias("_n")).select(F.col("a").alias("_a"), "_n")
-    comp = components(seen.where("b is not null").select("a", "b"), "vec")
-    facts = nodes.join(counts, F.col("rep") == F.col("_a"), "left").join(comp, F.col("rep") == F.col("id"), "left")
-    facts = facts.select(F.col("_key").alias("_k"), (F.coalesce("_n", F.lit(0)) + F.col("many") - 1).alias("_links"), F.coalesce("component", "rep").alias("_comp"))
+    seen = materialize(two.mapInArrow(ask, "kind int, a long, b long, beam long, links long, recall double"), "vec-links")
+    counts = seen.where("kind = 0").groupBy("a").agg(F.sum("b").alias("_links")).select(F.col("a").alias("_a"), "_links")
+    comp = components(seen.where("kind = 1").select("a", "b"), "vec")
+    known = built.select(F.col("_n"), "_k").join(nodes.select("_key", "rep", "many"), F.col("_k") == F.col("_key")).select("_n", "_k", "rep", "many")
+    known = known.join(counts, F.col("_n") == F.col("_a"), "left").join(comp, F.col("_n") == F.col("id"), "left")
+    known = materialize(known.select("_k", "rep", (F.coalesce("_links", F.lit(0)) + F.col("many") - 1).alias("_links"), F.coalesce("component", "_n").alias("_c")), "vec-known")
+    least = known.groupBy(F.col("_c").alias("_c2")).agg(F.min("rep").alias("_comp"))
+    facts = known.join(least, F.col("_c") == F.col("_c2")).select("_k", "_links", "_comp")
     out = rows.select("vec_id", "_key").join(facts, F.col("_key") == F.col("_k"), "left")
     out = out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_comp", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    audits = seen.where("kind = 2").select(F.col("a").alias("asking"), F.col("b").alias("asked"), "beam", "links", "recall")
+    return Near(out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), audits)

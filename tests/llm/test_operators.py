@@ -527,6 +527,84 @@ def test_vectors(spark):
     assert {r.vec_id: r.n_links for r in narrow} == {i: int(i in (2006, 2007)) for i in range(2000, 2008)}
 
 
+def brute_vectors(rows):
+    """(vec_id, links, component) of every row: brute force over all rows with usable vectors of one length."""
+    m = np.array([e for _, e in rows], np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    near = m @ m.T >= 0.95
+    root = np.arange(len(rows))
+    while True:
+        new = np.where(near, root[None, :], len(rows)).min(axis=1)
+        if (new == root).all():
+            break
+        root = new[new]
+    ids = [i for i, _ in rows]
+    least = {k: min((ids[i] for i in range(len(rows)) if root[i] == k and ids[i] is not None), default=None) for k in set(root.tolist())}
+    return Counter((i, int(n) - 1, least[int(k)]) for i, n, k in zip(ids, near.sum(axis=1), root, strict=True))
+
+
+def vector_rows(r, n=900):
+    """Clusters around few vectors, some dense, and vectors that stand alone."""
+    centre = r.normal(size=(40, 16))
+    x = np.concatenate([r.normal(size=(n // 2, 16)), centre[r.integers(0, 40, n // 4)], np.repeat(centre[:2], n // 8, axis=0)])
+    return x + 0.03 * r.normal(size=x.shape)
+
+
+def test_vectors_equal_brute_force(spark):
+    """All columns of ordinary, repeated and nameless rows; every audit reaches its recall."""
+    x = vector_rows(np.random.default_rng(3))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3, x[700].tolist()), (3, x[1].tolist()), (3, x[1].tolist()), (None, x[700].tolist()), (None, [9.0] * 15 + [-70.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = hnsw.search(v)
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got.rows.collect()) == brute_vectors(rows)
+    audits = got.audits.collect()
+    assert len(audits) == hnsw.MIN_SHARDS**2 and all(a.recall >= hnsw.AUDIT for a in audits)
+
+
+def test_vectors_audit_sees_lost_links(spark, monkeypatch):
+    """A graph whose search finds nothing, or nothing but the vector itself, fails the audit; then the shard is scanned."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(3000, 16))
+    x[2992:] = x[:8] + 0.01 * r.normal(size=(8, 16))  # eight near pairs
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = hnsw.Index(x)
+    assert index.audit(index.exact, True, r)[::2] == (hnsw.BASE_BEAM, 1.0)
+
+    def itself(self, q, entry, beam):
+        ids = np.full((len(q), min(beam, self.n)), -1)
+        sims = np.full(ids.shape, -np.inf, np.float32)
+        s = q @ self.x[: self.n].T
+        ids[:, 0], sims[:, 0] = s.argmax(axis=1), s.max(axis=1)
+        same = sims[:, 0] > 1 - 1e-6
+        return np.where(same[:, None], ids, -1), np.where(same[:, None], sims, -np.inf)
+
+    for stub in (itself, lambda self, q, entry, beam: (np.full((len(q), 1), -1), np.full((len(q), 1), -np.inf, np.float32))):
+        with monkeypatch.context() as m:
+            m.setattr(hnsw.Graph, "search", stub)
+            beam, _, recall = index.audit(index.exact, True, r)
+            assert beam * hnsw.WIDE >= len(x) and recall == 1.0
+    rows = [(i, v.tolist()) for i, v in enumerate(vector_rows(r, 400))]
+    monkeypatch.setattr(hnsw.Graph, "search", itself)
+    assert Counter((g.vec_id, g.n_links, g.component_id) for g in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()) == brute_vectors(rows)
+
+
+def test_vectors_recall_at_size():
+    """A shard of 20,000 vectors by graph alone: what brute force finds is found."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(20_000, 24))
+    x[10_000:] = x[r.integers(0, 10_000, 10_000)] + 0.04 * r.normal(size=(10_000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = hnsw.Index(x)
+    q = index.exact[:1000]
+    beam, links, recall = index.audit(q, False, r)
+    i, j = index.scan(q)
+    ok = np.einsum("id,id->i", q[i], index.exact[j]) >= hnsw.THRESHOLD
+    found = {p for a, b in index.query(q, beam) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    assert beam * hnsw.WIDE < len(x) and recall >= hnsw.AUDIT and links >= hnsw.AUDIT_LINKS
+    true = set(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
+    assert found <= true and len(found) >= 0.98 * len(true)
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
