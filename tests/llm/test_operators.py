@@ -687,3 +687,42 @@ def test_sources_below_a_block(spark, blocks):
     got = {s: x.taken for (s, _), x in zip(sizes.items(), sorted(mixing.mix(d, blocks).collect(), key=lambda x: x.doc_id), strict=True)}
     assert all(abs(got[s] - want[s]) <= 2 for s in want if s != "big") and abs(got["big"] - want["big"]) <= 32
     assert abs(sum(got.values()) - sum(want.values())) <= 1
+
+
+def test_mixing_by_shards(spark):
+    """A thousand tiny sources and a huge one, of many shards: each source takes its target to a word or its stated bound."""
+    r = random.Random(13)
+    rows = [(i, "w " * r.randint(1, 9), f"t{i:04}") for i in range(1000)]
+    rows += [(2000 + i, "w " * r.randint(0, 60), "huge") for i in range(4000)] + [(9000 + i, "w " * r.randint(1, 60), "more") for i in range(700)] + [(7, "copy " * 5, "huge")] * 1500
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(9)
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = brute_targets(sizes)
+    out = mixing._taken(d, 10_000, 0, mixing.SHARDS).collect()
+    taken = Counter()
+    for x in out:
+        taken[x.source] += x.taken
+        assert 0 <= x.taken <= 3 * x.size
+    assert len(out) == len(rows) and all(abs(taken[s] - want[s]) <= 1 for s in want if s != "huge") and abs(taken["huge"] - want["huge"]) <= 500
+    assert abs(sum(taken.values()) - sum(sizes.values())) <= 1
+    # every shard of the huge source gives its part: a document is taken short only where a shard's part begins or ends
+    full = int(taken["huge"] / sizes["huge"])
+    assert sum(1 for x in out if x.source == "huge" and 0 < x.taken - full * x.size < x.size) <= 2 * mixing.SHARDS
+    words = Counter()
+    for x in mixing.mixed(d).collect():
+        words[x.source] += len(x.text.split())
+    assert all(abs(words[s] - want[s]) <= 30 * mixing.SHARDS + 1 for s in ("huge", "more"))
+
+
+def test_chosen_stretches(spark):
+    """Stretches lie apart, within the source, and hold the words of the rest, also at large counts."""
+    cases = [(s, w, b, n) for s in (1, 7, 1000, 10**13 + 7) for w in (1, s // 2, s - 1, s, 2 * s + s // 3, 3 * s) for b in (1, 3, 10**9) for n in (1, 200, 10**9) if 0 < w <= 3 * s]
+    d = spark.createDataFrame([(str(i), s, w, b, n) for i, (s, w, b, n) in enumerate(cases)], "source string, source_size long, words long, block long, docs long")
+    for x in mixing._chosen(d, 16).collect():
+        s, w, b, n = cases[int(x._s)]
+        cuts = [v for p in zip(x._from, x._to) for v in p]
+        assert x._full == w // s and cuts == sorted(cuts) and cuts[0] >= 0 and cuts[-1] <= s
+        parts = [t - f for f, t in zip(x._from, x._to)]
+        assert sum(parts) == w % s and all(p % b == 0 for p in parts[:-1])
+        assert max(p // b for p in parts) - min(p // b for p in parts) <= 1 and len(parts) == max(1, min(16, n // 64, w % s // b))
