@@ -178,5 +178,5 @@ def mixed(docs: DataFrame, blocks: int = 10_000, seed: int = 0, shards: int = SH
     if split.isEmpty():
         return out
     found = docs.join(F.broadcast(split), docs["doc_id"].eqNullSafe(split["_d"]) & docs["source"].eqNullSafe(split["_s"]) & (digest(docs["text"]) == split["_k"]), "left_semi")
-    one = found.groupBy("doc_id", "source", "text").agg(F.first(F.struct(*[found[c] for c in docs.columns])).alias("_row")).select("_row.*")
+    one = materialize(found.groupBy("doc_id", "source", "text").agg(F.first(F.struct(*[found[c] for c in docs.columns])).alias("_row")).select("_row.*"), "mix-split")
     return out.union(copies(one, split, "_more"))
