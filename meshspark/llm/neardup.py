@@ -1,45 +1,81 @@
 """Near-duplicates: MinHash bands for candidates, sequential Bayesian pruning, exact verification, components.
 
-1. Each document becomes the set of its hashed word 5-grams, with ``BANDS * ROWS`` MinHash values.
-   Documents with equal sets collapse to one representative, the smallest id.
+1. Each document becomes the set of its hashed word 5-grams, with ``HASHES`` MinHash values.
+   Documents with equal sets collapse to one representative, which gets a number.
 2. Representatives meet in bands of equal values.  Within a band only *stars* are compared: each
    member with one centre.  Pairs are compared in batches of signature values and dropped once the
    posterior probability that their similarity reaches the threshold (uniform prior) falls under
    ``MISS``; survivors are verified on their full sets; verified links are united.
 3. Bands whose members still lie in several components get other centres, for a few rounds; what
-   remains after those is compared exhaustively inside blocks of bounded size: every pair of blocks
-   that holds two components goes to one task, which prunes, verifies and returns a spanning forest of links.
-So no band is capped and no list of all pairs arises: rows out are linear in the members.
+   remains after those is compared exhaustively in blocks of bounded rows and bytes, each a file of
+   signatures and sets.  A task reads the two files of a pair of blocks that holds two components, the sets
+   only of pairs that survive the batches, and returns a spanning forest of links.  A pair that shares several
+   bands is compared in the first of them alone.
+So no band is capped and no list of all pairs arises: rows out are linear in the members.  Bands with
+more than their share of rows join their centres by broadcast, so that none gathers in one task.
 
-A pair of similarity 0.85 shares no band with probability (1 - 0.85^6)^24 = 1e-5, and is pruned
-with probability about MISS; linked copies usually have several paths to their component.
+``Similarity`` sets the threshold; its bands have as many rows as keep the chance that a pair at the
+threshold shares none under ``LOST``: 6 rows at 0.85 (1e-5), 5 at 0.8 (1.5e-5).  Such a pair is pruned with
+probability about MISS; linked copies usually have several paths to their component.
 
 Defined edge cases: texts without words (null, blank) have empty sets and link with nothing; texts
-of fewer than 5 words are one shingle; repeated rows with one doc_id each get that id's result;
-an empty table gives no rows.  Results compare doc_ids in their natural order.
+of fewer than 5 words are one shingle; rows that repeat a doc_id each count with their own text; rows
+without a doc_id link like others but name no component (one that links with such rows alone has a null
+component_id); an empty table gives no rows.  Results compare doc_ids in their natural order.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize, running, slices
+from ..storage import shared_dir
+from .common import LOWER, UPPER, digest, materialize, running, slices
 from .components import components
 
-SHINGLE, NUM, DEN = 5, 85, 100
-BANDS, ROWS, BATCH, MISS = 24, 6, 24, 1e-6
-HASHES = BANDS * ROWS
-STAR_ROUNDS, BLOCK = 3, 256
-#: Tables of at most this many ids are broadcast in semi-joins; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
+SHINGLE, HASHES, BATCH, MISS, LOST = 5, 144, 24, 1e-6, 2e-5
+#: Rounds of stars; members of a block, and bytes of their sets (one set may be larger).
+STAR_ROUNDS, BLOCK, BLOCK_BYTES = 3, 256, 8 << 20
+#: Keys of at most this many bytes are broadcast in joins; larger tables are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: A band is heavy if it has more than a quarter of a partition's fair share; so at most 4 a partition are.
+HEAVY = 4
+
+
+@dataclass(frozen=True)
+class Similarity:
+    """Links need ``den`` * intersection >= ``num`` * union."""
+
+    num: int
+    den: int = 100
+
+    @property
+    def rows(self) -> int:
+        t = self.num / self.den
+        return max((r for r in range(1, BATCH) if (1 - t**r) ** (HASHES // r) <= LOST), default=1)
+
+    @property
+    def bands(self) -> int:
+        return HASHES // self.rows
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return self.den * both >= self.num * (len(a) + len(b) - both) and both > 0
+
+
+OP4 = Similarity(85)
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -73,7 +109,8 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_matches(threshold: float = NUM / DEN, miss: float = MISS) -> list[tuple[int, int]]:
+@lru_cache
+def least_matches(threshold: float = OP4.num / OP4.den, miss: float = MISS) -> list[tuple[int, int]]:
     """(n, m) per batch: after n values, pairs with fewer than m matches are dropped.
 
     With a uniform prior the posterior of the similarity is Beta(m + 1, n - m + 1), and the
@@ -91,10 +128,10 @@ def least_matches(threshold: float = NUM / DEN, miss: float = MISS) -> list[tupl
     return out
 
 
-def survivors(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def survivors(a: np.ndarray, b: np.ndarray, like: Similarity = OP4) -> np.ndarray:
     """Rows of two signature matrices that survive all batches."""
     alive, matches, at = np.arange(len(a)), np.zeros(len(a), np.int64), 0
-    for n, m in least_matches():
+    for n, m in least_matches(like.num / like.den):
         matches[alive] += (a[alive, at:n] == b[alive, at:n]).sum(axis=1)
         alive, at = alive[matches[alive] >= m], n
         if not len(alive):
@@ -102,17 +139,12 @@ def survivors(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return alive
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return DEN * both >= NUM * (len(a) + len(b) - both) and both > 0
-
-
 def _signatures(values: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values.to_pylist()), "<u4").reshape(-1, HASHES)
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key, sig for every row of ``docs`` (doc_id, text)."""
+    """doc_id, _key (the text's digest), n_shingles, set_key, sig for every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -122,56 +154,74 @@ def describe(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s).astype("<u4").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "_key", "n_shingles", "set_key", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, sig binary")
+    return docs.select("doc_id", "text", digest().alias("_key")).mapInArrow(run, f"doc_id {kind}, _key binary, n_shingles long, set_key binary, sig binary")
 
 
-def band_rows(reps: DataFrame) -> DataFrame:
-    """(band, rep) for each representative and band."""
+def band_rows(reps: DataFrame, like: Similarity) -> DataFrame:
+    """(band, at, rep) for each representative and band; ``at`` is the band's place in the signature."""
+    bands, width = like.bands, 4 * like.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             sig = _signatures(b.column(1))
-            keys = np.empty((len(sig), BANDS), np.int64)
+            keys = np.empty((len(sig), bands), np.int64)
             for i, s in enumerate(sig):
                 raw = s.tobytes()
-                for k in range(BANDS):
-                    keys[i, k] = np.int64(xxhash.xxh3_64_intdigest(raw[k * ROWS * 4 : (k + 1) * ROWS * 4], k) - (1 << 63))
-            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(sig)), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), ids], names=["band", "rep"])
+                for k in range(bands):
+                    keys[i, k] = np.int64(xxhash.xxh3_64_intdigest(raw[k * width : (k + 1) * width], k) - (1 << 63))
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(sig)), bands)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(sig))), ids], names=["band", "at", "rep"])
+
+    return reps.select("rep", "sig").mapInArrow(run, "band long, at int, rep long")
+
+
+def _small(df: DataFrame, bytes_a_row: int) -> DataFrame:
+    return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df
+
 
-    kind = reps.schema["rep"].dataType.simpleString()
-    return reps.select("rep", "sig").mapInArrow(run, f"band long, rep {kind}")
+def _on_row(a: DataFrame, doc_id: Column, key: Column) -> Column:
+    """Rows of ``a`` (doc_id, text) that hold this id and this text."""
+    return a["doc_id"].eqNullSafe(doc_id) & (digest(a["text"]) == key)
 
 
-def _only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose column is in ``ids`` (one distinct column ``_i``)."""
-    small = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return df.join(small, F.col(column) == F.col("_i"), "left_semi")
+def _meet(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` joined to the one row of ``facts`` (_band, .., _n: the band's rows) for their band."""
+    most = HEAVY * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = F.col("_n") * most > rows.count()  # so there are at most that many heavy bands
+    hot, on = facts.where(heavy), F.col("band") == F.col("_band")
+    light = rows.join(F.broadcast(hot.select("_band")), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).union(light.join(facts.where(~heavy), on))
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, text) of the representatives ``ids`` (_i)."""
+    wanted = materialize(reps.join(_small(ids, 8), F.col("rep") == F.col("_i"), "left_semi").select(F.col("rep").alias("node"), "first", "key"), "dup-wanted")
+    wanted = _small(wanted, 48)
+    return materialize(docs.join(wanted, _on_row(docs, wanted["first"], wanted["key"])).select("node", "text").dropDuplicates(["node"]), "dup-texts")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, like: Similarity) -> DataFrame:
     """The pairs (a, b) that survive the batches and whose full sets link."""
-    kind = reps.schema["rep"].dataType.simpleString()
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keep = pa.array(survivors(_signatures(b.column(2)), _signatures(b.column(3))))
+                keep = pa.array(survivors(_signatures(b.column(2)), _signatures(b.column(3)), like))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets: dict[str, np.ndarray] = {}
             keep = []
             for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 if x not in sets:
                     sets = {x: shingles(x)}
-                if linked(sets[x], shingles(y)):
+                if like.linked(sets[x], shingles(y)):
                     keep.append(i)
             k = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(k), b.column(1).take(k)], names=["a", "b"])
@@ -179,102 +229,172 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     sa = reps.select(F.col("rep").alias("_ra"), F.col("sig").alias("_sa"))
     sb = reps.select(F.col("rep").alias("_rb"), F.col("sig").alias("_sb"))
     both = pairs.join(sa, F.col("a") == F.col("_ra")).join(sb, F.col("b") == F.col("_rb")).select("a", "b", "_sa", "_sb")
-    left = materialize(both.mapInArrow(prune, f"a {kind}, b {kind}"), "dup-survivors")
-    ids = left.select(F.col("a").alias("_i")).union(left.select("b")).distinct()
-    texts = materialize(_only(docs.select("doc_id", "text"), "doc_id", ids).dropDuplicates(["doc_id"]), "dup-texts")
-    ta = texts.select(F.col("doc_id").alias("_ia"), F.col("text").alias("_ta"))
-    tb = texts.select(F.col("doc_id").alias("_ib"), F.col("text").alias("_tb"))
+    left = materialize(both.mapInArrow(prune, "a long, b long"), "dup-survivors")
+    texts = _texts(docs, reps, left.select(F.col("a").alias("_i")).union(left.select("b")).distinct())
+    ta = texts.select(F.col("node").alias("_ia"), F.col("text").alias("_ta"))
+    tb = texts.select(F.col("node").alias("_ib"), F.col("text").alias("_tb"))
     full = left.join(ta, F.col("a") == F.col("_ia")).join(tb, F.col("b") == F.col("_ib")).select("a", "b", "_ta", "_tb")
-    return materialize(full.mapInArrow(exact, f"a {kind}, b {kind}"), "dup-links")
-
-
-def _exhaust(rows: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between components within bands ``rows`` (band, rep, comp): every pair of blocks in a task of its own."""
-    kind = reps.schema["rep"].dataType.simpleString()
-    cut = materialize(running(rows, ["band"], [F.col("comp").asc(), F.col("rep").asc()], F.lit(0), "dup-blocks").withColumn("_blk", F.floor(F.col("_rank") / BLOCK)).select("band", "rep", "comp", "_blk"), "dup-cut")
-    blocks = cut.groupBy("band", "_blk").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
-    other = blocks.select(F.col("band").alias("_b2"), F.col("_blk").alias("_blk2"), F.col("_lo").alias("_lo2"), F.col("_hi").alias("_hi2"))
-    mixed = blocks.join(other, (F.col("band") == F.col("_b2")) & (F.col("_blk") <= F.col("_blk2"))).where(~((F.col("_lo") == F.col("_hi")) & (F.col("_lo2") == F.col("_hi2")) & (F.col("_lo") == F.col("_lo2"))))
-    tasks = mixed.select(F.col("band").alias("_b"), F.col("_blk").alias("_i"), F.col("_blk2").alias("_j"))
-    sides = F.array_distinct(F.array("_i", "_j"))
-    wanted = tasks.select("_b", "_i", "_j", F.explode(sides).alias("_side"))
-    ids = cut.select(F.col("rep").alias("_i")).distinct()
-    texts = _only(docs.select("doc_id", "text"), "doc_id", ids).dropDuplicates(["doc_id"])
-    facts = materialize(reps.join(texts, F.col("rep") == F.col("doc_id")).select(F.col("rep").alias("_r"), "sig", "text"), "dup-facts")
-    members = cut.join(facts, F.col("rep") == F.col("_r"))
-    dealt = members.join(wanted, (F.col("band") == F.col("_b")) & (F.col("_blk") == F.col("_side"))).select("_b", "_i", "_j", "_blk", "rep", "comp", "sig", "text")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    return materialize(full.mapInArrow(exact, "a long, b long"), "dup-links")
+
+
+class Block:
+    """Members of a part of a band: numbers, components and signatures; sets are read from the file when asked for."""
+
+    def __init__(self, path: str):
+        fs, at = pafs.FileSystem.from_uri(path)
+        self.file = fs.open_input_file(at)
+        n, facts = np.frombuffer(self.file.read_at(16, 0), "<i8")
+        with np.load(io.BytesIO(self.file.read_at(int(facts), 16))) as f:
+            self.ids, self.comp, self.sig, self.ends = f["ids"], f["comp"], f["sig"], f["ends"]
+        self.base, self.sets = 16 + int(facts), {}
+        assert len(self.ids) == n
+
+    @staticmethod
+    def store(path: str, ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, sets: list[np.ndarray]) -> None:
+        head = io.BytesIO()
+        np.savez(head, ids=ids, comp=comp, sig=sig, ends=np.cumsum([len(x) for x in sets]))
+        facts = head.getvalue()
+        fs, at = pafs.FileSystem.from_uri(path)
+        fs.create_dir(at.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(at) as f:
+            f.write(np.array([len(ids), len(facts)], "<i8").tobytes() + facts)
+            for x in sets:
+                f.write(x.astype("<u8").tobytes())
+
+    def set(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            lo, hi = int(self.ends[i - 1]) if i else 0, int(self.ends[i])
+            self.sets[i] = np.frombuffer(self.file.read_at(8 * (hi - lo), self.base + 8 * lo), "<u8")
+        return self.sets[i]
+
+
+def compared(a: Block, b: Block, place: int, like: Similarity) -> list[tuple[int, int]]:
+    """A spanning forest of the links between components of two blocks (or one with itself) of the band at ``place``."""
+    own = a is b
+    rows, parent, links = like.rows, {}, []
+
+    def root(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            parent[c] = c = parent.get(up, up)
+        return c
+
+    for i in range(len(a.ids)):
+        j = np.arange(i + 1 if own else 0, len(b.ids))
+        j = j[b.comp[j] != a.comp[i]]
+        if place and len(j):
+            earlier = (b.sig[j, : place * rows] == a.sig[i, : place * rows]).reshape(len(j), place, rows).all(axis=2).any(axis=1)
+            j = j[~earlier]
+        if len(j):
+            for k in j[survivors(np.broadcast_to(a.sig[i], (len(j), HASHES)), b.sig[j], like)].tolist():
+                x, y = root(int(a.comp[i])), root(int(b.comp[k]))
+                if x != y and like.linked(a.set(i), b.set(k)):
+                    parent[x] = y
+                    links.append((int(a.ids[i]), int(b.ids[k])))
+    return links
+
+
+def _exhaust(rows: DataFrame, reps: DataFrame, docs: DataFrame, like: Similarity) -> DataFrame:
+    """Links between components within bands ``rows`` (band, at, rep, comp)."""
+    spark = rows.sparkSession
+    sized = rows.join(reps.select(F.col("rep").alias("_r"), "n"), F.col("rep") == F.col("_r")).select("band", "at", "rep", "comp", "n")
+    cut = running(sized, ["band"], [F.col("comp").asc(), F.col("rep").asc()], F.col("n") * 8, "dup-blocks")
+    cut = cut.withColumn("_blk", F.floor(F.col("_rank") / BLOCK) + F.floor(F.col("_before") / BLOCK_BYTES)).select("band", "at", "rep", "comp", "_blk")
+    cut = materialize(cut, "dup-cut")
+    texts = _texts(docs, reps, cut.select(F.col("rep").alias("_i")).distinct()).withColumnRenamed("node", "_t")
+    members = cut.join(reps.select(F.col("rep").alias("_r"), "sig"), F.col("rep") == F.col("_r")).join(texts, F.col("rep") == F.col("_t")).select("band", "at", "_blk", "rep", "comp", "sig", "text")
+    folder = f"{shared_dir(spark)}/meshspark/dup-blocks-{uuid.uuid4().hex}"
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"  # every attempt writes files of its own; only the row that counts tells them
         sig = np.frombuffer(b"".join(pdf["sig"]), "<u4").reshape(-1, HASHES)
-        ids, first, cross = pdf["rep"].tolist(), pdf["_blk"].to_numpy(), pdf["_i"].iloc[0] != pdf["_j"].iloc[0]
-        parent = {c: c for c in pdf["comp"]}
-
-        def root(c):
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        comp, sets, links = pdf["comp"].tolist(), {}, []
-        codes = pd.factorize(pdf["comp"])[0]
-        for i in range(len(ids)):
-            j = np.arange(i + 1, len(ids))
-            j = j[(codes[j] != codes[i]) & ((first[j] != first[i]) if cross else True)]
-            if len(j):
-                for k in j[survivors(np.broadcast_to(sig[i], (len(j), HASHES)), sig[j])]:
-                    if root(comp[i]) != root(comp[k]):
-                        for x in (i, k):
-                            if x not in sets:
-                                sets[x] = shingles(pdf["text"].iloc[x])
-                        if linked(sets[i], sets[k]):
-                            parent[root(comp[i])] = root(comp[k])
-                            links.append((ids[i], ids[k]))
-        return pd.DataFrame(links, columns=["a", "b"])
-
-    return materialize(dealt.groupBy("_b", "_i", "_j").applyInPandas(compare, f"a {kind}, b {kind}"), "dup-rest")
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+        Block.store(path, pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), sig, [shingles(t) for t in pdf["text"]])
+        return pd.DataFrame({"b": pdf["band"].iloc[:1], "p": pdf["at"].iloc[:1], "i": pdf["_blk"].iloc[:1], "path": [path], "lo": [pdf["comp"].min()], "hi": [pdf["comp"].max()]})
+
+    blocks = materialize(members.groupBy("band", "at", "_blk").applyInPandas(write, "b long, p int, i long, path string, lo long, hi long"), "dup-files")
+    other = blocks.select(F.col("b").alias("b2"), F.col("i").alias("i2"), F.col("path").alias("path2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    # blocks of one component need no comparison with themselves or with others of that component
+    two = blocks.join(other, (F.col("b") == F.col("b2")) & (F.col("i") <= F.col("i2"))).where(~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    two = two.select("path", "path2", "p").repartition(tasks, F.xxhash64("path", "path2")).sortWithinPartitions("path")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = [None, None]
+        for b in batches:
+            for x, y, place in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if held[0] != x:
+                    held[:] = [x, Block(x)]
+                links = compared(held[1], held[1] if x == y else Block(y), place, like)
+                held[1].sets.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in links], pa.int64()), pa.array([v[1] for v in links], pa.int64())], names=["a", "b"])
+
+    return materialize(two.mapInArrow(compare, "a long, b long"), "dup-rest")
+
+
+def _grouped(docs: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
+    """``describe``'s rows, and (_set, _comp, _first, _first_key): for each set its component's smallest id, and the row that stands for it."""
     base = docs.select("doc_id", "text")
     seen = materialize(describe(base), "dup-sets")
-    some = seen.where("n_shingles > 0")
-    reps = materialize(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "dup-reps")
-    bands = materialize(band_rows(reps), "dup-bands")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("key")))
+    reps = seen.where("n_shingles > 0").groupBy("set_key").agg(least.alias("_f"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("rep"), "set_key", F.col("_f")["id"].alias("first"), F.col("_f")["key"].alias("key"), "sig", "n"), "dup-reps")
+    bands = materialize(band_rows(reps, like), "dup-bands")
 
     def stars(rows: DataFrame, salt: int) -> DataFrame:
         centre = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(salt), F.col("rep")).alias("h"), F.col("rep").alias("rep"), F.col("comp").alias("comp"))).alias("_c"), F.count(F.lit(1)).alias("_n"))
-        centre = centre.where("_n > 1").select(F.col("band").alias("_band"), F.col("_c")["rep"].alias("_centre"), F.col("_c")["comp"].alias("_comp"))
-        met = rows.join(centre, F.col("band") == F.col("_band")).where(F.col("comp") != F.col("_comp"))
+        centre = materialize(centre.where("_n > 1").select(F.col("band").alias("_band"), F.col("_c")["rep"].alias("_centre"), F.col("_c")["comp"].alias("_comp"), "_n"), "dup-centres")
+        met = _meet(rows, centre).where(F.col("comp") != F.col("_comp"))
         return met.select(F.least("rep", "_centre").alias("a"), F.greatest("rep", "_centre").alias("b")).distinct()
 
-    rows = bands.withColumn("comp", F.col("rep"))
-    tried = materialize(stars(rows, 0), "dup-pairs")
-    links = verified(tried, reps, base)
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 2").select(F.col("band").alias("_b"))
+    tried = materialize(stars(bands.withColumn("comp", F.col("rep")), 0), "dup-pairs")
+    links = verified(tried, reps, base, like)
     wide = None
     for step in range(1, STAR_ROUNDS + 1):
         comp = components(links, "dup")
-        if step == 1:
-            wide = materialize(bands.join(shared, F.col("band") == F.col("_b"), "left_semi"), "dup-wide")
-        placed = wide.join(comp, F.col("rep") == F.col("id"), "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
-        open_ = placed.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo <> _hi").select(F.col("band").alias("_b"))
-        rows = materialize(placed.join(open_, F.col("band") == F.col("_b"), "left_semi"), "dup-open")
+        if wide is None:
+            shared = materialize(bands.groupBy(F.col("band").alias("_band")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 2"), "dup-shared")
+            wide = materialize(_meet(bands, shared).select("band", "at", "rep"), "dup-wide")
+        placed = materialize(wide.join(comp, F.col("rep") == F.col("id"), "left").select("band", "at", "rep", F.coalesce("component", "rep").alias("comp")), "dup-placed")
+        open_ = placed.groupBy(F.col("band").alias("_band")).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo <> _hi")
+        rows = materialize(_meet(placed, materialize(open_.select("_band", "_n"), "dup-mixed")).select("band", "at", "rep", "comp"), "dup-open")
         if rows.isEmpty():
             break
         if step == STAR_ROUNDS:
-            links = materialize(links.union(_exhaust(rows, reps, base)), "dup-all")
+            links = materialize(links.union(_exhaust(rows, reps, base, like)), "dup-all")
             comp = components(links, "dup")
             break
         new = materialize(stars(rows, step).join(tried.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "dup-pairs")
         tried = tried.union(new)
-        links = materialize(links.union(verified(new, reps, base)), "dup-all")
-    owner = reps.join(comp, F.col("rep") == F.col("id"), "left").select(F.col("set_key").alias("_key"), F.coalesce("component", "rep").alias("_comp"))
-    out = seen.select("doc_id", "n_shingles", "set_key").join(owner, F.col("set_key") == F.col("_key"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("_comp", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        links = materialize(links.union(verified(new, reps, base, like)), "dup-all")
+    owner = materialize(reps.join(comp, F.col("rep") == F.col("id"), "left").select("set_key", "first", "key", F.coalesce("component", "rep").alias("_c")), "dup-owners")
+    first = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), F.col("key").alias("key")))
+    heads = owner.groupBy(F.col("_c").alias("_h")).agg(first.alias("_f"))
+    return seen, owner.join(heads, F.col("_c") == F.col("_h")).select(F.col("set_key").alias("_set"), F.col("_f")["id"].alias("_first"), F.col("_f")["key"].alias("_first_key"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, but those of a group's other members; of equal rows one stays."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").dropDuplicates(["doc_id", "text"])
+def near_duplicates(docs: DataFrame, like: Similarity = OP4) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+    seen, owner = _grouped(docs, like)
+    out = seen.select("doc_id", "n_shingles", "set_key").join(owner, F.col("set_key") == F.col("_set"), "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("_set").isNull(), F.col("doc_id")).otherwise(F.col("_first")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, like: Similarity = OP4) -> DataFrame:
+    """The rows of ``docs``, all columns, but those of a group's other members.
+
+    The member of smallest id stays (rows without an id come last; of one id the text of smallest digest); of rows
+    equal in id and text one stays.
+    """
+    seen, owner = _grouped(docs, like)
+    rows = seen.groupBy("doc_id", "_key").agg(F.first("set_key").alias("set_key"), F.count(F.lit(1)).alias("_n"))
+    rows = rows.join(owner, F.col("set_key") == F.col("_set"), "left")
+    lost = F.col("_set").isNotNull() & ~(F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_key") == F.col("_first_key")))
+    rows = materialize(rows.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "_n", lost.alias("_lost")).where("_lost or _n > 1"), "dup-lost")
+    left = docs.join(rows, _on_row(docs, rows["_d"], rows["_k"]), "left_anti")
+    again = rows.where("not _lost")
+    if again.isEmpty():
+        return left
+    again = _small(again, 64)
+    found = docs.join(again, _on_row(docs, again["_d"], again["_k"]), "left_semi")
+    one = found.groupBy("doc_id", "text").agg(F.first(F.struct(*[found[c] for c in docs.columns])).alias("_row")).select("_row.*")
+    return left.union(one)
