@@ -55,6 +55,23 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+#: A key is heavy if it has more than a quarter of a partition's fair share of the rows; so at most 4 a partition are.
+HEAVY = 4
+
+
+def meet(rows: DataFrame, facts: DataFrame, key: str, fact_key: str, many: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """``rows`` joined to the one row of ``facts`` for their key; ``many`` tells how many rows share it.
+
+    Heavy keys are few, so their facts are broadcast to rows that stay where they are; the other rows
+    are shuffled, and no task gathers a heavy key.  Both tables are read more than once: materialize them.
+    """
+    most = HEAVY * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = F.col(many) * most > (rows.count() if total is None else total)  # at most `most` keys
+    hot, on = facts.where(heavy), F.col(key) == F.col(fact_key)
+    light = rows.join(F.broadcast(hot.select(fact_key)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).union(light.join(facts.where(~heavy), on, how))
+
+
 def running(df: DataFrame, keys: list[str], order: list[Column], total: Column, name: str) -> DataFrame:
     """Add ``_rank`` (0-based) and ``_before`` (sum of ``total`` over earlier rows) per ``keys`` in ``order``.
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import shared_dir
-from .common import materialize
+from .common import materialize, meet
 from .components import components
 
 THRESHOLD = 0.95
@@ -430,10 +430,10 @@ def search(vectors: DataFrame) -> Near:
     comp = components(seen.where("kind = 1").select("a", "b"), "vec")
     known = built.select(F.col("_n"), "_k").join(nodes.select("_key", "rep", "many"), F.col("_k") == F.col("_key")).select("_n", "_k", "rep", "many")
     known = known.join(counts, F.col("_n") == F.col("_a"), "left").join(comp, F.col("_n") == F.col("id"), "left")
-    known = materialize(known.select("_k", "rep", (F.coalesce("_links", F.lit(0)) + F.col("many") - 1).alias("_links"), F.coalesce("component", "_n").alias("_c")), "vec-known")
+    known = materialize(known.select("_k", "rep", "many", (F.coalesce("_links", F.lit(0)) + F.col("many") - 1).alias("_links"), F.coalesce("component", "_n").alias("_c")), "vec-known")
     least = known.groupBy(F.col("_c").alias("_c2")).agg(F.min("rep").alias("_comp"))
-    facts = known.join(least, F.col("_c") == F.col("_c2")).select("_k", "_links", "_comp")
-    out = rows.select("vec_id", "_key").join(facts, F.col("_key") == F.col("_k"), "left")
+    facts = materialize(known.join(least, F.col("_c") == F.col("_c2")).select("_k", "_links", "_comp", "many"), "vec-facts")
+    out = meet(rows.select("vec_id", "_key"), facts, "_key", "_k", "many", "left")
     out = out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_comp", "vec_id").alias("component_id"))
     audits = seen.where("kind = 2").select(F.col("a").alias("asking"), F.col("b").alias("asked"), "beam", "links", "recall")
     return Near(out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), audits)

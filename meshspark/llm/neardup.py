@@ -42,16 +42,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import shared_dir
-from .common import LOWER, UPPER, digest, materialize, running, slices
+from .common import LOWER, UPPER, digest, materialize, meet, running, slices
 from .components import components
 
 SHINGLE, HASHES, BATCH, MISS, LOST = 5, 144, 24, 1e-6, 2e-5
 #: Rounds of stars; members of a block, and bytes of their sets (one set may be larger).
-STAR_ROUNDS, BLOCK, BLOCK_BYTES = 3, 256, 8 << 20
-#: Keys of at most this many bytes are broadcast in joins; larger tables are shuffled.
-BROADCAST_BYTES = 32 << 20
-#: A band is heavy if it has more than a quarter of a partition's fair share; so at most 4 a partition are.
-HEAVY = 4
+STAR_ROUNDS, BLOCK, BLOCK_BYTES = 2, 256, 8 << 20
 
 
 @dataclass(frozen=True)
@@ -180,28 +176,15 @@ def band_rows(reps: DataFrame, like: Similarity) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(run, "band long, at int, rep long")
 
 
-def _small(df: DataFrame, bytes_a_row: int) -> DataFrame:
-    return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df
-
-
 def _on_row(a: DataFrame, doc_id: Column, key: Column) -> Column:
     """Rows of ``a`` (doc_id, text) that hold this id and this text."""
     return a["doc_id"].eqNullSafe(doc_id) & (digest(a["text"]) == key)
 
 
-def _meet(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """``rows`` joined to the one row of ``facts`` (_band, .., _n: the band's rows) for their band."""
-    most = HEAVY * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heavy = F.col("_n") * most > rows.count()  # so there are at most that many heavy bands
-    hot, on = facts.where(heavy), F.col("band") == F.col("_band")
-    light = rows.join(F.broadcast(hot.select("_band")), on, "left_anti")
-    return rows.join(F.broadcast(hot), on).union(light.join(facts.where(~heavy), on))
-
-
 def _texts(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
     """(node, text) of the representatives ``ids`` (_i)."""
-    wanted = materialize(reps.join(_small(ids, 8), F.col("rep") == F.col("_i"), "left_semi").select(F.col("rep").alias("node"), "first", "key"), "dup-wanted")
-    wanted = _small(wanted, 48)
+    # read back, so that Spark broadcasts it if its size allows
+    wanted = materialize(reps.join(ids, F.col("rep") == F.col("_i"), "left_semi").select(F.col("rep").alias("node"), "first", "key"), "dup-wanted")
     return materialize(docs.join(wanted, _on_row(docs, wanted["first"], wanted["key"])).select("node", "text").dropDuplicates(["node"]), "dup-texts")
 
 
@@ -331,18 +314,19 @@ def _exhaust(rows: DataFrame, reps: DataFrame, docs: DataFrame, like: Similarity
 
 
 def _grouped(docs: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
-    """``describe``'s rows, and (_set, _comp, _first, _first_key): for each set its component's smallest id, and the row that stands for it."""
+    """``describe``'s rows, and (_set, _first, _first_key, many): for each set its component's smallest id, and the row that stands for it."""
     base = docs.select("doc_id", "text")
     seen = materialize(describe(base), "dup-sets")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("key")))
-    reps = seen.where("n_shingles > 0").groupBy("set_key").agg(least.alias("_f"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
-    reps = materialize(reps.select(F.monotonically_increasing_id().alias("rep"), "set_key", F.col("_f")["id"].alias("first"), F.col("_f")["key"].alias("key"), "sig", "n"), "dup-reps")
+    reps = seen.where("n_shingles > 0").groupBy("set_key").agg(least.alias("_f"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("many"))
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("rep"), "set_key", F.col("_f")["id"].alias("first"), F.col("_f")["key"].alias("key"), "sig", "n", "many"), "dup-reps")
     bands = materialize(band_rows(reps, like), "dup-bands")
+    total = bands.count()
 
     def stars(rows: DataFrame, salt: int) -> DataFrame:
         centre = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(salt), F.col("rep")).alias("h"), F.col("rep").alias("rep"), F.col("comp").alias("comp"))).alias("_c"), F.count(F.lit(1)).alias("_n"))
         centre = materialize(centre.where("_n > 1").select(F.col("band").alias("_band"), F.col("_c")["rep"].alias("_centre"), F.col("_c")["comp"].alias("_comp"), "_n"), "dup-centres")
-        met = _meet(rows, centre).where(F.col("comp") != F.col("_comp"))
+        met = meet(rows, centre, "band", "_band", "_n", total=total).where(F.col("comp") != F.col("_comp"))
         return met.select(F.least("rep", "_centre").alias("a"), F.greatest("rep", "_centre").alias("b")).distinct()
 
     tried = materialize(stars(bands.withColumn("comp", F.col("rep")), 0), "dup-pairs")
@@ -352,10 +336,10 @@ def _grouped(docs: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
         comp = components(links, "dup")
         if wide is None:
             shared = materialize(bands.groupBy(F.col("band").alias("_band")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 2"), "dup-shared")
-            wide = materialize(_meet(bands, shared).select("band", "at", "rep"), "dup-wide")
+            wide = materialize(meet(bands, shared, "band", "_band", "_n", total=total).select("band", "at", "rep"), "dup-wide")
         placed = materialize(wide.join(comp, F.col("rep") == F.col("id"), "left").select("band", "at", "rep", F.coalesce("component", "rep").alias("comp")), "dup-placed")
         open_ = placed.groupBy(F.col("band").alias("_band")).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo <> _hi")
-        rows = materialize(_meet(placed, materialize(open_.select("_band", "_n"), "dup-mixed")).select("band", "at", "rep", "comp"), "dup-open")
+        rows = materialize(meet(placed, materialize(open_.select("_band", "_n"), "dup-mixed"), "band", "_band", "_n", total=total).select("band", "at", "rep", "comp"), "dup-open")
         if rows.isEmpty():
             break
         if step == STAR_ROUNDS:
@@ -365,16 +349,17 @@ def _grouped(docs: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
         new = materialize(stars(rows, step).join(tried.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "dup-pairs")
         tried = tried.union(new)
         links = materialize(links.union(verified(new, reps, base, like)), "dup-all")
-    owner = materialize(reps.join(comp, F.col("rep") == F.col("id"), "left").select("set_key", "first", "key", F.coalesce("component", "rep").alias("_c")), "dup-owners")
+    owner = materialize(reps.join(comp, F.col("rep") == F.col("id"), "left").select("set_key", "first", "key", "many", F.coalesce("component", "rep").alias("_c")), "dup-owners")
     first = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), F.col("key").alias("key")))
     heads = owner.groupBy(F.col("_c").alias("_h")).agg(first.alias("_f"))
-    return seen, owner.join(heads, F.col("_c") == F.col("_h")).select(F.col("set_key").alias("_set"), F.col("_f")["id"].alias("_first"), F.col("_f")["key"].alias("_first_key"))
+    facts = owner.join(heads, F.col("_c") == F.col("_h")).select(F.col("set_key").alias("_set"), F.col("_f")["id"].alias("_first"), F.col("_f")["key"].alias("_first_key"), "many")
+    return seen, materialize(facts, "dup-facts")
 
 
 def near_duplicates(docs: DataFrame, like: Similarity = OP4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     seen, owner = _grouped(docs, like)
-    out = seen.select("doc_id", "n_shingles", "set_key").join(owner, F.col("set_key") == F.col("_set"), "left")
+    out = meet(seen.select("doc_id", "n_shingles", "set_key"), owner, "set_key", "_set", "many", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("_set").isNull(), F.col("doc_id")).otherwise(F.col("_first")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -387,14 +372,13 @@ def one_of_each(docs: DataFrame, like: Similarity = OP4) -> DataFrame:
     """
     seen, owner = _grouped(docs, like)
     rows = seen.groupBy("doc_id", "_key").agg(F.first("set_key").alias("set_key"), F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(owner, F.col("set_key") == F.col("_set"), "left")
+    rows = meet(materialize(rows, "dup-rows"), owner, "set_key", "_set", "many", "left")
     lost = F.col("_set").isNotNull() & ~(F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_key") == F.col("_first_key")))
     rows = materialize(rows.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "_n", lost.alias("_lost")).where("_lost or _n > 1"), "dup-lost")
     left = docs.join(rows, _on_row(docs, rows["_d"], rows["_k"]), "left_anti")
     again = rows.where("not _lost")
     if again.isEmpty():
         return left
-    again = _small(again, 64)
     found = docs.join(again, _on_row(docs, again["_d"], again["_k"]), "left_semi")
     one = found.groupBy("doc_id", "text").agg(F.first(F.struct(*[found[c] for c in docs.columns])).alias("_row")).select("_row.*")
     return left.union(one)

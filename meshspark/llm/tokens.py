@@ -33,6 +33,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,11 @@ from ..storage import shared_dir
 from .common import worker_state
 
 MAGIC, VERSION, GAMMA = b"TKID", 1, 1.5
-#: Pieces in each of the two generations that one Python worker's encoder keeps.
-CACHE_PIECES = 800_000
+#: Bytes, about, in each of the two generations that one Python worker's encoder keeps; what an entry weighs beside its text and ids;
+#: longer pieces aren't kept.
+CACHE_BYTES, ENTRY_BYTES, LONG_PIECE = 128 << 20, 150, 128
+#: Text that goes to one shard, about; more shards than ``spark.sql.shuffle.partitions`` are made where that asks for it.
+SHARD_BYTES = 128 << 20
 
 
 def key_hash(doc_id, occurrence: int) -> int:
@@ -190,6 +194,7 @@ class Encoder:
         self.spans[list(vocabulary.values())] = [len(v) for v in vocabulary]
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
         self.marks: dict[str, bytes] = {}
         self.feed = self.whole("\n") if self.cut else b""
 
@@ -260,11 +265,19 @@ class Encoder:
             del pieces[0]
         missing = set(pieces).difference(self.cache)
         if missing:
-            if len(self.cache) > CACHE_PIECES:
-                self.old, self.cache = self.cache, {}
+            if self.held > CACHE_BYTES:
+                self.old, self.cache, self.held = self.cache, {}, 0
                 missing = set(pieces)
             if not self.learn(missing):
                 return self.whole(text)
+            self.held += ENTRY_BYTES * len(missing) + 3 * sum(map(len, missing))
+            if max(map(len, missing)) > LONG_PIECE:
+                out = b"".join(map(self.cache.__getitem__, pieces))[skip:]
+                for m in missing:
+                    if len(m) > LONG_PIECE:
+                        del self.cache[m]
+                        self.held -= ENTRY_BYTES + 3 * len(m)
+                return out
         return b"".join(map(self.cache.__getitem__, pieces))[skip:]
 
 
@@ -277,7 +290,11 @@ def encoder(definition: str) -> Encoder:
 
 
 def write_shards(docs: DataFrame, definition: str, folder: str | None = None, end_id: int = 0) -> DataFrame:
-    """Encode and write all ``docs`` (doc_id, text); one manifest row a shard: shard, path, n_docs, n_tokens."""
+    """Encode and write all ``docs`` (doc_id, text); one manifest row a shard: shard, path, n_docs, n_tokens, first, last.
+
+    ``first`` and ``last`` are the shard's smallest and largest doc_id (null sorts first), so that ``find`` opens the
+    shards that can hold a key, and no other.
+    """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/meshspark/tokens-{uuid.uuid4().hex}"
     shipped = spark.sparkContext.broadcast(definition)
@@ -314,11 +331,28 @@ def write_shards(docs: DataFrame, definition: str, folder: str | None = None, en
             f.write(index)
         with fs.open_output_stream(path + ".keys") as f, pa.ipc.new_file(f, table.schema) as w:
             w.write_table(table)
-        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([name]), pa.array([len(keys)]), pa.array([int(n.sum())])], names=["shard", "path", "n_docs", "n_tokens"])
-
-    rows = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    made = rows.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long").collect()  # a row a shard
-    return spark.createDataFrame(sorted(made), "shard long, path string, n_docs long, n_tokens long")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([shard]), pa.array([name]), pa.array([len(keys)]), pa.array([int(n.sum())]), pa.array([order[0][0]], kind), pa.array([order[-1][0]], kind)],
+            names=["shard", "path", "n_docs", "n_tokens", "first", "last"],
+        )
+
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    by_id = F.col("doc_id").asc_nulls_first()
+    rows = docs.select("doc_id", "text").repartitionByRange(shards, by_id).sortWithinPartitions(by_id, F.xxhash64("text"))
+    schema = f"shard long, path string, n_docs long, n_tokens long, first {docs.schema['doc_id'].dataType.simpleString()}, last {docs.schema['doc_id'].dataType.simpleString()}"
+    made = rows.mapInArrow(run, schema).collect()  # a row a shard
+    return spark.createDataFrame(sorted(made, key=lambda r: r["shard"]), schema)
+
+
+def find(manifest: DataFrame, doc_id, occurrence: int = 0) -> np.ndarray | None:
+    """The ids of a document by its key, None if there is none: from the shards whose range holds it (one, as a rule)."""
+    at = F.lit(doc_id).cast(manifest.schema["first"].dataType)
+    inside = (F.col("first").isNull() if doc_id is None else (F.col("first").isNull() | (F.col("first") <= at)) & (F.col("last") >= at))
+    for r in manifest.where(inside).orderBy("shard").collect():
+        if (got := Shard(r["path"]).get(doc_id, occurrence)) is not None:
+            return got
+    return None
 
 
 def read_shards(manifest: DataFrame, doc_id: str = "bigint") -> DataFrame:
@@ -341,11 +375,16 @@ def read_shards(manifest: DataFrame, doc_id: str = "bigint") -> DataFrame:
                 slots = shard.find(np.array([key_hash(*k) for k in keys], np.uint64))
                 if (slots < 0).any():
                     raise ValueError(f"{path}: a key is missing from its index")
-                crc = list(shard.checksums(slots))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in keys], kind), pa.array(shard.starts[slots].astype(np.int64) + base), pa.array(shard.lengths[slots].astype(np.int64)), pa.array(crc, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                crc = shard.checksums(slots)
+                for lo in range(0, len(keys), 10_000):
+                    some = slots[lo : lo + 10_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([k for k, _ in keys[lo : lo + 10_000]], kind), pa.array(shard.starts[some].astype(np.int64) + base),
+                            pa.array(shard.lengths[some].astype(np.int64)), pa.array(list(islice(crc, len(some))), pa.int64()),
+                        ],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
 
     parts = spark.createDataFrame(todo, "path string, base long").repartition(min(len(todo), 2048))
     return parts.mapInArrow(run, f"doc_id {doc_id}, start long, n_tokens long, ids_crc32 long")

@@ -1,6 +1,7 @@
 """Small cases for every operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import heapq
 import random
 import re
 import unicodedata
@@ -239,6 +240,33 @@ def test_license_repeated_notices():
             assert all(b < c for (_, b), (c, _) in zip(sorted(hits), sorted(hits)[1:]))
 
 
+def test_license_against_whole_search(spark):
+    """Without seeds, over whole texts: every bounded-error match of the regex library that holds the core words overlaps a hit of its label."""
+    import regex
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text and len(r.text) < 6000]
+    r = random.Random(14)
+    for phrase, (_, e, _) in license_scan.NOTICES.items():
+        s = list(phrase)
+        for _ in range(e):
+            s[r.randrange(len(s))] = r.choice("xyz")
+        texts.append(f"{prose(30, r)} {''.join(s)} {prose(20, r)} {phrase} {''.join(s)}")
+    of, seen = license_scan.Scanner(), 0
+    for t in texts:
+        line = " ".join(ALNUM.findall(t.translate(LOW)))
+        hits = of.fuzzy(line)
+        for phrase, (label, e, core) in license_scan.NOTICES.items():
+            for m in regex.finditer(rf"(?b)\b(?:{regex.escape(phrase)}){{e<={e}}}\b", line, overlapped=True):
+                span = line[m.start() : m.end()]
+                if span != span.strip() or not set(core) <= set(span.split()):
+                    continue
+                first = line.count(" ", 0, m.start())
+                last = first + span.count(" ")
+                seen += 1
+                assert any(h.label == label and h.first <= last and first <= h.last for h in hits), (span, hits)
+    assert seen >= 2 * len(license_scan.NOTICES)
+
+
 def shingle_sets(rows):
     out = {}
     for i, t, *_ in rows:
@@ -338,6 +366,41 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard(empty, 7).collect() == []
 
 
+def test_sharding_is_near_equal(spark):
+    """A third of all rows equal: its group stays whole; the others' loads equal the plain heap's to one group, and shards are full where they can be."""
+    r = random.Random(15)
+    texts = ["".join(r.choice("abc") for _ in range(int(20 * 1.5 ** r.randint(0, 14)))) for _ in range(1200)] + ["x" * 100] * 600
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = Counter()
+    for t in texts:
+        groups[t] += len(t) + 16
+    heap = [0] * 9
+    for size in sorted(groups.values(), reverse=True):  # plain LPT
+        heapq.heapreplace(heap, heap[0] + size)
+    loads, at = Counter(), {}
+    for x in sharding.shard(d, 9).collect():
+        loads[x.shard] += x.size
+        at.setdefault(texts[x.doc_id], set()).add(x.shard)
+    assert all(len(v) == 1 for v in at.values())
+    want = sorted(heap)
+    assert all(abs(a - b) <= max(16 + 100, 0.002 * b) for a, b in zip(sorted(loads.values()), want)), (sorted(loads.values()), want)
+
+
+def test_schedule_equals_plain_heap():
+    """With classes of one size each (no class long enough for whole rounds) the schedule is the plain heap's."""
+    r = random.Random(16)
+    sizes = [r.randint(16, 900) for _ in range(400)]
+    heap = [(0, s) for s in range(7)]
+    for size in sorted(sizes, reverse=True):
+        load, s = heapq.heappop(heap)
+        heapq.heappush(heap, (load + size, s))
+    got = Counter()
+    for c, (order, ends) in sharding.schedule([(s, n, s * n) for s, n in Counter(sizes).items()], 7).items():
+        for s, n in zip(order, np.diff([0, *ends]), strict=True):
+            got[s] += c * int(n)
+    assert sorted(got.values()) == sorted(x for x, _ in heap)
+
+
 def test_schedule_is_lpt():
     """Shard loads equal those of the plain heap over single groups; rounds of a class at once change nothing that matters."""
     r = random.Random(4)
@@ -487,6 +550,34 @@ def test_tokens(spark, docs, rows, empty, definition, tmp_path):
     assert tokens.read_shards(tokens.write_shards(narrow, definition), "int").count() == narrow.count()
 
 
+def test_tokens_by_key(spark, docs, rows, definition, tmp_path):
+    """Every document is found by its key in the shard whose range holds it; a long piece isn't kept, and the cache stays bounded."""
+    from tokenizers import Tokenizer
+
+    some = [r for r in rows if r[0] != rows[3][0]]
+    d = spark.createDataFrame([(i, t) for i, t, *_ in some] + [(3, "one")] * 5, "doc_id long, text string")
+    manifest = tokens.write_shards(d, definition, f"file://{tmp_path}/t").cache()
+    ranges = [(r.first, r.last) for r in manifest.orderBy("shard").collect()]
+    assert len(ranges) > 1 and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:])) and ranges[0][0] is None
+    tok = Tokenizer.from_str(definition)
+    for i, t, *_ in some[::9] + [(3, "one")] + [r for r in some if r[0] is None]:
+        assert tokens.find(manifest, i).tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+    assert tokens.find(manifest, 3, 4) is not None and tokens.find(manifest, 3, 5) is None and tokens.find(manifest, 12_345) is None
+    code = tokens.Encoder(definition)
+    long = "a " + "QUJD" * 5000 + " b"
+    assert np.frombuffer(code(long), "<u2").tolist() == tok.encode(long, add_special_tokens=False).ids
+    assert max(map(len, code.cache)) <= tokens.LONG_PIECE and 0 < code.held < 1000
+
+
+def test_cache_is_bounded(definition, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 3000)
+    code, r = tokens.Encoder(definition), random.Random(2)
+    for _ in range(300):
+        t = prose(12, r)
+        assert code(t) == code.whole(t)
+        assert len(code.cache) <= 40 and len(code.old) <= 40
+
+
 def test_tokens_written_twice(docs, definition, tmp_path):
     """A second attempt at a shard doesn't meet the files of the first."""
     few = docs.where("doc_id < 9")
