@@ -275,7 +275,7 @@ def shingle_sets(rows):
     return out
 
 
-def brute_components(sets):
+def brute_components(sets, percent=85):
     ids = [i for i in sets if i is not None]
     parent = {i: i for i in ids}
 
@@ -287,7 +287,7 @@ def brute_components(sets):
     for n, a in enumerate(ids):
         for b in ids[:n]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return {i: root(i) for i in ids}
@@ -324,6 +324,49 @@ def test_near_duplicates_borderline(spark, monkeypatch):
     assert got == brute_components(shingle_sets(rows))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_of_rows(spark, percent):
+    """Rows without an id link like others but name no group; different texts of one id count each with its own set."""
+    r = random.Random(31)
+    a, b, c = (prose(60, r).split(" ") for _ in range(3))
+    near = lambda w, k: " ".join(w[: 60 - k] + [f"n{k}{i}" for i in range(k)])
+    data = [(None, " ".join(a)), (9, near(a, 3)), (9, " ".join(b)), (4, near(b, 2)), (None, " ".join(c)), (None, near(c, 1)), (7, "lone words here"), (7, "other lone words"), (7, "lone words here"), (None, None), (8, " ")]
+    edge = " ".join(a[:51] + [f"e{i}" for i in range(9)])  # 47 of 65 shingles with the whole text, 47 of 62 with the near one: neither threshold
+    data.append((20, edge))
+    d = spark.createDataFrame(data, "doc_id long, text string").withColumns({"_key": F.lit(1), "rep": F.lit(2), "_set": F.lit(3), "first": F.lit(4), "_row": F.lit(5)})
+    like = neardup.Similarity(percent)
+    got = Counter((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in neardup.near_duplicates(d, like).collect())
+    sets = [shingle_sets([(0, t)])[0] for _, t in data]
+    root = brute_components(dict(enumerate(sets)), percent)
+    want, keep = Counter(), Counter()
+    digest = lambda t: hashlib.md5((t or "").encode()).digest()
+    for i, (doc, t) in enumerate(data):
+        group = [data[k] for k in range(len(data)) if root[k] == root[i]] if sets[i] else [data[i]]
+        comp = min((g for g, _ in group if g is not None), default=None)
+        want[doc, len(sets[i]), comp if sets[i] else doc, doc == (comp if sets[i] else doc)] += 1
+        head = min(group, key=lambda g: (g[0] is None, g[0] or 0, digest(g[1])))
+        keep[head] = 1
+    assert got == want
+    left = neardup.one_of_each(d, like)
+    assert left.columns == d.columns and Counter((x.doc_id, x.text) for x in left.collect()) == keep
+
+
+def test_near_duplicates_at_080(spark):
+    """Pairs of similarity from 0.8 up to 0.85 are linked at 0.8 and not at 0.85; bands lose about none."""
+    r = random.Random(32)
+    rows = []
+    for i in range(40):
+        w = prose(100, r).split(" ")
+        k = 9 + i % 4  # 96 - k shingles of 96 + k
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: 100 - k] + [f"x{i}y{j}" for j in range(k)]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = shingle_sets(rows)
+    for percent in (80, 85):
+        want = brute_components(sets, percent)
+        assert {x.doc_id: x.component_id for x in neardup.near_duplicates(d, neardup.Similarity(percent)).collect()} == want
+    assert (neardup.Similarity(80).rows, neardup.Similarity(80).bands) == (5, 28) and (neardup.OP4.rows, neardup.OP4.bands) == (6, 24)
+
+
 def test_pruning_bound():
     """Pairs of similarity 0.85 are pruned about as rarely as MISS says."""
     r = np.random.default_rng(0)
