@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import bucketed, cut
+from .storage import bucketed, cut, release
 
 #: Edges from which ``Graph.saved`` places them by source.
 PLACE_EDGES = 10_000_000
@@ -32,6 +32,14 @@ class Graph:
     edges: DataFrame
     placed: Placed | None = None
 
+    @staticmethod
+    def load(spark: SparkSession, path: str, kind: str = "mix", wide: bool = False) -> Graph:
+        """The graph of a binary file (see ``sources.csr``): its vertices and its out-edges."""
+        from .sources import csr
+
+        csr.register(spark)
+        return Graph(spark.range(csr.vertex_count(path, wide)), spark.read.format("csr").option("format", kind).option("wide", wide).load(path))
+
     @property
     def weighted(self) -> bool:
         return "w" in self.edges.columns
@@ -45,6 +53,16 @@ class Graph:
         e = g.edges.count()
         return g.placed_by_source(e) if e >= PLACE_EDGES else g
 
+    def release(self) -> None:
+        """Delete the files that ``saved`` wrote; the graph can't be used afterwards."""
+        spark = self.edges.sparkSession
+        if self.placed is not None:
+            table = getattr(self.placed.light, "table", None)
+            release(self.placed.light, self.placed.heavy, self.placed.ids)
+            if table is not None:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+        release(self.vertices, self.edges)
+
     def placed_by_source(self, edges: int | None = None, buckets: int | None = None) -> Graph:
         """The same graph with its edges bucketed by source, so that supersteps join them without a shuffle.
 
@@ -108,9 +126,8 @@ class Graph:
         return self.vertices.join(lists, F.col("id") == F.col("src"), "left").select("id", F.coalesce("adj", F.array().cast("array<bigint>")).alias("adj"))
 
     def adjacency_position(self) -> DataFrame:
-        """src, dst, pos: place of the edge among the in-edges of dst, by source."""
-        w = Window.partitionBy("dst").orderBy("src")
-        return self.edges.select("src", "dst", (F.row_number().over(w) - 1).cast("long").alias("pos"))
+        """src, dst, pos: place of the edge among the in-edges of dst, by source; a hub's edges spread over many tasks."""
+        return running(self.edges.select("src", "dst"), ["dst"], [F.col("src").asc()], F.lit(0), "positions").select("src", "dst", F.col("_rank").alias("pos"))
 
 
 def csr_decode(adjacency: DataFrame) -> DataFrame:
@@ -123,16 +140,51 @@ def _degree(g: Graph, side: str, name: str) -> DataFrame:
     return g.vertices.join(n, F.col("id") == F.col(side), "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias(name))
 
 
-def prefix_sum(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
-    """Add the exclusive running sum of ``value`` over all rows in ``order`` without gathering them in one task.
+def running(df: DataFrame, keys: list[str], order: list[Column], total: Column, name: str) -> DataFrame:
+    """Add ``_rank`` (0-based) and ``_before`` (sum of ``total`` over earlier rows) per ``keys`` in ``order``.
 
-    Rows are range-partitioned by the order; sums run inside each partition, and the partitions'
-    totals (one row each) shift them.
+    A plain window would gather one key in one task.  Here rows are first range-partitioned by
+    keys *and* order, so that a hot key spreads over many partitions; ranks and sums run inside
+    each partition and the per-partition totals (at most one row per key and partition) shift them.
+    Without keys all rows are one sequence.
+    """
+    names = df.columns
+    by = [F.col(k).asc_nulls_last() for k in keys] + order
+    placed = cut(df.withColumn("_total", total.cast("long")).repartitionByRange(*by).withColumn("_pid", F.spark_partition_id()), name)
+    inner = Window.partitionBy("_pid", *keys).orderBy(*order)
+    rows = placed.withColumns({
+        "_rank": F.row_number().over(inner).cast("long") - 1,
+        "_before": F.sum("_total").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_total"),
+    })
+    parts = placed.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_total").alias("_t"))
+    outer = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    shift = parts.select(
+        F.col("_pid").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_dn"), F.coalesce(F.sum("_t").over(outer), F.lit(0)).alias("_dt"),
+    )
+    on = F.col("_pid") == F.col("_p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(shift, on).select(*names, (F.col("_rank") + F.col("_dn")).alias("_rank"), (F.col("_before") + F.col("_dt")).alias("_before"))
+
+
+def previous(df: DataFrame, key: str, order: Column, value: str, name: str) -> DataFrame:
+    """Add ``name``: the ``value`` of the row before within ``key`` in ``order``, null at its first row.
+
+    Like ``running`` it spreads a hot key; a partition's first row looks to the last rows of the partitions before it.
     """
     kept = df.columns
-    placed = cut(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "prefix")
-    inner = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = placed.groupBy("_pid").agg(F.sum(value).alias("_t"))
-    shift = totals.select(F.col("_pid").alias("_p"), F.coalesce(F.sum("_t").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    got = placed.withColumn("_run", F.sum(value).over(inner) - F.col(value)).join(shift, F.col("_pid") == F.col("_p"))
-    return got.select(*kept, (F.col("_run") + F.col("_before")).cast("long").alias(name))
+    placed = cut(df.repartitionByRange(F.col(key).asc(), order).withColumn("_pid", F.spark_partition_id()), "previous")
+    inner = Window.partitionBy("_pid", key).orderBy(order)
+    rows = placed.withColumns({"_lag": F.lag(value).over(inner), "_first": F.row_number().over(inner) == 1})
+    # a row a partition: its last key and that key's last value there
+    ends = rows.withColumn("_next", F.lead(F.lit(1)).over(inner)).where("_next is null").groupBy("_pid").agg(F.max(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))).alias("_end"))
+    before = ends.select(F.col("_pid").alias("_p"), F.lag("_end").over(Window.orderBy("_pid")).alias("_prior"))
+    got = rows.join(F.broadcast(before), F.col("_pid") == F.col("_p"))
+    carried = F.when(F.col("_first") & (F.col("_prior")["k"] == F.col(key)), F.col("_prior")["v"]).otherwise(F.col("_lag"))
+    return got.select(*kept, carried.alias(name))
+
+
+def prefix_sum(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """Add the exclusive running sum of ``value`` over all rows in ``order`` without gathering them in one task."""
+    return running(df, [], order, F.col(value), "prefix").select(*df.columns, F.col("_before").alias(name))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from .gas import Result, VertexProgram, run
+from .partitioning import Bins
 
 # Fixed values.
 TELEPORT = 0.15
@@ -34,8 +35,8 @@ def pagerank(g: Graph, iterations: int = ITERATIONS) -> DataFrame:
     return run(g, p, iterations).state.select("id", "rank")
 
 
-def pagerank_delta(g: Graph, iterations: int = ITERATIONS, mode: str = "sparse", eps: float = DELTA_EPS) -> Result:
-    """State p, old: active vertices resend their scaled rank; ``mode='dense'`` lets all vertices send.
+def pagerank_delta(g: Graph, iterations: int = ITERATIONS, mode: str = "sparse", eps: float = DELTA_EPS, bins: Bins | None = None) -> Result:
+    """State p, old: active vertices resend their scaled rank; ``mode='dense'`` lets all vertices send, ``bins`` those of dense bins.
 
     As defined it isn't a faster PageRank: converged vertices stop contributing.
     """
@@ -46,10 +47,10 @@ def pagerank_delta(g: Graph, iterations: int = ITERATIONS, mode: str = "sparse",
         apply={"p": (TELEPORT + (1 - TELEPORT) * c("p")) / scale},
         stay=(c("od") > 0) & (F.abs(c("old") - c("p")) > eps / c("od")), send_all=mode == "dense",
     )
-    return run(g, p, iterations)
+    return run(g, p, iterations, bins=bins)
 
 
-def bfs(g: Graph, root: int = ROOT, iterations: int | None = None) -> Result:
+def bfs(g: Graph, root: int = ROOT, iterations: int | None = None, bins: Bins | None = None) -> Result:
     """State level, parent (the least possible one); null where unreached."""
     _check_root(g, root)
     at_root, none = c("id") == root, F.lit(None).cast("long")
@@ -59,17 +60,20 @@ def bfs(g: Graph, root: int = ROOT, iterations: int | None = None) -> Result:
         active=at_root, activate=new,
         gather=lambda k: {"level": F.coalesce(c("level"), F.lit(k).cast("long")), "parent": F.coalesce(c("parent"), c("m"))},
     )
-    return run(g, p, iterations)
+    return run(g, p, iterations, bins=bins)
 
 
 def connected_components(g: Graph, weak: bool = False, iterations: int | None = None) -> Result:
     """State label: the least id that reaches the vertex; ``weak`` ignores directions."""
     p = VertexProgram({"label": c("id")}, c("label"), {"m": F.min("msg")}, activate=c("m") < c("label"), gather={"label": F.least(c("label"), c("m"))})
-    return run((g.symmetrize() if weak else g).saved(), p, iterations)
+    return run(g.symmetrize().saved() if weak else g, p, iterations)
 
 
 def sssp(g: Graph, root: int = ROOT, iterations: int | None = None) -> Result:
-    """State dist: least sum of weights from the root; UNREACHED where there is no path of less."""
+    """State dist: least sum of weights from the root.
+
+    UNREACHED (2**31) marks vertices without a path, and those whose every path is as long or longer.
+    """
     _check_root(g, root)
     p = VertexProgram(
         {"dist": F.when(c("id") == root, F.lit(0)).otherwise(F.lit(UNREACHED)).cast("long")}, c("dist") + c("w"), {"m": F.min("msg")},

@@ -6,6 +6,10 @@ destination by ``folds``; receivers apply ``gather`` and join the frontier if ``
 it; every vertex of the frontier applies ``apply`` and is active afterwards if ``stay``.  A dense
 program (``dense=True``) has no frontier: all vertices send and all apply.
 
+Between the extremes of sending from active vertices and from all (``send_all``) stands the choice by density: with
+``run(..., bins=...)`` a bin of vertices all of whose messages cost less in compressed form than the active ones singly
+sends from all its vertices in that superstep.
+
 The state has ``id``, ``od`` (out-degree), the program's columns and ``active``.  ``message`` may use
 the sender's columns and the edge weight ``w``; ``gather``, ``activate`` and ``apply`` may use the folds,
 which are null without a message.  Updates of one hook see the values before it.
@@ -19,8 +23,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..graph import Graph, Placed
-from ..storage import cut
+from ..graph import Graph, Placed, prefix_sum
+from ..storage import cut, release
+from .partitioning import Bins, bin_costs, bin_of, dense_bins
 
 Updates = Mapping[str, Column]
 
@@ -41,13 +46,51 @@ class VertexProgram:
     send_all: bool = False
 
 
+#: Supersteps that one write covers while a frontier is watched; each doubles the plan, so they are few.
+FUSED = 2
+#: Frontiers of at most this many vertices of a placed graph prune the scan of its edges.
+FEW = 1000
+
+
 @dataclass(frozen=True)
 class Result:
-    """Final state, supersteps run, and (iteration, active_vertices, active_edges) before each superstep."""
+    """Final state, supersteps run, (iteration, active_vertices, active_edges) before each superstep, and with ``bins``
+    (iteration, active partitions, dense partitions)."""
 
     state: DataFrame
     supersteps: int
     trace: list[tuple[int, int, int]]
+    partitions: list[tuple[int, int, int]] = field(default_factory=list)
+
+
+def load_frontier(state: DataFrame, ids: DataFrame | list[int]) -> DataFrame:
+    """The state with exactly the vertices ``ids`` (one column, or a list) active; ids that repeat or don't exist change nothing."""
+    if isinstance(ids, list):
+        ids = state.sparkSession.createDataFrame([(i,) for i in ids], "id long")
+    some = ids.select(F.col(ids.columns[0]).alias("_on")).distinct()
+    names = state.columns if "active" in state.columns else [*state.columns, "active"]
+    return state.drop("active").join(some, F.col("id") == F.col("_on"), "left").withColumn("active", F.col("_on").isNotNull()).select(*names)
+
+
+def get_frontier(state: DataFrame) -> DataFrame:
+    """id of each active vertex."""
+    return state.where("active").select("id")
+
+
+def reset_frontier(state: DataFrame) -> DataFrame:
+    """The state with no active vertex."""
+    return state.withColumn("active", F.lit(False))
+
+
+def active_partitions(state: DataFrame, bins: Bins) -> DataFrame:
+    """pid of each partition with an active vertex."""
+    return get_frontier(state).select(bin_of(F.col("id"), bins).alias("pid")).distinct()
+
+
+def frontier_offsets(state: DataFrame, bins: Bins) -> DataFrame:
+    """pid, size, offset: where each partition's part of the frontier starts when the parts are laid end to end."""
+    parts = get_frontier(state).groupBy(bin_of(F.col("id"), bins).alias("pid")).agg(F.count(F.lit(1)).alias("size"))
+    return prefix_sum(parts, [F.col("pid").asc()], "size", "offset")
 
 
 def start(g: Graph, p: VertexProgram) -> DataFrame:
@@ -67,56 +110,108 @@ def messages(senders: DataFrame, edges: DataFrame | Placed, message: Column) ->
     return sent.union(messages(F.broadcast(few), edges.heavy, message))
 
 
-def superstep(state: DataFrame, edges: DataFrame | Placed, p: VertexProgram, k: int) -> DataFrame:
-    """The state after superstep ``k`` (from 1), lazily."""
+def _updated(updates: Updates, when: Column | None, columns: list[str]) -> list[Column]:
+    """One projection: updated columns by their names, the others as they are."""
+    return [(updates[c] if when is None else F.when(when, updates[c]).otherwise(F.col(c))).alias(c) if c in updates else F.col(c) for c in columns]
+
+
+def superstep(state: DataFrame, edges: DataFrame | Placed, p: VertexProgram, k: int, dense: DataFrame | None = None, bins: Bins | None = None) -> DataFrame:
+    """The state after superstep ``k`` (from 1), lazily.  Vertices of the bins ``dense`` (_pid) send whether active or not."""
     columns = state.columns
     own = [c for c in columns if c not in ("id", "od", "active")]
     senders = state if p.dense or p.send_all else state.where("active")
+    if dense is not None:
+        # a row a bin, whose number is a parameter of the run
+        senders = state.join(F.broadcast(dense), bin_of(F.col("id"), bins) == F.col("_pid"), "left").where(F.col("active") | F.col("_pid").isNotNull()).drop("_pid")
     folded = messages(senders, edges, p.message).groupBy("_dst").agg(*[f.alias(n) for n, f in p.folds.items()], F.count(F.lit(1)).alias("_got"))
     if not p.dense:
-        acted = {c: F.when(F.col("active"), u).otherwise(F.col(c)) for c, u in p.on_scatter.items()}
-        state = state.withColumns(acted).withColumn("_keep", F.col("active") & p.keep) if acted else state.withColumn("_keep", F.col("active") & p.keep)
+        # the keep hook sees what on_scatter made of the state
+        if p.on_scatter:
+            state = state.select("id", "od", *_updated(p.on_scatter, F.col("active"), own), "active")
+        state = state.withColumn("_keep", F.col("active") & p.keep)
     s = state.join(folded, F.col("id") == F.col("_dst"), "left")
     got = F.col("_got").isNotNull()
     frontier = F.lit(True) if p.dense else F.col("_keep") | (got & F.coalesce(p.activate, F.lit(False)))
-    s = s.withColumn("_front", frontier)
     gather = p.gather(k) if callable(p.gather) else p.gather
-    if gather:
-        s = s.withColumns({c: F.when(got, u).otherwise(F.col(c)) for c, u in gather.items()})
-    if p.apply:
-        s = s.withColumns({c: u if p.dense else F.when(F.col("_front"), u).otherwise(F.col(c)) for c, u in p.apply.items()})
-    s = s.withColumn("active", F.col("_front") & F.coalesce(p.stay, F.lit(False)))
-    return s.select("id", "od", *own, "active")
+    s = s.select("id", "od", *_updated(gather, got, own), *p.folds, frontier.alias("_front"))
+    s = s.select("id", "od", *_updated(p.apply, None if p.dense else F.col("_front"), own), "_front")
+    return s.select("id", "od", *own, (F.col("_front") & F.coalesce(p.stay, F.lit(False))).alias("active"))
 
 
-def run(g: Graph, p: VertexProgram, iterations: int | None = None, cadence: int = 4, between: Callable[[DataFrame], DataFrame] | None = None) -> Result:
+def _pruned(edges: Placed, state: DataFrame) -> Placed:
+    """Only what the edges of few active sources need: filters on the bucket column skip buckets and row groups."""
+    ids = [r[0] for r in get_frontier(state).collect()]  # at most FEW
+    some = F.col("src").isin(ids)
+    return Placed(edges.light.where(some), None if edges.heavy is None else edges.heavy.where(some), edges.ids)
+
+
+def run(
+    g: Graph, p: VertexProgram, iterations: int | None = None, cadence: int = 4, between: Callable[[DataFrame], DataFrame] | None = None,
+    frontier: DataFrame | list[int] | None = None, bins: Bins | None = None,
+) -> Result:
     """Run ``iterations`` supersteps, or until the frontier is empty (or both, whichever comes first).
 
-    With a frontier to watch the state is written every superstep and its counts come with the write;
-    fixed runs are written every ``cadence`` supersteps, which keeps plans short.  ``between`` may change
-    the state after each write (rescaling).
+    With a frontier to watch the state is written every few supersteps, and their counts come with the write (supersteps
+    after the frontier is empty change nothing); large placed graphs write every superstep, and small frontiers
+    prune their scans.  Fixed runs are written every ``cadence`` supersteps, which keeps plans short.  Of the states that were written the
+    last two stay.  ``between`` may change the state after each write (rescaling).  ``frontier`` replaces
+    the program's first frontier; ``bins`` chooses dense bins by their density in each superstep.
     """
     watch = iterations is None or not p.dense
     edges = g.sending()
-    state = start(g, p)
+    state = start(g, p) if frontier is None else load_frontier(start(g, p), frontier)
     trace: list[tuple[int, int, int]] = []
+    partitions: list[tuple[int, int, int]] = []
+    written: list[DataFrame] = []
+    costs = cut(bin_costs(g, bins), "bin-costs") if bins is not None else None
     k = 0
 
-    def written(df: DataFrame) -> tuple[DataFrame, int]:
-        if not watch:
-            return cut(df), 1
+    def keep(df: DataFrame) -> DataFrame:
+        out = cut(df)
+        written.append(out)
+        if len(written) > 2:
+            release(written.pop(0))
+        return out
+
+    def counted(df: DataFrame, steps: list[int]) -> DataFrame:
+        """Write the state; bit j of ``_seen`` tells whether a vertex was active after step j."""
         seen = Observation()
-        out = cut(df.observe(seen, F.sum(F.col("active").cast("long")).alias("v"), F.sum(F.when(F.col("active"), F.col("od")).otherwise(0)).alias("e")))
+        on = {j: F.shiftright("_seen", j).bitwiseAND(F.lit(1)) for j in steps}
+        sums = [e for j in steps for e in (F.sum(on[j]).cast("long").alias(f"v{j}"), F.sum(on[j] * F.col("od")).cast("long").alias(f"e{j}"))]
+        out = keep(df.observe(seen, *sums).drop("_seen"))
         got = seen.get
-        trace.append((k, int(got["v"] or 0), int(got["e"] or 0)))
-        return out, trace[-1][1]
-
-    state, left = written(state)
-    while left and (iterations is None or k < iterations):
-        k += 1
-        state = superstep(state, edges, p, k)
-        if watch or k % cadence == 0 or k == iterations:
-            state, left = written(state)
-            if between is not None:
-                state = between(state)
-    return Result(state, k, trace)
+        for j in steps:
+            trace.append((k + j, int(got[f"v{j}"] or 0), int(got[f"e{j}"] or 0)))
+            if not trace[-1][1]:
+                break
+        return out
+
+    bit = lambda j: F.col("active").cast("long") * F.lit(1 << j)
+    state = counted(state.withColumn("_seen", bit(0)), [0]) if watch else keep(state)
+    while (not watch or trace[-1][1]) and (iterations is None or k < iterations):
+        if not watch:
+            k += 1
+            state = superstep(state, edges, p, k)
+            if k % cadence == 0 or k == iterations:
+                state = keep(state)
+                if between is not None:
+                    state = between(state)
+            continue
+        dense = None
+        if bins is not None:
+            act = state.where("active").groupBy(bin_of(F.col("id"), bins).alias("_b")).agg(F.sum("od").alias("_on"))
+            flags = dense_bins(costs, act, bins)
+            dense = flags.where("is_dense").select(F.col("pid").alias("_pid"))
+            partitions.append((k, active_partitions(state, bins).count(), dense.count()))
+        single = bins is not None or g.placed is not None
+        last = 1 if single else FUSED if iterations is None else min(FUSED, iterations - k)
+        using = _pruned(edges, state) if isinstance(edges, Placed) and not p.send_all and dense is None and trace[-1][1] <= FEW else edges
+        state = state.withColumn("_seen", F.lit(0).cast("long"))
+        for j in range(1, last + 1):
+            state = superstep(state, using, p, k + j, dense, bins)
+            state = state.withColumn("_seen", F.col("_seen") + bit(j))
+        state = counted(state, list(range(1, last + 1)))
+        k = trace[-1][0]
+    if costs is not None:
+        release(costs)
+    return Result(state, k, trace, partitions)

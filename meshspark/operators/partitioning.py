@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import pow2_floor
-from ..graph import Graph
+from ..graph import Graph, previous, running
 
 c = F.col
 
@@ -84,8 +84,8 @@ def bin_matrix(g: Graph, bins: Bins) -> DataFrame:
 
 def run_changes(g: Graph, bins: Bins) -> DataFrame:
     """src, dst, new_run: whether the edge's target bin differs from that of the edge before it in the sorted list."""
-    w = Window.partitionBy("src").orderBy("dst")
-    return placed_edges(g, bins).select("src", "dst", (F.coalesce(F.lag("pdst").over(w), F.lit(-1)) != c("pdst")).alias("new_run"))
+    e = previous(placed_edges(g, bins).select("src", "dst", "pdst"), "src", c("dst").asc(), "pdst", "_bin")
+    return e.select("src", "dst", (F.coalesce("_bin", F.lit(-1)) != c("pdst")).alias("new_run"))
 
 
 def png_runs(g: Graph, bins: Bins) -> DataFrame:
@@ -103,15 +103,37 @@ def intra_edges(g: Graph, bins: Bins) -> DataFrame:
     return placed_edges(g, bins).where("psrc = pdst").select("src", "dst")
 
 
-def density(g: Graph, bins: Bins, active: DataFrame | None = None) -> DataFrame:
-    """pid, active_edges, png_edges, total_edges, is_dense per bin: whether compressed sending to all is cheaper."""
-    spark = g.edges.sparkSession
-    d = g.out_degrees()
-    act = d if active is None else d.join(active.select(c("id").alias("_a")), c("id") == c("_a"), "left_semi")
-    per = d.groupBy(bin_of(c("id"), bins).alias("_b")).agg(F.sum("out_degree").alias("_t"))
-    on = act.groupBy(bin_of(c("id"), bins).alias("_b2")).agg(F.sum("out_degree").alias("_on"))
+def png_offsets(g: Graph, bins: Bins) -> DataFrame:
+    """psrc, pdst, runs, offset: where each target bin's senders start in the compressed list of a bin."""
+    before = Window.partitionBy("psrc").orderBy("pdst").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
+    return png_runs(g, bins).withColumn("offset", F.coalesce(F.sum("runs").over(before), F.lit(0)).cast("long"))
+
+
+def ipg_offsets(g: Graph, bins: Bins) -> DataFrame:
+    """id, pid, edges, offset: where each vertex's edges within its own bin start in the bin's list of them."""
+    own = intra_edges(g, bins).groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
+    rows = g.vertices.join(own, c("id") == c("src"), "left").select("id", bin_of(c("id"), bins).alias("pid"), F.coalesce("_n", F.lit(0)).cast("long").alias("edges"))
+    return running(rows, ["pid"], [c("id").asc()], c("edges"), "ipg").select("id", "pid", "edges", c("_before").alias("offset"))
+
+
+def bin_costs(g: Graph, bins: Bins) -> DataFrame:
+    """pid, png_edges, total_edges of every bin: what doesn't change between supersteps."""
+    per = g.out_degrees().groupBy(bin_of(c("id"), bins).alias("_b")).agg(F.sum("out_degree").alias("_t"))
     png = png_runs(g, bins).groupBy(c("psrc").alias("_b3")).agg(F.sum("runs").alias("_png"))
-    t = spark.range(bins.count).withColumnRenamed("id", "pid").join(per, c("pid") == c("_b"), "left").join(on, c("pid") == c("_b2"), "left").join(png, c("pid") == c("_b3"), "left")
-    t = t.select("pid", *[F.coalesce(a, F.lit(0)).cast("long").alias(b) for a, b in (("_on", "active_edges"), ("_png", "png_edges"), ("_t", "total_edges"))])
+    t = g.edges.sparkSession.range(bins.count).withColumnRenamed("id", "pid").join(per, c("pid") == c("_b"), "left").join(png, c("pid") == c("_b3"), "left")
+    return t.select("pid", *[F.coalesce(a, F.lit(0)).cast("long").alias(b) for a, b in (("_png", "png_edges"), ("_t", "total_edges"))])
+
+
+def dense_bins(costs: DataFrame, active: DataFrame, bins: Bins) -> DataFrame:
+    """pid, active_edges, png_edges, total_edges, is_dense per bin, given the edges of active vertices (_b, _on)."""
+    t = costs.join(active, c("pid") == c("_b"), "left").select("pid", F.coalesce("_on", F.lit(0)).cast("long").alias("active_edges"), "png_edges", "total_edges")
     # Cost of an edge sent singly; costs of a compressed message, an edge read and a bin.
     return t.withColumn("is_dense", 28.0 * c("active_edges") > 10.5 * c("png_edges") + 2.67 * c("total_edges") + 4.0 * bins.count)
+
+
+def density(g: Graph, bins: Bins, active: DataFrame | None = None) -> DataFrame:
+    """pid, active_edges, png_edges, total_edges, is_dense per bin: whether compressed sending to all is cheaper."""
+    act = g.out_degrees()
+    if active is not None:
+        act = act.join(active.select(c("id").alias("_a")), c("id") == c("_a"), "left_semi")
+    return dense_bins(bin_costs(g, bins), act.groupBy(bin_of(c("id"), bins).alias("_b")).agg(F.sum("out_degree").alias("_on")), bins)

@@ -19,13 +19,13 @@ SQL = {
 }
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> Graph:
-    """The named graph, saved to the shared folder so that every superstep reads it alone."""
+def load(spark: SparkSession, sf_dir: str, name: str, saved: bool = True) -> Graph:
+    """The named graph, ``saved`` to the shared folder where many supersteps read it, else as a plan over the tables."""
     made = {}
     for table in ("part", "supplier", "customer", "orders", "lineitem"):
         made[table] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     v, e = (spark.sql(_named(q, made), **{t: df for t, df in made.items() if f"{{{t}}}" in _named(q, made)}) for q in SQL[name])
-    return Graph(v, e).saved()
+    return Graph(v, e).saved() if saved else Graph(v, e)
 
 
 def _named(sql: str, tables: dict) -> str:

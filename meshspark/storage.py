@@ -24,7 +24,19 @@ def cut(df: DataFrame, name: str = "state") -> DataFrame:
     """Write ``df`` and return a DataFrame that reads it: one computation, no lineage, safe from lost executors."""
     path = f"{shared_dir(df.sparkSession)}/meshspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that ``cut`` wrote (others are left alone); nothing may read them any more."""
+    for df in tables:
+        if (path := getattr(df, "written_to", None)) is not None:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            df.written_to = None
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
@@ -33,4 +45,6 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     table = "meshspark_" + tag.replace("-", "_")
     path = f"{shared_dir(spark)}/meshspark/{tag}"
     df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table, format="parquet")
-    return spark.table(table)
+    out = spark.table(table)
+    out.written_to, out.table = path, table
+    return out
