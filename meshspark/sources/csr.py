@@ -2,37 +2,58 @@
 
 Layout, little-endian: vertex count, edge count, out-offsets (one a vertex), targets (one an edge);
 ``format=mix`` adds in-offsets and in-sources; ``format=csr_weighted`` adds 32-bit weights.  Ids and
-offsets have 4 bytes, or 8 with ``wide``.  Reading splits a file by vertex ranges, so that tasks
-fetch only their slice of the offsets and targets.
+offsets have 4 bytes, or 8 with ``wide``.
 
     register(spark)
-    spark.read.format("csr").option("format", "mix").load(path)          # src, dst[, w]
+    spark.read.format("csr").option("format", "mix").load(path)          # src, dst[, w]; option side=in reads the in-edges of a mix file
+    write_csr(edges, path, vertices, "mix")                              # sorted by Spark
     edges.write.format("csr").option("vertices", n).mode("overwrite").save(path)
+
+Reading splits a file by its edges, so that a hub's edges are read by many tasks; a task fetches its
+offsets and targets in pieces.  Writing tasks check ids, targets and weights against the vertex count and the
+width, and leave sorted runs beside the target; commit merges them as a stream into a new file, which takes the target's
+place when it is whole.  Of runs that don't overlap (``write_csr`` makes such) one is open at a time, so merging is
+copying.  A file that exists is replaced in mode overwrite and left alone, with an error, in mode append.
+
+Executors get this module's code with each task; the package needn't be installed there.
 """
 
 from __future__ import annotations
 
 import os
 import struct
+import sys
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+KINDS = ("csr", "mix", "csr_weighted")
+#: Bytes of targets in one slice of a file; edges handled at once; offsets read at once; rows of a run that a writing task sorts at once.
+SLICE_BYTES, EDGES_AT_ONCE, OFFSETS_AT_ONCE, RUN_ROWS = 64 << 20, 1 << 18, 1 << 18, 1 << 21
+
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
 
 
+def _true(option: object) -> bool:
+    return str(option).lower() == "true"
+
+
 class CsrFile:
     """Sections of one file; raises ValueError if it is too short for its counts."""
 
     def __init__(self, path: str, kind: str = "csr", wide: bool = False):
-        if kind not in ("csr", "mix", "csr_weighted"):
+        if kind not in KINDS:
             raise ValueError(f"unknown format {kind}")
         fs, at = _fs(path)
         self.file, self.kind, self.n = fs.open_input_file(at), kind, 8 if wide else 4
@@ -48,16 +69,28 @@ class CsrFile:
         width = width or self.n
         return np.frombuffer(self.file.read_at(count * width, base + first * width), f"<u{width}").astype(np.int64)
 
-    def rows(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """src, dst, w of the edges of vertices lo .. hi - 1."""
-        offsets = self.section(2 + lo, min(hi + 1, self.v) - lo)
-        if hi >= self.v:
-            offsets = np.append(offsets, self.e)
-        start, end = int(offsets[0]), int(offsets[-1])
-        src = np.repeat(np.arange(lo, hi, dtype=np.int64), np.diff(offsets))
-        dst = self.section(2 + self.v + start, end - start)
-        w = self.section(start, end - start, 4, self.n * (2 + self.v + self.e)) if self.kind == "csr_weighted" else None
-        return src, dst, w
+    def edges(self, lo: int, hi: int, side: str = "out") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """src, dst, w of edges number lo .. hi - 1 of the out-lists (or of the in-lists, which only ``mix`` has), in pieces."""
+        if side == "in" and self.kind != "mix":
+            raise ValueError("only format mix holds in-edges")
+        base = 2 + (self.v + self.e if side == "in" else 0)
+        ends = base + self.v
+        first, after = 0, self.v  # the last vertex whose list starts at or before edge lo
+        while after - first > 1:
+            middle = (first + after) // 2
+            first, after = (middle, after) if int(self.section(base + middle, 1)[0]) <= lo else (first, middle)
+        v = first
+        while lo < hi:
+            starts = self.section(base + v, min(OFFSETS_AT_ONCE, self.v - v))
+            upto = min(hi, int(self.section(base + v + len(starts), 1)[0]) if v + len(starts) < self.v else self.e)
+            while lo < upto:
+                end = min(upto, lo + EDGES_AT_ONCE)
+                own = v + np.searchsorted(starts, np.arange(lo, end), side="right") - 1
+                other = self.section(ends + lo, end - lo)
+                w = self.section(lo, end - lo, 4, self.n * (2 + self.v + self.e)) if self.kind == "csr_weighted" else None
+                yield (own, other, w) if side == "out" else (other, own, w)
+                lo = end
+            v += len(starts)
 
 
 def encode(src: np.ndarray, dst: np.ndarray, vertices: int, w: np.ndarray | None = None, kind: str = "csr", wide: bool = False) -> bytes:
@@ -81,67 +114,168 @@ class _Slice(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.kind, self.wide = options["path"], options.get("format", "csr"), str(options.get("wide", "false")).lower() == "true"
-        self.parts = int(options.get("slices", 8))
+        self.path, self.kind, self.wide = options["path"], options.get("format", "csr"), _true(options.get("wide", "false"))
+        self.side, self.slices = options.get("side", "out"), options.get("slices")
 
     def partitions(self) -> list[InputPartition]:
-        v = CsrFile(self.path, self.kind, self.wide).v
-        cuts = sorted({v * i // self.parts for i in range(self.parts + 1)})
+        f = CsrFile(self.path, self.kind, self.wide)
+        n = int(self.slices or max(8, -(-f.e * f.n // SLICE_BYTES)))
+        cuts = sorted({f.e * i // n for i in range(n + 1)})
         return [_Slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)] or [_Slice(0, 0)]
 
     def read(self, part: _Slice) -> Iterator[pa.RecordBatch]:
         if part.lo == part.hi:
             return
-        src, dst, w = CsrFile(self.path, self.kind, self.wide).rows(part.lo, part.hi)
-        columns = {"src": src, "dst": dst} | ({} if w is None else {"w": w})
-        for i in range(0, len(src), 65_536):
-            yield pa.RecordBatch.from_pydict({k: pa.array(x[i : i + 65_536]) for k, x in columns.items()})
+        for src, dst, w in CsrFile(self.path, self.kind, self.wide).edges(part.lo, part.hi, self.side):
+            for i in range(0, len(src), 65_536):
+                columns = {"src": src, "dst": dst} | ({} if w is None else {"w": w})
+                yield pa.RecordBatch.from_pydict({k: pa.array(x[i : i + 65_536]) for k, x in columns.items()})
+
+
+class Run:
+    """Rows of a file, sorted by their first two columns, read block by block."""
+
+    def __init__(self, path: str, rows: int, width: int, first: tuple[int, int], block: int = EDGES_AT_ONCE):
+        self.path, self.rows, self.width, self.first, self.block = path, rows, width, first, block
+        self.file, self.at, self.held = None, 0, np.zeros((0, width), np.int64)
+
+    def fill(self) -> None:
+        if not len(self.held) and self.at < self.rows:
+            if self.file is None:
+                fs, at = _fs(self.path)
+                self.file = fs.open_input_file(at)
+            n = min(self.block, self.rows - self.at)
+            self.held = np.frombuffer(self.file.read_at(8 * n * self.width, 8 * self.at * self.width), np.int64).reshape(n, self.width)
+            self.at += n
+        if not len(self.held) and self.file is not None:
+            self.file.close()
+            self.file = None
+
+
+def merged(runs: list[Run]) -> Iterator[np.ndarray]:
+    """The rows of all runs in order, in blocks; only runs that overlap are open at once."""
+    waiting, open_ = sorted(runs, key=lambda r: r.first, reverse=True), []
+    while waiting or open_:
+        for r in open_:
+            r.fill()
+        open_ = [r for r in open_ if len(r.held)]
+        # rows up to the least last row in hand are known in full; a waiting run counts as soon as it could hold one of them
+        bound = min((tuple(r.held[-1, :2].tolist()) for r in open_), default=None)
+        if waiting and (bound is None or waiting[-1].first <= bound):
+            open_.append(waiting.pop())
+            continue
+        if bound is None:
+            return
+        parts = []
+        for r in open_:
+            a, b = r.held[:, 0], r.held[:, 1]
+            n = int(((a < bound[0]) | ((a == bound[0]) & (b <= bound[1]))).sum())
+            parts.append(r.held[:n])
+            r.held = r.held[n:]
+        rows = np.concatenate(parts)
+        yield rows if len(open_) == 1 else rows[np.lexsort((rows[:, 1], rows[:, 0]))]
 
 
 class _Done(WriterCommitMessage):
-    def __init__(self, part: str | None):
-        self.part = part
+    def __init__(self, out: list[tuple], back: list[tuple]):
+        self.out, self.back = out, back
 
 
 class _Writer(DataSourceWriter):
-    """Tasks stage their edges beside the target; commit sorts and writes the one file."""
-
-    def __init__(self, options: dict, columns: list[str]):
-        self.options, self.columns = options, columns
+    """Tasks leave checked, sorted runs beside the target; commit merges them into one file."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.kind, self.wide = options["path"], options.get("format", "csr"), _true(options.get("wide", "false"))
+        if self.kind not in KINDS:
+            raise ValueError(f"unknown format {self.kind}")
+        if "vertices" not in options:
+            raise ValueError("option vertices tells how many vertices the graph has")
+        self.vertices = int(options["vertices"])
+        self.columns = ["src", "dst"] + (["w"] if self.kind == "csr_weighted" else [])
+        # the highest bit of an id is kept free
+        if not 0 <= self.vertices <= 1 << (63 if self.wide else 31):
+            raise ValueError(f"{self.vertices} vertices don't fit the id width; use wide")
+        fs, at = _fs(self.path)
+        if not overwrite and fs.get_file_info(at).type != pafs.FileType.NotFound:
+            raise ValueError(f"{self.path} exists, and this format can't be appended to; use mode overwrite")
+
+    def _run(self, rows: np.ndarray, at: str, fs: pafs.FileSystem) -> tuple:
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        name = f"{at}.{uuid.uuid4().hex}.run"
+        with fs.open_output_stream(name) as f:
+            f.write(np.ascontiguousarray(rows).tobytes())
+        return name, len(rows), rows.shape[1], tuple(rows[0, :2].tolist())
 
     def write(self, rows: Iterator) -> _Done:
-        import uuid
-
-        got = np.array([[r[c] for c in self.columns] for r in rows], np.int64)
-        if not len(got):
-            return _Done(None)
-        fs, at = _fs(self.options["path"])
-        part = f"{at}.{uuid.uuid4().hex}.part"
-        with fs.open_output_stream(part) as f:
-            f.write(got.tobytes())
-        return _Done(part)
+        fs, at = _fs(self.path)
+        out, back, held = [], [], []
+
+        def flush() -> None:
+            got = np.array(held, np.int64).reshape(-1, len(self.columns))
+            held.clear()
+            if not len(got):
+                return
+            if got[:, :2].min() < 0 or got[:, :2].max() >= self.vertices:
+                raise ValueError(f"an edge has an end outside 0 .. {self.vertices - 1}")
+            if self.kind == "csr_weighted" and (got[:, 2].min() < 0 or got[:, 2].max() >= 1 << 32):
+                raise ValueError("a weight doesn't fit in 32 bits")
+            out.append(self._run(got, at, fs))
+            if self.kind == "mix":
+                back.append(self._run(got[:, 1::-1], at, fs))
+
+        for r in rows:
+            held.append([r[c] for c in self.columns])
+            if None in held[-1]:
+                raise ValueError(f"an edge holds null: {held[-1]}")
+            if len(held) >= RUN_ROWS:
+                flush()
+        flush()
+        return _Done(out, back)
 
     def commit(self, messages: list[_Done]) -> None:
-        fs, at = _fs(self.options["path"])
-        parts = [m.part for m in messages if m is not None and m.part]
-        got = []
-        for p in parts:
-            with fs.open_input_file(p) as f:
-                got.append(np.frombuffer(f.read(), np.int64).reshape(-1, len(self.columns)))
-        rows = np.concatenate(got) if got else np.zeros((0, len(self.columns)), np.int64)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        kind = self.options.get("format", "csr")
-        w = rows[:, 2] if kind == "csr_weighted" else None
-        with fs.open_output_stream(at) as f:
-            f.write(encode(rows[:, 0], rows[:, 1], int(self.options["vertices"]), w, kind, str(self.options.get("wide", "false")).lower() == "true"))
-        for p in parts:
-            fs.delete_file(p)
+        fs, at = _fs(self.path)
+        done = [m for m in messages if m is not None]
+        out, back = [r for m in done for r in m.out], [r for m in done for r in m.back]
+        edges, new = sum(r[1] for r in out), f"{at}.{uuid.uuid4().hex}.new"
+        if edges >= 1 << (64 if self.wide else 32):
+            raise ValueError(f"{edges} edges don't fit the offset width; use wide")
+        t = "<u8" if self.wide else "<u4"
+        with fs.open_output_stream(new) as f:
+            f.write(struct.pack("<QQ" if self.wide else "<II", self.vertices, edges))
+            for runs, sections in ((out, [1, *([2] if self.kind == "csr_weighted" else [])]), *([(back, [1])] if self.kind == "mix" else [])):
+                self._offsets(f, runs, t)
+                for k in sections:
+                    for rows in merged([Run(*r) for r in runs]):
+                        f.write(rows[:, k].astype("<u4" if k == 2 else t).tobytes())
+        info = fs.get_file_info(at)
+        if info.type == pafs.FileType.File:
+            fs.delete_file(at)
+        fs.move(new, at)
+        self._drop(done)
+
+    def _offsets(self, f, runs: list[tuple], t: str) -> None:
+        """For each vertex the number of edges of the vertices before it."""
+        v = before = 0
+        for rows in merged([Run(*r) for r in runs]):
+            src, top = rows[:, 0], int(rows[-1, 0])
+            while v <= top:  # vertices up to the block's last: all their predecessors' edges are in this block or before it
+                upto = min(top + 1, v + OFFSETS_AT_ONCE)
+                f.write((before + np.searchsorted(src, np.arange(v, upto))).astype(t).tobytes())
+                v = upto
+            before += len(rows)
+        while v < self.vertices:
+            upto = min(self.vertices, v + OFFSETS_AT_ONCE)
+            f.write(np.full(upto - v, before, t).tobytes())
+            v = upto
+
+    def _drop(self, messages: list) -> None:
+        fs, _ = _fs(self.path)
+        for m in messages:
+            for name, *_ in [*m.out, *m.back] if m is not None else []:
+                fs.delete_file(name)
 
     def abort(self, messages: list[_Done]) -> None:
-        fs, _ = _fs(self.options["path"])
-        for m in messages:
-            if m is not None and m.part:
-                fs.delete_file(m.part)
+        self._drop(messages)
 
 
 class CsrSource(DataSource):
@@ -156,13 +290,20 @@ class CsrSource(DataSource):
         return _Reader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(dict(self.options), ["src", "dst"] + (["w"] if self.options.get("format") == "csr_weighted" else []))
+        return _Writer(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(CsrSource)
 
 
+def write_csr(edges: DataFrame, path: str, vertices: int, kind: str = "csr", wide: bool = False) -> None:
+    """Write ``edges`` to ``path``, which is replaced: ranges of sources are sorted by Spark's tasks, a hub's edges by many."""
+    register(edges.sparkSession)
+    placed = edges.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
+    placed.write.format("csr").option("format", kind).option("vertices", vertices).option("wide", wide).mode("overwrite").save(path)
+
+
 def vertex_count(path: str, wide: bool = False) -> int:
     return CsrFile(path, "csr", wide).v
 

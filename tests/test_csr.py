@@ -1,8 +1,13 @@
 """The binary format: round trips, slices, and files that are too short."""
 
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 
+from meshspark.graph import Graph
+from meshspark.operators import algorithms as A
 from meshspark.sources import csr
 
 EDGES = [(0, 1, 4), (0, 2, 1), (1, 3, 1), (2, 1, 2), (2, 3, 5), (3, 4, 3), (3, 7, 9), (4, 0, 7), (4, 5, 2), (5, 7, 1), (5, 7, 8)]
@@ -19,6 +24,98 @@ def test_round_trip(spark, tmp_path, kind, wide):
     assert csr.vertex_count(path, wide) == 8
 
 
+@pytest.mark.parametrize("kind, wide", [("csr", False), ("mix", False), ("csr_weighted", True), ("mix", True)])
+def test_many_edges(spark, tmp_path, monkeypatch, kind, wide):
+    """Small pieces everywhere: a hub, vertices without edges, repeated edges, runs that overlap and runs that don't."""
+    r = np.random.default_rng(6)
+    for name, value in (("EDGES_AT_ONCE", 37), ("OFFSETS_AT_ONCE", 11), ("RUN_ROWS", 50), ("SLICE_BYTES", 256)):
+        monkeypatch.setattr(csr, name, value)
+    monkeypatch.setattr(csr.Run.__init__, "__defaults__", (37,))
+    src = np.where(r.random(1500) < 0.4, 70, r.integers(0, 120, 1500) * 2)
+    rows = list(zip(src.tolist(), r.integers(0, 300, 1500).tolist(), r.integers(0, 2**32, 1500).tolist(), strict=True))
+    columns = ["src", "dst"] + (["w"] if kind == "csr_weighted" else [])
+    df = spark.createDataFrame(rows, "src long, dst long, w long").select(*columns).repartition(4)
+    want = sorted(t[: len(columns)] for t in rows)
+    by_spark, by_runs = str(tmp_path / "a"), str(tmp_path / "b")
+    csr.write_csr(df, by_spark, 300, kind, wide)
+    df.write.format("csr").option("format", kind).option("vertices", 300).option("wide", wide).mode("overwrite").save(by_runs)
+    for path in (by_spark, by_runs):
+        f = csr.CsrFile(path, kind, wide)
+        assert (f.v, f.e) == (300, 1500) and f.section(2, 300).tolist() == np.searchsorted(np.sort(src), np.arange(300)).tolist()
+        for slices in (None, 1, 7):
+            scan = spark.read.format("csr").option("format", kind).option("wide", wide)
+            scan = scan.option("slices", slices) if slices else scan
+            got = scan.load(path)
+            assert sorted(map(tuple, got.collect())) == want
+            if kind == "mix":
+                assert sorted(map(tuple, scan.option("side", "in").load(path).collect())) == want
+    assert len(list(tmp_path.iterdir())) == 2
+    if kind != "csr_weighted":
+        raw = open(by_spark, "rb").read()
+        a = np.array(want)
+        assert raw == csr.encode(a[:, 0], a[:, 1], 300, None, kind, wide)
+
+
+def test_merge_of_runs(tmp_path):
+    r, runs, rows = np.random.default_rng(7), [], []
+    for k in range(9):
+        x = np.stack([r.integers(5 * k, 5 * k + 15, 40), r.integers(0, 4, 40)], axis=1)
+        x = x[np.lexsort((x[:, 1], x[:, 0]))]
+        (tmp_path / str(k)).write_bytes(x.tobytes())
+        runs.append(csr.Run(str(tmp_path / str(k)), 40, 2, tuple(x[0].tolist()), 7))
+        rows += x.tolist()
+    assert np.concatenate(list(csr.merged(runs))).tolist() == sorted(rows)
+
+
+@pytest.mark.parametrize("edges, options", [
+    ([(7, 0)], {"vertices": 3}), ([(0, 2**32 + 5)], {"vertices": 2**31}), ([(-1, 0)], {"vertices": 3}), ([(0, None)], {"vertices": 3}),
+    ([(0, 1)], {"vertices": 2**31 + 1}), ([(0, 1)], {}), ([(0, 1)], {"vertices": 2, "format": "other"}),
+])
+def test_what_does_not_fit_is_refused(spark, tmp_path, edges, options):
+    csr.register(spark)
+    path = tmp_path / "g.bin"
+    path.write_bytes(b"before")
+    w = spark.createDataFrame(edges, "src long, dst long").write.format("csr")
+    for k, v in options.items():
+        w = w.option(k, v)
+    with pytest.raises(Exception):
+        w.mode("overwrite").save(str(path))
+    assert path.read_bytes() == b"before"
+
+
+def test_append_is_refused(spark, tmp_path):
+    path = str(tmp_path / "g.bin")
+    one = spark.createDataFrame([(0, 1)], "src long, dst long")
+    csr.write_csr(one, path, 2)
+    with pytest.raises(Exception, match="append"):
+        one.write.format("csr").option("vertices", 2).mode("append").save(path)
+    assert spark.read.format("csr").load(path).count() == 1
+    with pytest.raises(ValueError, match="in-edges"):
+        list(csr.CsrFile(path).edges(0, 1, "in"))
+    none = one.limit(0)
+    csr.write_csr(none, path, 2, "mix")
+    assert csr.CsrFile(path, "mix").e == 0 and spark.read.format("csr").option("format", "mix").load(path).count() == 0
+
+
+def test_graph_from_file(spark, tmp_path):
+    path = str(tmp_path / "g.bin")
+    df = spark.createDataFrame(EDGES, "src long, dst long, w long")
+    csr.write_csr(df, path, 9, "csr_weighted")
+    g = Graph.load(spark, path, "csr_weighted").saved()
+    assert g.weighted and g.counts() == (9, len(EDGES))
+    assert {r.id: r.level for r in A.bfs(g, 0).state.collect()} == {0: 0, 1: 1, 2: 1, 3: 2, 4: 3, 5: 4, 6: None, 7: 3, 8: None}
+    g.release()
+
+
+def test_executors_need_no_package(tmp_path):
+    """What tasks are sent can be read where the package isn't on the path."""
+    from pyspark import cloudpickle
+
+    (tmp_path / "x").write_bytes(cloudpickle.dumps((csr.CsrSource, csr._Reader({"path": "p"}))))
+    code = f"import pickle, sys; c, r = pickle.loads(open({str(tmp_path / 'x')!r}, 'rb').read()); assert not any(m.startswith('meshspark') for m in sys.modules); print(c.name(), r.path)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split() == ["csr", "p"]
+
+
 def test_layout():
     raw = csr.encode(np.array([1, 0]), np.array([0, 1]), 3)
     assert np.frombuffer(raw, "<u4").tolist() == [3, 2, 0, 1, 2, 1, 0]
