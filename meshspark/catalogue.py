@@ -7,6 +7,7 @@ state of every superstep.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 from .functions import ordering
 from .graph import Graph, csr_decode, prefix_sum
 from .operators import algorithms as A
+from .operators import gas
 from .operators import partitioning as P
 from .plans import datasets
+from .sources import csr
+from .storage import shared_dir
 
 c = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,11 +34,11 @@ def _ctes(graph: str) -> str:
     return f"v AS ({v}), e AS ({e}), dg AS (SELECT id, coalesce(n, 0)::BIGINT AS od FROM v LEFT JOIN (SELECT src, count(*) n FROM e GROUP BY src) ON id = src)"
 
 
-def query(name: str, graph: str, sql: str):
-    """Register ``fn(graph) -> DataFrame`` and the SQL over v, e, dg that gives its rows."""
+def query(name: str, graph: str, sql: str, saved: bool = True):
+    """Register ``fn(graph) -> DataFrame`` and the SQL over v, e, dg that gives its rows; ``saved=False`` for one pass over the graph."""
 
     def wrap(fn: Callable[[Graph], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(datasets.load(spark, sf_dir, graph))
+        QUERIES[name] = lambda spark, sf_dir: fn(datasets.load(spark, sf_dir, graph, saved))
         SQL[name] = sql if sql.startswith("WITH") else f"WITH {_ctes(graph)} {sql}"
         return fn
 
@@ -61,25 +65,62 @@ def _round(col: str, digits: int = 6):
 
 # --- scans, degrees, transforms ---------------------------------------------------------------------------------------
 
-query("edges_scan", "g_part", "SELECT src, dst FROM e")(lambda g: g.edges.select("src", "dst"))
-query("edges_weighted", "g_part", "SELECT src, dst, w FROM e")(lambda g: g.edges.select("src", "dst", "w"))
-query("out_degree", "g_sc", "SELECT id, od AS out_degree FROM dg")(lambda g: g.out_degrees())
+query("edges_scan", "g_part", "SELECT src, dst FROM e", saved=False)(lambda g: g.edges.select("src", "dst"))
+query("edges_weighted", "g_part", "SELECT src, dst, w FROM e", saved=False)(lambda g: g.edges.select("src", "dst", "w"))
+query("out_degree", "g_sc", "SELECT id, od AS out_degree FROM dg", saved=False)(lambda g: g.out_degrees())
 _IN = "SELECT id, coalesce(n, 0)::BIGINT AS in_degree FROM v LEFT JOIN (SELECT dst, count(*) n FROM e GROUP BY dst) ON id = dst"
-query("in_degree", "g_sc", _IN)(lambda g: g.in_degrees())
-query("degrees", "g_frag", f"SELECT i.id, od AS out_degree, in_degree FROM ({_IN}) i JOIN dg ON dg.id = i.id")(lambda g: g.degrees())
+query("in_degree", "g_sc", _IN, saved=False)(lambda g: g.in_degrees())
+query("degrees", "g_frag", f"SELECT i.id, od AS out_degree, in_degree FROM ({_IN}) i JOIN dg ON dg.id = i.id", saved=False)(lambda g: g.degrees())
 query("in_degree_gas", "g_part", _IN)(A.in_degree)
 query("in_degree_topk", "g_part", f"SELECT in_degree FROM ({_IN}) ORDER BY in_degree DESC LIMIT 1000")(lambda g: ordering.top_values(A.in_degree(g), "in_degree"))
 query("hub_concentration", "g_part", """SELECT round(count(*) FILTER (od > avg_od) / count(*), 6) AS vertex_share, round(sum(od) FILTER (od > avg_od) / sum(od), 6) AS edge_share
 FROM dg, (SELECT floor(sum(od) / count(*)) AS avg_od FROM dg)""")(lambda g: g.hub_concentration().select(_round("vertex_share"), _round("edge_share")))
-query("transpose", "g_frag", "SELECT dst AS src, src AS dst FROM e")(lambda g: g.transpose().edges)
+query("transpose", "g_frag", "SELECT dst AS src, src AS dst FROM e", saved=False)(lambda g: g.transpose().edges)
 _SYM = "SELECT src, dst, min(w) AS w FROM (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e) GROUP BY 1, 2"
-query("symmetrize", "g_frag", _SYM)(lambda g: g.symmetrize().edges)
-query("csr_offsets", "g_part", 'SELECT id, od AS out_degree, (coalesce(sum(od) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset" FROM dg')(lambda g: g.csr_offsets())
-query("csr_adjacency", "g_frag", "SELECT id, coalesce(adj, '') AS adj FROM v LEFT JOIN (SELECT src, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS adj FROM e GROUP BY src) ON id = src")(
+query("symmetrize", "g_frag", _SYM, saved=False)(lambda g: g.symmetrize().edges)
+query("csr_offsets", "g_part", 'SELECT id, od AS out_degree, (coalesce(sum(od) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset" FROM dg', saved=False)(lambda g: g.csr_offsets())
+query("csr_adjacency", "g_frag", "SELECT id, coalesce(adj, '') AS adj FROM v LEFT JOIN (SELECT src, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS adj FROM e GROUP BY src) ON id = src", saved=False)(
     lambda g: g.csr_adjacency().select("id", F.array_join(c("adj").cast("array<string>"), ",").alias("adj"))
 )
-query("csr_decode", "g_frag", "SELECT src, dst FROM e")(lambda g: csr_decode(g.csr_adjacency()))
-query("adjacency_position", "g_frag", "SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS pos FROM e")(lambda g: g.adjacency_position())
+query("csr_decode", "g_frag", "SELECT src, dst FROM e", saved=False)(lambda g: csr_decode(g.csr_adjacency()))
+query("adjacency_position", "g_frag", "SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS pos FROM e", saved=False)(lambda g: g.adjacency_position())
+
+
+
+def _file(g: Graph) -> str:
+    return f"{shared_dir(g.edges.sparkSession)}/meshspark/graph-{uuid.uuid4().hex}"
+
+
+def _through_csr(g: Graph, kind: str, side: str = "out", wide: bool = False) -> DataFrame:
+    """The graph's edges, written to a binary file and scanned again."""
+    path, spark = _file(g), g.edges.sparkSession
+    csr.write_csr(g.edges, path, g.vertices.agg(F.max("id")).first()[0] + 1, kind, wide)
+    return spark.read.format("csr").option("format", kind).option("wide", wide).option("side", side).load(path)
+
+
+query("csr_scan_roundtrip", "g_part", "SELECT src, dst FROM e", saved=False)(lambda g: _through_csr(g, "mix"))
+query("csc_scan_roundtrip", "g_part", "SELECT src, dst FROM e", saved=False)(lambda g: _through_csr(g, "mix", "in"))
+query("csr_weighted_roundtrip", "g_part", "SELECT src, dst, w FROM e", saved=False)(lambda g: _through_csr(g, "csr_weighted", wide=True))
+
+
+def _loaded_from_file(g: Graph) -> Graph:
+    path = _file(g)
+    csr.write_csr(g.edges, path, g.vertices.agg(F.max("id")).first()[0] + 1, "mix")
+    return Graph.load(g.edges.sparkSession, path)
+
+
+query("graph_load", "g_part", "SELECT n.id, coalesce(od, 0)::BIGINT AS out_degree FROM (SELECT unnest(range(0, (SELECT max(id) + 1 FROM v)::BIGINT)) AS id) n LEFT JOIN dg ON dg.id = n.id", saved=False)(
+    lambda g: _loaded_from_file(g).out_degrees()
+)
+
+
+def _printed(g: Graph) -> DataFrame:
+    path = _file(g)
+    csr.write_edge_list(g.edges, path)
+    return g.edges.sparkSession.read.text(path)
+
+
+query("edge_list_text", "g_frag", "SELECT src || ', ' || dst AS value FROM e", saved=False)(_printed)
 
 # --- sorts ------------------------------------------------------------------------------------------------------------
 
@@ -107,6 +148,7 @@ def _all_placed(g: Graph, order: list) -> DataFrame:
 
 query("sort_desc_whole", "g_sc", _PLACES.format("DESC"))(lambda g: _all_placed(g, [c("od").desc(), c("id").asc()]))
 query("sort_asc_whole", "g_sc", _PLACES.format("ASC"))(lambda g: _all_placed(g, [c("od").asc(), c("id").asc()]))
+query("midpoints", "g_frag", "SELECT src, dst, (src + dst) // 2 AS middle FROM e", saved=False)(lambda g: g.edges.select("src", "dst", ordering.midpoint(c("src"), c("dst")).alias("middle")))
 query("topk_values", "g_sc", "SELECT od AS out_degree FROM dg ORDER BY od DESC LIMIT 1000")(lambda g: ordering.top_values(g.out_degrees(), "out_degree"))
 
 # --- dense algorithms -------------------------------------------------------------------------------------------------
@@ -160,7 +202,18 @@ def _hits(which: str) -> str:
 
 query("hits_5_auth", "g_part", _hits("auth"))(lambda g: A.hits(g, 5).select("id", _round("auth")))
 query("hits_5_hub", "g_part", _hits("hub"))(lambda g: A.hits(g, 5).select("id", _round("hub")))
-query("hits_literal", "g_part", "SELECT id, 0.0::DOUBLE AS auth FROM v")(lambda g: A.hits_literal(g, 2).select("id", "auth"))
+
+
+def _hits_literal(k: int) -> str:
+    """Halves: odd ones add hubs to authorities and clear hubs, even ones the other way round."""
+    columns = {
+        "a": ("1e-8::DOUBLE", "CASE WHEN nx.it % 2 = 1 THEN p.a + coalesce(g.h, 0) ELSE 0 END"),
+        "h": ("1e-8::DOUBLE", "CASE WHEN nx.it % 2 = 0 THEN p.h + coalesce(g.a, 0) ELSE 0 END"),
+    }
+    return steps("g_part", columns, 2 * k, "sum(s.h) AS h, sum(s.a) AS a", "id, a AS auth, round(h * 1e8, 3) AS hub")
+
+
+query("hits_literal", "g_part", _hits_literal(2))(lambda g: A.hits_literal(g, 2).select("id", "auth", F.round(c("hub") * 1e8, 3).alias("hub")))
 
 # --- frontier algorithms ----------------------------------------------------------------------------------------------
 
@@ -229,7 +282,7 @@ query("nibble_5", "g_part", _nibble(5, "1e-9"))(lambda g: A.nibble(g, 1, 5).stat
 query("nibble_threshold", "g_part", _nibble(5, "1e-4"))(lambda g: A.nibble(g, 1, 5, theta=1e-4).state.select("id", _round("p", 9)))
 
 
-def _delta(k: int, dense: bool) -> str:
+def _delta(k: int, dense: bool, senders: str | None = None, more: str = "") -> str:
     front = "(p.act OR g.m IS NOT NULL)"
     new = f"(CASE WHEN {front} THEN (0.15 + 0.85 * ((CASE WHEN p.act THEN 0 ELSE p.p END) + coalesce(g.m, 0))) / greatest(p.od, 1) ELSE p.p END)"
     old = "(CASE WHEN p.act THEN p.p ELSE p.old END)"
@@ -238,7 +291,7 @@ def _delta(k: int, dense: bool) -> str:
         "old": ("0.0::DOUBLE", old),
         "act": ("true", f"{front} AND p.od > 0 AND abs({old} - {new}) > 0.01 / p.od"),
     }
-    return steps("g_part", columns, k, "sum(s.p) AS m", "id, round(p, 6) AS p", senders="true" if dense else "s.act")
+    return steps("g_part", columns, k, "sum(s.p) AS m", "id, round(p, 6) AS p", senders=senders or ("true" if dense else "s.act"), more=more)
 
 
 query("prdelta_sparse_3", "g_part", _delta(3, False))(lambda g: A.pagerank_delta(g, 3).state.select("id", _round("p")))
@@ -249,12 +302,26 @@ _HUB = "od > (SELECT sum(od) // count(*) FROM dg)"
 
 
 def _loaded(g: Graph) -> DataFrame:
-    """A frontier loaded from a list of ids: the hubs, which send more than the integer average."""
+    """out_degree and active of each vertex, with a frontier loaded from a list of ids: the hubs, which send more than the integer average."""
     average = g.edges.count() // max(g.vertices.count(), 1)
-    return g.out_degrees().withColumn("active", c("out_degree") > average)
+    d = g.out_degrees()
+    return gas.load_frontier(d, d.where(c("out_degree") > average).select("id"))
+
+
+query("frontier_load", "g_part", f"SELECT id FROM dg WHERE {_HUB}")(lambda g: gas.get_frontier(_loaded(g)))
+query("frontier_reset", "g_part", "SELECT id, od AS out_degree, false AS active FROM dg")(lambda g: gas.reset_frontier(_loaded(g)))
+query("bfs_many_roots", "g_frag", steps("g_frag", {"lvl": ("CASE WHEN id % 100 = 7 THEN 0 END", "CASE WHEN p.lvl IS NOT NULL THEN p.lvl WHEN g.m IS NOT NULL THEN nx.it END")}, DEEP, "min(CASE WHEN s.lvl = s.it THEN s.id END) AS m", "id, lvl::BIGINT AS level"))(
+    lambda g: gas.run(g, _levels(), frontier=g.vertices.where("id % 100 = 7")).state.select("id", "level")
+)
+
 
+def _levels() -> gas.VertexProgram:
+    """Levels from every vertex of the first frontier."""
+    return gas.VertexProgram(
+        {"level": F.when(c("id") % 100 == 7, F.lit(0)).cast("long")}, c("id"), {"m": F.min("msg")},
+        activate=c("level").isNull(), gather=lambda k: {"level": F.coalesce(c("level"), F.lit(k).cast("long"))},
+    )
 
-query("frontier_load", "g_part", f"SELECT id FROM dg WHERE {_HUB}")(lambda g: _loaded(g).where("active").select("id"))
 
 # --- partitions -------------------------------------------------------------------------------------------------------
 
@@ -307,6 +374,36 @@ _on_bins("density_check", "g_part", _EE, f"""SELECT pid, active_edges, png_edges
 )
 
 
+_on_bins("active_partitions", "g_part", _BIN, f"SELECT DISTINCT id // bw AS pid FROM dg, bn WHERE {_HUB}")(lambda g: gas.active_partitions(_loaded(g), _bins(g)))
+_on_bins("frontier_offsets", "g_part", _BIN, f"""SELECT pid, size, (coalesce(sum(size) OVER (ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset"
+FROM (SELECT id // bw AS pid, count(*) AS size FROM dg, bn WHERE {_HUB} GROUP BY 1)""")(lambda g: gas.frontier_offsets(_loaded(g), _bins(g)))
+_on_bins("png_offsets", "g_part", _EE, f"""SELECT psrc, pdst, runs, (coalesce(sum(runs) OVER (PARTITION BY psrc ORDER BY pdst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset"
+FROM ({_RUNS})""")(lambda g: P.png_offsets(g, _bins(g)))
+_on_bins("ipg_offsets", "g_part", _EE, """SELECT id, pid, edges, (coalesce(sum(edges) OVER (PARTITION BY pid ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset"
+FROM (SELECT id, id // bw AS pid, coalesce(n, 0)::BIGINT AS edges FROM bn, v LEFT JOIN (SELECT src, count(*) AS n FROM pe WHERE psrc = pdst GROUP BY 1) ON src = id)""")(lambda g: P.ipg_offsets(g, _bins(g)))
+
+# what a bin's vertices cost in compressed form, and which bins are dense given the active vertices of a state
+_COSTS = _EE + ", costs AS (SELECT id // bw AS cb, sum(od) AS te, coalesce(max(n), 0) AS pe FROM bn, dg LEFT JOIN (SELECT psrc, count(DISTINCT (src, pdst)) AS n FROM pe GROUP BY 1) ON psrc = id // bw GROUP BY 1)"
+_DENSE = "28.0 * ae > 10.5 * pe + 2.67 * te + 4.0 * nb"
+
+
+def _parts_trace(g: Graph) -> DataFrame:
+    found = A.bfs(g, _root(g), bins=_bins(g)).partitions
+    return g.edges.sparkSession.createDataFrame(found, "iteration long, active_partitions long, dense_partitions long")
+
+
+_on_bins("bfs_partition_trace", "g_frag", _COSTS + f", t AS (SELECT * FROM ({_bfs('id, od, lvl')}))", f"""SELECT lvl::BIGINT AS iteration, count(*) AS active_partitions, count(*) FILTER ({_DENSE}) AS dense_partitions
+FROM (SELECT lvl, id // bw AS ab, sum(od) AS ae FROM t, bn WHERE lvl IS NOT NULL GROUP BY 1, 2), bn, costs WHERE cb = ab GROUP BY 1""")(_parts_trace)
+
+
+def _hybrid(k: int) -> str:
+    sent = f"(s.act OR s.id // (SELECT bw FROM bn) IN (SELECT ab FROM (SELECT y.id // bw AS ab, sum(CASE WHEN y.act THEN y.od ELSE 0 END) AS ae FROM s y, bn GROUP BY 1), bn, costs WHERE cb = ab AND {_DENSE}))"
+    return _delta(k, False, sent, _COSTS)
+
+
+query("prdelta_hybrid_3", "g_part", _hybrid(3))(lambda g: A.pagerank_delta(g, 3, bins=_bins(g)).state.select("id", _round("p")))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -139,7 +139,7 @@ def superstep(state: DataFrame, edges: DataFrame | Placed, p: VertexProgram, k:
 
 
 def _pruned(edges: Placed, state: DataFrame) -> Placed:
-    """Only what the edges of few active sources need: filters on the bucket column skip buckets and row groups."""
+    """Only what the edges of few active sources need: filters on the sorted column skip row groups."""
     ids = [r[0] for r in get_frontier(state).collect()]  # at most FEW
     some = F.col("src").isin(ids)
     return Placed(edges.light.where(some), None if edges.heavy is None else edges.heavy.where(some), edges.ids)

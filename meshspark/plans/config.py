@@ -1,16 +1,23 @@
-"""Run parameters, and the harness that repeats a query and reports its times."""
+"""Run parameters, the runs they describe, and the harness that repeats a query and reports its times."""
 
 from __future__ import annotations
 
+import argparse
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..graph import Graph
+from ..operators import algorithms as A
+from ..operators.partitioning import Bins, bin_params
+
 
 @dataclass(frozen=True)
 class RunConfig:
+    """``threads`` and ``kilobytes`` size the bins; ``dynamic`` asks for unequal partitions where partitions are made."""
+
     data: str = ""
     root: int = 1
     kilobytes: int = 256
@@ -19,6 +26,43 @@ class RunConfig:
     threads: int = 20
     dynamic: bool = False
 
+    @classmethod
+    def parse(cls, args: list[str]) -> RunConfig:
+        """From options -d file, -v root, -s kilobytes, -i iterations, -r rounds, -t threads, -y (dynamic)."""
+        p = argparse.ArgumentParser(prog="meshspark", exit_on_error=False)
+        for flag, name in zip(("-d", "-v", "-s", "-i", "-r", "-t"), fields(cls), strict=False):
+            p.add_argument(flag, dest=name.name, type=type(name.default), default=name.default)
+        p.add_argument("-y", dest="dynamic", action="store_true")
+        return cls(**vars(p.parse_args(args)))
+
+    def bins(self, g: Graph) -> Bins:
+        return bin_params(g.vertices.count(), self.threads, self.kilobytes)
+
+
+#: Algorithm -> its result with the parameters of a run.
+ALGORITHMS: dict[str, Callable[[Graph, RunConfig], DataFrame]] = {
+    "pagerank": lambda g, r: A.pagerank(g, r.iterations),
+    "pagerank_delta": lambda g, r: A.pagerank_delta(g, r.iterations, bins=r.bins(g)).state,
+    "bfs": lambda g, r: A.bfs(g, r.root).state,
+    "components": lambda g, r: A.connected_components(g).state,
+    "sssp": lambda g, r: A.sssp(g, r.root).state,
+    "nibble": lambda g, r: A.nibble(g, r.root, r.iterations).state,
+    "in_degree": lambda g, r: A.in_degree(g),
+    "eigenvector": lambda g, r: A.eigenvector(g, r.iterations),
+    "collaborative_filtering": lambda g, r: A.collaborative_filtering(g, r.iterations),
+    "hits": lambda g, r: A.hits(g, r.iterations),
+}
+#: Their mean time counts the first round too.
+ALL_ROUNDS = ("pagerank_delta", "nibble")
+
+
+def execute(spark: SparkSession, name: str, config: RunConfig, g: Graph | None = None) -> tuple[DataFrame, DataFrame]:
+    """(result, report of the rounds' times) of an algorithm on ``config.data`` (a binary file) or a graph in hand."""
+    if g is None:
+        g = Graph.load(spark, config.data, "csr_weighted" if name == "sssp" else "mix").saved()
+    report = timed_rounds(spark, name, lambda: ALGORITHMS[name](g, config), config, skip_first=name not in ALL_ROUNDS)
+    return ALGORITHMS[name](g, config), report
+
 
 def timed_rounds(spark: SparkSession, label: str, query: Callable[[], DataFrame], config: RunConfig, skip_first: bool = True) -> DataFrame:
     """label, round, seconds, counted: every round runs the query whole; the first is left out of the mean if others exist."""

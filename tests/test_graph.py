@@ -205,6 +205,122 @@ def test_custom_program(g8):
     assert values(gas.run(g8, p).state, "top") == [5 if i == 5 else v for i, v in enumerate([4, 4, 4, 4, 4, 5, 6, 7])]
 
 
+def test_frontier(spark, g8):
+    p = gas.VertexProgram({"x": F.lit(0)}, F.col("x"), {"m": F.sum("msg")})
+    state, bins = gas.start(g8, p), P.Bins(2, 4)
+    for ids in ([1, 2, 2, 5, 99], spark.createDataFrame([(5,), (1,), (2,)], "v long")):
+        loaded = gas.load_frontier(state, ids)
+        assert loaded.columns == state.columns and sorted(r.id for r in gas.get_frontier(loaded).collect()) == [1, 2, 5]
+    assert sorted(map(tuple, gas.frontier_offsets(loaded, bins).collect())) == [(0, 1, 0), (1, 1, 1), (2, 1, 2)]
+    assert sorted(r.pid for r in gas.active_partitions(loaded, bins).collect()) == [0, 1, 2]
+    assert gas.get_frontier(gas.reset_frontier(loaded)).isEmpty() and gas.get_frontier(gas.load_frontier(state, [])).isEmpty()
+
+
+@pytest.mark.parametrize("fused", [1, 2, 5])
+def test_fused_supersteps(g8, monkeypatch, fused):
+    """However many supersteps share a write: same results, same trace, and no more than the last two states stay."""
+    monkeypatch.setattr(gas, "FUSED", fused)
+    kept = []
+    real = gas.cut
+    monkeypatch.setattr(gas, "cut", lambda df, *a: kept.append(real(df, *a)) or kept[-1])
+    got = A.bfs(g8)
+    assert got.supersteps == 5 and [t[1] for t in got.trace] == [1, 1, 2, 2, 1, 0] and [t[0] for t in got.trace] == list(range(6))
+    assert values(got.state, "level") == [3, 0, 4, 1, 2, 3, None, 2]
+    assert sum(k.written_to is not None for k in kept) == min(2, len(kept))
+    assert A.bfs(g8, iterations=2).supersteps == 2
+
+
+def hybrid(n, edges, width, k):
+    """Delta PageRank where bins whose active edges outweigh their compressed messages send from all vertices, plainly."""
+    od = [sum(a == v for a, *_ in edges) for v in range(n)]
+    bins = (n - 1) // width + 1
+    png = [len({(a, b // width) for a, b, *_ in edges if a // width == i}) for i in range(bins)]
+    total = [sum(od[i * width : (i + 1) * width]) for i in range(bins)]
+    p, old, act, seen = [1 / max(1, d) for d in od], [0.0] * n, [True] * n, []
+    for step in range(k):
+        on = [sum(od[v] for v in range(n) if act[v] and v // width == i) for i in range(bins)]
+        dense = [28 * on[i] > 10.5 * png[i] + 2.67 * total[i] + 4 * bins for i in range(bins)]
+        seen.append((step, len({v // width for v in range(n) if act[v]}), sum(dense)))
+        got = {}
+        for a, b, *_ in edges:
+            if act[a] or dense[a // width]:
+                got[b] = got.get(b, 0.0) + p[a]
+        for v in range(n):
+            front = act[v] or v in got
+            before = p[v]
+            if act[v]:
+                old[v], p[v] = p[v], 0.0
+            p[v] += got.get(v, 0.0)
+            if front:
+                p[v] = (0.15 + 0.85 * p[v]) / max(1, od[v])
+            act[v] = front and od[v] > 0 and abs(old[v] - p[v]) > 0.01 / od[v]
+    return p, seen
+
+
+def test_sending_by_density(spark):
+    edges = [(i * 5 % 24, (i * i + 2) % 24, 1) for i in range(90)] + [(i, (i + 1) % 24, 1) for i in range(24)]
+    g = graph(spark, 24, edges).saved()
+    for k in (1, 3, 6):
+        want, seen = hybrid(24, edges, 4, k)
+        got = A.pagerank_delta(g, k, bins=P.Bins(4, 6))
+        assert values(got.state, "p") == [round(v, 6) for v in want] and got.partitions == seen
+    assert any(0 < d < a for _, a, d in hybrid(24, edges, 4, 6)[1]) or any(d for *_, d in hybrid(24, edges, 4, 6)[1])
+
+
+def test_small_frontiers_prune_the_scan(spark, skewed):
+    placed = skewed[1]
+    some = gas._pruned(placed.placed, gas.load_frontier(gas.start(placed, gas.VertexProgram({}, F.lit(1), {})), [3, 5]))
+    plan = some.light._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "In(src" in plan
+    assert {r.src for r in some.light.collect()} <= {3, 5}
+
+
+def test_hubs_spread(spark):
+    """Positions and run changes of a hub equal plain windows; no window is partitioned by the hub's key alone."""
+    from pyspark.sql import Window
+
+    edges = [(i % 400, 7) for i in range(400)] + [(9, i * 13 % 401) for i in range(401)] + [(i, i + 1) for i in range(50)]
+    g, bins = graph(spark, 402, edges), P.Bins(16, 26)
+    w = Window.partitionBy("dst").orderBy("src")
+    want = sorted(map(tuple, g.edges.select("src", "dst", (F.row_number().over(w) - 1).alias("pos")).collect()))
+    assert sorted(map(tuple, g.adjacency_position().collect())) == want
+    w = Window.partitionBy("src").orderBy("dst")
+    want = sorted(map(tuple, P.placed_edges(g, bins).select("src", "dst", (F.coalesce(F.lag("pdst").over(w), F.lit(-1)) != F.col("pdst")).alias("new_run")).collect()))
+    assert sorted(map(tuple, P.run_changes(g, bins).collect())) == want
+
+
+def test_release(spark, tmp_path):
+    import os
+
+    from meshspark import storage
+
+    df = storage.cut(spark.range(5), "gone")
+    path = df.written_to
+    assert os.path.exists(path)
+    storage.release(df, spark.range(3), None)
+    assert not os.path.exists(path) and df.written_to is None
+    g = graph(spark, 8, G8).saved().placed_by_source(buckets=2)
+    paths = [t.written_to for t in (g.vertices, g.edges, g.placed.light)]
+    g.release()
+    assert not any(os.path.exists(p) for p in paths) and not [t for t in spark.catalog.listTables() if t.name == g.placed.light.table]
+
+
+def test_run_config(spark, g8, tmp_path):
+    from meshspark.plans.config import ALGORITHMS, execute
+    from meshspark.sources import csr
+
+    c = RunConfig.parse("-d x -v 3 -s 4 -i 5 -r 1 -t 2 -y".split())
+    assert c == RunConfig("x", 3, 4, 5, 1, 2, True) and RunConfig.parse([]) == RunConfig()
+    path = str(tmp_path / "g.bin")
+    csr.write_csr(g8.edges, path, 8, "mix")
+    result, report = execute(spark, "pagerank", RunConfig(data=path, iterations=2, rounds=2))
+    assert values(result, "rank") == values(A.pagerank(g8, 2), "rank") and report.count() == 2
+    for name in ("bfs", "pagerank_delta", "in_degree"):
+        result, report = execute(spark, name, RunConfig(iterations=1, rounds=1), g8)
+        assert result.count() == 8 and report.first().counted
+    assert len(ALGORITHMS) == 10
+
+
 def test_sorts(spark):
     d = spark.createDataFrame([(3, 0), (1, 1), (3, 2), (2, 3)], "x long, pos long")
     assert [r.pos for r in ordering.sort_desc(d, "x", "pos").collect()] == [0, 2, 3, 1]
