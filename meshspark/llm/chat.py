@@ -9,7 +9,9 @@ segments where whole strings are wanted.
 
 Defined edge cases: order is by turn (nulls last), then role, then text; null roles take part
 under the name ``unknown``; null texts are empty; a conversation with no participant but
-``system`` gives no rows; repeated rows are turns of their own; an empty table gives no rows.
+``system`` gives no rows; repeated rows are turns of their own; an empty table gives no rows.  Texts are
+copied as they are, however long: one that holds the format's own markers isn't changed, and ``start``, ``end`` and the
+masks, not the markers, tell where turns begin and what is learnt.
 """
 
 from __future__ import annotations

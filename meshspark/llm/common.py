@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: durable intermediates and distributed running sums."""
+"""Helpers shared by the operators: durable intermediates, joins on heavy keys, word classes."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import types
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..graph import running as running
 from ..storage import cut
 
 #: Word classes of the result contracts, as Java/RE2 patterns for what stands *between* words.
@@ -72,34 +73,6 @@ def meet(rows: DataFrame, facts: DataFrame, key: str, fact_key: str, many: str,
     return rows.join(F.broadcast(hot), on).union(light.join(facts.where(~heavy), on, how))
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column], total: Column, name: str) -> DataFrame:
-    """Add ``_rank`` (0-based) and ``_before`` (sum of ``total`` over earlier rows) per ``keys`` in ``order``.
-
-    A plain window would gather one key in one task.  Here rows are first range-partitioned by
-    keys *and* order, so that a hot key spreads over many partitions; ranks and sums run inside
-    each partition and the per-partition totals (at most one row per key and partition) shift them.
-    """
-    names = df.columns
-    tagged = df.withColumn("_total", total.cast("long"))
-    by = [F.col(k).asc_nulls_last() for k in keys] + order
-    placed = materialize(tagged.repartitionByRange(*by).withColumn("_pid", F.spark_partition_id()), name)
-    inner = Window.partitionBy("_pid", *keys).orderBy(*order)
-    rows = placed.withColumns({
-        "_rank": F.row_number().over(inner).cast("long") - 1,
-        "_before": F.sum("_total").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_total"),
-    })
-    parts = placed.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_total").alias("_t"))
-    outer = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    shift = parts.select(
-        F.col("_pid").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_dn"), F.coalesce(F.sum("_t").over(outer), F.lit(0)).alias("_dt"),
-    )
-    on = F.col("_pid") == F.col("_p")
-    for i, k in enumerate(keys):
-        on = on & same(F.col(k), F.col(f"_k{i}"))
-    return rows.join(shift, on).select(*names, (F.col("_rank") + F.col("_dn")).alias("_rank"), (F.col("_before") + F.col("_dt")).alias("_before"))
-
-
 def n_space_words(text: Column) -> Column:
     """Number of runs of characters other than space and \\t..\\r; null counts none."""
     t = F.coalesce(text, F.lit(""))
