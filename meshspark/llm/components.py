@@ -19,8 +19,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     nothing; an empty table gives no rows.
     """
     left = materialize(links.select("a", "b").where("a <> b").distinct(), f"{name}-links")
-    labels, old = None, []
+    labels = None
     while True:
+        old = [left, labels]
         both = left.select("a", "b").union(left.select(F.col("b"), F.col("a")))
         moves = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("_to")).select(F.col("a").alias("_v"), "_to"), f"{name}-moves")
         if labels is None:
@@ -30,12 +31,10 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         first = moves.select(F.col("_v").alias("_va"), F.col("_to").alias("_ta"))
         second = moves.select(F.col("_v").alias("_vb"), F.col("_to").alias("_tb"))
         moved = left.join(first, F.col("a") == F.col("_va")).join(second, F.col("b") == F.col("_vb"))
-        old += [left, moves, labels]
         left = materialize(
             moved.where("_ta <> _tb").select(F.least("_ta", "_tb").alias("a"), F.greatest("_ta", "_tb").alias("b")).distinct(), f"{name}-links"
         )
         labels = materialize(labels, f"{name}-labels")
-        release(*[t for t in old if t is not None])
-        old = []
+        release(moves, *old)
         if left.isEmpty():
             return labels
