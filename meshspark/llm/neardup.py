@@ -181,11 +181,16 @@ def _on_row(a: DataFrame, doc_id: Column, key: Column) -> Column:
     return a["doc_id"].eqNullSafe(doc_id) & (digest(a["text"]) == key)
 
 
-def _texts(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, text) of the representatives ``ids`` (_i)."""
-    # read back, so that Spark broadcasts it if its size allows
+def _sets(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, items): the full sets, as bytes, of the representatives ``ids`` (_i), read from their whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).astype("<u8").tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "items"])
+
     wanted = materialize(reps.join(ids, F.col("rep") == F.col("_i"), "left_semi").select(F.col("rep").alias("node"), "first", "key"), "dup-wanted")
-    return materialize(docs.join(wanted, _on_row(docs, wanted["first"], wanted["key"])).select("node", "text").dropDuplicates(["node"]), "dup-texts")
+    found = docs.join(wanted, _on_row(docs, wanted["first"], wanted["key"])).select("node", "text").mapInArrow(run, "node long, items binary")
+    return materialize(found.dropDuplicates(["node"]), "dup-items")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, like: Similarity) -> DataFrame:
@@ -199,13 +204,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, like: Similarit
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sets: dict[str, np.ndarray] = {}
-            keep = []
-            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                if x not in sets:
-                    sets = {x: shingles(x)}
-                if like.linked(sets[x], shingles(y)):
-                    keep.append(i)
+            keep = [i for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)) if like.linked(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"))]
             k = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(k), b.column(1).take(k)], names=["a", "b"])
 
@@ -213,10 +212,10 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, like: Similarit
     sb = reps.select(F.col("rep").alias("_rb"), F.col("sig").alias("_sb"))
     both = pairs.join(sa, F.col("a") == F.col("_ra")).join(sb, F.col("b") == F.col("_rb")).select("a", "b", "_sa", "_sb")
     left = materialize(both.mapInArrow(prune, "a long, b long"), "dup-survivors")
-    texts = _texts(docs, reps, left.select(F.col("a").alias("_i")).union(left.select("b")).distinct())
-    ta = texts.select(F.col("node").alias("_ia"), F.col("text").alias("_ta"))
-    tb = texts.select(F.col("node").alias("_ib"), F.col("text").alias("_tb"))
-    full = left.join(ta, F.col("a") == F.col("_ia")).join(tb, F.col("b") == F.col("_ib")).select("a", "b", "_ta", "_tb")
+    items = _sets(docs, reps, left.select(F.col("a").alias("_i")).union(left.select("b")).distinct())
+    ia = items.select(F.col("node").alias("_ia"), F.col("items").alias("_xa"))
+    ib = items.select(F.col("node").alias("_ib"), F.col("items").alias("_xb"))
+    full = left.join(ia, F.col("a") == F.col("_ia")).join(ib, F.col("b") == F.col("_ib")).select("a", "b", "_xa", "_xb")
     return materialize(full.mapInArrow(exact, "a long, b long"), "dup-links")
 
 
@@ -283,14 +282,14 @@ def _exhaust(rows: DataFrame, reps: DataFrame, docs: DataFrame, like: Similarity
     cut = running(sized, ["band"], [F.col("comp").asc(), F.col("rep").asc()], F.col("n") * 8, "dup-blocks")
     cut = cut.withColumn("_blk", F.floor(F.col("_rank") / BLOCK) + F.floor(F.col("_before") / BLOCK_BYTES)).select("band", "at", "rep", "comp", "_blk")
     cut = materialize(cut, "dup-cut")
-    texts = _texts(docs, reps, cut.select(F.col("rep").alias("_i")).distinct()).withColumnRenamed("node", "_t")
-    members = cut.join(reps.select(F.col("rep").alias("_r"), "sig"), F.col("rep") == F.col("_r")).join(texts, F.col("rep") == F.col("_t")).select("band", "at", "_blk", "rep", "comp", "sig", "text")
+    items = _sets(docs, reps, cut.select(F.col("rep").alias("_i")).distinct()).withColumnRenamed("node", "_t")
+    members = cut.join(reps.select(F.col("rep").alias("_r"), "sig"), F.col("rep") == F.col("_r")).join(items, F.col("rep") == F.col("_t")).select("band", "at", "_blk", "rep", "comp", "sig", "items")
     folder = f"{shared_dir(spark)}/meshspark/dup-blocks-{uuid.uuid4().hex}"
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         path = f"{folder}/{uuid.uuid4().hex}"  # every attempt writes files of its own; only the row that counts tells them
         sig = np.frombuffer(b"".join(pdf["sig"]), "<u4").reshape(-1, HASHES)
-        Block.store(path, pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), sig, [shingles(t) for t in pdf["text"]])
+        Block.store(path, pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), sig, [np.frombuffer(x, "<u8") for x in pdf["items"]])
         return pd.DataFrame({"b": pdf["band"].iloc[:1], "p": pdf["at"].iloc[:1], "i": pdf["_blk"].iloc[:1], "path": [path], "lo": [pdf["comp"].min()], "hi": [pdf["comp"].max()]})
 
     blocks = materialize(members.groupBy("band", "at", "_blk").applyInPandas(write, "b long, p int, i long, path string, lo long, hi long"), "dup-files")
