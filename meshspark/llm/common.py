@@ -56,6 +56,15 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+#: Key tables of at most this many bytes are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def few(df: DataFrame, bytes_a_row: int) -> DataFrame:
+    """``df``, which is materialized, to be broadcast if its rows fit in BROADCAST_BYTES: whole texts then stay where they are."""
+    return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df
+
+
 #: A key is heavy if it has more than a quarter of a partition's fair share of the rows; so at most 4 a partition are.
 HEAVY = 4
 

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import shared_dir
-from .common import LOWER, UPPER, digest, materialize, meet, running, slices
+from .common import LOWER, UPPER, digest, few, materialize, meet, running, slices
 from .components import components
 
 SHINGLE, HASHES, BATCH, MISS, LOST = 5, 144, 24, 1e-6, 2e-5
@@ -188,7 +188,7 @@ def _sets(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
         for b in slices(batches, 64):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).astype("<u8").tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "items"])
 
-    wanted = materialize(reps.join(ids, F.col("rep") == F.col("_i"), "left_semi").select(F.col("rep").alias("node"), "first", "key"), "dup-wanted")
+    wanted = few(materialize(reps.join(ids, F.col("rep") == F.col("_i"), "left_semi").select(F.col("rep").alias("node"), "first", "key"), "dup-wanted"), 64)
     found = docs.join(wanted, _on_row(docs, wanted["first"], wanted["key"])).select("node", "text").mapInArrow(run, "node long, items binary")
     return materialize(found.dropDuplicates(["node"]), "dup-items")
 
@@ -374,6 +374,7 @@ def one_of_each(docs: DataFrame, like: Similarity = OP4) -> DataFrame:
     rows = meet(materialize(rows, "dup-rows"), owner, "set_key", "_set", "many", "left")
     lost = F.col("_set").isNotNull() & ~(F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_key") == F.col("_first_key")))
     rows = materialize(rows.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "_n", lost.alias("_lost")).where("_lost or _n > 1"), "dup-lost")
+    rows = few(rows, 64)
     left = docs.join(rows, _on_row(docs, rows["_d"], rows["_k"]), "left_anti")
     again = rows.where("not _lost")
     if again.isEmpty():
