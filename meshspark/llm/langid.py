@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-SAMPLE_DOCS, SLICE, DICT_BYTES, LEVEL = 256, 2_048, 131_072, 12
+SAMPLE_DOCS, SLICE, DICT_BYTES, LEVEL = 256, 2_048, 262_144, 12
 LETTER = regex.compile(r"\p{L}")
 
 
