@@ -30,7 +30,6 @@ import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -42,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import shared_dir
-from .common import LOWER, UPPER, digest, few, materialize, meet, running, slices
+from .common import LOWER, UPPER, digest, few, materialize, meet, running, slices, worker_state
 from .components import components
 
 SHINGLE, HASHES, BATCH, MISS, LOST = 5, 144, 24, 1e-6, 2e-5
@@ -105,7 +104,6 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache
 def least_matches(threshold: float = OP4.num / OP4.den, miss: float = MISS) -> list[tuple[int, int]]:
     """(n, m) per batch: after n values, pairs with fewer than m matches are dropped.
 
@@ -127,7 +125,11 @@ def least_matches(threshold: float = OP4.num / OP4.den, miss: float = MISS) -> l
 def survivors(a: np.ndarray, b: np.ndarray, like: Similarity = OP4) -> np.ndarray:
     """Rows of two signature matrices that survive all batches."""
     alive, matches, at = np.arange(len(a)), np.zeros(len(a), np.int64), 0
-    for n, m in least_matches(like.num / like.den):
+    # kept by the worker: a cached function would reach executors by its name, which they can't import
+    known, threshold = worker_state().setdefault("least_matches", {}), like.num / like.den
+    if threshold not in known:
+        known[threshold] = least_matches(threshold)
+    for n, m in known[threshold]:
         matches[alive] += (a[alive, at:n] == b[alive, at:n]).sum(axis=1)
         alive, at = alive[matches[alive] >= m], n
         if not len(alive):
