@@ -12,7 +12,8 @@ Fingerprinting folds case by ``lower`` (equal A-Z-folded texts are equal under i
 nothing); the comparison itself folds A-Z only.
 
 Defined edge cases: null and wordless texts have no words, no window and no hit; an empty
-benchmark hits nothing; several items with one window all count; rows with null or repeated
+benchmark hits nothing; several items with one window all count; items without an id count as one item,
+which the digest of ids leaves out; rows with null or repeated
 doc_ids each get the figures of their own text (rows are told apart by id and the text's digest; rows
 equal in both are equal in their figures); hits that overlap count each word once.
 """
@@ -84,7 +85,9 @@ def windows(bench: DataFrame) -> DataFrame:
     rows = w.select("item_id", "_w", "_len", F.explode(F.sequence(F.lit(1), F.size("_w") - F.col("_len") + 1)).alias("_i")).select(
         "item_id", "_len", F.array_join(F.slice("_w", F.col("_i"), F.col("_len")), " ").alias("_win")
     )
-    return rows.groupBy("_len", "_win").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
+    # in a struct, because collect_set leaves plain nulls out
+    ids = F.collect_set(F.struct(F.col("item_id").cast("string").alias("s")))
+    return rows.groupBy("_len", "_win").agg(F.array_sort(F.transform(ids, lambda x: x["s"])).alias("_items"))
 
 
 def _few(df: DataFrame, size: int) -> DataFrame:
