@@ -75,6 +75,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+_SPACED = _WORDS.replace(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+")
+
+#: Exact sets in place of signatures: pairs meet in the rarest shingles of their sets, of which linked ones share one.
+NEAR_DUPLICATES_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id,
+    {_SPACED} AS w FROM documents),
+sh AS (SELECT DISTINCT rid, array_to_string(w[i : i + n - 1], ' ') AS s
+       FROM (SELECT rid, w, least(len(w), 5) AS n, unnest(range(1, (len(w) - least(len(w), 5) + 2)::BIGINT)) AS i FROM d WHERE len(w) > 0)),
+num AS MATERIALIZED (SELECT s, row_number() OVER (ORDER BY count(*), s) AS k FROM sh GROUP BY s),
+sets AS MATERIALIZED (SELECT rid, list_sort(list(k)) AS ks FROM sh JOIN num USING (s) GROUP BY rid),
+reps AS MATERIALIZED (SELECT min(rid) AS rep, ks, len(ks) AS n FROM sets GROUP BY ks),
+-- the rarest shingles of a set: sets that share 85 % of their union share one of these
+rare AS MATERIALIZED (SELECT rep, n, unnest(ks[1 : n - (85 * n + 99) // 100 + 1]) AS k FROM reps),
+pairs AS (SELECT DISTINCT a.rep AS x, b.rep AS y FROM rare a JOIN rare b ON a.k = b.k AND a.rep < b.rep WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+common AS (SELECT x, y, a.n + b.n AS total, len(list_intersect(a.ks, b.ks)) AS shared FROM pairs JOIN reps a ON a.rep = x JOIN reps b ON b.rep = y),
+link AS MATERIALIZED (SELECT x, y FROM common WHERE 100 * shared >= 85 * (total - shared)),
+edge AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT rep, rep AS far FROM reps UNION SELECT reach.rep, edge.y FROM reach JOIN edge ON edge.x = reach.far),
+least_id AS (SELECT reps.rep, min(doc_id) AS least FROM reps JOIN sets USING (ks) JOIN d USING (rid) GROUP BY reps.rep),
+comp AS (SELECT reach.rep, min(least) AS component_id FROM reach JOIN least_id ON least_id.rep = reach.far GROUP BY reach.rep),
+facts AS (SELECT rid, reps.n, component_id FROM sets JOIN reps USING (ks) JOIN comp USING (rep))
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id,
+       doc_id IS NOT DISTINCT FROM CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS kept
+FROM d LEFT JOIN facts USING (rid)
+"""
+
+#: Every two vectors, which SQL can afford on the test tables only.
+EMBEDDING_DUPLICATES_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+usable AS MATERIALIZED (SELECT rid, vec_id, e, len(e) AS n FROM v
+    WHERE len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+link AS MATERIALIZED (SELECT a.rid AS x, b.rid AS y FROM usable a JOIN usable b ON a.n = b.n AND a.rid <> b.rid WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT rid, rid AS far FROM v UNION SELECT reach.rid, link.y FROM reach JOIN link ON link.x = reach.far),
+comp AS (SELECT reach.rid, min(vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.far GROUP BY reach.rid),
+many AS (SELECT x AS rid, count(*) AS n_links FROM link GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN comp USING (rid) LEFT JOIN many USING (rid)
+"""
+
 DECONTAMINATION_SQL = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -110,4 +149,7 @@ FROM o
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": DECONTAMINATION_SQL, "op7_chat_formatting": CHAT_SQL}
+    return {
+        "op4_near_duplicates": NEAR_DUPLICATES_SQL, "op6_decontamination": DECONTAMINATION_SQL,
+        "op7_chat_formatting": CHAT_SQL, "op9_embedding_duplicates": EMBEDDING_DUPLICATES_SQL,
+    }
