@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, hnsw, langid, license_scan, mixing, neardup, quality, sharding, tokens
+from . import bpe, chat, decontam, hnsw, langid, license_scan, mixing, neardup, quality, sharding, tokens, trie, vector_codes
 from .common import held_out
 
 
@@ -65,10 +65,27 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.with_label_errors(vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    if ranks is None or pattern is None:
+        import public_tokenizers
+
+        ranks, pattern = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks, pattern)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_quality_classifier, op2_language_id, op3_license_scan, op4_near_duplicates, op5_sharding,
         op6_decontamination, op7_chat_formatting, op8_token_output, op9_embedding_duplicates, op10_source_mixing,
+        op11_conversation_trie, op12_vector_codes, op13_bpe_round_trip,
     ]
     return {f.__name__: f for f in found}
 
@@ -148,8 +165,51 @@ FROM o
 """
 
 
+#: Nodes are whole lists of turns; the hash of an id is CRC-32, bit by bit (fixed value: its polynomial).
+CONVERSATION_TRIE_SQL = """
+WITH t AS MATERIALIZED (SELECT conv_id::BIGINT AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS k FROM conversations WHERE conv_id IS NOT NULL),
+own AS MATERIALIZED (SELECT c, list({'r': r, 'x': x} ORDER BY k) AS turns,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(ch)::BIGINT FOR ch IN string_split(c::VARCHAR, '')]),
+        lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, z: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295) % 9 AS h FROM t GROUP BY c),
+conv AS MATERIALIZED (SELECT a.c, list_concat(coalesce(b.turns, [])[1 : a.h], a.turns[a.h + 1 :]) AS turns FROM own a LEFT JOIN own b ON b.c = a.c - a.c % 5),
+member AS (SELECT c, d, turns[1 : d] AS p, d = len(turns) AS ended FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM conv)),
+node AS MATERIALIZED (SELECT p, d, min(c) AS conv_id, count(*) AS n, (count(*) - 1) * coalesce(strlen(p[d].x), 0) AS own,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended), '')) AS h FROM member GROUP BY p, d),
+kids AS (SELECT p[1 : d - 1] AS p, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2),
+shaped AS MATERIALIZED (SELECT node.*, coalesce(kids.n, 0) AS kids FROM node LEFT JOIN kids ON kids.d = node.d AND kids.p = node.p),
+up AS (SELECT p, d, unnest(range(0, d + 1)) AS j, own, kids FROM shaped),
+below AS (SELECT p[1 : j] AS p, j AS d, count(*) FILTER (kids = 0) AS leaves, sum(own) AS saved FROM up GROUP BY 1, 2)
+SELECT s.conv_id, s.d::BIGINT AS depth, par.conv_id AS parent_conv_id, s.n AS n_convs, s.kids::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, s.h AS ends_sha256
+FROM shaped s JOIN below ON below.d = s.d AND below.p = s.p LEFT JOIN node par ON par.d = s.d - 1 AND par.p = s.p[1 : s.d - 1]
+"""
+
+
+def _vector_codes_sql() -> str:
+    """Full searches: distances to all entries, as inner products of whole numbers."""
+    ctes, book = [], "b0"
+    for k in range(3):
+        ctes.append(f"""a{k} AS MATERIALIZED (SELECT rid, n, p, min({{'d': xx - 2 * list_inner_product(x, y) + yy, 'k': k}}) AS got FROM part JOIN {book} USING (n, p) GROUP BY rid, n, p)""")
+        if k < 2:
+            ctes.append(f"""m{k} AS (SELECT n, p, got.k AS k, j, sum(x[j])::HUGEINT AS s, count(*)::HUGEINT AS c FROM (SELECT n, p, got, x, unnest(range(1, len(x) + 1)) AS j FROM a{k} JOIN part USING (rid, n, p)) GROUP BY ALL),
+u{k} AS (SELECT n, p, k, list(((s - ((s % c) + c) % c) // c)::DOUBLE ORDER BY j) AS y FROM m{k} GROUP BY n, p, k),
+b{k + 1} AS MATERIALIZED (SELECT n, p, k, coalesce(u.y, b.y) AS y, list_inner_product(coalesce(u.y, b.y), coalesce(u.y, b.y)) AS yy FROM {book} b LEFT JOIN u{k} u USING (n, p, k))""")
+            book = f"b{k + 1}"
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (PARTITION BY len(embedding) ORDER BY vec_id NULLS LAST) AS nth, row_number() OVER () AS rid, vec_id, label, len(embedding) AS n, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+    WHERE len(embedding) > 0 AND len(embedding) % 16 = 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+part AS MATERIALIZED (SELECT rid, nth, n, p, x, list_inner_product(x, x) AS xx FROM (SELECT rid, nth, n, p, e[p * (n // 16) + 1 : (p + 1) * (n // 16)] AS x FROM v, (SELECT unnest(range(0, 16)) AS p))),
+b0 AS MATERIALIZED (SELECT n, p, nth - 1 AS k, x AS y, xx AS yy FROM part WHERE nth <= 64),
+{", ".join(ctes)},
+h AS (SELECT n, sha256(string_agg(y[j]::BIGINT::VARCHAR, ',' ORDER BY p, k, j)) AS h FROM (SELECT n, p, k, y, unnest(range(1, len(y) + 1)) AS j FROM {book}) GROUP BY n),
+r AS (SELECT rid, string_agg(printf('%02x', got.k), '' ORDER BY p) AS code, sum(got.d)::BIGINT AS error FROM a2 GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM v JOIN r USING (rid) JOIN h USING (n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_near_duplicates": NEAR_DUPLICATES_SQL, "op6_decontamination": DECONTAMINATION_SQL,
         "op7_chat_formatting": CHAT_SQL, "op9_embedding_duplicates": EMBEDDING_DUPLICATES_SQL,
+        "op11_conversation_trie": CONVERSATION_TRIE_SQL, "op12_vector_codes": _vector_codes_sql(),
     }

@@ -36,7 +36,7 @@ def odd(spark, tmp_path_factory):
     vec += [(40 + i, [x + r.gauss(0, 0.05) for x in vec[i % 4][1]]) for i in range(20)]
     vec += [(70, None), (71, []), (72, [0.0] * 8), (73, [float("nan")] * 8), (74, [None] * 8), (75, [1.0, 2.0]), (76, [2.0, 4.0]), (None, vec[0][1]), (5, vec[1][1]), (5, vec[5][1])]
     for name, rows, schema in (
-        ("documents", docs, "doc_id long, text string"), ("benchmark", bench, "item_id long, text string"), ("embeddings", vec, "vec_id long, embedding array<float>"),
+        ("documents", docs, "doc_id long, text string"), ("benchmark", bench, "item_id long, text string"), ("embeddings", [(*v, i % 3 or None) for i, v in enumerate(vec)], "vec_id long, embedding array<float>, label int"),
         ("conversations", [(1, 0, "system", "be kind"), (1, 1, "ann", None), (1, 2, None, "x"), (None, None, "bob", "y")], "conv_id long, turn int, role string, text string"),
     ):
         spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
