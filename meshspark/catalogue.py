@@ -45,18 +45,22 @@ def query(name: str, graph: str, sql: str, saved: bool = True):
     return wrap
 
 
-def steps(graph: str, columns: dict[str, tuple[str, str]], k: int, folds: str, out: str, senders: str = "true", edges: str = "e", more: str = "") -> str:
-    """Recursive SQL: ``columns`` maps a state column to (initial value, next value); ``p`` is the old state, ``g`` the folds."""
+def steps(graph: str, columns: dict[str, tuple[str, str]], k: int | str, folds: str, out: str, senders: str = "true", edges: str = "e", more: str = "") -> str:
+    """Recursive SQL: ``columns`` maps a state column to (initial value, next value); ``p`` is the old state, ``g`` the folds.
+
+    ``k`` is the number of supersteps, or the condition under which a vertex moves: then steps go on while any does.
+    """
     first = ", ".join(f"{a} AS {n}" for n, (a, _) in columns.items())
     then = ", ".join(b for _, b in columns.values())
-    return f"""WITH RECURSIVE {_ctes(graph)}{more}, s(it, id, od, {", ".join(columns)}) AS (
-  SELECT 0, id, od, {first} FROM dg
+    moved, go = ("true", f"nx.it <= {k}") if isinstance(k, int) else (f"coalesce({k}, false)", "nx.go")
+    return f"""WITH RECURSIVE {_ctes(graph)}{more}, s(it, id, od, {", ".join(columns)}, moved) AS (
+  SELECT 0, id, od, {first}, true FROM dg
   UNION ALL
-  SELECT nx.it, p.id, p.od, {then}
-  FROM (SELECT max(it) + 1 AS it FROM s) nx CROSS JOIN s p
+  SELECT nx.it, p.id, p.od, {then}, {moved}
+  FROM (SELECT max(it) + 1 AS it, bool_or(moved) AS go FROM s) nx CROSS JOIN s p
   LEFT JOIN (SELECT e.dst AS d, {folds} FROM s JOIN {edges} e ON e.src = s.id WHERE {senders} GROUP BY 1) g ON g.d = p.id
-  WHERE nx.it <= {k})
-SELECT {out} FROM s WHERE it = {k}"""
+  WHERE {go})
+SELECT {out} FROM s WHERE it = (SELECT max(it) FROM s)"""
 
 
 def _round(col: str, digits: int = 6):
@@ -184,6 +188,10 @@ def _cf(step: float) -> str:
 
 
 query("cf_5", "g_part", _cf(3.5e-7))(lambda g: A.collaborative_filtering(g, 5).select("id", _round("latent", 9)))
+query("cf_5_by_edges", "g_part", _cf(0.01))(lambda g: A.collaborative_filtering_by_edges(g, 5, step=0.01).select("id", _round("latent", 9)))
+query("largest_gap", "g_part", """SELECT d.id, coalesce(max(abs(a.od - d.od)), 0)::DOUBLE AS gap FROM dg d LEFT JOIN e ON e.dst = d.id LEFT JOIN dg a ON a.id = e.src GROUP BY d.id""")(
+    lambda g: A.farthest_values(g, g.out_degrees().withColumnRenamed("out_degree", "x")).select("id", c("x").alias("gap"))
+)
 query("cf_5_bigstep", "g_part", _cf(0.01))(lambda g: A.collaborative_filtering(g, 5, step=0.01).select("id", _round("latent", 9)))
 
 
@@ -217,7 +225,6 @@ query("hits_literal", "g_part", _hits_literal(2))(lambda g: A.hits_literal(g, 2)
 
 # --- frontier algorithms ----------------------------------------------------------------------------------------------
 
-DEEP = 64  # more supersteps than any search of the small tables needs
 _TOP = "(SELECT id FROM dg ORDER BY od DESC, id LIMIT 1)"
 
 
@@ -232,8 +239,8 @@ _BFS = {
 }
 
 
-def _bfs(out: str) -> str:
-    return steps("g_frag", _BFS, DEEP, "min(CASE WHEN s.lvl = s.it THEN s.id END) AS m", out)
+def _bfs(out: str, graph: str = "g_frag") -> str:
+    return steps(graph, _BFS, "p.lvl IS NULL AND g.m IS NOT NULL", "min(CASE WHEN s.lvl = s.it THEN s.id END) AS m", out)
 
 
 query("bfs_levels", "g_frag", _bfs("id, lvl::BIGINT AS level"))(lambda g: A.bfs(g, _root(g)).state.select("id", "level"))
@@ -249,14 +256,15 @@ query("bfs_frontier_trace", "g_frag", f"WITH t AS ({_bfs('id, od, lvl')}), n AS
     lambda g: _trace(A.bfs(g, _root(g)), g)
 )
 _CC = {"label": ("id", "least(p.label, coalesce(g.m, p.label))")}
-_CC_WEAK = steps("g_frag", _CC, DEEP, "min(s.label) AS m", "id, label", edges="sym", more=f", sym AS ({_SYM})")
-query("cc_directed", "g_frag", steps("g_frag", _CC, DEEP, "min(s.label) AS m", "id, label"))(lambda g: A.connected_components(g).state.select("id", "label"))
+_CC_WEAK = steps("g_frag", _CC, "g.m < p.label", "min(s.label) AS m", "id, label", edges="sym", more=f", sym AS ({_SYM})")
+query("cc_directed", "g_frag", steps("g_frag", _CC, "g.m < p.label", "min(s.label) AS m", "id, label"))(lambda g: A.connected_components(g).state.select("id", "label"))
 query("cc_weak", "g_frag", _CC_WEAK)(lambda g: A.connected_components(g, weak=True).state.select("id", "label"))
+query("cc_contracted", "g_frag", _CC_WEAK, saved=False)(A.weak_components)
 query("cc_sizes", "g_frag", f"WITH t AS ({_CC_WEAK}) SELECT label, count(*) AS size FROM t GROUP BY label")(
     lambda g: A.connected_components(g, weak=True).state.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
 )
 _SSSP = {"dist": (f"CASE WHEN id = {_TOP} THEN 0 ELSE 2147483648 END", "least(p.dist, coalesce(g.m, p.dist))")}
-_SSSP_ALL = steps("g_frag", _SSSP, DEEP, "min(s.dist + e.w) AS m", "id, dist::BIGINT AS dist", senders="s.dist < 2147483648")
+_SSSP_ALL = steps("g_frag", _SSSP, "g.m < p.dist", "min(s.dist + e.w) AS m", "id, dist::BIGINT AS dist", senders="s.dist < 2147483648")
 query("sssp", "g_frag", _SSSP_ALL)(lambda g: A.sssp(g, _root(g)).state.select("id", "dist"))
 query("sssp_unreached", "g_frag", f"WITH t AS ({_SSSP_ALL}) SELECT count(*) FILTER (dist = 2147483648) AS unreached, (sum(dist) FILTER (dist < 2147483648))::BIGINT AS total FROM t")(
     lambda g: A.sssp(g, _root(g)).state.agg(
@@ -310,7 +318,7 @@ def _loaded(g: Graph) -> DataFrame:
 
 query("frontier_load", "g_part", f"SELECT id FROM dg WHERE {_HUB}")(lambda g: gas.get_frontier(_loaded(g)))
 query("frontier_reset", "g_part", "SELECT id, od AS out_degree, false AS active FROM dg")(lambda g: gas.reset_frontier(_loaded(g)))
-query("bfs_many_roots", "g_frag", steps("g_frag", {"lvl": ("CASE WHEN id % 100 = 7 THEN 0 END", "CASE WHEN p.lvl IS NOT NULL THEN p.lvl WHEN g.m IS NOT NULL THEN nx.it END")}, DEEP, "min(CASE WHEN s.lvl = s.it THEN s.id END) AS m", "id, lvl::BIGINT AS level"))(
+query("bfs_many_roots", "g_frag", steps("g_frag", {"lvl": ("CASE WHEN id % 100 = 7 THEN 0 END", "CASE WHEN p.lvl IS NOT NULL THEN p.lvl WHEN g.m IS NOT NULL THEN nx.it END")}, "p.lvl IS NULL AND g.m IS NOT NULL", "min(CASE WHEN s.lvl = s.it THEN s.id END) AS m", "id, lvl::BIGINT AS level"))(
     lambda g: gas.run(g, _levels(), frontier=g.vertices.where("id % 100 = 7")).state.select("id", "level")
 )
 
@@ -401,6 +409,18 @@ def _hybrid(k: int) -> str:
     return _delta(k, False, sent, _COSTS)
 
 
+def _four(g: Graph) -> P.Bins:
+    """Four bins whose width is a power of two: so wide that most of their vertices are active at once in a search."""
+    return P.Bins(ordering.pow2_floor(g.vertices.count() // 4), -(-g.vertices.count() // ordering.pow2_floor(g.vertices.count() // 4)))
+
+
+_FOUR = """, w4 AS (SELECT count(*) AS nv, pow(2, floor(log2(greatest(1, count(*) // 4))))::BIGINT AS bw FROM v), bn AS (SELECT nv, bw, (nv - 1) // bw + 1 AS nb FROM w4),
+pe AS (SELECT src, dst, src // bw AS psrc, dst // bw AS pdst FROM e, bn)""" + _COSTS.removeprefix(_EE)
+query("bfs_dense_bins", "g_part", _bfs("id, lvl::BIGINT AS level", "g_part"))(lambda g: A.bfs(g, _root(g), bins=_four(g)).state.select("id", "level"))
+_on_bins("bfs_dense_trace", "g_part", _FOUR + f", t AS (SELECT * FROM ({_bfs('id, od, lvl', 'g_part')}))", f"""SELECT lvl::BIGINT AS iteration, count(*) AS active_partitions, count(*) FILTER ({_DENSE}) AS dense_partitions
+FROM (SELECT lvl, id // bw AS ab, sum(od) AS ae FROM t, bn WHERE lvl IS NOT NULL GROUP BY 1, 2), bn, costs WHERE cb = ab GROUP BY 1""")(
+    lambda g: g.edges.sparkSession.createDataFrame(A.bfs(g, _root(g), bins=_four(g)).partitions, "iteration long, active_partitions long, dense_partitions long")
+)
 query("prdelta_hybrid_3", "g_part", _hybrid(3))(lambda g: A.pagerank_delta(g, 3, bins=_bins(g)).state.select("id", _round("p")))
 
 

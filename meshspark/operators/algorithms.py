@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from .gas import Result, VertexProgram, run
+from .components import contracted
+from .gas import Result, VertexProgram, run, start, superstep
 from .partitioning import Bins
 
 # Fixed values.
@@ -57,7 +58,7 @@ def bfs(g: Graph, root: int = ROOT, iterations: int | None = None, bins: Bins |
     new = c("level").isNull()
     p = VertexProgram(
         {"level": F.when(at_root, F.lit(0).cast("long")).otherwise(none), "parent": F.when(at_root, c("id")).otherwise(none)}, c("id"), {"m": F.min("msg")},
-        active=at_root, activate=new,
+        active=at_root, activate=new, valid=~new,
         gather=lambda k: {"level": F.coalesce(c("level"), F.lit(k).cast("long")), "parent": F.coalesce(c("parent"), c("m"))},
     )
     return run(g, p, iterations, bins=bins)
@@ -69,6 +70,13 @@ def connected_components(g: Graph, weak: bool = False, iterations: int | None =
     return run(g.symmetrize().saved() if weak else g, p, iterations)
 
 
+def weak_components(g: Graph) -> DataFrame:
+    """id, label: the least id of the vertex's component, directions ignored, in rounds that grow with the logarithm of the vertices."""
+    found, _ = contracted(g.edges.select(c("src").alias("a"), c("dst").alias("b")))
+    found = found.withColumnRenamed("id", "_i")
+    return g.vertices.join(found, c("id") == c("_i"), "left").select("id", F.coalesce("component", "id").alias("label"))
+
+
 def sssp(g: Graph, root: int = ROOT, iterations: int | None = None) -> Result:
     """State dist: least sum of weights from the root.
 
@@ -127,9 +135,28 @@ def collaborative_filtering(g: Graph, iterations: int = ITERATIONS, lam: float =
     return run(g, p, iterations).state.select("id", x.alias("latent"))
 
 
+def collaborative_filtering_by_edges(g: Graph, iterations: int = ITERATIONS, lam: float = CF_LAMBDA, step: float = CF_STEP) -> DataFrame:
+    """The same, said edge by edge: each message is the gradient of one rating, for which it sees both ends."""
+    x, error = c("x"), 1 - c("x") * c("to_x")
+    p = VertexProgram({"x": F.lit(0.5)}, error * x, {"m": F.sum("msg")}, apply={"x": x + step * (-lam * x + _or0("m"))}, dense=True, sees_target=True)
+    return run(g, p, iterations).state.select("id", x.alias("latent"))
+
+
+def farthest_values(g: Graph, values: DataFrame, iterations: int = 1) -> DataFrame:
+    """id, x: after each superstep the largest difference between a vertex's value and one of its in-neighbours' (0 without one).
+
+    ``values`` has id and x.  No fold of the senders' values alone gives it: each message needs the value at its target.
+    """
+    known = values.select(c("id").alias("_v"), c("x").cast("double").alias("_x"))
+    p = VertexProgram({"x": F.lit(0.0)}, F.abs(c("x") - c("to_x")), {"m": F.max("msg")}, apply={"x": _or0("m")}, dense=True, sees_target=True)
+    state = start(g, p).join(known, c("id") == c("_v"), "left").withColumn("x", F.coalesce("_x", F.lit(0.0))).drop("_v", "_x")
+    for k in range(1, iterations + 1):
+        state = superstep(state, g.sending(), p, k)
+    return state.select("id", "x")
+
+
 def hits(g: Graph, iterations: int = ITERATIONS) -> DataFrame:
     """id, auth, hub: textbook hubs and authorities, each of length 1."""
-    from .gas import superstep
     from ..storage import cut
 
     back = (g.transpose() if g.placed is None else g.transpose().saved()).sending()
@@ -145,7 +172,6 @@ def hits(g: Graph, iterations: int = ITERATIONS) -> DataFrame:
 
 def hits_literal(g: Graph, iterations: int = ITERATIONS) -> DataFrame:
     """id, auth, hub of the variant that sums hubs over in-neighbours and zeroes authorities after each iteration."""
-    from .gas import superstep
     from ..storage import cut
 
     first = VertexProgram({}, c("hub"), {"m": F.sum("msg")}, apply={"auth": c("auth") + _or0("m"), "hub": F.lit(0.0)}, dense=True)

@@ -10,13 +10,20 @@ Between the extremes of sending from active vertices and from all (``send_all``)
 ``run(..., bins=...)`` a bin of vertices all of whose messages cost less in compressed form than the active ones singly
 sends from all its vertices in that superstep.
 
+A bin that sends whole sends from vertices that weren't active too, whose values must not change a receiver that has had them, or never
+should: ``valid`` says which vertices may send at all (a search's unvisited ones may not).  With it, and with folds for which a message
+sent again changes nothing (minima), any program gives the same result with ``bins`` as without; delta PageRank is
+defined by what is sent, so there ``bins`` are part of the definition.
+
 The state has ``id``, ``od`` (out-degree), the program's columns and ``active``.  ``message`` may use
-the sender's columns and the edge weight ``w``; ``gather``, ``activate`` and ``apply`` may use the folds,
+the sender's columns and the edge weight ``w``, and with ``sees_target`` the receiver's columns, named ``to_<column>``, which are then joined
+to the edges (a shuffle of the edges each superstep, so only where asked for); ``gather``, ``activate`` and ``apply`` may use the folds,
 which are null without a message.  Updates of one hook see the values before it.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -44,6 +51,8 @@ class VertexProgram:
     stay: Column = field(default_factory=lambda: F.lit(True))
     dense: bool = False
     send_all: bool = False
+    valid: Column = field(default_factory=lambda: F.lit(True))
+    sees_target: bool = False
 
 
 #: Supersteps that one write covers while a frontier is watched; each doubles the plan, so they are few.
@@ -54,13 +63,19 @@ FEW = 1000
 
 @dataclass(frozen=True)
 class Result:
-    """Final state, supersteps run, (iteration, active_vertices, active_edges) before each superstep, and with ``bins``
-    (iteration, active partitions, dense partitions)."""
+    """Final state, supersteps run, (iteration, active_vertices, active_edges) before each superstep, with ``bins``
+    (iteration, active partitions, dense partitions), and the seconds of the supersteps alone, as (last superstep, seconds) of each write."""
 
     state: DataFrame
     supersteps: int
     trace: list[tuple[int, int, int]]
     partitions: list[tuple[int, int, int]] = field(default_factory=list)
+    timed: list[tuple[int, float]] = field(default_factory=list)
+
+    @property
+    def seconds(self) -> float:
+        """Of all supersteps, without what came before the first."""
+        return sum(s for _, s in self.timed)
 
 
 def load_frontier(state: DataFrame, ids: DataFrame | list[int]) -> DataFrame:
@@ -99,15 +114,20 @@ def start(g: Graph, p: VertexProgram) -> DataFrame:
     return d.withColumns(dict(p.init)).withColumn("active", F.coalesce(p.active, F.lit(False)))
 
 
-def messages(senders: DataFrame, edges: DataFrame | Placed, message: Column) -> DataFrame:
-    """(_dst, msg) along every out-edge of the senders."""
+def messages(senders: DataFrame, edges: DataFrame | Placed, message: Column, targets: DataFrame | None = None) -> DataFrame:
+    """(_dst, msg) along every out-edge of the senders; ``targets`` (_to_id, to_*) are joined to the edges' ends if given."""
+    if hasattr(edges, "deliver"):
+        return edges.deliver(senders, message, targets)
     if not isinstance(edges, Placed):
-        return senders.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("_dst"), message.alias("msg"))
-    sent = messages(senders, edges.light, message)
+        sent = senders.join(edges, F.col("id") == F.col("src"))
+        if targets is not None:
+            sent = sent.join(targets, F.col("dst") == F.col("_to_id"))
+        return sent.select(F.col("dst").alias("_dst"), message.alias("msg"))
+    sent = messages(senders, edges.light, message, targets)
     if edges.heavy is None:
         return sent
     few = senders.join(F.broadcast(edges.ids), F.col("id") == F.col("_heavy"), "left_semi")  # bounded: see placed_by_source
-    return sent.union(messages(F.broadcast(few), edges.heavy, message))
+    return sent.union(messages(F.broadcast(few), edges.heavy, message, targets))
 
 
 def _updated(updates: Updates, when: Column | None, columns: list[str]) -> list[Column]:
@@ -123,7 +143,8 @@ def superstep(state: DataFrame, edges: DataFrame | Placed, p: VertexProgram, k:
     if dense is not None:
         # a row a bin, whose number is a parameter of the run
         senders = state.join(F.broadcast(dense), bin_of(F.col("id"), bins) == F.col("_pid"), "left").where(F.col("active") | F.col("_pid").isNotNull()).drop("_pid")
-    folded = messages(senders, edges, p.message).groupBy("_dst").agg(*[f.alias(n) for n, f in p.folds.items()], F.count(F.lit(1)).alias("_got"))
+    targets = state.select(F.col("id").alias("_to_id"), *[F.col(c).alias(f"to_{c}") for c in ("od", *own)]) if p.sees_target else None
+    folded = messages(senders.where(p.valid), edges, p.message, targets).groupBy("_dst").agg(*[f.alias(n) for n, f in p.folds.items()], F.count(F.lit(1)).alias("_got"))
     if not p.dense:
         # the keep hook sees what on_scatter made of the state
         if p.on_scatter:
@@ -162,6 +183,7 @@ def run(
     state = start(g, p) if frontier is None else load_frontier(start(g, p), frontier)
     trace: list[tuple[int, int, int]] = []
     partitions: list[tuple[int, int, int]] = []
+    timed: list[tuple[int, float]] = []
     written: list[DataFrame] = []
     costs = cut(bin_costs(g, bins), "bin-costs") if bins is not None else None
     k = 0
@@ -188,6 +210,14 @@ def run(
 
     bit = lambda j: F.col("active").cast("long") * F.lit(1 << j)
     state = counted(state.withColumn("_seen", bit(0)), [0]) if watch else keep(state)
+    began = time.perf_counter()
+
+    def lap() -> None:
+        nonlocal began
+        now = time.perf_counter()
+        timed.append((k, now - began))
+        began = now
+
     while (not watch or trace[-1][1]) and (iterations is None or k < iterations):
         if not watch:
             k += 1
@@ -196,6 +226,7 @@ def run(
                 state = keep(state)
                 if between is not None:
                     state = between(state)
+                lap()
             continue
         dense = None
         if bins is not None:
@@ -212,6 +243,7 @@ def run(
             state = state.withColumn("_seen", F.col("_seen") + bit(j))
         state = counted(state, list(range(1, last + 1)))
         k = trace[-1][0]
+        lap()
     if costs is not None:
         release(costs)
-    return Result(state, k, trace, partitions)
+    return Result(state, k, trace, partitions, timed)
