@@ -1,40 +1,16 @@
-"""Connected components of a link table by repeated contraction onto smaller neighbours."""
+"""Connected components of a link table, by the engine's contraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..storage import release
-from .common import materialize
+from ..operators.components import contracted
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) for every end of ``links`` (a, b): component is the smallest id reachable.
 
-    Each round every vertex moves to its smallest neighbour (or stays), and links become links
-    between the places moved to; stars, the usual shape here, vanish in one or two rounds and the
-    number of vertices at least halves in any case.  Sums of work: one aggregation and two joins a round,
-    whose tables are deleted after the next.  Links with a null end and links of a vertex with itself count for
-    nothing; an empty table gives no rows.
+    Rounds grow with the logarithm of the vertices, whatever their order and the links' shape (see ``contracted``).  Links with a null end and
+    links of a vertex with itself count for nothing; an empty table gives no rows.
     """
-    left = materialize(links.select("a", "b").where("a <> b").distinct(), f"{name}-links")
-    labels = None
-    while True:
-        old = [left, labels]
-        both = left.select("a", "b").union(left.select(F.col("b"), F.col("a")))
-        moves = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("_to")).select(F.col("a").alias("_v"), "_to"), f"{name}-moves")
-        if labels is None:
-            labels = moves.select(F.col("_v").alias("id"), F.col("_to").alias("component"))
-        else:
-            labels = labels.join(moves, F.col("component") == F.col("_v"), "left").select("id", F.coalesce("_to", "component").alias("component"))
-        first = moves.select(F.col("_v").alias("_va"), F.col("_to").alias("_ta"))
-        second = moves.select(F.col("_v").alias("_vb"), F.col("_to").alias("_tb"))
-        moved = left.join(first, F.col("a") == F.col("_va")).join(second, F.col("b") == F.col("_vb"))
-        left = materialize(
-            moved.where("_ta <> _tb").select(F.least("_ta", "_tb").alias("a"), F.greatest("_ta", "_tb").alias("b")).distinct(), f"{name}-links"
-        )
-        labels = materialize(labels, f"{name}-labels")
-        release(moves, *old)
-        if left.isEmpty():
-            return labels
+    return contracted(links, name)[0]
