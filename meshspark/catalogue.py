@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from .functions import ordering
 from .graph import Graph, csr_decode, prefix_sum
 from .operators import algorithms as A
+from .operators import blocks as K
 from .operators import gas
+from .operators import layouts as L
 from .operators import partitioning as P
 from .plans import datasets
 from .sources import csr
@@ -102,6 +104,16 @@ def _through_csr(g: Graph, kind: str, side: str = "out", wide: bool = False) ->
     return spark.read.format("csr").option("format", kind).option("wide", wide).option("side", side).load(path)
 
 
+def _through_folder(g: Graph, kind: str, side: str = "out") -> DataFrame:
+    path, spark = _file(g), g.edges.sparkSession
+    csr.write_csr_folder(g.edges, path, g.vertices.agg(F.max("id")).first()[0] + 1, kind)
+    return spark.read.format("csr").option("format", kind).option("side", side).load(path)
+
+
+query("csr_folder_roundtrip", "g_part", "SELECT src, dst, w FROM e", saved=False)(lambda g: _through_folder(g, "csr_weighted"))
+query("csc_folder_roundtrip", "g_part", "SELECT src, dst FROM e", saved=False)(lambda g: _through_folder(g, "mix", "in"))
+query("csr_pruned_scan", "g_part", "SELECT src, dst FROM e WHERE src IN (3, 17, 40)", saved=False)(lambda g: _through_csr(g, "mix").where("src IN (3, 17, 40)"))
+query("csr_pruned_folder", "g_part", "SELECT src, dst FROM e WHERE dst BETWEEN 20 AND 60", saved=False)(lambda g: _through_folder(g, "mix", "in").where("dst BETWEEN 20 AND 60"))
 query("csr_scan_roundtrip", "g_part", "SELECT src, dst FROM e", saved=False)(lambda g: _through_csr(g, "mix"))
 query("csc_scan_roundtrip", "g_part", "SELECT src, dst FROM e", saved=False)(lambda g: _through_csr(g, "mix", "in"))
 query("csr_weighted_roundtrip", "g_part", "SELECT src, dst, w FROM e", saved=False)(lambda g: _through_csr(g, "csr_weighted", wide=True))
@@ -256,8 +268,12 @@ query("bfs_frontier_trace", "g_frag", f"WITH t AS ({_bfs('id, od, lvl')}), n AS
     lambda g: _trace(A.bfs(g, _root(g)), g)
 )
 _CC = {"label": ("id", "least(p.label, coalesce(g.m, p.label))")}
+def _cc(graph: str) -> str:
+    return steps(graph, _CC, "g.m < p.label", "min(s.label) AS m", "id, label")
+
+
 _CC_WEAK = steps("g_frag", _CC, "g.m < p.label", "min(s.label) AS m", "id, label", edges="sym", more=f", sym AS ({_SYM})")
-query("cc_directed", "g_frag", steps("g_frag", _CC, "g.m < p.label", "min(s.label) AS m", "id, label"))(lambda g: A.connected_components(g).state.select("id", "label"))
+query("cc_directed", "g_frag", _cc("g_frag"))(lambda g: A.connected_components(g).state.select("id", "label"))
 query("cc_weak", "g_frag", _CC_WEAK)(lambda g: A.connected_components(g, weak=True).state.select("id", "label"))
 query("cc_contracted", "g_frag", _CC_WEAK, saved=False)(A.weak_components)
 query("cc_sizes", "g_frag", f"WITH t AS ({_CC_WEAK}) SELECT label, count(*) AS size FROM t GROUP BY label")(
@@ -273,6 +289,14 @@ query("sssp_unreached", "g_frag", f"WITH t AS ({_SSSP_ALL}) SELECT count(*) FILT
 )
 
 
+query("cc_blocks", "g_next", _cc("g_next"))(lambda g: K.components_by_blocks(g, _bins(g)).state.select("id", c("value").alias("label")))
+query("cc_blocks_weak", "g_frag", _CC_WEAK)(lambda g: K.components_by_blocks(g, P.bin_params(g.vertices.count(), 1), dynamic=False, weak=True).state.select("id", c("value").alias("label")))
+query("sssp_blocks", "g_next", steps("g_next", _SSSP, "g.m < p.dist", "min(s.dist + e.w) AS m", "id, dist::BIGINT AS dist", senders="s.dist < 2147483648"))(
+    lambda g: K.distances_by_blocks(g, _root(g), _bins(g)).state.select("id", F.coalesce("value", F.lit(A.UNREACHED)).alias("dist"))
+)
+query("bfs_blocks", "g_next", _bfs("id, lvl::BIGINT AS level", "g_next"))(lambda g: K.levels_by_blocks(g, _root(g), _bins(g)).state.select("id", c("value").alias("level")))
+
+
 def _nibble(k: int, theta: str) -> str:
     half = "(CASE WHEN p.act THEN p.p / 2 ELSE p.p END)"
     mass = f"({half} + coalesce(g.m, 0))"
@@ -382,6 +406,28 @@ _on_bins("density_check", "g_part", _EE, f"""SELECT pid, active_edges, png_edges
 )
 
 
+
+def _placed_run(place: Callable[[Graph], Graph], go: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
+    def run(g: Graph) -> DataFrame:
+        placed = place(g)
+        out = go(placed)
+        placed.placed.release()
+        return out
+
+    return run
+
+
+query("pagerank_placed", "g_part", _pr("g_part", 5))(_placed_run(lambda g: L.by_source(g, _bins(g)), lambda g: A.pagerank(g, 5).select("id", _round("rank"))))
+query("pagerank_compressed", "g_part", _pr("g_part", 5))(_placed_run(lambda g: L.by_target(g, _bins(g)), lambda g: A.pagerank(g, 5).select("id", _round("rank"))))
+query("sssp_compressed", "g_next", SQL["sssp_blocks"])(_placed_run(lambda g: L.by_target(g, _bins(g)), lambda g: A.sssp(g, _root(g)).state.select("id", "dist")))
+_on_bins("placed_edges_of_tasks", "g_sc", _SPLIT.format("true"), f"SELECT pid, total_edges AS edges FROM ({_PARTS}) WHERE total_edges > 0")(
+    lambda g: L.by_source(g, _bins(g)).placed.loads().groupBy("pid").agg(F.sum("edges").alias("edges"))
+)
+_on_bins("compressed_messages", "g_part", _EE, f"SELECT sum(runs)::BIGINT AS messages FROM ({_RUNS})")(
+    lambda g: L.by_target(g, _bins(g)).placed.sent(g.vertices).agg(F.count(F.lit(1)).alias("messages"))
+)
+
+
 _on_bins("active_partitions", "g_part", _BIN, f"SELECT DISTINCT id // bw AS pid FROM dg, bn WHERE {_HUB}")(lambda g: gas.active_partitions(_loaded(g), _bins(g)))
 _on_bins("frontier_offsets", "g_part", _BIN, f"""SELECT pid, size, (coalesce(sum(size) OVER (ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset"
 FROM (SELECT id // bw AS pid, count(*) AS size FROM dg, bn WHERE {_HUB} GROUP BY 1)""")(lambda g: gas.frontier_offsets(_loaded(g), _bins(g)))

@@ -30,7 +30,7 @@ class Graph:
 
     vertices: DataFrame
     edges: DataFrame
-    placed: Placed | None = None
+    placed: Placed | None = None  # or a layout of ``operators.layouts``
 
     @staticmethod
     def load(spark: SparkSession, path: str, kind: str = "mix", wide: bool = False) -> Graph:
@@ -56,7 +56,9 @@ class Graph:
     def release(self) -> None:
         """Delete the files that ``saved`` wrote; the graph can't be used afterwards."""
         spark = self.edges.sparkSession
-        if self.placed is not None:
+        if hasattr(self.placed, "deliver"):
+            self.placed.release()
+        elif self.placed is not None:
             table = getattr(self.placed.light, "table", None)
             release(self.placed.light, self.placed.heavy, self.placed.ids)
             if table is not None:

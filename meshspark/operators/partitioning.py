@@ -64,11 +64,11 @@ def partitions(g: Graph, bins: Bins, dynamic: bool = False) -> DataFrame:
     return t.join(per, c("pid") == c("_p"), "left").select("pid", "bin", "start_v", "end_v", F.coalesce("_e", F.lit(0)).cast("long").alias("total_edges"))
 
 
-def locate(df: DataFrame, g: Graph, bins: Bins, dynamic: bool = False, vertex: str = "id") -> DataFrame:
-    """Add ``pid``, the partition of the vertex, by shifts and masks on its id."""
+def locate(df: DataFrame, g: Graph, bins: Bins, dynamic: bool = False, vertex: str = "id", table: DataFrame | None = None) -> DataFrame:
+    """Add ``pid``, the partition of the vertex, by shifts and masks on its id; ``table`` is a bin table that was made before (a row a bin, broadcast)."""
     if not dynamic:
         return df.withColumn("pid", bin_of(c(vertex), bins))
-    t = bin_table(g, bins, True).select(c("bin").alias("_bin"), "sub_map", "sub_offset")
+    t = (bin_table(g, bins, True) if table is None else F.broadcast(table)).select(c("bin").alias("_bin"), "sub_map", "sub_offset")
     low = F.expr(f"shiftleft(1L, cast({bins.bits} - sub_offset as int)) - 1").bitwiseAND(F.expr(f"shiftright({vertex}, cast(sub_offset as int))"))
     return df.join(t, bin_of(c(vertex), bins) == c("_bin")).withColumn("pid", c("sub_map") + low).drop("_bin", "sub_map", "sub_offset")
 

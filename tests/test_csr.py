@@ -41,7 +41,7 @@ def test_many_edges(spark, tmp_path, monkeypatch, kind, wide):
     df.write.format("csr").option("format", kind).option("vertices", 300).option("wide", wide).mode("overwrite").save(by_runs)
     for path in (by_spark, by_runs):
         f = csr.CsrFile(path, kind, wide)
-        assert (f.v, f.e) == (300, 1500) and f.section(2, 300).tolist() == np.searchsorted(np.sort(src), np.arange(300)).tolist()
+        assert (f.v, f.e) == (300, 1500) and f.offset(0, 300).tolist() == np.searchsorted(np.sort(src), np.arange(300)).tolist()
         for slices in (None, 1, 7):
             scan = spark.read.format("csr").option("format", kind).option("wide", wide)
             scan = scan.option("slices", slices) if slices else scan
@@ -56,6 +56,72 @@ def test_many_edges(spark, tmp_path, monkeypatch, kind, wide):
         assert raw == csr.encode(a[:, 0], a[:, 1], 300, None, kind, wide)
 
 
+@pytest.mark.parametrize("kind, wide", [("csr", False), ("mix", True), ("csr_weighted", False)])
+def test_folder(spark, tmp_path, monkeypatch, kind, wide):
+    """Range files: the same edges back from both sides, a hub's split over parts, whatever was there before replaced."""
+    r = np.random.default_rng(9)
+    for name, value in (("EDGES_AT_ONCE", 37), ("OFFSETS_AT_ONCE", 11), ("SLICE_BYTES", 256)):
+        monkeypatch.setattr(csr, name, value)
+    src = np.where(r.random(1500) < 0.4, 70, r.integers(0, 120, 1500) * 2)
+    rows = list(zip(src.tolist(), r.integers(0, 300, 1500).tolist(), r.integers(0, 2**32, 1500).tolist(), strict=True))
+    columns = ["src", "dst"] + (["w"] if kind == "csr_weighted" else [])
+    df = spark.createDataFrame(rows, "src long, dst long, w long").select(*columns).repartition(4)
+    path = str(tmp_path / "g")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    csr.write_csr_folder(df.limit(10), path, 300, kind, wide)
+    csr.write_csr_folder(df, path, 300, kind, wide)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    said = csr.manifest(path)
+    assert said["edges"] == 1500 and len(said["parts"]) > 1 and csr.vertex_count(path, wide) == 300
+    assert {p.name.partition(".")[0] for p in (tmp_path / "g").iterdir()} == {"manifest", *(["in"] if kind == "mix" else []), *(p["name"] for p in said["parts"])}
+    read = spark.read.format("csr").option("format", kind).option("wide", wide)
+    want = sorted(t[: len(columns)] for t in rows)
+    assert sorted(map(tuple, read.load(path).collect())) == want
+    if kind == "mix":
+        assert sorted(map(tuple, read.option("side", "in").load(path).collect())) == want
+        assert sorted(map(tuple, read.option("side", "in").load(path).where("dst in (5, 200)").collect())) == [t for t in want if t[1] in (5, 200)]
+    assert Graph.load(spark, path, kind, wide).counts() == (300, 1500)
+    with pytest.raises(Exception, match="holds format"):
+        spark.read.format("csr").option("format", "csr" if kind != "csr" else "mix").option("wide", wide).load(path).collect()
+    csr.write_csr_folder(df.limit(0), path, 300, kind, wide)
+    assert csr.manifest(path)["parts"] == [] and read.load(path).count() == 0
+
+
+def test_folder_refuses_unsorted_rows(spark, tmp_path):
+    csr.register(spark)
+    df = spark.createDataFrame([(2, 0), (1, 0)], "src long, dst long").coalesce(1)
+    with pytest.raises(Exception, match="sorted"):
+        df.write.format("csr").option("layout", "folder").option("vertices", 3).mode("overwrite").save(str(tmp_path / "g"))
+
+
+CONDITIONS = [
+    ("src = 70", lambda s, d: s == 70), ("src in (3, 70, 8, 999)", lambda s, d: s in (70, 8)), ("src > 100 and src <= 140", lambda s, d: 100 < s <= 140), ("src < 10", lambda s, d: s < 10),
+    ("src >= 230 and dst > 100", lambda s, d: s >= 230 and d > 100), ("src in (8, 10) and src > 8", lambda s, d: s == 10), ("src > 5 and src < 3", lambda s, d: False), ("dst = 4", lambda s, d: d == 4),
+    ("src is null", lambda s, d: False), ("src = 8 or src = 10", lambda s, d: s in (8, 10)),
+]
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_filters_choose_slices(spark, tmp_path, folder):
+    r = np.random.default_rng(6)
+    rows = list(zip((r.integers(0, 120, 1500) * 2).tolist(), r.integers(0, 300, 1500).tolist(), strict=True))
+    path = str(tmp_path / "g")
+    (csr.write_csr_folder if folder else csr.write_csr)(spark.createDataFrame(rows, "src long, dst long"), path, 300)
+    read = spark.read.format("csr").load(path)
+    for text, keeps in CONDITIONS:
+        assert sorted(map(tuple, read.where(text).collect())) == sorted(t for t in rows if keeps(*t)), text
+    for filters, keeps in (
+        ([csr.In(("src",), (8, 70, 999))], lambda s: s in (8, 70)), ([csr.GreaterThan(("src",), 100), csr.LessThanOrEqual(("src",), 140)], lambda s: 100 < s <= 140),
+        ([csr.EqualTo(("dst",), 4)], lambda s: True), ([csr.EqualTo(("src",), 8), csr.EqualTo(("src",), 9)], lambda s: False),
+    ):
+        reader = csr._Reader({"path": path})
+        assert list(reader.pushFilters(filters)) == filters
+        held = reader.partitions()
+        assert sum(p.hi - p.lo for p in held) == sum(keeps(s) for s, _ in rows)
+        got = [t for p in held for b in reader.read(p) for t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert sorted(got) == sorted(t for t in rows if keeps(t[0]))
+
+
 def test_merge_of_runs(tmp_path):
     r, runs, rows = np.random.default_rng(7), [], []
     for k in range(9):
@@ -91,7 +157,7 @@ def test_append_is_refused(spark, tmp_path):
         one.write.format("csr").option("vertices", 2).mode("append").save(path)
     assert spark.read.format("csr").load(path).count() == 1
     with pytest.raises(ValueError, match="in-edges"):
-        list(csr.CsrFile(path).edges(0, 1, "in"))
+        csr.CsrFile(path, side="in")
     none = one.limit(0)
     csr.write_csr(none, path, 2, "mix")
     assert csr.CsrFile(path, "mix").e == 0 and spark.read.format("csr").option("format", "mix").load(path).count() == 0
