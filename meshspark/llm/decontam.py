@@ -4,9 +4,11 @@ Words are hashed, hashes of k-grams formed, and the minimum of each window of w
 k-grams kept as a fingerprint, so that every shared span of at least w + k - 1 words shares a
 fingerprint.  With k = 5 and w = 6 the guarantee is 10 words, the length of a benchmark window;
 an item of fewer words (one window of its own length n) uses k = min(5, n) and w = n - k + 1.
-Documents are fingerprinted in one pass; those with a fingerprint of the benchmark are read
-again, and the places whose fingerprint hit are extended to whole windows and compared word for
-word.  Everything is built-in column functions: no Python runs on the executors.
+Texts of more than ``SEGMENT`` characters are cut between words into segments of at most so many (a longer
+word is one by itself), each with the 9 words that follow it, so that arrays of words and hashes stay small however long a text is.
+Segments are fingerprinted in one pass; those with a fingerprint of the benchmark are read
+again, and only at places whose fingerprint hit are whole windows put together and compared word for
+word; places count from the start of the text, by the words of the segments before.  Everything is built-in column functions: no Python runs on the executors.
 
 Fingerprinting folds case by ``lower`` (equal A-Z-folded texts are equal under it, so it loses
 nothing); the comparison itself folds A-Z only.
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import BETWEEN_ALNUM, LOWER, UPPER, digest, materialize
 
 WINDOW, GRAM = 10, 5
+#: Characters of a segment.
+SEGMENT = 32_768
 #: Fingerprints, windows or keys of at most this many bytes are broadcast; more are joined by a shuffle, with equal results.
 BROADCAST_BYTES = 32 << 20
 
@@ -37,6 +41,25 @@ def words(text: Column, exact: bool) -> Column:
     return F.array_remove(F.split(folded, BETWEEN_ALNUM, -1), "")
 
 
+def segments(df: DataFrame) -> DataFrame:
+    """A row for each segment of ``text``: in its place ``_c`` (number), ``_own`` (the segment) and ``_next`` (the words that follow, WINDOW - 1 at most)."""
+    gap, word = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    # the rest if it is short enough, else up to the last gap within the bound, else one word
+    cut = rf"(?s)(?:.{{1,{SEGMENT}}}\z|.{{0,{SEGMENT - 1}}}{gap}|{word}+)(?=((?:{gap}*{word}+){{0,{WINDOW - 1}}}))"
+    text, empty = F.coalesce("text", F.lit("")), F.lit("")
+    parts = F.when(
+        F.length(text) > SEGMENT,
+        F.zip_with(F.regexp_extract_all(text, F.lit(cut), F.lit(0)), F.regexp_extract_all(text, F.lit(cut), F.lit(1)), lambda a, b: F.struct(a.alias("own"), b.alias("next"))),
+    ).otherwise(F.array(F.struct(text.alias("own"), empty.alias("next"))))
+    kept = [c for c in df.columns if c != "text"]
+    return df.select(*kept, F.posexplode(parts).alias("_c", "_x")).select(*kept, "_c", F.col("_x")["own"].alias("_own"), F.col("_x")["next"].alias("_next"))
+
+
+def _segment_words(exact: bool) -> Column:
+    """Words of a segment and of what follows it."""
+    return F.concat(words(F.col("_own"), exact), words(F.col("_next"), exact))
+
+
 def _ahead(a: Column, by: int) -> Column:
     return F.slice(a, F.lit(by + 1), F.greatest(F.size(a), F.lit(1)))
 
@@ -73,11 +96,6 @@ def _tagged(prints: str, length: int) -> Column:
     return F.transform(prints, lambda x: F.xxhash64(F.lit(length), x))
 
 
-def _texts(length: int) -> Column:
-    """The words of each window joined by spaces, element by element beside ``_f``."""
-    return F.transform(F.sequence(F.lit(1), F.size("_f")), lambda i: F.array_join(F.slice("_w", i, F.lit(length)), " "))
-
-
 def windows(bench: DataFrame) -> DataFrame:
     """One row for each distinct window: its length, text, fingerprint hash and the ids of the items that hold it."""
     w = bench.select(F.col("item_id"), words(F.col("text"), True).alias("_w")).where(F.size("_w") > 0)
@@ -103,10 +121,10 @@ def _figures(docs: DataFrame, bench: DataFrame) -> tuple[DataFrame, DataFrame |
     """(doc_id, _key, n_words) of all different rows, and (_did, _key2, _n_hit, _it) of those with hits."""
     win = materialize(windows(bench), "windows")
     lengths = sorted(r[0] for r in win.select("_len").distinct().collect())  # ten values at most
-    base = docs.select("doc_id", "text", digest().alias("_key"))
-    split = base.select("doc_id", "_key", words(F.col("text"), False).alias("_w"))
+    base = segments(docs.select("doc_id", "text", digest().alias("_key")))
+    own = base.select("doc_id", "_key", "_c", F.size(words(F.col("_own"), False)).cast("long").alias("_many"), _segment_words(False).alias("_w"))
     if not lengths:
-        return materialize(split.select("doc_id", "_key", F.size("_w").cast("long").alias("n_words")).distinct(), "decontam"), None
+        return _words_of(materialize(own.drop("_w"), "decontam")), None
     # A window's text is its own list of words: lower() on it gives the hashes that documents have.
     prints = None
     for n in lengths:
@@ -115,17 +133,23 @@ def _figures(docs: DataFrame, bench: DataFrame) -> tuple[DataFrame, DataFrame |
         prints = one if prints is None else prints.union(one)
     prints = materialize(prints.distinct(), "prints")
     known = _few(prints.select(F.col("_fp").alias("_p")), 32 * prints.count())
-    d = split.select("doc_id", "_key", F.size("_w").cast("long").alias("n_words"), F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
+    d = own.select("doc_id", "_key", "_c", "_many", F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
     made = []
     for n in lengths:
         d = fingerprints(d, n, out=f"_f{n}")
         d = d.withColumn(f"_f{n}", F.array_distinct(f"_f{n}"))
         made.append(f"_f{n}")
     tagged = [_tagged(m, n) for n, m in zip(lengths, made, strict=True)]
-    rows = d.select("doc_id", "_key", "n_words", F.explode_outer(F.concat(*tagged)).alias("_fp"))
+    rows = d.select("doc_id", "_key", "_c", "_many", F.explode_outer(F.concat(*tagged)).alias("_fp"))
     hit = rows.join(known, F.col("_fp") == F.col("_p"), "left")
-    seen = materialize(hit.groupBy("doc_id", "_key", "n_words").agg(F.max(F.col("_p").isNotNull()).alias("_hit")), "decontam")
-    return seen.select("doc_id", "_key", "n_words"), materialize(_spans(base, seen, win, known, lengths), "spans")
+    # equal rows have equal segments, which count once
+    seen = materialize(hit.groupBy("doc_id", "_key", "_c", "_many").agg(F.max(F.col("_p").isNotNull()).alias("_hit")), "decontam")
+    return _words_of(seen), materialize(_spans(base, seen, win, known, lengths), "spans")
+
+
+def _words_of(seen: DataFrame) -> DataFrame:
+    """doc_id, _key, n_words from segments, each as often as it may be."""
+    return seen.groupBy("doc_id", "_key").agg((F.sum("_many") / F.sum(F.when(F.col("_c") == 0, 1))).cast("long").alias("n_words"))
 
 
 def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -147,18 +171,25 @@ def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 def _spans(base: DataFrame, seen: DataFrame, win: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
     """_did, _key2, _n_hit, _it for rows with verified windows."""
-    ids = materialize(seen.where("_hit").select(F.col("doc_id").alias("_did"), F.col("_key").alias("_key2")), "hit-rows")
-    picked = base.join(_few(ids, 64 * ids.count()), _on_row(base, ids), "left_semi")
-    d = picked.select("doc_id", "_key", words(F.col("text"), True).alias("_w"), F.transform(words(F.col("text"), False), lambda x: F.xxhash64(x)).alias("_h"))
+    before = Window.partitionBy("doc_id", "_key").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # a row a segment
+    some = seen.where("_hit").select(F.col("doc_id").alias("_did"), F.col("_key").alias("_key2")).distinct()
+    with_hits = seen.join(_few(some, 64 * seen.where("_hit").count()), _on_row(seen, some), "left_semi")
+    at = with_hits.withColumn("_start", F.coalesce(F.sum("_many").over(before), F.lit(0))).where("_hit")
+    ids = materialize(at.select(F.col("doc_id").alias("_did"), F.col("_key").alias("_key2"), F.col("_c").alias("_c2"), "_start"), "hit-segments")
+    same_segment = _on_row(base, ids) & (F.col("_c") == F.col("_c2"))
+    picked = materialize(base.join(_few(ids, 64 * ids.count()), same_segment).select("doc_id", "_key", "_c", "_start", _segment_words(True).alias("_w"), F.transform(_segment_words(False), lambda x: F.xxhash64(x)).alias("_h")), "hit-words")
     places = None
     for n in lengths:
-        # windows become strings before the explode: rows that carried the words would hold them once a place
-        text = _texts(n)
-        one = fingerprints(d, n).withColumn("_text", F.when(F.size("_f") > 0, text))
-        one = one.select("doc_id", "_key", F.lit(n).alias("_n"), F.posexplode_outer(F.arrays_zip("_f", "_text")).alias("_at", "_x"))
-        one = one.select("doc_id", "_key", "_n", "_at", F.xxhash64(F.lit(n), F.col("_x")["_f"]).alias("_fp"), F.col("_x")["_text"].alias("_text"))
+        one = fingerprints(picked.select("doc_id", "_key", "_c", "_h"), n)
+        one = one.select("doc_id", "_key", "_c", F.posexplode_outer("_f").alias("_at", "_x")).select("doc_id", "_key", "_c", F.lit(n).alias("_n"), "_at", F.xxhash64(F.lit(n), "_x").alias("_fp"))
         one = one.join(known, F.col("_fp") == F.col("_p"), "left_semi").drop("_fp")
         places = one if places is None else places.union(one)
+    # by segment: at most as many places as it has words and windows have lengths
+    lists = places.groupBy(F.col("doc_id").alias("_did"), F.col("_key").alias("_key2"), F.col("_c").alias("_c2")).agg(F.collect_set(F.struct(F.col("_n").alias("n"), F.col("_at").alias("at"))).alias("_l"))
+    whole = picked.join(lists, _on_row(picked, lists) & (F.col("_c") == F.col("_c2"))).select("doc_id", "_key", "_start", F.explode(F.transform(
+        "_l", lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at"), F.array_join(F.slice("_w", x["at"] + 1, x["n"]), " ").alias("text"))
+    )).alias("_x"))
+    places = whole.select("doc_id", "_key", F.col("_x")["n"].alias("_n"), (F.col("_start") + F.col("_x")["at"]).alias("_at"), F.col("_x")["text"].alias("_text"))
     # what a window row weighs: its text and the ids of all items that hold it
     weight = win.agg(F.sum(F.octet_length("_win") + F.octet_length(F.array_join("_items", ",")) + 16 * F.size("_items") + 64)).first()[0]
     found = places.join(_few(win, weight), (F.col("_n") == F.col("_len")) & (F.col("_text") == F.col("_win")))

@@ -874,3 +874,47 @@ def test_chosen_stretches(spark):
         parts = [t - f for f, t in zip(x._from, x._to)]
         assert sum(parts) == w % s and all(p % b == 0 for p in parts[:-1])
         assert max(p // b for p in parts) - min(p // b for p in parts) <= 1 and len(parts) == max(1, min(16, n // 64, w % s // b))
+
+
+@pytest.mark.parametrize("size", [12, 40, 500])
+def test_decontamination_by_segments(spark, monkeypatch, size):
+    """Windows that span segments, words longer than one, equal rows, and short windows, wherever texts are cut."""
+    monkeypatch.setattr(decontam, "SEGMENT", size)
+    r = random.Random(size)
+    some = [r.choice(VOCABULARY) for _ in range(60)]
+    bench = [(1, " ".join(some[:15])), (2, " ".join(some[20:33]).upper()), (3, f"{some[40]} {some[41]}"), (4, "x" * 70), (5, " ".join(some[5:17]))]
+    rows = []
+    for i in range(40):
+        w = [r.choice(VOCABULARY) for _ in range(r.randint(0, 30))]
+        a, b = r.choice([(0, 15), (20, 33), (40, 42), (3, 12), (0, 9), (5, 17)])
+        at = r.randint(0, len(w))
+        w[at:at] = some[a:b] * r.randint(0, 2) + ["X" * 70] * r.randint(0, 1)
+        rows.append((i, "".join(x + r.choice([" ", "  ", "\n", ", ", " - "]) for x in w)))
+    rows += [rows[3], rows[3], (None, rows[5][1]), (3, rows[6][1]), (90, None), (91, ""), (92, " .,"), (93, "y" * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((x.doc_id, x.n_words, x.n_hit, x.n_items) for x in decontam.contamination(df, spark.createDataFrame(bench, "item_id long, text string")).collect())
+    want = Counter()
+    items = [(i, ALNUM.findall(t.translate(LOW))) for i, t in bench]
+    for i, t in rows:
+        w, hit, found = ALNUM.findall((t or "").translate(LOW)), set(), set()
+        for k, words in items:
+            n = min(10, len(words))
+            for j in range(len(words) - n + 1):
+                for p in range(len(w) - n + 1):
+                    if w[p : p + n] == words[j : j + n]:
+                        hit |= set(range(p, p + n))
+                        found.add(k)
+        want[(i, len(w), len(hit), len(found))] += 1
+    assert got == want
+
+
+def test_decontamination_of_a_long_text(spark):
+    """2 million words in one text, with benchmark passages at its ends and across a cut; windows of eight lengths."""
+    r = random.Random(12)
+    filler = [r.choice(VOCABULARY) for _ in range(5_000)]
+    bench = [(n, " ".join(f"item{n}word{j}" for j in range(n))) for n in (3, 4, 5, 6, 7, 8, 9, 12)]
+    words = [bench[0][1], *[" ".join(filler)] * 200, bench[-1][1], *[" ".join(filler)] * 200, bench[4][1]]
+    rows = [(1, " ".join(words)), (2, "short"), (3, bench[2][1])]
+    got = {x.doc_id: x for x in decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert len(rows[0][1]) > 8_000_000 and (got[1].n_words, got[1].n_hit, got[1].n_items) == (2_000_000 + 3 + 12 + 7, 22, 3)
+    assert (got[2].n_hit, got[3].n_hit) == (0, 5)
