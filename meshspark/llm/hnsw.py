@@ -4,13 +4,12 @@ Equal vectors collapse first (so a vector that fills a third of the table is one
 multiplicity).  Distinct vectors are dealt to shards of bounded bytes by hash; each shard's graph is
 built in one task and stored in the shared folder beside its vectors.  Every shard's vectors query every shard: a task
 reads the two files, so that no vector is shuffled to its queries.  A query's beam widens fourfold until
-the worst vector in it lies under the threshold, so that all neighbours are inside; from a beam of one in
-``WIDE`` of the shard on, scanning the shard is cheaper, and exact.
+the worst vector in it lies under the threshold, so that all neighbours are inside, if need be up to the whole shard.
 
 Before a shard's vectors ask another shard (or their own) the pair is audited: against brute force on
 sampled vectors, whose matches with themselves don't count, and on vectors planted beside sampled ones of the
-asked shard, just above the threshold.  The base beam doubles until both recalls reach ``AUDIT``, and where no
-beam does, the shard is scanned.  ``search`` returns the audits.  Every hit is verified by cosine in
+asked shard, just above the threshold.  The base beam doubles until both recalls reach ``AUDIT``; only where not even a beam as wide as
+the shard does is the shard scanned for the pair.  ``search`` returns the audits, with recalls and what was scanned.  Every hit is verified by cosine in
 double precision.  Query tasks return counts of linked vectors and a spanning forest of the links they
 saw, linear in queries and touched nodes, which connected components then unite.
 
@@ -46,8 +45,8 @@ THRESHOLD = 0.95
 LINKS, BUILD_BEAM, BASE_BEAM, BATCH = 16, 64, 32, 512
 #: Recall to reach; sampled vectors at first and at most (more are drawn until AUDIT_LINKS links are seen); planted ones.
 AUDIT, AUDIT_QUERIES, AUDIT_MOST, AUDIT_LINKS, PLANTED = 0.99, 128, 2_048, 64, 128
-#: Beams of n / WIDE vectors and more give way to a scan of the shard.
-WIDE = 16
+#: Vectors whose neighbours a step of a search looks at: at least, and of each so many in its beam one.
+STEP, STEPS = 4, 32
 #: Shards for vectors of one length: at least MIN_SHARDS (less where they would hold under SHARD_LEAST vectors), more where one would pass SHARD_BYTES.
 MIN_SHARDS, SHARD_LEAST, SHARD_BYTES = 6, 64, 128 << 20
 #: Row numbers within a shard take so many bits of a node's number.
@@ -64,6 +63,7 @@ class Graph:
     def search(self, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of the beam for each query, best first, -1 and -inf where short; ``entry`` is (queries, e)."""
         b, beam = len(q), min(beam, self.n)
+        wide = max(STEP, beam // STEPS)
         ids = np.full((b, beam), -1, np.int64)
         sims = np.full((b, beam), -np.inf, np.float32)
         done = np.zeros((b, beam), bool)
@@ -79,7 +79,7 @@ class Graph:
         live = rows
         while len(live):
             open_ = np.where(done[live] | (ids[live] < 0), -np.inf, sims[live])
-            pick = np.argpartition(-open_, min(3, beam - 1), axis=1)[:, : min(4, beam)]
+            pick = np.argpartition(-open_, min(wide, beam) - 1, axis=1)[:, : min(wide, beam)]
             ok = np.take_along_axis(open_, pick, 1) > -np.inf
             going = ok.any(axis=1)
             live, pick, ok = live[going], pick[going], ok[going]
@@ -209,29 +209,36 @@ class Index:
         got = [np.nonzero(q @ self.exact[lo : lo + 8192].T >= THRESHOLD - 1e-9) for lo in range(0, len(self.exact), 8192)]
         return np.concatenate([r for r, _ in got]), np.concatenate([c + 8192 * k for k, (_, c) in enumerate(got)])
 
+    def verified(self, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of (query, row) pairs those whose cosine, in double precision, reaches the threshold."""
+        ok = np.concatenate([np.einsum("id,id->i", q[i[a : a + 65536]], self.exact[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0)]) >= THRESHOLD
+        return i[ok], j[ok]
+
     def query(self, q: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, row) pairs whose cosine, in double precision, reaches the threshold, in parts of bounded size."""
+        """(query, row) pairs that reach the threshold and that searches of the graph find, in parts of bounded size."""
         n, left, q32, base = len(self.exact), np.arange(len(q)), q.astype(np.float32), self.levels[-1]
+        beam = min(beam, n)
         while len(left):
-            rest, exact = [], beam * WIDE >= n
-            step = max(1, min(BATCH, 32_000_000 // n)) if not exact else max(1, min(BATCH, 4_000_000 // n))
+            rest = []
+            step = max(1, min(BATCH, 32_000_000 // n, 8_000_000 // beam))
             for lo in range(0, len(left), step):
                 part = left[lo : lo + step]
-                if exact:
-                    i, j = self.scan(q[part])
-                else:
-                    ids, sims = base.search(q32[part], self.entries(q32[part], self.levels[:-1], base.n), beam)
-                    full = (sims[:, -1] >= THRESHOLD - 1e-4) & (ids[:, -1] >= 0)
-                    rest.append(part[full])
-                    i, c = np.nonzero((sims >= THRESHOLD - 1e-4) & (ids >= 0) & ~full[:, None])
-                    j = ids[i, c]
-                i = part[i]
-                ok = np.concatenate([np.einsum("id,id->i", q[i[a : a + 65536]], self.exact[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0)]) >= THRESHOLD
-                yield i[ok], j[ok]
-            left, beam = np.concatenate(rest) if rest else left[:0], beam * 4
+                ids, sims = base.search(q32[part], self.entries(q32[part], self.levels[:-1], base.n), beam)
+                full = (sims[:, -1] >= THRESHOLD - 1e-4) & (ids[:, -1] >= 0) & (beam < n)
+                rest.append(part[full])
+                i, c = np.nonzero((sims >= THRESHOLD - 1e-4) & (ids >= 0) & ~full[:, None])
+                yield self.verified(q, part[i], ids[i, c])
+            left, beam = np.concatenate(rest), min(4 * beam, n)
+
+    def scanned(self, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same pairs by brute force, for pairs of shards whose audit no beam passes."""
+        step = max(1, min(BATCH, 4_000_000 // len(self.exact)))
+        for lo in range(0, len(q), step):
+            i, j = self.scan(q[lo : lo + step])
+            yield self.verified(q, i + lo, j)
 
     def audit(self, asking: np.ndarray, own: bool, rng: np.random.Generator) -> tuple[int, int, float]:
-        """(beam, links seen, recall): the base beam with which ``asking`` vectors find AUDIT of their links here.
+        """(beam, links seen, recall): the base beam with which ``asking`` vectors find AUDIT of their links here, or the shard's size if none does.
 
         ``own``: the asking vectors are this shard's rows; a row's match with itself counts on neither side.
         """
@@ -259,8 +266,8 @@ class Index:
             hit = {(int(a), int(b)) for i, j in self.query(planted, beam) for a, b in zip(i, j, strict=True)}
             real = len(found) / len(true) if true else 1.0
             recall = min(real, sum((k, int(t)) in hit for k, t in enumerate(target)) / max(1, len(target)))
-            if recall >= AUDIT or beam * WIDE >= n:
-                return beam, len(true), recall
+            if recall >= AUDIT or beam >= n:
+                return min(beam, n), len(true), recall
             beam *= 2
 
 
@@ -329,7 +336,7 @@ def _graph(path: str) -> list[tuple]:
 
 @dataclass(frozen=True)
 class Near:
-    """``rows``: vec_id, n_links, component_id, kept; ``audits``: asking and asked shard, base beam, links seen, recall."""
+    """``rows``: vec_id, n_links, component_id, kept; ``audits``: asking and asked shard, base beam, links seen, recall, and whether the shard was scanned."""
 
     rows: DataFrame
     audits: DataFrame
@@ -405,7 +412,7 @@ def search(vectors: DataFrame) -> Near:
                 beam, links, recall = index.audit(q, own, np.random.default_rng([s, t]))
                 base = 0 if own else len(q)
                 count, forest = np.zeros(len(q), np.int64), Forest(base + len(index.exact))
-                for i, j in index.query(q, beam):
+                for i, j in index.query(q, beam) if recall >= AUDIT else index.scanned(q):
                     if own:
                         i, j = i[i != j], j[i != j]
                     np.add.at(count, i, weight[j])
@@ -435,5 +442,5 @@ def search(vectors: DataFrame) -> Near:
     facts = materialize(known.join(least, F.col("_c") == F.col("_c2")).select("_k", "_links", "_comp", "many"), "vec-facts")
     out = meet(rows.select("vec_id", "_key"), facts, "_key", "_k", "many", "left")
     out = out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_comp", "vec_id").alias("component_id"))
-    audits = seen.where("kind = 2").select(F.col("a").alias("asking"), F.col("b").alias("asked"), "beam", "links", "recall")
+    audits = seen.where("kind = 2").select(F.col("a").alias("asking"), F.col("b").alias("asked"), "beam", "links", "recall", (F.col("recall") < AUDIT).alias("scanned"))
     return Near(out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), audits)

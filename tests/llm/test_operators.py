@@ -698,15 +698,33 @@ def vector_rows(r, n=900):
     return x + 0.03 * r.normal(size=x.shape)
 
 
-def test_vectors_equal_brute_force(spark):
-    """All columns of ordinary, repeated and nameless rows; every audit reaches its recall."""
+def not_allowed(self, q):
+    raise AssertionError("a shard is scanned")
+
+
+def test_vectors_equal_brute_force(spark, monkeypatch):
+    """All columns of ordinary, repeated and nameless rows, by graphs alone; every audit reaches its recall."""
+    monkeypatch.setattr(hnsw.Index, "scanned", not_allowed)
     x = vector_rows(np.random.default_rng(3))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3, x[700].tolist()), (3, x[1].tolist()), (3, x[1].tolist()), (None, x[700].tolist()), (None, [9.0] * 15 + [-70.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = hnsw.search(v)
     assert Counter((r.vec_id, r.n_links, r.component_id) for r in got.rows.collect()) == brute_vectors(rows)
     audits = got.audits.collect()
-    assert len(audits) == hnsw.MIN_SHARDS**2 and all(a.recall >= hnsw.AUDIT for a in audits)
+    assert len(audits) == hnsw.MIN_SHARDS**2 and all(a.recall >= hnsw.AUDIT and not a.scanned for a in audits)
+
+
+@pytest.mark.parametrize("shards", [1, 6])
+def test_vectors_in_one_dense_group(spark, monkeypatch, shards):
+    """Every vector near every other: beams widen to whole shards."""
+    monkeypatch.setattr(hnsw.Index, "scanned", not_allowed)
+    monkeypatch.setattr(hnsw, "MIN_SHARDS", shards)
+    r = np.random.default_rng(6)
+    x = r.normal(size=16) + 0.02 * r.normal(size=(500, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, r.normal(size=(100, 16))]))]
+    got = hnsw.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got.rows.collect()) == brute_vectors(rows)
+    assert not any(a.scanned for a in got.audits.collect())
 
 
 def test_vectors_audit_sees_lost_links(spark, monkeypatch):
@@ -730,10 +748,12 @@ def test_vectors_audit_sees_lost_links(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(hnsw.Graph, "search", stub)
             beam, _, recall = index.audit(index.exact, True, r)
-            assert beam * hnsw.WIDE >= len(x) and recall == 1.0
+            assert beam == len(x) and recall < hnsw.AUDIT
     rows = [(i, v.tolist()) for i, v in enumerate(vector_rows(r, 400))]
     monkeypatch.setattr(hnsw.Graph, "search", itself)
-    assert Counter((g.vec_id, g.n_links, g.component_id) for g in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()) == brute_vectors(rows)
+    got = hnsw.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert Counter((g.vec_id, g.n_links, g.component_id) for g in got.rows.collect()) == brute_vectors(rows)
+    assert any(a.scanned and a.recall < hnsw.AUDIT for a in got.audits.collect())
 
 
 def test_vectors_recall_at_size():
@@ -748,7 +768,7 @@ def test_vectors_recall_at_size():
     i, j = index.scan(q)
     ok = np.einsum("id,id->i", q[i], index.exact[j]) >= hnsw.THRESHOLD
     found = {p for a, b in index.query(q, beam) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    assert beam * hnsw.WIDE < len(x) and recall >= hnsw.AUDIT and links >= hnsw.AUDIT_LINKS
+    assert beam < len(x) // 16 and recall >= hnsw.AUDIT and links >= hnsw.AUDIT_LINKS
     true = set(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
     assert found <= true and len(found) >= 0.98 * len(true)
 
