@@ -3,9 +3,10 @@
 A text is lower-cased (A-Z) and reduced to its words joined by single spaces.  A notice with
 ``e`` allowed errors is cut into ``e + 1`` pieces: by the pigeonhole principle every occurrence
 with at most ``e`` edits holds one piece exactly, so plain substring search for the pieces finds
-every candidate place; around each place the ``regex`` library's bounded-error matching then
-tells whether there is an occurrence, and edit distances from every word that starts there give all
-spans within the errors that hold the core words.  Of those, hits are taken by fewest edits, then
+every candidate place, and where an occurrence may start there; at each such start the ``regex`` library's bounded-error matching then
+tells whether there is one, and edit distances from there give all
+spans within the errors that hold the core words.  A start is looked at through a window of the notice's length, and equal windows once, so
+work is in proportion to a text's places, however close they lie.  Of those, hits are taken by fewest edits, then
 leftmost, that overlap no hit of the notice taken before: every occurrence is a hit or overlaps one
 with no more edits.
 
@@ -15,10 +16,10 @@ positions and empty labels; overlapping base places all count; repeated rows agr
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -43,6 +44,8 @@ NOTICES = {
 }
 _BLANK = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
+#: Windows whose occurrences are kept.
+KNOWN = 65_536
 _EDGE = regex.compile(r"\b")
 
 
@@ -86,16 +89,29 @@ def ends(phrase: str, errors: int, text: str, start: int) -> dict[int, int]:
 
 def apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Of (edits, start, end) those that overlap none of fewer edits, or further left, that is taken."""
-    taken: list[tuple[int, int]] = []
+    wide = max((b - a for _, a, b in spans), default=1)
+    taken: dict[int, list[tuple[int, int]]] = {}  # by stretches as wide as the longest span: only neighbours can overlap
     out = []
     for edits, a, b in sorted(spans):
-        at = bisect_left(taken, (a, b))
-        if (at == len(taken) or b <= taken[at][0]) and (not at or taken[at - 1][1] <= a):
-            taken.insert(at, (a, b))
+        at = a // wide
+        if all(b <= x or y <= a for k in (at - 1, at, at + 1) for x, y in taken.get(k, ())):
+            taken.setdefault(at, []).append((a, b))
             out.append((edits, a, b))
     return out
 
 
+class Words:
+    """Word numbers of places in a text of words joined by single spaces; looked up by bisection, prepared at first use."""
+
+    def __init__(self, line: str):
+        self.line, self.gaps = line, None
+
+    def __call__(self, at: int) -> int:
+        if self.gaps is None:
+            self.gaps = np.flatnonzero(np.frombuffer(self.line.encode("utf-32-le"), "<u4") == 32)
+        return int(np.searchsorted(self.gaps, at))
+
+
 class Scanner:
     """Compiled notices; built once per Python worker."""
 
@@ -104,55 +120,65 @@ class Scanner:
             (p, label, e, set(core), pieces(p, e), regex.compile(rf"\b(?:{regex.escape(p)}){{e<={e}}}\b"))
             for p, (label, e, core) in (NOTICES if notices is None else notices).items()
         ]
+        self.known: dict[tuple[int, str], list[tuple[int, int]]] = {}
+        self.steps = 0  # places and windows looked at, for those who count
+
+    def spans_at(self, number: int, window: str, at: int) -> list[tuple[int, int]]:
+        """(edits, length) of the notice's occurrences that start at ``window[at]``; the window holds a character before and one after."""
+        if (got := self.known.get((number, window))) is None:
+            phrase, _, e, core, _, pattern = self.notices[number]
+            self.steps += 1
+            got = []
+            if pattern.match(window, at):
+                got = [
+                    (edits, j - at) for j, edits in ends(phrase, e, window, at).items()
+                    if j > at and window[j - 1] != " " and _EDGE.match(window, j) and core <= set(window[at:j].split())
+                ]
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[number, window] = got
+        return got
 
-    def fuzzy(self, line: str) -> list[Hit]:
+    def fuzzy(self, line: str, word: Words | None = None) -> list[Hit]:
         """Verified hits of one normalised text (words joined by one space)."""
+        word = word or Words(line)
         hits: dict[tuple[str, int, int], Hit] = {}
-        for phrase, label, e, core, seeds, pattern in self.notices:
-            spans: list[list[int]] = []
+        for number, (phrase, label, e, _, seeds, _) in enumerate(self.notices):
+            starts: set[int] = set()
             for offset, seed in seeds:
                 at = line.find(seed)
                 while at >= 0:
-                    lo, hi = max(0, at - offset - 2 * e - 1), at - offset + len(phrase) + 2 * e + 1
-                    lo = line.rfind(" ", 0, lo) + 1 if lo else 0  # whole words at both ends
-                    spans.append([lo, len(line) if (cut := line.find(" ", hi)) < 0 else cut])
+                    self.steps += 1
+                    # edits before the piece shift its start by their number at most
+                    starts.update(range(max(0, at - offset - e), at - offset + e + 1))
                     at = line.find(seed, at + 1)
-            merged: list[list[int]] = []
-            for s in sorted(spans):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append(s)
-            for lo, hi in merged:
-                stretch = line[lo:hi]
-                if not pattern.search(stretch):
-                    continue
-                edges = [m.start() for m in _EDGE.finditer(stretch)]
-                stops = {i for i in edges if i and stretch[i - 1] != " "}
-                found = [
-                    (edits, i, j) for i in edges if i < len(stretch) and stretch[i] != " "
-                    for j, edits in ends(phrase, e, stretch, i).items() if j > i and j in stops and core <= set(stretch[i:j].split())
-                ]
-                for edits, i, j in apart(found):
-                    first = line.count(" ", 0, lo + i)
-                    last = first + stretch.count(" ", i, j)
-                    hit = Hit(label, first, last, edits, 1.0 - edits / len(phrase))
-                    if (old := hits.get((label, first, last))) is None or hit.edits < old.edits:
-                        hits[(label, first, last)] = hit
+            found = []
+            for i in starts:
+                if i < len(line) and line[i] != " " and _EDGE.match(line, i):
+                    lead = i > 0
+                    window = line[i - lead : i + len(phrase) + e + 1]
+                    found += [(edits, i, i + long) for edits, long in self.spans_at(number, window, int(lead))]
+            for edits, i, j in apart(found):
+                first = word(i)
+                last = first + line.count(" ", i, j)
+                hit = Hit(label, first, last, edits, 1.0 - edits / len(phrase))
+                if (old := hits.get((label, first, last))) is None or hit.edits < old.edits:
+                    hits[(label, first, last)] = hit
         return sorted(hits.values(), key=lambda h: (h.first, h.last, h.label))
 
     def __call__(self, text: str | None) -> tuple[int, int, int | None, int | None, list[str], list[Hit]]:
         """Words, base places, smallest and largest base start, base labels, verified hits."""
         words = (text or "").encode("utf-8", "replace").translate(_BLANK).split()
         line = b" ".join(words).decode("utf-8")
+        word = Words(line)
         framed, starts, labels = f" {line} ", [], set()
         for phrase, label in BASE.items():
             at = framed.find(f" {phrase} ")
             while at >= 0:
-                starts.append(framed.count(" ", 0, at))
+                starts.append(word(at))  # the frame's space stands where the place starts
                 labels.add(label)
                 at = framed.find(f" {phrase} ", at + 1)
-        return len(words), len(starts), min(starts, default=None), max(starts, default=None), sorted(labels), self.fuzzy(line)
+        return len(words), len(starts), min(starts, default=None), max(starts, default=None), sorted(labels), self.fuzzy(line, word)
 
 
 def scan(docs: DataFrame) -> DataFrame:

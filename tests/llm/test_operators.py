@@ -4,6 +4,7 @@ import hashlib
 import heapq
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter
@@ -240,6 +241,24 @@ def test_license_repeated_notices():
             assert all(b < c for (_, b), (c, _) in zip(sorted(hits), sorted(hits)[1:]))
 
 
+@pytest.mark.parametrize("notice", ["under the mit license", "undr the mit licence", "licensed under the apache licence version 2", "gnu general public license gnu"])
+def test_license_work_is_in_proportion(notice):
+    """Ten times the text, ten times the places: no more steps, and as many hits, for each."""
+    r = random.Random(1)
+    steps, hits, least = [], [], []
+    for n in (2_000, 20_000):
+        scanner = license_scan.Scanner()
+        text = " ".join(notice if k % 3 else notice + str(r.randrange(10)) for k in range(n))
+        began = time.process_time()
+        got = scanner(text)
+        least.append(time.process_time() - began)
+        steps.append(scanner.steps)
+        hits.append(len(got[5]))
+        assert got[0] == len(text.split()) and got[1] == sum(len(re.findall(f"(?= {p} )", f" {text} ")) for p in license_scan.BASE)
+        assert [h.first for h in got[5]] == sorted(h.first for h in got[5]) and all(0 <= h.first <= h.last < got[0] for h in got[5])
+    assert steps[1] <= 11 * steps[0] and hits[1] >= 9 * hits[0] > 0 and least[1] < 30 * least[0]
+
+
 def test_license_against_whole_search(spark):
     """Without seeds, over whole texts: every bounded-error match of the regex library that holds the core words overlaps a hit of its label."""
     import regex
