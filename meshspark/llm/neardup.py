@@ -282,22 +282,27 @@ def _exhaust(rows: DataFrame, reps: DataFrame, docs: DataFrame, like: Similarity
     spark = rows.sparkSession
     sized = rows.join(reps.select(F.col("rep").alias("_r"), "n"), F.col("rep") == F.col("_r")).select("band", "at", "rep", "comp", "n")
     cut = running(sized, ["band"], [F.col("comp").asc(), F.col("rep").asc()], F.col("n") * 8, "dup-blocks")
-    cut = cut.withColumn("_blk", F.floor(F.col("_rank") / BLOCK) + F.floor(F.col("_before") / BLOCK_BYTES)).select("band", "at", "rep", "comp", "_blk")
+    cut = cut.withColumn("_blk", F.floor(F.col("_rank") / BLOCK) + F.floor(F.col("_before") / BLOCK_BYTES)).select("band", "at", "rep", "comp", "n", "_blk")
     cut = materialize(cut, "dup-cut")
     items = _sets(docs, reps, cut.select(F.col("rep").alias("_i")).distinct()).withColumnRenamed("node", "_t")
-    members = cut.join(reps.select(F.col("rep").alias("_r"), "sig"), F.col("rep") == F.col("_r")).join(items, F.col("rep") == F.col("_t")).select("band", "at", "_blk", "rep", "comp", "sig", "items")
+    members = cut.join(reps.select(F.col("rep").alias("_r"), "sig"), F.col("rep") == F.col("_r")).join(items, F.col("rep") == F.col("_t")).select("band", "at", "_blk", "rep", "comp", "n", "sig", "items")
     folder = f"{shared_dir(spark)}/meshspark/dup-blocks-{uuid.uuid4().hex}"
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         path = f"{folder}/{uuid.uuid4().hex}"  # every attempt writes files of its own; only the row that counts tells them
         sig = np.frombuffer(b"".join(pdf["sig"]), "<u4").reshape(-1, HASHES)
         Block.store(path, pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), sig, [np.frombuffer(x, "<u8") for x in pdf["items"]])
-        return pd.DataFrame({"b": pdf["band"].iloc[:1], "p": pdf["at"].iloc[:1], "i": pdf["_blk"].iloc[:1], "path": [path], "lo": [pdf["comp"].min()], "hi": [pdf["comp"].max()]})
-
-    blocks = materialize(members.groupBy("band", "at", "_blk").applyInPandas(write, "b long, p int, i long, path string, lo long, hi long"), "dup-files")
-    other = blocks.select(F.col("b").alias("b2"), F.col("i").alias("i2"), F.col("path").alias("path2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    # blocks of one component need no comparison with themselves or with others of that component
-    two = blocks.join(other, (F.col("b") == F.col("b2")) & (F.col("i") <= F.col("i2"))).where(~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))))
+        return pd.DataFrame({"b": pdf["band"].iloc[:1], "p": pdf["at"].iloc[:1], "i": pdf["_blk"].iloc[:1], "path": [path], "lo": [pdf["comp"].min()], "hi": [pdf["comp"].max()], "least": [pdf["n"].min()], "most": [pdf["n"].max()]})
+
+    blocks = materialize(members.groupBy("band", "at", "_blk").applyInPandas(write, "b long, p int, i long, path string, lo long, hi long, least long, most long"), "dup-files")
+    other = blocks.select(*[F.col(c).alias(f"{c}2") for c in ("b", "i", "path", "lo", "hi", "least", "most")])
+    last = blocks.groupBy(F.col("b").alias("_b")).agg(F.max("i").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    # each block names those it meets, so that pairs are found by band and block: no task gathers those of a band
+    asking = meet(blocks, materialize(last, "dup-last"), "b", "_b", "_n").withColumn("_j", F.explode(F.sequence("i", "_last")))
+    two = asking.join(other, (F.col("b") == F.col("b2")) & (F.col("_j") == F.col("i2")))
+    # blocks of one component need no comparison with themselves or with others of that component, nor those whose sets' sizes are too far apart
+    two = two.where(~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))))
+    two = two.where((F.col("most") * like.den >= F.col("least2") * like.num) & (F.col("most2") * like.den >= F.col("least") * like.num))
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     two = two.select("path", "path2", "p").repartition(tasks, F.xxhash64("path", "path2")).sortWithinPartitions("path")
 
