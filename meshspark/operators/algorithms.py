@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 from .components import contracted
-from .gas import Result, VertexProgram, run, start, superstep
+from .gas import Result, VertexProgram, record, run, start, superstep
 from .partitioning import Bins
 
 # Fixed values.
@@ -163,10 +165,14 @@ def hits(g: Graph, iterations: int = ITERATIONS) -> DataFrame:
     auth = VertexProgram({}, c("hub"), {"m": F.sum("msg")}, apply={"auth": _or0("m")}, dense=True)
     hub = VertexProgram({}, c("auth"), {"m": F.sum("msg")}, apply={"hub": _or0("m")}, dense=True)
     state = g.out_degrees().withColumnRenamed("out_degree", "od").withColumns({"auth": F.lit(1.0), "hub": F.lit(1.0), "active": F.lit(True)})
+    began = time.perf_counter()
     for k in range(1, iterations + 1):
         state = superstep(superstep(state, g.sending(), auth, k), back, hub, k)
         if k % 2 == 0 or k == iterations:
             state = _unit(cut(state), "auth", "hub")
+            now = time.perf_counter()
+            record(k, now - began)
+            began = now
     return state.select("id", "auth", "hub")
 
 

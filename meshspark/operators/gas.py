@@ -24,7 +24,8 @@ which are null without a message.  Updates of one hook see the values before it.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -55,6 +56,27 @@ class VertexProgram:
     sees_target: bool = False
 
 
+_laps: list[list[tuple[int, float]]] = []
+
+
+@contextmanager
+def timing() -> Iterator[list[tuple[int, float]]]:
+    """Collects (last superstep, seconds) of the supersteps of all runs inside the ``with``."""
+    laps: list[tuple[int, float]] = []
+    _laps.append(laps)
+    try:
+        yield laps
+    finally:
+        _laps.remove(laps)
+
+
+def record(k: int, seconds: float) -> tuple[int, float]:
+    """Tell those who time that supersteps up to ``k`` took so long."""
+    for laps in _laps:
+        laps.append((k, seconds))
+    return k, seconds
+
+
 #: Supersteps that one write covers while a frontier is watched; each doubles the plan, so they are few.
 FUSED = 2
 #: Frontiers of at most this many vertices of a placed graph prune the scan of its edges.
@@ -215,7 +237,7 @@ def run(
     def lap() -> None:
         nonlocal began
         now = time.perf_counter()
-        timed.append((k, now - began))
+        timed.append(record(k, now - began))
         began = now
 
     while (not watch or trace[-1][1]) and (iterations is None or k < iterations):

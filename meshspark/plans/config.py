@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..graph import Graph
 from ..operators import algorithms as A
+from ..operators.gas import timing
 from ..operators.partitioning import Bins, bin_params
+from ..storage import cut
 
 
 @dataclass(frozen=True)
@@ -57,21 +59,41 @@ ALL_ROUNDS = ("pagerank_delta", "nibble")
 
 
 def execute(spark: SparkSession, name: str, config: RunConfig, g: Graph | None = None) -> tuple[DataFrame, DataFrame]:
-    """(result, report of the rounds' times) of an algorithm on ``config.data`` (a binary file) or a graph in hand."""
+    """(result of the last round, report of the rounds' times) of an algorithm on ``config.data`` (a binary file or folder) or a graph in hand.
+
+    A graph that was loaded here is released again.
+    """
+    own = g is None
     if g is None:
         g = Graph.load(spark, config.data, "csr_weighted" if name == "sssp" else "mix").saved()
-    report = timed_rounds(spark, name, lambda: ALGORITHMS[name](g, config), config, skip_first=name not in ALL_ROUNDS)
-    return ALGORITHMS[name](g, config), report
+    result: list[DataFrame] = []
+
+    def query() -> DataFrame:
+        result[:] = [ALGORITHMS[name](g, config)]
+        return result[0]
+
+    report = timed_rounds(spark, name, query, config, skip_first=name not in ALL_ROUNDS)
+    out = cut(result[0] if result else ALGORITHMS[name](g, config), "run-result")
+    if own:
+        g.release()
+    return out, report
 
 
 def timed_rounds(spark: SparkSession, label: str, query: Callable[[], DataFrame], config: RunConfig, skip_first: bool = True) -> DataFrame:
-    """label, round, seconds, counted: every round runs the query whole; the first is left out of the mean if others exist."""
+    """label, round, seconds, counted, total, supersteps: every round runs the query whole; the first is left out of the mean if others exist.
+
+    ``seconds`` are those of the supersteps alone, from the first state to the last (``total`` has what comes before
+    and after as well); of a query without supersteps they are the total.
+    """
     rows = []
     for i in range(config.rounds):
         began = time.perf_counter()
-        query().write.format("noop").mode("overwrite").save()
-        rows.append((label, i, time.perf_counter() - began, not (skip_first and i == 0 and config.rounds > 1)))
-    return spark.createDataFrame(rows, "label string, round int, seconds double, counted boolean")
+        with timing() as laps:
+            query().write.format("noop").mode("overwrite").save()
+        total = time.perf_counter() - began
+        seconds = sum(s for _, s in laps) if laps else total
+        rows.append((label, i, seconds, not (skip_first and i == 0 and config.rounds > 1), total, laps[-1][0] if laps else 0))
+    return spark.createDataFrame(rows, "label string, round int, seconds double, counted boolean, total double, supersteps int")
 
 
 def mean_seconds(report: DataFrame) -> float:
