@@ -46,13 +46,13 @@ def segments(df: DataFrame) -> DataFrame:
     gap, word = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     # the rest if it is short enough, else up to the last gap within the bound, else one word
     cut = rf"(?s)(?:.{{1,{SEGMENT}}}\z|.{{0,{SEGMENT - 1}}}{gap}|{word}+)(?=((?:{gap}*{word}+){{0,{WINDOW - 1}}}))"
-    text, empty = F.coalesce("text", F.lit("")), F.lit("")
-    parts = F.when(
-        F.length(text) > SEGMENT,
-        F.zip_with(F.regexp_extract_all(text, F.lit(cut), F.lit(0)), F.regexp_extract_all(text, F.lit(cut), F.lit(1)), lambda a, b: F.struct(a.alias("own"), b.alias("next"))),
-    ).otherwise(F.array(F.struct(text.alias("own"), empty.alias("next"))))
     kept = [c for c in df.columns if c != "text"]
-    return df.select(*kept, F.posexplode(parts).alias("_c", "_x")).select(*kept, "_c", F.col("_x")["own"].alias("_own"), F.col("_x")["next"].alias("_next"))
+    t = df.select(*kept, F.coalesce("text", F.lit("")).alias("_own"))
+    # most texts are one segment: they don't pass through the rows that an explode makes
+    short = t.where(F.length("_own") <= SEGMENT).select(*kept, F.lit(0).alias("_c"), "_own", F.lit("").alias("_next"))
+    parts = F.arrays_zip(F.regexp_extract_all("_own", F.lit(cut), F.lit(0)).alias("own"), F.regexp_extract_all("_own", F.lit(cut), F.lit(1)).alias("next"))
+    long = t.where(F.length("_own") > SEGMENT).select(*kept, F.posexplode(parts).alias("_c", "_x"))
+    return short.union(long.select(*kept, "_c", F.col("_x")["own"].alias("_own"), F.col("_x")["next"].alias("_next")))
 
 
 def _segment_words(exact: bool) -> Column:
@@ -122,7 +122,9 @@ def _figures(docs: DataFrame, bench: DataFrame) -> tuple[DataFrame, DataFrame |
     win = materialize(windows(bench), "windows")
     lengths = sorted(r[0] for r in win.select("_len").distinct().collect())  # ten values at most
     base = segments(docs.select("doc_id", "text", digest().alias("_key")))
-    own = base.select("doc_id", "_key", "_c", F.size(words(F.col("_own"), False)).cast("long").alias("_many"), _segment_words(False).alias("_w"))
+    # words of the segment are used twice, so that they are a column of their own: nested, they would be split twice
+    own = base.select("doc_id", "_key", "_c", words(F.col("_own"), False).alias("_o"), words(F.col("_next"), False).alias("_n"))
+    own = own.select("doc_id", "_key", "_c", F.size("_o").cast("long").alias("_many"), F.when(F.size("_n") == 0, F.col("_o")).otherwise(F.concat("_o", "_n")).alias("_w"))
     if not lengths:
         return _words_of(materialize(own.drop("_w"), "decontam")), None
     # A window's text is its own list of words: lower() on it gives the hashes that documents have.
