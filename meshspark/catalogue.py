@@ -256,6 +256,7 @@ def _bfs(out: str, graph: str = "g_frag") -> str:
 
 
 query("bfs_levels", "g_frag", _bfs("id, lvl::BIGINT AS level"))(lambda g: A.bfs(g, _root(g)).state.select("id", "level"))
+query("bfs_by_changes", "g_next", _bfs("id, lvl::BIGINT AS level, par AS parent", "g_next"))(lambda g: A.bfs(g, _root(g), by_changes=True).state.select("id", "level", "parent"))
 query("bfs_parents", "g_frag", _bfs("id, par AS parent"))(lambda g: A.bfs(g, _root(g)).state.select("id", "parent"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from .components import contracted
-from .gas import Result, VertexProgram, record, run, start, superstep
+from .gas import Result, VertexProgram, record, run, run_by_changes, start, superstep
 from .partitioning import Bins
 
 # Fixed values.
@@ -53,8 +53,8 @@ def pagerank_delta(g: Graph, iterations: int = ITERATIONS, mode: str = "sparse",
     return run(g, p, iterations, bins=bins)
 
 
-def bfs(g: Graph, root: int = ROOT, iterations: int | None = None, bins: Bins | None = None) -> Result:
-    """State level, parent (the least possible one); null where unreached."""
+def bfs(g: Graph, root: int = ROOT, iterations: int | None = None, bins: Bins | None = None, by_changes: bool = False) -> Result:
+    """State level, parent (the least possible one); null where unreached.  ``by_changes``: in work that follows the frontier."""
     _check_root(g, root)
     at_root, none = c("id") == root, F.lit(None).cast("long")
     new = c("level").isNull()
@@ -63,7 +63,7 @@ def bfs(g: Graph, root: int = ROOT, iterations: int | None = None, bins: Bins |
         active=at_root, activate=new, valid=~new,
         gather=lambda k: {"level": F.coalesce(c("level"), F.lit(k).cast("long")), "parent": F.coalesce(c("parent"), c("m"))},
     )
-    return run(g, p, iterations, bins=bins)
+    return run_by_changes(g, p, iterations) if by_changes else run(g, p, iterations, bins=bins)
 
 
 def connected_components(g: Graph, weak: bool = False, iterations: int | None = None) -> Result:
@@ -79,7 +79,7 @@ def weak_components(g: Graph) -> DataFrame:
     return g.vertices.join(found, c("id") == c("_i"), "left").select("id", F.coalesce("component", "id").alias("label"))
 
 
-def sssp(g: Graph, root: int = ROOT, iterations: int | None = None) -> Result:
+def sssp(g: Graph, root: int = ROOT, iterations: int | None = None, by_changes: bool = False) -> Result:
     """State dist: least sum of weights from the root.
 
     UNREACHED (2**31) marks vertices without a path, and those whose every path is as long or longer.
@@ -89,7 +89,7 @@ def sssp(g: Graph, root: int = ROOT, iterations: int | None = None) -> Result:
         {"dist": F.when(c("id") == root, F.lit(0)).otherwise(F.lit(UNREACHED)).cast("long")}, c("dist") + c("w"), {"m": F.min("msg")},
         active=c("id") == root, activate=c("m") < c("dist"), gather={"dist": F.least(c("dist"), c("m"))},
     )
-    return run(g, p, iterations)
+    return run_by_changes(g, p, iterations) if by_changes else run(g, p, iterations)
 
 
 def nibble(g: Graph, root: int = ROOT, iterations: int = ITERATIONS, theta: float = NIBBLE_THETA) -> Result:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..graph import Graph, Placed, prefix_sum
-from ..storage import cut, release
+from ..storage import bucketed, cut, release
 from .partitioning import Bins, bin_costs, bin_of, dense_bins
 
 Updates = Mapping[str, Column]
@@ -79,6 +79,8 @@ def record(k: int, seconds: float) -> tuple[int, float]:
 
 #: Supersteps that one write covers while a frontier is watched; each doubles the plan, so they are few.
 FUSED = 2
+#: Tables of changes up to which they are laid over the state one by one.
+CHANGES = 3
 #: Frontiers of at most this many vertices of a placed graph prune the scan of its edges.
 FEW = 1000
 
@@ -86,13 +88,15 @@ FEW = 1000
 @dataclass(frozen=True)
 class Result:
     """Final state, supersteps run, (iteration, active_vertices, active_edges) before each superstep, with ``bins``
-    (iteration, active partitions, dense partitions), and the seconds of the supersteps alone, as (last superstep, seconds) of each write."""
+    (iteration, active partitions, dense partitions), and the seconds of the supersteps alone, as (last superstep, seconds) of each write;
+    ``run_by_changes`` tells rows written, as (superstep, rows)."""
 
     state: DataFrame
     supersteps: int
     trace: list[tuple[int, int, int]]
     partitions: list[tuple[int, int, int]] = field(default_factory=list)
     timed: list[tuple[int, float]] = field(default_factory=list)
+    written: list[tuple[int, int]] = field(default_factory=list)
 
     @property
     def seconds(self) -> float:
@@ -166,7 +170,16 @@ def superstep(state: DataFrame, edges: DataFrame | Placed, p: VertexProgram, k:
         # a row a bin, whose number is a parameter of the run
         senders = state.join(F.broadcast(dense), bin_of(F.col("id"), bins) == F.col("_pid"), "left").where(F.col("active") | F.col("_pid").isNotNull()).drop("_pid")
     targets = state.select(F.col("id").alias("_to_id"), *[F.col(c).alias(f"to_{c}") for c in ("od", *own)]) if p.sees_target else None
-    folded = messages(senders.where(p.valid), edges, p.message, targets).groupBy("_dst").agg(*[f.alias(n) for n, f in p.folds.items()], F.count(F.lit(1)).alias("_got"))
+    return applied(state, _folded(messages(senders.where(p.valid), edges, p.message, targets), p), p, k)
+
+
+def _folded(sent: DataFrame, p: VertexProgram) -> DataFrame:
+    return sent.groupBy("_dst").agg(*[f.alias(n) for n, f in p.folds.items()], F.count(F.lit(1)).alias("_got"))
+
+
+def applied(state: DataFrame, folded: DataFrame, p: VertexProgram, k: int) -> DataFrame:
+    """What the hooks make of ``state`` once its vertices' messages are folded.  Vertices that neither are active nor receive may be left out."""
+    own = [c for c in state.columns if c not in ("id", "od", "active")]
     if not p.dense:
         # the keep hook sees what on_scatter made of the state
         if p.on_scatter:
@@ -181,6 +194,83 @@ def superstep(state: DataFrame, edges: DataFrame | Placed, p: VertexProgram, k:
     return s.select("id", "od", *own, (F.col("_front") & F.coalesce(p.stay, F.lit(False))).alias("active"))
 
 
+def run_by_changes(g: Graph, p: VertexProgram, iterations: int | None = None, frontier: DataFrame | list[int] | None = None) -> Result:
+    """Like ``run`` for a program with a frontier, in work that follows it: a superstep writes the folded messages and the rows of vertices
+    that were active or received any, no others.
+
+    The first state lies bucketed by id.  A vertex's row is the one of the latest superstep that wrote it: tables of
+    changes are laid over the state for the vertices a superstep touches, folded into one when they are more than
+    ``CHANGES``, and the state is written anew when they hold more than a quarter of the vertices.
+    """
+    if p.dense or p.send_all:
+        raise ValueError("all vertices change in every superstep of this program")
+    spark = g.edges.sparkSession
+    buckets, edges, k = int(spark.conf.get("spark.sql.shuffle.partitions")), g.sending(), 0
+    first = start(g, p) if frontier is None else load_frontier(start(g, p), frontier)
+    base = bucketed(first, "id", buckets, "state")
+    total = base.count()
+    trace: list[tuple[int, int, int]] = []
+    timed: list[tuple[int, float]] = []
+    written: list[tuple[int, int]] = []
+    changes: list[tuple[DataFrame, int]] = []
+
+    def dropped(df: DataFrame) -> None:
+        table = getattr(df, "table", None)
+        release(df)
+        if table is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+    def counted(df: DataFrame) -> tuple[int, int]:
+        r = df.where("active").agg(F.count(F.lit(1)), F.sum("od")).first()
+        return r[0], int(r[1] or 0)
+
+    def latest(rows: DataFrame, over: list[DataFrame], only: DataFrame | None = None) -> DataFrame:
+        """``rows`` with those of ``over`` in the place of earlier ones, of the vertices ``only`` (_key) if given."""
+        for d in over:
+            ids = d.select(F.col("id").alias("_new"))
+            rows = rows.join(ids, F.col("id") == F.col("_new"), "left_anti").unionByName(d)
+        return rows if only is None else rows.join(only, F.col("id") == F.col("_key"), "left_semi")
+
+    trace.append((0, *counted(base)))
+    active = base.where("active")
+    while trace[-1][1] and (iterations is None or k < iterations):
+        began = time.perf_counter()
+        k += 1
+        using = _pruned(edges, active) if isinstance(edges, Placed) and trace[-1][1] <= FEW else edges
+        targets = None
+        if p.sees_target:
+            whole = latest(base, [d for d, _ in changes])
+            targets = whole.select(F.col("id").alias("_to_id"), *[F.col(c).alias(f"to_{c}") for c in whole.columns if c not in ("id", "active")])
+        folded = cut(_folded(messages(active.where(p.valid), using, p.message, targets), p), "messages")
+        touched = cut(folded.select(F.col("_dst").alias("_key")).union(active.select("id")).distinct(), "touched")
+        held = [d for d, _ in changes]
+        now = latest(base.join(touched, F.col("id") == F.col("_key"), "left_semi"), [d.join(touched, F.col("id") == F.col("_key"), "left_semi") for d in held])
+        new = cut(applied(now, folded, p, k), "changes")
+        rows = new.count()
+        release(folded, touched)
+        changes.append((new, rows))
+        active = new.where("active")
+        trace.append((k, *counted(new)))
+        written.append((k, rows))
+        if 4 * sum(n for _, n in changes) > total:
+            over = bucketed(latest(base, [d for d, _ in changes]), "id", buckets, "state")
+            for d in [base, *[d for d, _ in changes]]:
+                dropped(d)
+            base, changes, active = over, [], over.where("active")
+        elif len(changes) > CHANGES:
+            over = cut(latest(changes[0][0], [d for d, _ in changes[1:]]), "changes")
+            # what is active is so in the newest rows alone
+            for d, _ in changes:
+                release(d)
+            changes = [(over, over.count())]
+            active = over.where("active")
+        timed.append(record(k, time.perf_counter() - began))
+    state = cut(latest(base, [d for d, _ in changes]))
+    for d in [base, *[d for d, _ in changes]]:
+        dropped(d)
+    return Result(state, k, trace, [], timed, written)
+
+
 def _pruned(edges: Placed, state: DataFrame) -> Placed:
     """Only what the edges of few active sources need: filters on the sorted column skip row groups."""
     ids = [r[0] for r in get_frontier(state).collect()]  # at most FEW

@@ -333,4 +333,21 @@ def test_sorts(spark):
 def test_harness(spark):
     report = timed_rounds(spark, "x", lambda: spark.range(3), RunConfig(rounds=2))
     assert [r.counted for r in report.orderBy("round").collect()] == [False, True] and mean_seconds(report) > 0
+    assert all(r.seconds == r.total and r.supersteps == 0 for r in report.collect())
+    g = Graph(spark.range(4), spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long"))
+    row = timed_rounds(spark, "y", lambda: A.pagerank(g, 3), RunConfig(rounds=1)).first()
+    assert 0 < row.seconds < row.total and row.supersteps == 3
+
+
+def test_command_line(spark, g8, tmp_path, capsys):
+    from meshspark import __main__ as command
+    from meshspark.sources import csr
+
+    csr.write_csr_folder(g8.edges, str(tmp_path / "g"), 8, "mix")
+    assert command.main(["pagerank", "-d", str(tmp_path / "g"), "-i", "2", "-r", "2", "-o", str(tmp_path / "out")], spark) > 0
+    assert values(spark.read.parquet(str(tmp_path / "out")), "rank") == values(A.pagerank(g8, 2), "rank")
+    said = capsys.readouterr().out
+    assert "round 0" in said and "2 supersteps" in said and "(not counted)" in said
+    with pytest.raises(SystemExit):
+        command.main(["nothing"], spark)
     assert mean_seconds(timed_rounds(spark, "x", lambda: spark.range(3), RunConfig(rounds=1))) > 0

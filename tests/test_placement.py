@@ -206,3 +206,16 @@ def test_contraction_rounds(spark):
 def test_seconds_of_supersteps(graph):
     r = A.sssp(graph, 1)
     assert r.timed[-1][0] == r.supersteps and r.seconds > 0 and all(s > 0 for _, s in r.timed)
+
+
+def test_work_follows_the_frontier(spark, graph, monkeypatch):
+    """Rows written are those that were active or received; states are those of whole rewrites, however changes are laid over."""
+    monkeypatch.setattr(gas, "CHANGES", 1)
+    for go in (lambda **x: A.sssp(graph, 1, **x), lambda **x: A.bfs(graph, 1, **x)):
+        plain, by = go(), go(by_changes=True)
+        assert sorted(plain.state.collect()) == sorted(by.state.select(*plain.state.columns).collect())
+        assert (plain.trace, plain.supersteps) == (by.trace, by.supersteps) and by.seconds > 0
+    n = 300
+    path = Graph(spark.range(n), spark.createDataFrame([(v, v + 1) for v in range(n - 1)], "src long, dst long"))
+    r = A.bfs(path, 0, iterations=9, by_changes=True)
+    assert r.written == [(k, 2) for k in range(1, 10)] and r.state.where("level is not null").count() == 10
