@@ -182,4 +182,4 @@ def test_registered():
     import __spark_entry__ as e
 
     names = {n.split("_")[0] for n in e.queries() if n.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in e.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in e.queries()
