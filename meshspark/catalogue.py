@@ -419,6 +419,17 @@ def _placed_run(place: Callable[[Graph], Graph], go: Callable[[Graph], DataFrame
 
 
 query("pagerank_placed", "g_part", _pr("g_part", 5))(_placed_run(lambda g: L.by_source(g, _bins(g)), lambda g: A.pagerank(g, 5).select("id", _round("rank"))))
+
+
+def _bucketed(g: Graph) -> DataFrame:
+    """Distances over edges bucketed by source; the saved graph is deleted before the result is read."""
+    root, placed = _root(g), g.placed_by_source()
+    out = A.sssp(placed, root).state.select("id", "dist")
+    placed.release()
+    return out
+
+
+query("sssp_bucketed", "g_frag", _SSSP_ALL)(_bucketed)
 query("pagerank_compressed", "g_part", _pr("g_part", 5))(_placed_run(lambda g: L.by_target(g, _bins(g)), lambda g: A.pagerank(g, 5).select("id", _round("rank"))))
 query("sssp_compressed", "g_next", SQL["sssp_blocks"])(_placed_run(lambda g: L.by_target(g, _bins(g)), lambda g: A.sssp(g, _root(g)).state.select("id", "dist")))
 _on_bins("placed_edges_of_tasks", "g_sc", _SPLIT.format("true"), f"SELECT pid, total_edges AS edges FROM ({_PARTS}) WHERE total_edges > 0")(
