@@ -1,9 +1,10 @@
 """Weakly connected components by contraction in rounds whose number doesn't follow the graph's shape.
 
-Each round gives every vertex a fresh pseudo-random priority and moves it to the neighbour of least priority, itself included; links
+Each round moves every vertex to the neighbour of least pseudo-random priority, itself included; links
 become links between the places moved to, and those inside one place vanish.  A vertex is left only if it or a neighbour chose
-it, so whatever the order of ids, a constant share of the vertices that still have links is expected to go in each round (about four in
-ten along a chain, more elsewhere; stars go at once): rounds grow with the logarithm of the vertices, not with diameters.
+it, so whatever the order of ids, a constant share of the vertices that still have links is expected to go in a round with fresh priorities (about four in
+ten along a chain): rounds grow with the logarithm of the vertices, not with diameters.  Priorities stay for ``SAME`` rounds: in the
+second all of a star moves to the vertex that its centre moved to in the first.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from ..storage import cut, release
 
 
+#: Rounds with the same priorities.
+SAME = 3
+
+
 def contracted(links: DataFrame, name: str = "components") -> tuple[DataFrame, int]:
     """((id, component), rounds) for every end of ``links`` (a, b): component is the smallest id reachable.
 
@@ -25,7 +30,7 @@ def contracted(links: DataFrame, name: str = "components") -> tuple[DataFrame, i
     while labels is None or not left.isEmpty():
         old = [left, labels]
         both = left.select("a", "b").union(left.select(F.col("b"), F.col("a")))
-        of = lambda v: F.xxhash64(F.lit(rounds), F.col(v))
+        of = lambda v: F.xxhash64(F.lit(rounds // SAME), F.col(v))
         best = both.groupBy("a").agg(F.min(of("b")).alias("_h"), F.min_by("b", of("b")).alias("_b"))
         moves = cut(best.select(F.col("a").alias("_v"), F.when(F.col("_h") < of("a"), F.col("_b")).otherwise(F.col("a")).alias("_to")), f"{name}-moves")
         if labels is None:

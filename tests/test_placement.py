@@ -199,6 +199,8 @@ def test_contraction_rounds(spark):
     got = {r.id: r.component for r in found.collect()}
     assert rounds < 25
     assert got == {v: 0 for v in range(1001)} | {v: 4000 for v in range(4000, 5001)} | {v: 10_000 for v in order} | {v: 20_000 for v in range(20_000, 20_500)}
+    stars = [(100 * s, 100 * s + i) for s in range(20) for i in range(1, 90)]
+    assert C.contracted(spark.createDataFrame(stars, "a long, b long"))[1] == 2
     g = Graph(spark.range(6), spark.createDataFrame([(4, 2), (2, 5), (3, 3)], "src long, dst long"))
     assert sorted(map(tuple, A.weak_components(g).collect())) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 2), (5, 2)]
 
