@@ -56,6 +56,15 @@ def test_many_edges(spark, tmp_path, monkeypatch, kind, wide):
         assert raw == csr.encode(a[:, 0], a[:, 1], 300, None, kind, wide)
 
 
+@pytest.mark.parametrize("kind, wide", [("mix", False), ("csr_weighted", True)])
+@pytest.mark.parametrize("rows", [EDGES, []])
+def test_file_in_a_folder_that_is_missing(spark, tmp_path, kind, wide, rows):
+    path = str(tmp_path / "shared" / "meshspark" / "g.bin")
+    csr.write_csr(spark.createDataFrame(rows, "src long, dst long, w long"), path, 8, kind, wide)
+    got = spark.read.format("csr").option("format", kind).option("wide", wide).load(path)
+    assert sorted(r[:2] for r in map(tuple, got.collect())) == sorted(e[:2] for e in rows)
+
+
 @pytest.mark.parametrize("kind, wide", [("csr", False), ("mix", True), ("csr_weighted", False)])
 def test_folder(spark, tmp_path, monkeypatch, kind, wide):
     """Range files: the same edges back from both sides, a hub's split over parts, whatever was there before replaced."""
