@@ -1,10 +1,12 @@
 """Golden values on tiny graphs, properties, and edge cases of the graph engine."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from meshspark.functions import ordering
-from meshspark.graph import Graph, csr_decode
+from meshspark.graph import Graph, bucket_count, csr_decode
 from meshspark.operators import algorithms as A
 from meshspark.operators import gas
 from meshspark.operators import partitioning as P
@@ -159,6 +161,32 @@ def test_placed_edges_are_not_shuffled(spark, skewed, monkeypatch):
     assert skewed[0].saved().placed is not None
 
 
+def test_placed_supersteps_shuffle_messages_alone(spark):
+    """No table is broadcast, however small, and neither the state nor the edges are shuffled or sorted."""
+    g = graph(spark, 40, [(i, i * 7 % 40) for i in range(40)]).placed_by_source(buckets=8)
+    p = gas.VertexProgram({"x": F.lit(1.0)}, F.col("x"), {"m": F.sum("msg")}, apply={"x": F.coalesce("m", F.lit(0.0))})
+    for dense in (True, False):
+        state = gas.written(gas.start(g, p), g.sending())
+        plan = gas.superstep(state, g.sending(), replace(p, dense=dense), 1)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Broadcast" not in plan and "Sort" not in plan.replace("SortMerge", "Sort"), plan
+        gas.dropped(state)
+    assert not [t for t in spark.catalog.listTables() if t.name == state.table] and g.placed_by_source() is g
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    A.pagerank(g, 2)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_buckets_follow_the_edges(spark):
+    assert [bucket_count(spark, n) for n in (0, 10**6, 10**8)] == [8, 8, 25]
+
+
+def test_trace_of_partitions_in_one_job(spark, monkeypatch):
+    """Active and dense bins come from one aggregation; bins whose active vertices have no edges count as active."""
+    monkeypatch.setattr(gas, "active_partitions", None)
+    g = graph(spark, 8, [(0, 7, 1), (0, 3, 1)])
+    assert A.bfs(g, 0, bins=P.Bins(2, 4)).partitions == [(0, 1, 1), (1, 2, 0)]
+
+
 def test_partitions(g8):
     bins = P.bin_params(8, 1)
     assert (bins.width, bins.count) == (2, 4)
